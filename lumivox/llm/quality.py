@@ -1,10 +1,10 @@
 """Document quality by supervised subword embeddings.
 
-Each word gives itself and its character n-grams, hashed into one table of
-learned vectors; a document is the average over all its features, and a softmax
+Each word gives itself, the pair with the word before and its character
+n-grams, hashed into one table of learned vectors; a document is the average over all its features, and a softmax
 layer gives the chance of label 1. Trained by stochastic gradient descent in
 numpy on a bounded sample of labelled rows. As the layer is linear, a trained
-model scores by one number for each feature, so a word costs one look-up.
+model scores by one number for each feature, so a word costs one look-up, and its pair another.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ class Options:
     dim: int = 12
     shortest: int = 3
     longest: int = 4
-    epochs: int = 6
-    rate: float = 0.5
+    epochs: int = 8
+    rate: float = 0.2
     max_rows: int = 4000
     seed: int = 7
 
@@ -47,23 +47,57 @@ def features(word: str, o: Options) -> list[int]:
     return [zlib.crc32(g.encode()) % o.buckets for g in (f" {word}", *grams)]
 
 
+class Words(dict):
+    """Numbers words; of each the buckets, their count and summed weight, and a hash for its word pairs.
+
+    Emptied between texts once it holds CACHED_WORDS.
+    """
+
+    def __init__(self, o: Options, weight: list[float] | None = None):
+        super().__init__()
+        self.o, self.weight = o, weight
+        self.buckets: list[list[int]] = []
+        self.n, self.hash = np.zeros(1024, np.int64), np.zeros(1024, np.uint64)
+        self.sum = np.zeros(1024)
+
+    def __missing__(self, word: str) -> int:
+        at, f = len(self), features(word, self.o)
+        if at == len(self.n):
+            self.n, self.hash, self.sum = (np.concatenate([x, np.zeros_like(x)]) for x in (self.n, self.hash, self.sum))
+        if self.weight is None:
+            self.buckets.append(f)
+        else:
+            self.sum[at] = sum(map(self.weight.__getitem__, f))
+        self.n[at], self.hash[at] = len(f), zlib.crc32(word.encode())
+        self[word] = at
+        return at
+
+    def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The text's words by number, and the buckets of its word pairs; a word with itself is one pair, whatever the word."""
+        if len(self) >= CACHED_WORDS:
+            self.clear(), self.buckets.clear()
+        words = np.fromiter(map(self.__getitem__, (text or "").split()), dtype=np.int64)
+        h = self.hash[words]
+        pair = (h[:-1] * np.uint64(0x9E3779B1) + h[1:]) % np.uint64(self.o.buckets - 1) + np.uint64(1)
+        return words, np.where(h[:-1] == h[1:], np.uint64(0), pair).astype(np.int64)
+
+
 def counted(texts: DataFrame, o: Options) -> DataFrame:
     """label, buckets and counts of each (text, label) row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, list[int]] = {}
+        known = Words(o)
         for b in batches:
             ids, ns = [], []
             for t in b["text"]:
-                total: Counter[int] = Counter()
-                for w in (t or "").split():
-                    if w not in known:
-                        if len(known) >= CACHED_WORDS:
-                            known.clear()
-                        known[w] = features(w, o)
-                    total.update(known[w])
-                at = sorted(total)
-                ids.append(at), ns.append([total[k] for k in at])
+                words, pairs = known.of(t)
+                total = np.bincount(pairs, minlength=o.buckets)
+                number, times = np.unique(words, return_counts=True)
+                for k, n in zip(number.tolist(), times.tolist()):
+                    for f in known.buckets[k]:
+                        total[f] += n
+                at = np.flatnonzero(total)
+                ids.append(at.astype(np.int32)), ns.append(total[at])
             yield pd.DataFrame({"label": b["label"], "ids": ids, "ns": ns})
 
     return texts.select("label", "text").mapInPandas(run, "label int, ids array<int>, ns array<long>")
@@ -123,21 +157,6 @@ def fit(docs: DataFrame, labels: DataFrame, o: Options = Options(), text: str =
     return train(rows, o)
 
 
-class Words(dict):
-    """A word's summed weight, and in the imaginary part its number of features; bounded in size."""
-
-    def __init__(self, weight: list[float], o: Options):
-        super().__init__()
-        self.weight, self.options = weight, o
-
-    def __missing__(self, word: str) -> complex:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        f = features(word, self.options)
-        value = self[word] = complex(sum(map(self.weight.__getitem__, f)), len(f))
-        return value
-
-
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds `score`, the chance of label 1, to every row from its whole text; null and empty texts get the prior's."""
     spark, o = docs.sparkSession, model.options
@@ -149,12 +168,13 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, bias = shared.value
-        words = Words(weight, o)
+        words, of_bucket = Words(o, weight), np.array(weight)
         for b in batches:
             out = np.empty(b.num_rows)
             for k, t in enumerate(b.column(at).to_pylist()):
-                total = sum(map(words.__getitem__, (t or "").split()), 0j)
-                out[k] = 1 / (1 + np.exp(-np.clip(bias + total.real / max(1.0, total.imag), -500, 500)))
+                own, pairs = words.of(t)
+                z = bias + (words.sum[own].sum() + of_bucket[pairs].sum()) / max(1, words.n[own].sum() + len(pairs))
+                out[k] = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], names)
 
     return rest.mapInArrow(run, schema)
