@@ -102,3 +102,12 @@ def components(edges: DataFrame, name: str, salts: int = 8, rounds: int = 60) ->
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def filesystem(path: str):
+    """pyarrow's file system for a folder that all machines share, and the path in it."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path)

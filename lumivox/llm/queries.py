@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumivox.llm import bpe, quality, simhash
+from lumivox.llm import bpe, packing, quality, simhash, warc
 from lumivox.llm.common import table
 
 
@@ -16,6 +16,11 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc_zip_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.round_trip(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
@@ -28,9 +33,22 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, bits=2)
 
 
+def op9_packed_token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_digests(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), length=2048)
+
+
+#: Equal payloads of 1000 bytes or more refer to the largest page_id.
+OP1_SQL = """
+WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS d, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages WHERE page_id IS NOT NULL),
+q AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY d) ELSE page_id END AS f FROM p)
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN f = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN f <> page_id THEN f END AS refers_to FROM q
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_classifier, op3_bpe_round_trip, op7_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_warc_zip_round_trip, op2_quality_classifier, op3_bpe_round_trip, op7_simhash_near_dedup, op9_packed_token_rows)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc_zip_round_trip": OP1_SQL}
