@@ -4,16 +4,18 @@ A merge only ever builds a vocabulary token. If two neighbouring bytes stand
 together inside no token, no merge can span them: that place is a certain cut,
 the fragments on its two sides merge independently, and their ids concatenate.
 The pre-tokenizer's own pieces are cut this way, so a piece of any length is
-merged as short fragments.
+merged as short fragments, and the text itself is first cut at such places
+before spaces.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,8 @@ from lumivox.llm.common import small_batches
 
 #: Fixed value: the pattern of the byte-level pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHED_PIECES, CACHED_LENGTH = 300_000, 48
+SPACE_AFTER_SPACE, CERTAIN_CUT = re.compile(r"^ |\s "), re.compile(r"(?<=\S)(?= )")
+CACHED_PIECES, CACHED_LENGTH = 200_000, 32
 
 
 def _byte_chars() -> dict[str, int]:
@@ -36,6 +39,22 @@ def _byte_chars() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+class Cache(dict):
+    """Ids by text, bounded; texts of more than CACHED_LENGTH are not kept."""
+
+    def __init__(self, of: Callable[[str], Iterable[int]]):
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, text: str) -> tuple[int, ...]:
+        ids = tuple(self.of(text))
+        if len(text) <= CACHED_LENGTH:
+            if len(self) >= CACHED_PIECES:
+                self.clear()
+            self[text] = ids
+        return ids
+
+
 class Codec:
     """One tokenizer file: encodes text to ids and decodes ids, like the library that the file is for."""
 
@@ -47,65 +66,95 @@ class Codec:
         self.bytes = {i: bytes(of[c] for c in t) for t, i in vocab.items() if t not in self.special}
         self.bytes |= {i: t.encode() for t, i in self.special.items()}
         self.byte_id = [vocab[c] for c, _ in sorted(of.items(), key=lambda x: x[1])]
-        self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(spec["model"]["merges"])}
-        self.joined = np.zeros((256, 256), dtype=bool)  # pairs that some token holds
+        self.rank = {(vocab[a], vocab[b]): rank for rank, (a, b) in enumerate(spec["model"]["merges"])}
+        self.target = [vocab[a + b] for a, b in spec["model"]["merges"]]
+        self.joined = bytearray(1 << 16)  # pairs that some token holds
         for i, t in self.bytes.items():
             if i not in self.special.values():
                 for a, b in zip(t, t[1:]):
-                    self.joined[a, b] = True
-        self.pieces = regex.compile(PATTERN).findall
+                    self.joined[a << 8 | b] = 1
+        self.cuts_at_space = not any(re.search(r"\S ", t.decode("utf-8", "replace")) for t in self.bytes.values())
+        self.split = regex.compile(PATTERN).findall
         self.splitter = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.pieces = Cache(lambda piece: chain.from_iterable(map(self.merge, self.fragments(piece.encode()))))
+        self.words = Cache(lambda word: chain.from_iterable(map(self.pieces.__getitem__, self.split(word))))
+        self.spaced = Cache(lambda word: chain.from_iterable(map(self.pieces.__getitem__, self.split(" " + word))))
 
     @property
     def size(self) -> int:
         return max(self.bytes) + 1
 
     def fragments(self, piece: bytes) -> list[bytes]:
-        b = np.frombuffer(piece, dtype=np.uint8)
-        cuts = np.flatnonzero(~self.joined[b[:-1], b[1:]]) + 1
-        ends = [0, *cuts.tolist(), len(piece)]
-        return [piece[i:j] for i, j in zip(ends, ends[1:])]
+        """The piece cut at every pair of bytes that no token holds."""
+        joined, start, out = self.joined, 0, []
+        for i in range(1, len(piece)):
+            if not joined[piece[i - 1] << 8 | piece[i]]:
+                out.append(piece[start:i])
+                start = i
+        out.append(piece[start:])
+        return out
 
     def merge(self, fragment: bytes) -> list[int]:
-        """Lowest rank first and leftmost first, by a heap over a linked list: n log n for any length."""
+        """Lowest rank first and leftmost first; long fragments by a heap over a linked list, n log n for any length."""
         ids = [self.byte_id[b] for b in fragment]
+        if len(ids) > 24:
+            return self._merge_long(ids)
+        rank, never = self.rank.get, 1 << 30
+        ranks = [rank(p, never) for p in zip(ids, ids[1:])]
+        while ranks:
+            least = min(ranks)
+            if least == never:
+                break
+            i = ranks.index(least)
+            to = self.target[least]
+            ids[i : i + 2] = (to,)
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((ids[i - 1], to), never)
+            if i < len(ranks):
+                ranks[i] = rank((to, ids[i + 1]), never)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := self.merges.get((ids[i], ids[i + 1])))]
+        heap = [(r, i, *p) for i, p in enumerate(zip(ids, ids[1:])) if (r := self.rank.get(p)) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, left, right, to = heapq.heappop(heap)
+            r, i, left, right = heapq.heappop(heap)
             j = after[i]
             if ids[i] != left or j >= n or ids[j] != right:
                 continue  # one of the two has been merged meanwhile
-            ids[i], ids[j], after[i] = to, -1, after[j]
+            ids[i], ids[j], after[i] = self.target[r], -1, after[j]
             if after[j] < n:
                 before[after[j]] = i
             for k in (before[i], i):
-                if k >= 0 and after[k] < n and (m := self.merges.get((ids[k], ids[after[k]]))):
-                    heapq.heappush(heap, (m[0], k, ids[k], ids[after[k]], m[1]))
+                if k >= 0 and after[k] < n and (r := self.rank.get((ids[k], ids[after[k]]))) is not None:
+                    heapq.heappush(heap, (r, k, ids[k], ids[after[k]]))
         return [i for i in ids if i >= 0]
 
-    def encode_piece(self, piece: str) -> tuple[int, ...]:
-        ids = self.cache.get(piece)
-        if ids is None:
-            ids = tuple(chain.from_iterable(map(self.merge, self.fragments(piece.encode()))))
-            if len(piece) <= CACHED_LENGTH:
-                if len(self.cache) >= CACHED_PIECES:
-                    self.cache.clear()
-                self.cache[piece] = ids
-        return ids
+    def _plain(self, text: str) -> Iterator[int]:
+        """Ids of a text without special tokens.
+
+        If no token holds a space after other than white space, as no piece of
+        the pre-tokenizer does, the text itself is cut there, into words that are
+        looked up whole.
+        """
+        if not self.cuts_at_space:
+            return chain.from_iterable(map(self.pieces.__getitem__, self.split(text)))
+        if SPACE_AFTER_SPACE.search(text) is None:
+            first, _, rest = text.partition(" ")
+            if not _:
+                return iter(self.words[first])
+            return chain(self.words[first] if first else (), chain.from_iterable(map(self.spaced.__getitem__, rest.split(" "))))
+        return chain.from_iterable(map(self.words.__getitem__, CERTAIN_CUT.split(text)))
 
     def encode(self, text: str) -> np.ndarray:
-        def of(part: str) -> Iterator[int]:
-            return chain.from_iterable(map(self.encode_piece, self.pieces(part)))
-
         if self.splitter and any(s in text for s in self.special):
             parts = self.splitter.split(text)
-            ids = chain.from_iterable([self.special[p]] if k % 2 else of(p) for k, p in enumerate(parts))
+            ids = chain.from_iterable([self.special[p]] if k % 2 else self._plain(p) for k, p in enumerate(parts))
         else:
-            ids = of(text)
+            ids = self._plain(text)
         return np.fromiter(ids, dtype=np.int32)
 
     def decode(self, ids: list[int]) -> str:
