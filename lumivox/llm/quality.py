@@ -83,7 +83,7 @@ class Words(dict):
 
 
 def counted(texts: DataFrame, o: Options) -> DataFrame:
-    """label, buckets and counts of each (text, label) row."""
+    """label, buckets and counts of each (text, label) row, the latter two as the bytes of 32-bit numbers."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Words(o)
@@ -97,10 +97,10 @@ def counted(texts: DataFrame, o: Options) -> DataFrame:
                     for f in known.buckets[k]:
                         total[f] += n
                 at = np.flatnonzero(total)
-                ids.append(at.astype(np.int32)), ns.append(total[at])
+                ids.append(at.astype("<i4").tobytes()), ns.append(total[at].astype("<i4").tobytes())
             yield pd.DataFrame({"label": b["label"], "ids": ids, "ns": ns})
 
-    return texts.select("label", "text").mapInPandas(run, "label int, ids array<int>, ns array<long>")
+    return texts.select("label", "text").mapInPandas(run, "label int, ids binary, ns binary")
 
 
 @dataclass
@@ -151,9 +151,10 @@ def fit(docs: DataFrame, labels: DataFrame, o: Options = Options(), text: str =
     ids = ids.orderBy(F.xxhash64("id"), "id").limit(o.max_rows)
     texts = docs.where(F.col(text).isNotNull()).select("doc_id", F.col(text).alias("text")).join(ids, F.col("doc_id") == ids.id)
     one = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    rows = counted(one, o).collect()
-    rows = [(r.label, np.array(r.ids, dtype=np.int32), np.array(r.ns, dtype=np.int64)) for r in rows]
-    rows.sort(key=lambda r: (r[0], len(r[1]), int(r[2].sum()), r[1].tobytes()))
+    found = counted(one, o).toArrow()
+    rows = sorted(zip(*(found.column(c).to_pylist() for c in ("label", "ids", "ns"))))
+    del found
+    rows = [(label, np.frombuffer(ids, "<i4"), np.frombuffer(ns, "<i4")) for label, ids, ns in rows]
     return train(rows, o)
 
 
