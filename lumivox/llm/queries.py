@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumivox.llm import bpe, decontam, packing, quality, simhash, warc
+from lumivox.llm import bpe, decontam, packing, quality, simhash, suffix_tree, warc
 from lumivox.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), share=0.8, shingle=5)
 
 
+def op5_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, bits=2)
 
@@ -51,7 +55,7 @@ SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN f = page_id T
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_zip_round_trip, op2_quality_classifier, op3_bpe_round_trip, op4_benchmark_decontamination, op7_simhash_near_dedup, op9_packed_token_rows)}
+    return {f.__name__: f for f in (op1_warc_zip_round_trip, op2_quality_classifier, op3_bpe_round_trip, op4_benchmark_decontamination, op5_suffix_tree_scores, op7_simhash_near_dedup, op9_packed_token_rows)}
 
 
 def oracle_sql() -> dict[str, str]:
