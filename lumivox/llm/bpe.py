@@ -15,7 +15,7 @@ import json
 import re
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from lumivox.llm.common import small_batches
 #: Fixed value: the pattern of the byte-level pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SPACE_AFTER_SPACE, CERTAIN_CUT = re.compile(r"^ |\s "), re.compile(r"(?<=\S)(?= )")
-CACHED_PIECES, CACHED_LENGTH = 200_000, 32
+CACHED_PIECES, CACHED_LENGTH, CACHED_PAIRS = 300_000, 32, 1_000_000
 
 
 def _byte_chars() -> dict[str, int]:
@@ -40,21 +40,43 @@ def _byte_chars() -> dict[str, int]:
 
 
 class Cache(dict):
-    """Ids by text, bounded; texts of more than CACHED_LENGTH are not kept."""
+    """Ids by text, bounded: when full it takes no more until four times as many texts have missed, then starts anew.
+
+    Texts of more than CACHED_LENGTH are not kept.
+    """
 
     def __init__(self, of: Callable[[str], Iterable[int]]):
         super().__init__()
-        self.of = of
+        self.of, self.missed = of, 0
 
     def __missing__(self, text: str) -> tuple[int, ...]:
         ids = tuple(self.of(text))
-        if len(text) <= CACHED_LENGTH:
-            if len(self) >= CACHED_PIECES:
-                self.clear()
-            self[text] = ids
+        if len(self) < CACHED_PIECES:
+            if len(text) <= CACHED_LENGTH:
+                self[text] = ids
+        elif (missed := self.missed + 1) <= 4 * CACHED_PIECES:
+            self.missed = missed
+        else:
+            self.clear()
+            self.missed = 0
         return ids
 
 
+class Neighbours(dict):
+    """Whether two tokens, one after the other, are what their bytes together merge to; bounded."""
+
+    def __init__(self, codec: Codec):
+        super().__init__()
+        self.codec = codec
+
+    def __missing__(self, pair: tuple[int, int]) -> bool:
+        if len(self) >= CACHED_PAIRS:
+            self.clear()
+        left, right = (self.codec.bytes[t] for t in pair)
+        found = self[pair] = self.codec.merge(left + right) == list(pair)
+        return found
+
+
 class Codec:
     """One tokenizer file: encodes text to ids and decodes ids, like the library that the file is for."""
 
@@ -76,14 +98,20 @@ class Codec:
         self.cuts_at_space = not any(re.search(r"\S ", t.decode("utf-8", "replace")) for t in self.bytes.values())
         self.split = regex.compile(PATTERN).findall
         self.splitter = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.pieces = Cache(lambda piece: chain.from_iterable(map(self.merge, self.fragments(piece.encode()))))
-        self.words = Cache(lambda word: chain.from_iterable(map(self.pieces.__getitem__, self.split(word))))
-        self.spaced = Cache(lambda word: chain.from_iterable(map(self.pieces.__getitem__, self.split(" " + word))))
+        self.token = {t: i for i, t in self.bytes.items() if i not in self.special.values()}
+        self.neighbours = Neighbours(self)
+        self.pieces = Cache(self._piece)
+        self.words = Cache(lambda word: self._piece(word) if word.isalpha() else chain.from_iterable(map(self.pieces.__getitem__, self.split(word))))
+        self.spaced = Cache(lambda word: self._piece(" " + word) if word.isalpha() else chain.from_iterable(map(self.pieces.__getitem__, self.split(" " + word))))
 
     @property
     def size(self) -> int:
         return max(self.bytes) + 1
 
+    def _piece(self, piece: str) -> Iterable[int]:
+        raw = piece.encode()
+        return self.encode_fragment(raw) if len(raw) <= 24 else chain.from_iterable(map(self.encode_fragment, self.fragments(raw)))
+
     def fragments(self, piece: bytes) -> list[bytes]:
         """The piece cut at every pair of bytes that no token holds."""
         joined, start, out = self.joined, 0, []
@@ -94,28 +122,35 @@ class Codec:
         out.append(piece[start:])
         return out
 
+    def encode_fragment(self, fragment: bytes) -> list[int]:
+        """The one row of tokens each two neighbours of which are what their own bytes merge to.
+
+        Longest token first, going back where no token fits after the last one;
+        merging by rank gives that row, and no other has the property.
+        """
+        n, known, joins = len(fragment), self.token.get, self.neighbours
+        if n > 24:
+            return self.merge(fragment)
+        out: list[int] = []
+        ends, dead, at, end = [], set(), 0, n
+        while at < n:
+            while end > at:
+                t = known(fragment[at:end])
+                if t is not None and end not in dead and (not out or joins[out[-1], t]):
+                    break
+                end -= 1
+            if end > at:
+                out.append(t), ends.append(end)
+                at, end = end, n
+            else:
+                dead.add(at)
+                out.pop(), ends.pop()
+                end, at = at - 1, ends[-1] if ends else 0
+        return out
+
     def merge(self, fragment: bytes) -> list[int]:
-        """Lowest rank first and leftmost first; long fragments by a heap over a linked list, n log n for any length."""
+        """Lowest rank first and leftmost first, by a heap over a linked list: n log n for any length."""
         ids = [self.byte_id[b] for b in fragment]
-        if len(ids) > 24:
-            return self._merge_long(ids)
-        rank, never = self.rank.get, 1 << 30
-        ranks = [rank(p, never) for p in zip(ids, ids[1:])]
-        while ranks:
-            least = min(ranks)
-            if least == never:
-                break
-            i = ranks.index(least)
-            to = self.target[least]
-            ids[i : i + 2] = (to,)
-            del ranks[i]
-            if i:
-                ranks[i - 1] = rank((ids[i - 1], to), never)
-            if i < len(ranks):
-                ranks[i] = rank((to, ids[i + 1]), never)
-        return ids
-
-    def _merge_long(self, ids: list[int]) -> list[int]:
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(r, i, *p) for i, p in enumerate(zip(ids, ids[1:])) if (r := self.rank.get(p)) is not None]
