@@ -9,16 +9,20 @@ of each row and the position resets.
 
 from __future__ import annotations
 
+import base64
+import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumivox.llm.bpe import codec
+from lumivox.llm.bpe import PATTERN
 from lumivox.llm.common import filesystem, scratch, small_batches, written
 
 MANIFEST = "doc_id long, segment int, first_token long, n_tokens int, shard string, pack string, row int, at int"
@@ -97,9 +101,20 @@ def read_array(path: str, name: str) -> np.ndarray:
         return np.lib.format.read_array(f, allow_pickle=False)
 
 
+@lru_cache(maxsize=2)
+def ranked(path: str, pattern: str) -> tiktoken.Encoding:
+    """A tokenizer from a file of byte strings and ranks, made once in each Python worker."""
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, f)}
+    return tiktoken.Encoding("ranked", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
 def pack(docs: DataFrame, path: str, out: str, length: int = 2048, group_tokens: int = 1 << 22) -> DataFrame:
     """Encodes whole texts, packs them and writes shards into the shared folder `out`; returns the manifest.
 
+    `path`: a file of token byte strings and ranks, on every machine; no special
+    tokens are read or added. The pad is the first id beyond the vocabulary.
+
     One manifest row per segment: doc_id, segment (from 0), first_token in the
     document, n_tokens, shard, pack (row's name), row, at. Every token is in
     exactly one segment. A null or empty text has one row with n_tokens 0 and
@@ -113,8 +128,9 @@ def pack(docs: DataFrame, path: str, out: str, length: int = 2048, group_tokens:
     fs.create_dir(root, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, context = codec(path), TaskContext.get()
-        pad, dtype = c.size - 1, "<u2" if c.size <= 1 << 16 else "<u4"
+        encoder, context = ranked(path, PATTERN), TaskContext.get()
+        pad = encoder.max_token_value + 1
+        dtype = "<u2" if pad < 1 << 16 else "<u4"
         part, attempt, group = context.partitionId(), context.taskAttemptId(), 0
         keys: list[tuple] = []
         segments: list[np.ndarray] = []
@@ -133,7 +149,7 @@ def pack(docs: DataFrame, path: str, out: str, length: int = 2048, group_tokens:
         for b in batches:
             empty = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = c.encode(text or "").astype(dtype)
+                ids = np.array(encoder.encode_ordinary(text or ""), dtype=dtype)
                 if not len(ids):
                     empty.append((doc, 0, 0, 0, None, None, None, None))
                 for k, first in enumerate(range(0, len(ids), length)):
@@ -151,9 +167,11 @@ def pack(docs: DataFrame, path: str, out: str, length: int = 2048, group_tokens:
     return written(texts.mapInArrow(run, MANIFEST), "packing-manifest")
 
 
-def unpack(manifest: DataFrame) -> DataFrame:
+def unpack(manifest: DataFrame, digest: bool = False) -> DataFrame:
     """Reads the shards back: the manifest's rows that have a place, with `ids` from the matrix.
 
+    With digest, instead `ids_sha256`, of the ids as little-endian 32-bit numbers.
+
     A shard whose cumulative lengths or resets disagree with the manifest is an error.
     """
 
@@ -165,16 +183,16 @@ def unpack(manifest: DataFrame) -> DataFrame:
         told = {(r, a): a + n for r, a, n in zip(rows["row"], rows["at"], rows["n_tokens"])}
         if found != told or int(resets.sum()) != len(told) or not all(resets[r, a] for r, a in told):
             raise ValueError(f"{shard} doesn't hold what its manifest says")
-        return rows.assign(ids=[ids[r, a : a + n].astype(np.int32) for r, a, n in zip(rows["row"], rows["at"], rows["n_tokens"])])
+        own = [ids[r, a : a + n].astype("<i4") for r, a, n in zip(rows["row"], rows["at"], rows["n_tokens"])]
+        return rows.assign(ids_sha256=[hashlib.sha256(x.tobytes()).hexdigest() for x in own]) if digest else rows.assign(ids=own)
 
     placed = manifest.where("shard is not null")
-    return placed.groupBy("shard").applyInPandas(run, f"{MANIFEST}, ids array<int>")
+    return placed.groupBy("shard").applyInPandas(run, f"{MANIFEST}, {'ids_sha256 string' if digest else 'ids array<int>'}")
 
 
 def packed_digests(docs: DataFrame, path: str, length: int = 2048) -> DataFrame:
     """A row per segment with the digest of its ids, as read back from the shards; empty texts with n_tokens 0."""
     manifest = pack(docs, path, scratch(docs.sparkSession, "packed"), length)
-    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256")
     keep = ["doc_id", "segment", "first_token", "n_tokens", "pack", "at"]
     empty = manifest.where("shard is null").select(*keep, F.sha2(F.lit(""), 256).alias("ids_sha256"))
-    return unpack(manifest).select(*keep, digest).union(empty)
+    return unpack(manifest, digest=True).select(*keep, "ids_sha256").union(empty)
