@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumivox.llm import bpe, decontam, embed_dedup, packing, quality, simhash, suffix_tree, warc
+from lumivox.llm import bpe, decontam, embed_dedup, line_dedup, packing, quality, simhash, suffix_tree, warc
 from lumivox.llm.common import table
 
 
@@ -49,6 +49,10 @@ def op9_packed_token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_digests(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), length=2048)
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 #: Equal payloads of 1000 bytes or more refer to the largest page_id.
 OP1_SQL = """
 WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS d, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages WHERE page_id IS NOT NULL),
@@ -59,7 +63,7 @@ SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN f = page_id T
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_zip_round_trip, op2_quality_classifier, op3_bpe_round_trip, op4_benchmark_decontamination, op5_suffix_tree_scores, op7_simhash_near_dedup, op8_embedding_near_dedup, op9_packed_token_rows)}
+    return {f.__name__: f for f in (op1_warc_zip_round_trip, op2_quality_classifier, op3_bpe_round_trip, op4_benchmark_decontamination, op5_suffix_tree_scores, op7_simhash_near_dedup, op8_embedding_near_dedup, op9_packed_token_rows, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
