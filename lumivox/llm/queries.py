@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumivox.llm import bpe, decontam, embed_dedup, line_dedup, packing, quality, simhash, suffix_tree, warc
+from lumivox.llm import bpe, decontam, embed_dedup, license_scan, line_dedup, packing, quality, simhash, suffix_tree, warc
 from lumivox.llm.common import table
 
 
@@ -37,6 +37,10 @@ def op5_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"), threshold=0.8)
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, bits=2)
 
@@ -53,6 +57,23 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
+#: The line rule by brute force over distinct lines: every edit by one word is a join on what is left without a word.
+OP10_SQL = r"""
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS a, text FROM documents),
+u AS (SELECT doc_id, unnest(range(len(a))) AS line, unnest(a) AS unit FROM l),
+w AS (SELECT doc_id, line, unit, list_filter(string_split_regex(lower(unit), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM u),
+f AS (SELECT w, min((doc_id, line)) AS pos, len(w) AS n FROM w WHERE len(w) > 0 GROUP BY w),
+v AS (SELECT pos, n, w, unnest(range(1, n + 1)) AS i FROM f WHERE n >= 8),
+k AS (SELECT pos, n, i, list_concat(w[1:i - 1], w[i + 1:]) AS rest FROM v),
+s AS (SELECT n, i, rest, min(pos) AS pos FROM k GROUP BY n, i, rest),
+gone AS (SELECT k.pos FROM k JOIN s USING (n, i, rest) WHERE s.pos < k.pos
+  UNION SELECT k.pos FROM k JOIN f ON k.rest = f.w AND f.n >= 8 WHERE f.pos < k.pos
+  UNION SELECT f.pos FROM k JOIN f ON k.rest = f.w AND f.n >= 8 WHERE k.pos < f.pos),
+kept AS (SELECT pos FROM f WHERE pos NOT IN (SELECT pos FROM gone)),
+o AS (SELECT doc_id, string_agg(unit, chr(10) ORDER BY line) AS text, count(*) AS n FROM w WHERE len(w) = 0 OR (doc_id, line) IN (SELECT pos FROM kept) GROUP BY doc_id)
+SELECT l.doc_id, coalesce(o.text, '') AS text, CAST(len(a) AS INTEGER) AS n_lines, CAST(len(a) - coalesce(o.n, 0) AS INTEGER) AS n_removed FROM l LEFT JOIN o USING (doc_id)
+"""
+
 #: Equal payloads of 1000 bytes or more refer to the largest page_id.
 OP1_SQL = """
 WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS d, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages WHERE page_id IS NOT NULL),
@@ -63,8 +84,8 @@ SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN f = page_id T
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_zip_round_trip, op2_quality_classifier, op3_bpe_round_trip, op4_benchmark_decontamination, op5_suffix_tree_scores, op7_simhash_near_dedup, op8_embedding_near_dedup, op9_packed_token_rows, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_warc_zip_round_trip, op2_quality_classifier, op3_bpe_round_trip, op4_benchmark_decontamination, op5_suffix_tree_scores, op6_license_scan, op7_simhash_near_dedup, op8_embedding_near_dedup, op9_packed_token_rows, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_zip_round_trip": OP1_SQL}
+    return {"op1_warc_zip_round_trip": OP1_SQL, "op6_license_scan": license_scan.scan_sql(), "op10_line_dedup": OP10_SQL}
