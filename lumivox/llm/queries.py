@@ -83,8 +83,14 @@ SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN f = page_id T
 """
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_zip_round_trip, op2_quality_classifier, op3_bpe_round_trip, op4_benchmark_decontamination, op5_suffix_tree_scores, op6_license_scan, op7_simhash_near_dedup, op8_embedding_near_dedup, op9_packed_token_rows, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_warc_zip_round_trip, op2_quality_classifier, op3_bpe_round_trip, op4_benchmark_decontamination, op5_suffix_tree_scores, op6_license_scan, op7_simhash_near_dedup, op8_embedding_near_dedup, op9_packed_token_rows, op10_line_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
