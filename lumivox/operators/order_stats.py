@@ -24,21 +24,22 @@ def at_ranks(df: DataFrame, by: list[str], value: str, ranks: dict[str, Callable
     exactly, and only those that hold a wanted rank are sorted: no task sorts
     a whole group.
     """
-    v = F.col(value)
+    v = F.col("_v")
+    df = df.select(*by, F.col(value).alias("_v"))
     edges = F.percentile_approx(F.when(~F.isnan(v), v), [k / 64 for k in range(1, 64)], 1000)
-    group = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), edges.alias("edges"))
-    bucket = F.when(F.isnan(v), -1).otherwise(F.size(F.filter(F.coalesce("edges", F.array().cast("array<double>")), lambda e: e < v)))
-    dealt = df.select(*by, value).join(group, by).select(*by, value, "n", bucket.alias("bucket"))
-    counts = dealt.groupBy(*by, "bucket").agg(F.count(F.lit(1)).alias("own"), F.first("n").alias("n"))
-    w = Window.partitionBy(*by).orderBy("bucket")  # 65 rows a group at most
-    counts = counts.withColumn("before", F.sum("own").over(w) - F.col("own"))
-    wanted = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), f(F.col("n")).cast("long").alias("rank")) for k, f in ranks.items()])).alias("r")
-    wanted = counts.select(*by, "bucket", "before", "own", wanted).where((F.col("r.rank") >= F.col("before")) & (F.col("r.rank") < F.col("before") + F.col("own")))
-    wanted = wanted.groupBy(*by, "bucket").agg(F.first("before").alias("before"), F.collect_list("r").alias("wanted"))
-    inside = Window.partitionBy(*by, "bucket").orderBy(value)
-    found = dealt.join(wanted, [*by, "bucket"]).withColumn("rank", F.row_number().over(inside) - 1 + F.col("before"))
-    found = found.select(*by, value, "rank", F.explode("wanted").alias("r")).where(F.col("rank") == F.col("r.rank"))
-    return found.groupBy(*by).agg(*[F.max(F.when(F.col("r.name") == k, F.col(value))).alias(k) for k in ranks])
+    group = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), edges.alias("_edges"))
+    bucket = F.when(F.isnan(v), -1).otherwise(F.size(F.filter(F.coalesce("_edges", F.array().cast("array<double>")), lambda e: e < v)))
+    dealt = df.join(group, by).select(*by, "_v", "_n", bucket.alias("_bucket"))
+    counts = dealt.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_own"), F.first("_n").alias("_n"))
+    w = Window.partitionBy(*by).orderBy("_bucket")  # 65 rows a group at most
+    counts = counts.withColumn("_before", F.sum("_own").over(w) - F.col("_own"))
+    wanted = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), f(F.col("_n")).cast("long").alias("rank")) for k, f in ranks.items()])).alias("_w")
+    wanted = counts.select(*by, "_bucket", "_before", "_own", wanted).where((F.col("_w.rank") >= F.col("_before")) & (F.col("_w.rank") < F.col("_before") + F.col("_own")))
+    wanted = wanted.groupBy(*by, "_bucket").agg(F.first("_before").alias("_before"), F.collect_list("_w").alias("_wanted"))
+    inside = Window.partitionBy(*by, "_bucket").orderBy("_v")
+    found = dealt.join(wanted, [*by, "_bucket"]).withColumn("_rank", F.row_number().over(inside) - 1 + F.col("_before"))
+    found = found.select(*by, "_v", "_rank", F.explode("_wanted").alias("_w")).where(F.col("_rank") == F.col("_w.rank"))
+    return found.groupBy(*by).agg(*[F.max(F.when(F.col("_w.name") == k, v)).alias(k) for k in ranks])
 
 
 def nearest_rank(df: DataFrame, by: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
