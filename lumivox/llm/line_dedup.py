@@ -29,16 +29,16 @@ class Options:
     filter_bits: int = 1 << 27
 
 
-def line_words(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), r"\s+"), lambda w: w != "")
+def _hashed_words(line: Column) -> Column:
+    return F.transform(F.filter(F.split(F.lower(line), r"\s+"), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line (from 0), n, words (as hashes) and h (of all words, 128 bits) of each line that has a word."""
-    at = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line", "of"))
-    hashed = at.select("doc_id", "line", F.transform(line_words(F.col("of")), lambda w: F.xxhash64(w)).alias("words"))
-    n = F.size("words").alias("n")
-    return hashed.select("doc_id", "line", n, "words", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2")).where("n > 0")
+    """doc_id, line (from 0), n, words (as hashes) and h1, h2 (of all words, 128 bits) of each line that has a word."""
+    # the words come out of the generator, so no later filter computes them again
+    lines = F.posexplode(F.transform(F.split(F.col("text").cast("string"), "\n"), _hashed_words)).alias("line", "words")
+    at = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lines).withColumn("n", F.size("words")).where("n > 0")
+    return at.withColumns({"h1": F.xxhash64("words"), "h2": F.xxhash64(F.lit(1), "words")})
 
 
 def _halves() -> Column:
@@ -56,8 +56,12 @@ def _halves() -> Column:
     return F.array(*out)
 
 
+def _keys() -> Column:
+    return F.array(*[_halves()[i].key for i in range(4)])
+
+
 def _shared_halves(lines: DataFrame) -> DataFrame:
-    keys = F.explode(F.transform(_halves(), lambda x: x.key)).alias("key")
+    keys = F.explode(_keys()).alias("key")
     return lines.select("h1", keys).groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key")
 
 
@@ -65,28 +69,38 @@ def _bit(i: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))
 
 
+def _places(key: Column, bits: int) -> list[Column]:
+    """A key's two places in a bitmap of `bits`, a power of two up to 2^31."""
+    return [key.bitwiseAND(bits - 1), F.shiftrightunsigned(key, 33).bitwiseAND(bits - 1)]
+
+
 def _filter_of(keys: DataFrame, bits: int) -> DataFrame:
-    """One row: a bitmap of the keys modulo `bits`, whose size depends on `bits` alone."""
-    at = F.pmod(F.col("key"), F.lit(bits))
-    some = keys.select((at / 64).cast("long").alias("w"), _bit(F.pmod("key", F.lit(64))).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    """One row: a bitmap of both places of the keys, whose size depends on `bits` alone."""
+    at = keys.select(F.explode(F.array(*_places(F.col("key"), bits))).alias("at"))
+    some = at.select(F.shiftright("at", 6).alias("w"), _bit(F.col("at").bitwiseAND(63)).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
     whole = keys.sparkSession.range(bits // 64).withColumnRenamed("id", "w").join(some, "w", "left")
     rows = F.sort_array(F.collect_list(F.struct("w", F.coalesce("b", F.lit(0).cast("long")).alias("b"))))
     return whole.agg(F.transform(rows, lambda x: x.b).alias("bits"))
 
 
 def _passing(lines: DataFrame, keys: DataFrame, o: Options) -> DataFrame:
-    """The lines one of whose halves is among the keys, and perhaps some more; beyond the filter's bound by a join, exactly those."""
+    """The lines one of whose halves is among the keys, with `hits` for each half; some more pass by chance.
+
+    Beyond the filter's bound the lines are found by a join, exactly those.
+    """
     n = keys.count()
-    bits = 1 << max(16, (16 * n).bit_length())
+    bits = 1 << max(16, (32 * n).bit_length())
     if bits <= o.filter_bits:
         bitmap = _filter_of(keys, bits).scalar()
         # a subquery may not stand inside a lambda: each of the four keys is looked up by itself
-        hits = [F.get(bitmap, (F.pmod(k, F.lit(bits)) / 64).cast("int")).bitwiseAND(_bit(F.pmod(k, F.lit(64)))) != 0 for k in (_halves()[i].key for i in range(4))]
-        return lines.where(hits[0] | hits[1] | hits[2] | hits[3])
-    own = lines.select("doc_id", "line", F.explode(F.transform(_halves(), lambda x: x.key)).alias("key"))
+        keyed = lines.select("*", F.explode(F.array(_keys())).alias("keys"))
+        set_at = lambda p: F.get(bitmap, F.shiftright(p, 6).cast("int")).bitwiseAND(_bit(p.bitwiseAND(63))) != 0
+        hits = [set_at(p) & set_at(q) for p, q in (_places(F.col("keys")[i], bits) for i in range(4))]
+        return keyed.where(hits[0] | hits[1] | hits[2] | hits[3]).withColumn("hits", F.array(*hits)).drop("keys")
+    own = lines.select("doc_id", "line", F.explode(_keys()).alias("key"))
     mine = own.join(keys, "key", "left_semi").select("doc_id", "line").distinct()
     same = F.col("l.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("l.line") == F.col("m.line"))
-    return lines.alias("l").join(mine.alias("m"), same, "left_semi")
+    return lines.alias("l").join(mine.alias("m"), same, "left_semi").withColumn("hits", F.array(*[F.lit(True)] * 4))
 
 
 def _without(a: Column, i: Column) -> Column:
@@ -100,7 +114,7 @@ def _neighbourhood(lines: DataFrame) -> DataFrame:
     Substitutions keep the place in k2, so all with one key are within one edit
     of each other; else one line has the key whole, and those with a word deleted are within one edit of it.
     """
-    each = lines.select("doc_id", "line", F.explode(_halves()).alias("x")).select("doc_id", "line", "x.*")
+    each = lines.select("doc_id", "line", "hits", F.posexplode(_halves()).alias("i", "x")).where(F.get("hits", "i")).select("doc_id", "line", "x.*")
     places = F.sequence(F.lit(0), F.size("rest") - 1)
     cut = lambda i: F.struct(F.xxhash64(F.when(F.col("kind") == 0, i).otherwise(-1), _without(F.col("rest"), i)).alias("k2"), F.lit(True).alias("deleted"))
     whole = F.array(F.struct(F.xxhash64(F.lit(-1), F.col("rest")).alias("k2"), F.lit(False).alias("deleted")))
@@ -149,8 +163,8 @@ def dedup_lines(docs: DataFrame, o: Options = Options()) -> DataFrame:
     lines = _lines(docs)
     long = lines.where(F.col("n") >= o.least_words)
     passing = _passing(long, written(_shared_halves(long), "lines-halves"), o)
-    survivors = passing.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.first("words").alias("words"), F.first("n").alias("n"))
-    survivors = written(survivors.select("at.doc_id", "at.line", "words", "n"), "lines-survivors")
+    survivors = passing.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.first("words").alias("words"), F.first("n").alias("n"), F.first("hits").alias("hits"))
+    survivors = written(survivors.select("at.doc_id", "at.line", "words", "n", "hits"), "lines-survivors")
     pairs = _earlier_partners(survivors)
     own, other = (survivors.select(F.struct("doc_id", "line").alias(f"{p}_at"), F.col("words").alias(f"{p}_words")) for p in ("own", "other"))
     pairs = pairs.join(own, pairs["at"].eqNullSafe(own.own_at)).join(other, F.col("partner").eqNullSafe(other.other_at))
@@ -163,7 +177,7 @@ def dedup_lines(docs: DataFrame, o: Options = Options()) -> DataFrame:
 
     def stays(line: Column, i: Column) -> Column:
         b = F.coalesce(F.try_element_at("flags", F.floor(i / FLAGS).cast("int")), F.lit(0).cast("long"))
-        return (F.size(line_words(line)) == 0) | (b.bitwiseAND(_bit(i % FLAGS)) != 0)
+        return ~line.rlike(r"\S") | (b.bitwiseAND(_bit(i % FLAGS)) != 0)
 
     joined = docs.drop("n_lines", "n_removed").join(flags, F.col("doc_id").cast("long").eqNullSafe(F.col("of")), "left")
     joined = joined.withColumn("flags", F.coalesce("flags", F.expr("cast(map() as map<int, bigint>)")))
