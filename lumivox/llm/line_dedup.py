@@ -30,15 +30,20 @@ class Options:
 
 
 def _hashed_words(line: Column) -> Column:
-    return F.transform(F.filter(F.split(F.lower(line), r"\s+"), lambda w: w != ""), lambda w: F.xxhash64(w))
+    words = F.split(F.lower(F.translate(line, "\t\x0b\f\r", "    ")), " ")
+    return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line (from 0), n, words (as hashes) and h1, h2 (of all words, 128 bits) of each line that has a word."""
-    # the words come out of the generator, so no later filter computes them again
-    lines = F.posexplode(F.transform(F.split(F.col("text").cast("string"), "\n"), _hashed_words)).alias("line", "words")
-    at = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lines).withColumn("n", F.size("words")).where("n > 0")
-    return at.withColumns({"h1": F.xxhash64("words"), "h2": F.xxhash64(F.lit(1), "words")})
+def _lines(docs: DataFrame, where: Column | None = None) -> DataFrame:
+    """doc_id, line (from 0), n and words (as hashes) of each line that has a word; where: a test of doc_id and line made before words are."""
+    doc_id = F.col("doc_id").cast("long").alias("doc_id")
+    if where is not None:
+        raw = docs.select(doc_id, F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line", "of")).where(where)
+        at = raw.select("doc_id", "line", F.explode(F.array(_hashed_words(F.col("of")))).alias("words"))
+    else:
+        # the words come out of the generator, so no later filter computes them again
+        at = docs.select(doc_id, F.posexplode(F.transform(F.split(F.col("text").cast("string"), "\n"), _hashed_words)).alias("line", "words"))
+    return at.withColumn("n", F.size("words")).where("n > 0")
 
 
 def _halves() -> Column:
@@ -56,17 +61,16 @@ def _halves() -> Column:
     return F.array(*out)
 
 
+def _bit(i: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))
+
+
 def _keys() -> Column:
     return F.array(*[_halves()[i].key for i in range(4)])
 
 
 def _shared_halves(lines: DataFrame) -> DataFrame:
-    keys = F.explode(_keys()).alias("key")
-    return lines.select("h1", keys).groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key")
-
-
-def _bit(i: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))
+    return lines.select("h1", F.explode("keys").alias("key")).groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key")
 
 
 def _places(key: Column, bits: int) -> list[Column]:
@@ -83,24 +87,44 @@ def _filter_of(keys: DataFrame, bits: int) -> DataFrame:
     return whole.agg(F.transform(rows, lambda x: x.b).alias("bits"))
 
 
+def _in_filter(bitmap: Column, key: Column, bits: int) -> Column:
+    """Whether both places of the key are set; a subquery may not stand inside a lambda, so this takes one key."""
+    set_at = lambda p: F.get(bitmap, F.shiftright(p, 6).cast("int")).bitwiseAND(_bit(p.bitwiseAND(63))) != 0
+    p, q = _places(key, bits)
+    return set_at(p) & set_at(q)
+
+
+def _bits_for(n: int, o: Options) -> int | None:
+    """The size of a filter of n keys, None beyond the bound."""
+    bits = 1 << max(16, (32 * n).bit_length())
+    return bits if bits <= o.filter_bits else None
+
+
 def _passing(lines: DataFrame, keys: DataFrame, o: Options) -> DataFrame:
-    """The lines one of whose halves is among the keys, with `hits` for each half; some more pass by chance.
+    """doc_id, line and `hits` (for each half whether others have it) of the lines with a hit; some more pass by chance.
 
     Beyond the filter's bound the lines are found by a join, exactly those.
     """
-    n = keys.count()
-    bits = 1 << max(16, (32 * n).bit_length())
-    if bits <= o.filter_bits:
+    bits = _bits_for(keys.count(), o)
+    if bits:
         bitmap = _filter_of(keys, bits).scalar()
-        # a subquery may not stand inside a lambda: each of the four keys is looked up by itself
-        keyed = lines.select("*", F.explode(F.array(_keys())).alias("keys"))
-        set_at = lambda p: F.get(bitmap, F.shiftright(p, 6).cast("int")).bitwiseAND(_bit(p.bitwiseAND(63))) != 0
-        hits = [set_at(p) & set_at(q) for p, q in (_places(F.col("keys")[i], bits) for i in range(4))]
-        return keyed.where(hits[0] | hits[1] | hits[2] | hits[3]).withColumn("hits", F.array(*hits)).drop("keys")
-    own = lines.select("doc_id", "line", F.explode(_keys()).alias("key"))
-    mine = own.join(keys, "key", "left_semi").select("doc_id", "line").distinct()
-    same = F.col("l.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("l.line") == F.col("m.line"))
-    return lines.alias("l").join(mine.alias("m"), same, "left_semi").withColumn("hits", F.array(*[F.lit(True)] * 4))
+        hits = [_in_filter(bitmap, F.get("keys", F.lit(i)), bits) for i in range(4)]
+        return lines.select("doc_id", "line", "h1", "h2", F.array(*hits).alias("hits")).where(F.array_contains("hits", True))
+    own = lines.select("doc_id", "line", "h1", "h2", F.posexplode("keys").alias("i", "key")).join(keys, "key", "left_semi")
+    mine = own.groupBy("doc_id", "line", "h1", "h2").agg(F.collect_set("i").alias("of"))
+    return mine.select("doc_id", "line", "h1", "h2", F.array(*[F.array_contains("of", i) for i in range(4)]).alias("hits"))
+
+
+def _survivors(docs: DataFrame, passing: DataFrame, o: Options) -> DataFrame:
+    """The passing lines, each distinct one where it stands first, with their words from a second look at the texts."""
+    first = passing.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.first("hits").alias("hits"))
+    first = written(first.select(F.col("at.doc_id").alias("of"), F.col("at.line").alias("no"), "hits"), "lines-passing")
+    bits = _bits_for(first.count(), o)
+    place = lambda d, i: F.xxhash64(d, i)
+    test = _in_filter(_filter_of(first.select(place("of", "no").alias("key")), bits).scalar(), place("doc_id", "line"), bits) if bits else None
+    lines = _lines(docs, test)
+    same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("line") == F.col("no"))
+    return written(lines.join(first, same).select("doc_id", "line", "n", "words", "hits"), "lines-survivors")
 
 
 def _without(a: Column, i: Column) -> Column:
@@ -160,27 +184,30 @@ def dedup_lines(docs: DataFrame, o: Options = Options()) -> DataFrame:
     place stays or goes in all of them. All other columns stay, but for old ones named n_lines and
     n_removed; an empty table gives no rows.
     """
-    lines = _lines(docs)
-    long = lines.where(F.col("n") >= o.least_words)
+    lines = _lines(docs).withColumns({"h1": F.xxhash64("words"), "h2": F.xxhash64(F.lit(1), "words")})
+    lines = written(lines.select("doc_id", "line", "h1", "h2", F.when(F.col("n") >= o.least_words, _keys()).alias("keys")), "lines-all")
+    long = lines.where("keys is not null")
     passing = _passing(long, written(_shared_halves(long), "lines-halves"), o)
-    survivors = passing.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.first("words").alias("words"), F.first("n").alias("n"), F.first("hits").alias("hits"))
-    survivors = written(survivors.select("at.doc_id", "at.line", "words", "n", "hits"), "lines-survivors")
+    survivors = _survivors(docs, passing, o)
     pairs = _earlier_partners(survivors)
     own, other = (survivors.select(F.struct("doc_id", "line").alias(f"{p}_at"), F.col("words").alias(f"{p}_words")) for p in ("own", "other"))
     pairs = pairs.join(own, pairs["at"].eqNullSafe(own.own_at)).join(other, F.col("partner").eqNullSafe(other.other_at))
     gone = pairs.where(_within_one_edit(F.col("own_words"), F.col("other_words"))).select("at").distinct()
     first = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("at")).select("at")
     kept = first.join(gone, "at", "left_anti").select("at.doc_id", "at.line")
-    flags = kept.groupBy("doc_id", F.floor(F.col("line") / FLAGS).alias("w")).agg(F.bit_or(_bit(F.col("line") % FLAGS)).alias("b"))
+    same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("line") == F.col("no"))
+    goes = lines.select("doc_id", "line").join(kept.select(F.col("doc_id").alias("of"), F.col("line").alias("no")), same, "left_anti")
+    flags = goes.groupBy("doc_id", F.floor(F.col("line") / FLAGS).alias("w")).agg(F.bit_or(_bit(F.col("line") % FLAGS)).alias("b"))
     flags = flags.groupBy(F.col("doc_id").alias("of")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("w").cast("int"), "b"))).alias("flags"))
     all_lines = F.split(F.col("text").cast("string"), "\n")
 
     def stays(line: Column, i: Column) -> Column:
         b = F.coalesce(F.try_element_at("flags", F.floor(i / FLAGS).cast("int")), F.lit(0).cast("long"))
-        return ~line.rlike(r"\S") | (b.bitwiseAND(_bit(i % FLAGS)) != 0)
+        return b.bitwiseAND(_bit(i % FLAGS)) == 0
 
     joined = docs.drop("n_lines", "n_removed").join(flags, F.col("doc_id").cast("long").eqNullSafe(F.col("of")), "left")
-    joined = joined.withColumn("flags", F.coalesce("flags", F.expr("cast(map() as map<int, bigint>)")))
-    left = F.filter(all_lines, stays)
-    out = joined.withColumns({"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(all_lines)), "left": left})
-    return out.withColumns({"text": F.array_join("left", "\n"), "n_removed": F.when(F.col("left").isNull(), 0).otherwise(F.col("n_lines") - F.size("left"))}).drop("left", "flags", "of")
+    # texts without a flag stay as they are, unsplit
+    left = F.when(F.col("flags").isNotNull(), F.filter(all_lines, stays))
+    out = joined.withColumns({"n_lines": F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"))) + 1, "left": left})
+    out = out.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")))
+    return out.withColumns({"text": F.coalesce(F.array_join("left", "\n"), "text"), "n_removed": F.coalesce(F.col("n_lines") - F.size("left"), F.lit(0))}).drop("left", "flags", "of")
