@@ -140,7 +140,9 @@ class Inequality:
             active[worst] = True
             while True:
                 at = np.flatnonzero(active)
-                z = np.linalg.lstsq(self.dual[np.ix_(at, at)], q[at], rcond=None)[0]
+                k_at = self.dual[np.ix_(at, at)]
+                k_at.flat[:: len(at) + 1] *= 1 + 1e-11  # more constraints than unknowns may meet in a corner
+                z = np.linalg.solve(k_at, q[at])
                 if (z > 0).all():
                     l[:] = 0
                     l[at] = z
