@@ -198,16 +198,16 @@ def dedup_lines(docs: DataFrame, o: Options = Options()) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("line") == F.col("no"))
     goes = lines.select("doc_id", "line").join(kept.select(F.col("doc_id").alias("of"), F.col("line").alias("no")), same, "left_anti")
     flags = goes.groupBy("doc_id", F.floor(F.col("line") / FLAGS).alias("w")).agg(F.bit_or(_bit(F.col("line") % FLAGS)).alias("b"))
-    flags = flags.groupBy(F.col("doc_id").alias("of")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("w").cast("int"), "b"))).alias("flags"))
+    flags = flags.groupBy(F.col("doc_id").alias("_removed_of")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("w").cast("int"), "b"))).alias("_removed_at"))
     all_lines = F.split(F.col("text").cast("string"), "\n")
 
     def stays(line: Column, i: Column) -> Column:
-        b = F.coalesce(F.try_element_at("flags", F.floor(i / FLAGS).cast("int")), F.lit(0).cast("long"))
+        b = F.coalesce(F.try_element_at("_removed_at", F.floor(i / FLAGS).cast("int")), F.lit(0).cast("long"))
         return b.bitwiseAND(_bit(i % FLAGS)) == 0
 
-    joined = docs.drop("n_lines", "n_removed").join(flags, F.col("doc_id").cast("long").eqNullSafe(F.col("of")), "left")
+    joined = docs.drop("n_lines", "n_removed").join(flags, F.col("doc_id").cast("long").eqNullSafe(F.col("_removed_of")), "left")
     # texts without a flag stay as they are, unsplit
-    left = F.when(F.col("flags").isNotNull(), F.filter(all_lines, stays))
-    out = joined.withColumns({"n_lines": F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"))) + 1, "left": left})
+    left = F.when(F.col("_removed_at").isNotNull(), F.filter(all_lines, stays))
+    out = joined.withColumns({"n_lines": F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"))) + 1, "_left": left})
     out = out.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")))
-    return out.withColumns({"text": F.coalesce(F.array_join("left", "\n"), "text"), "n_removed": F.coalesce(F.col("n_lines") - F.size("left"), F.lit(0))}).drop("left", "flags", "of")
+    return out.withColumns({"text": F.coalesce(F.array_join("_left", "\n"), "text"), "n_removed": F.coalesce(F.col("n_lines") - F.size("_left"), F.lit(0))}).drop("_left", "_removed_at", "_removed_of")
