@@ -74,7 +74,7 @@ def _graddev(v: DataFrame) -> DataFrame:
 
 @query()
 def robust_tensor_graddev(spark, d):
-    return models.fit_tensor_graddev(_graddev(S.voxels(spark, d)).where("z = 0"), BVALS, DIRS).select(*XYZ, *[F.round(F.col(c).cast("double"), 5).alias(c) for c in ("fa", "md")])
+    return models.fit_tensor_graddev(_graddev(S.voxels(spark, d)), BVALS, DIRS).select(*XYZ, *[F.round(F.col(c).cast("double"), 5).alias(c) for c in ("fa", "md")])
 
 
 @query(""" SELECT x, y, z, vol, round(CASE WHEN bval > 50 AND label % 2 = 1 THEN bval * ((1.02 * gx + 0.01 * gy) ** 2 + (0.98 * gy) ** 2 + gz ** 2) ELSE bval * 1.0::DOUBLE END, 3) AS b_eff FROM (SELECT DISTINCT x, y, z, label FROM long), g""")
@@ -101,7 +101,7 @@ def shore_l1_bic(spark, d):
 
 @query()
 def shore_nonneg(spark, d):
-    return models.fit_shore(S.voxels(spark, d).where("z = 0"), BVALS, DIRS, o=models.with_options(SHORE, regularisation="nonneg")).select(*XYZ, "reg_kind", F.round(F.col("r2").cast("double"), 3).alias("r2"))
+    return models.fit_shore(S.voxels(spark, d), BVALS, DIRS, o=models.with_options(SHORE, regularisation="nonneg")).select(*XYZ, "reg_kind", F.round(F.col("r2").cast("double"), 3).alias("r2"))
 
 
 @query()
@@ -236,7 +236,7 @@ def single_shell(spark, d):
 
 @query()
 def single_shell_by_criterion(spark, d):
-    v = one_shell(S.voxels(spark, d)).where("z = 0")
+    v = one_shell(S.voxels(spark, d))
     b, g = BVALS[ONE_SHELL], DIRS[ONE_SHELL]
     r = pipelines.shell_responses(selection(v), v, models.fit_tensor(v, b, g), N.shells(list(b)), g, 4)
     return decon.fit_single_shell(v, b, g, r, decon.ShellOptions(lmax=None, candidates=(0, 2, 4))).groupBy("chosen_lmax").count()
