@@ -69,8 +69,9 @@ def _keys() -> Column:
     return F.array(*[_halves()[i].key for i in range(4)])
 
 
-def _shared_halves(lines: DataFrame) -> DataFrame:
-    return lines.select("h1", F.explode("keys").alias("key")).groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key")
+def _shared_halves(distinct: DataFrame) -> DataFrame:
+    """Keys of halves that more than one distinct line has."""
+    return distinct.select(F.explode("keys").alias("key")).groupBy("key").count().where(F.col("count") > 1).select("key")
 
 
 def _places(key: Column, bits: int) -> list[Column]:
@@ -100,8 +101,8 @@ def _bits_for(n: int, o: Options) -> int | None:
     return bits if bits <= o.filter_bits else None
 
 
-def _passing(lines: DataFrame, keys: DataFrame, o: Options) -> DataFrame:
-    """doc_id, line and `hits` (for each half whether others have it) of the lines with a hit; some more pass by chance.
+def _passing(distinct: DataFrame, keys: DataFrame, o: Options) -> DataFrame:
+    """doc_id, line and `hits` (for each half whether others have it) of the distinct lines with a hit; some more pass by chance.
 
     Beyond the filter's bound the lines are found by a join, exactly those.
     """
@@ -109,22 +110,22 @@ def _passing(lines: DataFrame, keys: DataFrame, o: Options) -> DataFrame:
     if bits:
         bitmap = _filter_of(keys, bits).scalar()
         hits = [_in_filter(bitmap, F.get("keys", F.lit(i)), bits) for i in range(4)]
-        return lines.select("doc_id", "line", "h1", "h2", F.array(*hits).alias("hits")).where(F.array_contains("hits", True))
-    own = lines.select("doc_id", "line", "h1", "h2", F.posexplode("keys").alias("i", "key")).join(keys, "key", "left_semi")
-    mine = own.groupBy("doc_id", "line", "h1", "h2").agg(F.collect_set("i").alias("of"))
-    return mine.select("doc_id", "line", "h1", "h2", F.array(*[F.array_contains("of", i) for i in range(4)]).alias("hits"))
+        return distinct.select("doc_id", "line", F.array(*hits).alias("hits")).where(F.array_contains("hits", True))
+    own = distinct.select("doc_id", "line", F.posexplode("keys").alias("i", "key")).join(keys, "key", "left_semi")
+    mine = own.groupBy("doc_id", "line").agg(F.collect_set("i").alias("of"))
+    return mine.select("doc_id", "line", F.array(*[F.array_contains("of", i) for i in range(4)]).alias("hits"))
 
 
 def _survivors(docs: DataFrame, passing: DataFrame, o: Options) -> DataFrame:
-    """The passing lines, each distinct one where it stands first, with their words from a second look at the texts."""
-    first = passing.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.first("hits").alias("hits"))
-    first = written(first.select(F.col("at.doc_id").alias("of"), F.col("at.line").alias("no"), "hits"), "lines-passing")
+    """The passing lines with their words, from a second look at the texts."""
+    first = written(passing.select(F.col("doc_id").alias("of"), F.col("line").alias("no"), "hits"), "lines-passing")
     bits = _bits_for(first.count(), o)
     place = lambda d, i: F.xxhash64(d, i)
     test = _in_filter(_filter_of(first.select(place("of", "no").alias("key")), bits).scalar(), place("doc_id", "line"), bits) if bits else None
     lines = _lines(docs, test)
     same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("line") == F.col("no"))
-    return written(lines.join(first, same).select("doc_id", "line", "n", "words", "hits"), "lines-survivors")
+    # rows that share a doc_id may repeat a line's place
+    return written(lines.join(first, same).select("doc_id", "line", "n", "words", "hits").dropDuplicates(["doc_id", "line", "words"]), "lines-survivors")
 
 
 def _without(a: Column, i: Column) -> Column:
@@ -185,29 +186,28 @@ def dedup_lines(docs: DataFrame, o: Options = Options()) -> DataFrame:
     n_removed; an empty table gives no rows.
     """
     lines = _lines(docs).withColumns({"h1": F.xxhash64("words"), "h2": F.xxhash64(F.lit(1), "words")})
-    lines = written(lines.select("doc_id", "line", "h1", "h2", F.when(F.col("n") >= o.least_words, _keys()).alias("keys")), "lines-all")
-    long = lines.where("keys is not null")
+    lines = lines.select("h1", "h2", F.struct("doc_id", "line").alias("at"), F.when(F.col("n") >= o.least_words, _keys()).alias("keys"))
+    distinct = lines.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.first("keys").alias("keys"))
+    distinct = written(distinct.select("at.doc_id", "at.line", "keys"), "lines-distinct")
+    long = distinct.where("keys is not null")
     passing = _passing(long, written(_shared_halves(long), "lines-halves"), o)
     survivors = _survivors(docs, passing, o)
     pairs = _earlier_partners(survivors)
     own, other = (survivors.select(F.struct("doc_id", "line").alias(f"{p}_at"), F.col("words").alias(f"{p}_words")) for p in ("own", "other"))
     pairs = pairs.join(own, pairs["at"].eqNullSafe(own.own_at)).join(other, F.col("partner").eqNullSafe(other.other_at))
     gone = pairs.where(_within_one_edit(F.col("own_words"), F.col("other_words"))).select("at").distinct()
-    first = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("at")).select("at")
-    kept = first.join(gone, "at", "left_anti").select("at.doc_id", "at.line")
-    same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("line") == F.col("no"))
-    goes = lines.select("doc_id", "line").join(kept.select(F.col("doc_id").alias("of"), F.col("line").alias("no")), same, "left_anti")
-    flags = goes.groupBy("doc_id", F.floor(F.col("line") / FLAGS).alias("w")).agg(F.bit_or(_bit(F.col("line") % FLAGS)).alias("b"))
-    flags = flags.groupBy(F.col("doc_id").alias("_removed_of")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("w").cast("int"), "b"))).alias("_removed_at"))
+    kept = distinct.select("doc_id", "line").join(gone.select(F.col("at.doc_id").alias("of"), F.col("at.line").alias("no")), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("line") == F.col("no")), "left_anti")
+    flags = kept.groupBy("doc_id", F.floor(F.col("line") / FLAGS).alias("w")).agg(F.bit_or(_bit(F.col("line") % FLAGS)).alias("b"))
+    flags = flags.groupBy(F.col("doc_id").alias("_kept_of")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("w").cast("int"), "b"))).alias("_kept_at"))
     all_lines = F.split(F.col("text").cast("string"), "\n")
 
     def stays(line: Column, i: Column) -> Column:
-        b = F.coalesce(F.try_element_at("_removed_at", F.floor(i / FLAGS).cast("int")), F.lit(0).cast("long"))
-        return b.bitwiseAND(_bit(i % FLAGS)) == 0
+        b = F.coalesce(F.try_element_at("_kept_at", F.floor(i / FLAGS).cast("int")), F.lit(0).cast("long"))
+        return (b.bitwiseAND(_bit(i % FLAGS)) != 0) | ~line.rlike(r"\S")
 
-    joined = docs.drop("n_lines", "n_removed").join(flags, F.col("doc_id").cast("long").eqNullSafe(F.col("_removed_of")), "left")
-    # texts without a flag stay as they are, unsplit
-    left = F.when(F.col("_removed_at").isNotNull(), F.filter(all_lines, stays))
+    joined = docs.drop("n_lines", "n_removed").join(flags, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_of")), "left")
+    joined = joined.withColumn("_kept_at", F.coalesce("_kept_at", F.expr("cast(map() as map<int, bigint>)")))
+    left = F.filter(all_lines, stays)
     out = joined.withColumns({"n_lines": F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"))) + 1, "_left": left})
     out = out.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")))
-    return out.withColumns({"text": F.coalesce(F.array_join("_left", "\n"), "text"), "n_removed": F.coalesce(F.col("n_lines") - F.size("_left"), F.lit(0))}).drop("_left", "_removed_at", "_removed_of")
+    return out.withColumns({"text": F.coalesce(F.array_join("_left", "\n"), "text"), "n_removed": F.coalesce(F.col("n_lines") - F.size("_left"), F.lit(0))}).drop("_left", "_kept_at", "_kept_of")
