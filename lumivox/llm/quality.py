@@ -56,7 +56,7 @@ class Words(dict):
     def __init__(self, o: Options, weight: list[float] | None = None):
         super().__init__()
         self.o, self.weight = o, weight
-        self.buckets: list[list[int]] = []
+        self.buckets: list[np.ndarray] = []
         self.n, self.hash = np.zeros(1024, np.int64), np.zeros(1024, np.uint64)
         self.sum = np.zeros(1024)
 
@@ -65,7 +65,7 @@ class Words(dict):
         if at == len(self.n):
             self.n, self.hash, self.sum = (np.concatenate([x, np.zeros_like(x)]) for x in (self.n, self.hash, self.sum))
         if self.weight is None:
-            self.buckets.append(f)
+            self.buckets.append(np.array(f, dtype=np.int32))
         else:
             self.sum[at] = sum(map(self.weight.__getitem__, f))
         self.n[at], self.hash[at] = len(f), zlib.crc32(word.encode())
@@ -91,11 +91,9 @@ def counted(texts: DataFrame, o: Options) -> DataFrame:
             ids, ns = [], []
             for t in b["text"]:
                 words, pairs = known.of(t)
-                total = np.bincount(pairs, minlength=o.buckets)
                 number, times = np.unique(words, return_counts=True)
-                for k, n in zip(number.tolist(), times.tolist()):
-                    for f in known.buckets[k]:
-                        total[f] += n
+                of_words = np.concatenate([known.buckets[k] for k in number] or [np.zeros(0, np.int32)])
+                total = np.bincount(of_words, np.repeat(times, known.n[number]), o.buckets).astype(np.int64) + np.bincount(pairs, minlength=o.buckets)
                 at = np.flatnonzero(total)
                 ids.append(at.astype("<i4").tobytes()), ns.append(total[at].astype("<i4").tobytes())
             yield pd.DataFrame({"label": b["label"], "ids": ids, "ns": ns})
