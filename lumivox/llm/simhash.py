@@ -10,6 +10,7 @@ each fingerprint at every such anchor meets the home of each linked one.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
@@ -151,3 +152,114 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame
     classes = written(single.select(F.col("fp").alias("key"), F.coalesce("shared", "least").alias("component_id")), "simhash-classes")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return prints.join(classes, prints.fp == classes.key).select("doc_id", hexed, "component_id")
+
+
+# texts of a given similarity: wide fingerprints, many pairs of blocks, and an exact check
+
+
+LANES, TABLE_SHIFT = ["f0", "f1", "f2", "f3"], 50
+
+
+def tables_for(n: int, similarity: float, recall: float) -> tuple[int, int]:
+    """Plain bits beside the anchor so that n texts have a quarter of a chance partner each, and tables for the recall.
+
+    Bits of two texts differ by chance acos(cosine) / pi; a home anchor is
+    shared 0.85 times as often as 12 plain bits would be, by simulation.
+    """
+    extra = max(0, math.ceil(math.log2(max(n, 2))) + 2 - 12)
+    same = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return extra, math.ceil(math.log(1 - recall) / math.log(1 - 0.85 * same ** (12 + extra)))
+
+
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """Sorted hashes of the text's distinct shingles; a text of fewer words has one, without a word none."""
+    w = (text or "").encode().lower().split()
+    if not w:
+        return np.zeros(0, np.uint64)
+    shingles = set(map(b" ".join, zip(*(w[k:] for k in range(words))))) if len(w) >= words else {b" ".join(w)}
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles), dtype=np.uint64, count=len(shingles)))
+
+
+def wide_fingerprint(h: np.ndarray) -> np.ndarray:
+    """256 bits as four words: majorities over the hashes, mixed anew for each word."""
+    out = np.zeros(4, np.uint64)
+    for lane in range(4):
+        counts = np.zeros(64, np.int64)
+        for at in range(0, len(h), 1 << 16):
+            x = h[at : at + (1 << 16)] + np.uint64((lane * 0x9E3779B97F4A7C15) & ((1 << 64) - 1))
+            x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(29))).astype("<u8")
+            counts += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[lane] = np.packbits(2 * counts > len(h), bitorder="little").view("<u8")[0]
+    return out
+
+
+def _table_keys(lanes: np.ndarray, extra: int, tables: int) -> np.ndarray:
+    """(rows, tables) keys: in each table the home anchor of 23 of the 256 bits and `extra` plain ones, drawn anew for each table."""
+    bits = np.unpackbits(np.ascontiguousarray(lanes, dtype="<u8").view(np.uint8).reshape(-1, 32), axis=1, bitorder="little").astype(np.int64)
+    rng, leader, power = np.random.default_rng(11), _error_lists()[0][1], 1 << np.arange(WIDTH, dtype=np.int64)
+    out = np.empty((len(lanes), tables), np.int64)
+    for t in range(tables):
+        take = rng.permutation(256)[: WIDTH + extra]
+        a, b = bits[:, take[:WIDTH]] @ power, bits[:, take[WIDTH:]] @ (1 << np.arange(extra, dtype=np.int64))
+        out[:, t] = (a ^ leader[_remainder(a)]) | b << WIDTH | t << TABLE_SHIFT
+    return out
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, apart: int = 72, recall: float = 0.95) -> DataFrame:
+    """(doc_id, component_id): documents linked by a Jaccard similarity of `similarity` or more of their distinct shingles.
+
+    Texts with one 256-bit fingerprint are one class. In each table, classes
+    with the same home anchor are compared with two of them, which differ from
+    table to table, so rows stay in proportion to the classes whatever a group's
+    size. Pairs of `apart` of 256 bits or fewer are checked on their whole
+    texts. A pair just at the similarity shares an anchor in one of the tables
+    with a chance of `recall`, one above it with a larger. component_id is the smallest doc_id reachable; rows with a
+    null doc_id are left out; of texts with one doc_id the least counts.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+    def printed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            f = np.array([wide_fingerprint(shingle_hashes(t, words)) for t in b["text"]], dtype=np.uint64).reshape(-1, 4).view(np.int64)
+            yield pd.DataFrame({"doc_id": b["doc_id"]} | {c: f[:, k] for k, c in enumerate(LANES)})
+
+    prints = written(texts.mapInPandas(printed, "doc_id long, f0 long, f1 long, f2 long, f3 long"), "similar-prints")
+    classes = written(prints.groupBy(*LANES).agg(F.min("doc_id").alias("rep")), "similar-classes")
+
+    extra, tables = tables_for(classes.count(), similarity, recall)
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keys = _table_keys(b[LANES].to_numpy(np.int64).view(np.uint64), extra, tables)
+            yield pd.DataFrame({"key": keys.ravel(), "rep": np.repeat(b["rep"].to_numpy(np.int64), tables)})
+
+    # the order within an anchor is another one in each table
+    order = F.col("rep").bitwiseXOR(F.shiftrightunsigned(F.xxhash64(F.shiftright("key", TABLE_SHIFT)), 1))
+    rows = classes.mapInPandas(keyed, "key long, rep long").select("key", order.alias("v"))
+    ends = written(rows.groupBy("key").agg(F.min("v").alias("low"), F.max("v").alias("high")).where("low <> high"), "similar-ends")
+    both = rows.join(ends, "key").select("key", "v", F.explode(F.array("low", "high")).alias("p")).where("v <> p")
+    mask = F.shiftrightunsigned(F.xxhash64(F.shiftright("key", TABLE_SHIFT)), 1)
+    pairs = both.select(F.col("v").bitwiseXOR(mask).alias("x"), F.col("p").bitwiseXOR(mask).alias("y"))
+    pairs = pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    side = lambda n: classes.select(F.col("rep").alias(n), *[F.col(c).alias(f"{n}{c}") for c in LANES])
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b")
+    pairs = written(pairs.where(sum(F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in LANES) <= apart).select("a", "b"), "similar-pairs")
+    some = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    whole = written(texts.join(some, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "similar-texts")
+    met = pairs.join(whole.select(F.col("doc_id").alias("a"), F.col("text").alias("at")), "a").join(whole.select(F.col("doc_id").alias("b"), F.col("text").alias("bt")), "b")
+
+    def checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b["at"], b["bt"]):
+                p, q = shingle_hashes(x, words), shingle_hashes(y, words)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(both >= similarity * (len(p) + len(q) - both))
+            yield b.loc[keep, ["a", "b"]]
+
+    roots = written(components(met.select("a", "b", "at", "bt").mapInPandas(checked, "a long, b long"), "similar"), "similar-roots")
+    named = written(classes.join(roots, classes.rep == roots.node, "left").select(*LANES, F.coalesce("root", "rep").alias("component_id")), "similar-named")
+    return prints.join(named, LANES).select("doc_id", "component_id")

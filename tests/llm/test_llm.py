@@ -323,6 +323,33 @@ def test_simhash_links_random_fingerprints(spark, crowd):
     assert len(set(map(lambda k: root[k], range(len(fp))))) == len(set(brute_components(fp, 2)))
 
 
+def test_similar_documents_by_exact_shingles(spark):
+    rng = np.random.default_rng(21)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 5))
+    texts = [[word() for _ in range(80)] for _ in range(60)]
+    for t in texts[:40]:
+        for edits in (1, 2, 3, 6):
+            c = list(t)
+            for k in rng.integers(0, 80, edits):
+                c[k] = word()
+            texts.append(c)
+    rows = [(k, " ".join(t), "x") for k, t in enumerate(texts)] + [(900, "", "x"), (901, None, "x"), (902, "one two", "x"), (903, "One  two", "x"), (None, "lost", "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(d).collect()}
+    sets = {k: set(simhash.shingle_hashes(t, 5).tolist()) for k, t, _ in rows if k is not None}
+    true = [(a, b) for a in sets for b in sets if a < b and (sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))]
+    together = sum(got[a] == got[b] for a, b in true)
+    assert together >= 0.9 * len(true) and len(true) > 100
+    root = dict.fromkeys(sets)
+    for k in root:
+        root[k] = k
+    for _ in range(8):
+        for a, b in true:
+            root[a] = root[b] = min(root[a], root[b])
+    assert all(root[k] == root[c] for k, c in got.items())  # nothing unlike is merged
+    assert simhash.similar_documents(d.limit(0)).count() == 0
+
+
 # 8
 
 
