@@ -369,8 +369,9 @@ def pool(responses: DataFrame, statistic: str = "mean", legacy: bool = False) ->
     return out.select("tissue", "row", "b", F.transform("c", lambda x: x.c).alias("coeffs"))
 
 
-def deviation_percent(responses: DataFrame, pooled: DataFrame) -> DataFrame:
-    """scan_id, tissue, percent: mean relative difference of the first coefficients from the pool's, where that isn't about 0."""
+def deviation_percent(responses: DataFrame, pooled: DataFrame, legacy: bool = False) -> DataFrame:
+    """scan_id, tissue, percent: mean relative difference of the rescaled first coefficients from the pool's over rows where that isn't about 0, else 0."""
     p = pooled.select("tissue", "row", F.get("coeffs", F.lit(0)).alias("p"))
-    both = responses.select("scan_id", "tissue", "row", F.get("coeffs", F.lit(0)).alias("c")).join(p, ["tissue", "row"]).where(F.abs("p") > 1e-9)
-    return both.groupBy("scan_id", "tissue").agg((100 * F.avg(F.abs(F.col("c") - F.col("p")) / F.abs("p"))).alias("percent"))
+    own = responses.join(multipliers(responses, legacy), ["scan_id", "tissue"]).select("scan_id", "tissue", "row", (F.get("coeffs", F.lit(0)) * F.col("multiplier")).alias("c"))
+    off = F.when(F.abs("p") > 1e-9, F.abs(F.col("c") - F.col("p")) / F.abs("p"))
+    return own.join(p, ["tissue", "row"]).groupBy("scan_id", "tissue").agg(F.coalesce(100 * F.avg(off), F.lit(0.0)).alias("percent"))

@@ -204,7 +204,7 @@ def pooled_median(spark, d):
     return tissue.pool(_scan_responses(spark, d), "median").select("row", F.round(F.get("coeffs", F.lit(0)), 4).alias("c0"))
 
 
-@query(_SCANS_SQL + """, p AS (SELECT "row", avg(c * f) AS p FROM r JOIN m USING (scan_id) GROUP BY 1) SELECT scan_id, round(100 * avg(abs(c - p) / abs(p)), 5) AS percent FROM r JOIN p USING ("row") GROUP BY 1""")
+@query(_SCANS_SQL + """, p AS (SELECT "row", avg(c * f) AS p FROM r JOIN m USING (scan_id) GROUP BY 1) SELECT scan_id, round(100 * avg(abs(c * f - p) / abs(p)), 5) AS percent FROM r JOIN m USING (scan_id) JOIN p USING ("row") GROUP BY 1""")
 def response_deviation(spark, d):
     r = _scan_responses(spark, d)
     return tissue.deviation_percent(r, tissue.pool(r)).select("scan_id", F.round("percent", 5).alias("percent"))
