@@ -158,6 +158,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame
 
 
 LANES, TABLE_SHIFT = ["f0", "f1", "f2", "f3"], 50
+FEW, BLOCK = 8, 128  # classes at an anchor that are compared as pairs; classes of a block at the others
 
 
 def tables_for(n: int, similarity: float, recall: float) -> tuple[int, int]:
@@ -206,13 +207,110 @@ def _table_keys(lanes: np.ndarray, extra: int, tables: int) -> np.ndarray:
     return out
 
 
+def _candidates(rows: pd.DataFrame, apart: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs across a block pair, or within one block, that are near in bits and not linked yet."""
+    lanes, root, side = rows[LANES].to_numpy(np.int64).view(np.uint64), rows["root"].to_numpy(np.int64), rows["side"].to_numpy()
+    x, y = (np.flatnonzero(side == k) for k in (0, 1))
+    y = y if len(y) or rows["bx"].iloc[0] != rows["by"].iloc[0] else x
+    far = sum(np.bitwise_count(lanes[x, k][:, None] ^ lanes[y, k][None, :]).astype(np.int64) for k in range(4))
+    i, j = np.nonzero((far <= apart) & (root[x][:, None] != root[y][None, :]))
+    return x[i], y[j]
+
+
+def _shared_shingles(sets: list[np.ndarray], chunk: int = 1 << 14) -> np.ndarray:
+    """How many members each two of the sets share, by products of bounded pieces of their incidence matrix."""
+    size = np.array([len(s) for s in sets])
+    _, flat, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, flat = np.repeat(np.arange(len(sets)), size)[n[flat] > 1], flat[n[flat] > 1]
+    ids, flat = np.unique(flat, return_inverse=True)
+    order = np.argsort(flat, kind="stable")
+    row, flat = row[order], flat[order]
+    out = np.zeros((len(sets), len(sets)))
+    for at in range(0, len(ids), chunk):
+        a, b = np.searchsorted(flat, [at, at + chunk])
+        piece = np.zeros((len(sets), chunk), np.float32)
+        piece[row[a:b], flat[a:b] - at] = 1
+        out += piece @ piece.T
+    return out
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of edges that connect what all of them do, no more than there are nodes."""
+    up, keep = {}, []
+
+    def top(v: int) -> int:
+        while up.get(v, v) != v:
+            up[v] = up.get(up[v], up[v])
+            v = up[v]
+        return v
+
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        if (x := top(x)) != (y := top(y)):
+            up[x] = y
+            keep.append(k)
+    return np.array(keep, dtype=np.int64)
+
+
+def _crowd_links(at: DataFrame, classes: DataFrame, roots: DataFrame, texts: DataFrame, words: int, similarity: float, apart: int) -> DataFrame | None:
+    """Edges (a, b) that connect all similar classes with a common anchor in `at` (key, rep) that `roots` hasn't linked; None if no pair is near.
+
+    Classes at an anchor are dealt into salted blocks, those of a large
+    component into blocks of their own, and all blocks are compared with each
+    other but those of one component. First on bits alone; shingles go only
+    to block pairs with near pairs, and only for their members. Tasks return
+    spanning forests.
+    """
+    at = written(at.join(roots, at.rep == roots.node, "left").select("key", "rep", F.coalesce("root", "rep").alias("root")), "similar-crowded")
+    of_root = at.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    keys = of_root.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.sum(F.when(F.col("c") < BLOCK, F.col("c")).otherwise(0)).alias("mixed")).where("roots > 1").select("key", "mixed")
+    of_root = written(of_root.join(keys, "key"), "similar-crowds").select("key", "root", (F.col("c") >= BLOCK).alias("own"), F.ceil(F.when(F.col("c") >= BLOCK, F.col("c")).otherwise(F.col("mixed")) / BLOCK).cast("int").alias("salts"))
+    if of_root.isEmpty():
+        return None
+    name = F.when(F.col("own"), F.col("root").cast("string")).otherwise("mixed")
+    blocks = of_root.select("key", "own", name.alias("name"), "salts").distinct().select("key", "own", "name", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    side = lambda p: blocks.select("key", F.col("own").alias(f"o{p}"), F.col("name").alias(f"n{p}"), F.concat_ws(":", "name", "salt").alias(f"b{p}"))
+    met = written(side("x").join(side("y"), "key").where("bx <= by and not (ox and nx = ny)").select("key", "bx", "by"), "similar-block-pairs")
+    member = at.join(of_root, ["key", "root"]).join(classes, "rep")
+    block = F.concat_ws(":", name, F.pmod(F.xxhash64("rep", F.lit(3)), F.col("salts")).cast("int"))
+    member = written(member.select("key", "rep", "root", *LANES, block.alias("block")), "similar-members")
+    sides = [met.where("true" if k == 0 else "bx < by").withColumnRenamed(b, "block").withColumn(b, F.col("block")).join(member, ["key", "block"]).select("key", "bx", "by", F.lit(k).alias("side"), "rep", "root", *LANES) for k, b in enumerate(("bx", "by"))]
+    schema = "key long, bx string, by string, side int, rep long, root long, f0 long, f1 long, f2 long, f3 long"
+
+    def near(rows: pd.DataFrame) -> pd.DataFrame:
+        i, j = _candidates(rows, apart)
+        return rows.iloc[np.unique(np.concatenate([i, j]))]
+
+    some = written(sides[0].union(sides[1]).groupBy("key", "bx", "by").applyInPandas(near, schema), "similar-near")
+    if some.isEmpty():
+        return None
+
+    def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"rep": b["doc_id"], "shingles": [shingle_hashes(t, words).view(np.int64) for t in b["text"]]})
+
+    whole = texts.join(some.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    whole = written(whole.mapInPandas(shingled, "rep long, shingles array<long>"), "similar-shingles")
+
+    def linked(rows: pd.DataFrame) -> pd.DataFrame:
+        i, j = _candidates(rows, apart)
+        sets = [np.asarray(s, dtype=np.int64) for s in rows["shingles"]]
+        size, both = np.array([len(s) for s in sets]), _shared_shingles(sets)[i, j]
+        i, j = (x[both >= similarity * (size[i] + size[j] - both)] for x in (i, j))
+        root, rep = rows["root"].to_numpy(np.int64), rows["rep"].to_numpy(np.int64)
+        keep = _forest(root[i], root[j])
+        return pd.DataFrame({"a": rep[i[keep]], "b": rep[j[keep]]})
+
+    return written(some.join(whole, "rep").groupBy("key", "bx", "by").applyInPandas(linked, "a long, b long"), "similar-crowd-links")
+
+
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, apart: int = 72, recall: float = 0.95) -> DataFrame:
     """(doc_id, component_id): documents linked by a Jaccard similarity of `similarity` or more of their distinct shingles.
 
-    Texts with one 256-bit fingerprint are one class. In each table, classes
-    with the same home anchor are compared with two of them, which differ from
-    table to table, so rows stay in proportion to the classes whatever a group's
-    size. Pairs of `apart` of 256 bits or fewer are checked on their whole
+    Texts with one 256-bit fingerprint are one class. In each table, all classes
+    with the same home anchor are compared, where there are few of them as
+    pairs. Where there are more, each first meets two of them, which differ from
+    table to table, and those not yet linked are then compared in blocks.
+    Pairs of `apart` of 256 bits or fewer are checked on their whole
     texts. A pair just at the similarity shares an anchor in one of the tables
     with a chance of `recall`, one above it with a larger. component_id is the smallest doc_id reachable; rows with a
     null doc_id are left out; of texts with one doc_id the least counts.
@@ -237,12 +335,13 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
             yield pd.DataFrame({"key": keys.ravel(), "rep": np.repeat(b["rep"].to_numpy(np.int64), tables)})
 
     # the order within an anchor is another one in each table
-    order = F.col("rep").bitwiseXOR(F.shiftrightunsigned(F.xxhash64(F.shiftright("key", TABLE_SHIFT)), 1))
-    rows = classes.mapInPandas(keyed, "key long, rep long").select("key", order.alias("v"))
-    ends = written(rows.groupBy("key").agg(F.min("v").alias("low"), F.max("v").alias("high")).where("low <> high"), "similar-ends")
-    both = rows.join(ends, "key").select("key", "v", F.explode(F.array("low", "high")).alias("p")).where("v <> p")
     mask = F.shiftrightunsigned(F.xxhash64(F.shiftright("key", TABLE_SHIFT)), 1)
-    pairs = both.select(F.col("v").bitwiseXOR(mask).alias("x"), F.col("p").bitwiseXOR(mask).alias("y"))
+    rows = classes.mapInPandas(keyed, "key long, rep long").select("key", F.col("rep").bitwiseXOR(mask).alias("v"))
+    ends = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).where("low <> high")
+    at = written(rows.join(ends, "key").select("key", F.col("v").bitwiseXOR(mask).alias("rep"), "n", F.col("low").bitwiseXOR(mask).alias("low"), F.col("high").bitwiseXOR(mask).alias("high")), "similar-at")
+    few = at.where(F.col("n") <= FEW).groupBy("key").agg(F.collect_list("rep").alias("all"))
+    few = few.select("all", F.explode("all").alias("x")).select("x", F.explode("all").alias("y"))
+    pairs = few.union(at.where(F.col("n") > FEW).select(F.col("rep").alias("x"), F.explode(F.array("low", "high")).alias("y"))).where("x <> y")
     pairs = pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
     side = lambda n: classes.select(F.col("rep").alias(n), *[F.col(c).alias(f"{n}{c}") for c in LANES])
     pairs = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -261,5 +360,8 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
             yield b.loc[keep, ["a", "b"]]
 
     roots = written(components(met.select("a", "b", "at", "bt").mapInPandas(checked, "a long, b long"), "similar"), "similar-roots")
+    more = _crowd_links(at.where(F.col("n") > FEW).select("key", "rep"), classes, roots, texts, words, similarity, apart)
+    if more is not None:
+        roots = written(components(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), "similar-all"), "similar-all-roots")
     named = written(classes.join(roots, classes.rep == roots.node, "left").select(*LANES, F.coalesce("root", "rep").alias("component_id")), "similar-named")
     return prints.join(named, LANES).select("doc_id", "component_id")

@@ -350,6 +350,24 @@ def test_similar_documents_by_exact_shingles(spark):
     assert simhash.similar_documents(d.limit(0)).count() == 0
 
 
+def test_similar_documents_in_a_crowd_of_one_template(spark):
+    """Pages of a template are unlike each other at 0.7 to 0.79, with true pairs among them: no crowd may hide those."""
+    rng = np.random.default_rng(22)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    template = [word() for _ in range(180)]
+    pages = [template + [word() for _ in range(28)] for _ in range(420)]
+    pages += [p[:-6] + [word() for _ in range(6)] for p in pages[:40]]
+    sets = [set(simhash.shingle_hashes(" ".join(p), 5).tolist()) for p in pages]
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    true = [(a, b) for a in range(len(sets)) for b in range(a) if like(a, b) >= 0.8]
+    assert len(true) == 40 and 0.7 < like(100, 200) < 0.8
+    d = spark.createDataFrame([(k, " ".join(p)) for k, p in enumerate(pages)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(d).collect()}
+    assert sum(got[a] == got[b] for a, b in true) >= 39
+    assert all(got[k] == min([k] + [b for a, b in true if a == k]) or k < 420 for k in got)
+    assert len(set(got.values())) >= len(pages) - 40  # nothing unlike is merged
+
+
 # 8
 
 
