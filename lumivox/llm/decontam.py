@@ -85,8 +85,8 @@ class Index:
         self.parts = [question_answer(t) for _, t in items]
         self.longest = max([1, *(len(q) + len(a) for q, a in self.parts)])
         self.scale, postings = [], defaultdict(list)
-        for k, (_, text) in enumerate(items):
-            w = words(text)
+        for k, (question, answer) in enumerate(self.parts):
+            w = question + answer  # an answer label is in neither, a passage may leave it out
             weight = {t: math.log(1 + (n_items - df[t] + 0.5) / (df[t] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(w) / mean_words)) for t, c in Counter(w).items()}
             least = self._least(k, weight)
             self.scale.append(least)

@@ -195,6 +195,15 @@ def test_decontamination_finds_every_verified_overlap(spark):
     assert decontam.find(d, bench.limit(0)).count() == 0 and decontam.find(d.limit(0), bench).count() == 0
 
 
+def test_decontamination_without_the_answer_label(spark):
+    its = [(1, "What is the capital of France?\nAnswer: Paris"), (2, "Name the longest of the rivers here\nA: the blue one")]
+    filler = " ".join(f"filler{k}" for k in range(40))
+    rows = [(1, f"{filler} What is the capital of France? Paris {filler}"), (2, f"{filler} name the longest of the rivers here: the blue one {filler}"), (3, f"{filler} What is the capital of France? {filler}")]
+    rows += [(k + 10, f"{filler} {t} {filler}") for k, t in its]
+    d, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(its, "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontam.find(d, bench).collect()) == [(1, 1), (2, 2), (11, 1), (12, 2)]
+
+
 def test_block_max_search_equals_full_scores(spark):
     index = decontam.indexes(spark.createDataFrame(items(spark), "item_id long, text string"), 0.8, 5, 1000)[0]
     rng = np.random.default_rng(4)
