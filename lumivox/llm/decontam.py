@@ -11,6 +11,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -49,6 +50,37 @@ def overlap(part: list[str], passage: set[tuple[str, ...]], passage_words: list[
     return float(k > 0 and any(passage_words[i : i + k] == part for i in range(len(passage_words) - k + 1)))
 
 
+def passage_words(n_words: int) -> int:
+    """Words of the passages in which an item of so many words is looked for: room for as many others, 64 at least."""
+    return max(64, 2 * n_words)
+
+
+def best_run(parts: list[list[str]], w: list[str], length: int, share: float, n: int) -> tuple[int, float, float | None] | None:
+    """Of all runs of `length` words of w that hold enough of each part, the one that holds most: its first word and the overlaps.
+
+    Runs that begin at a shingle of a part are enough, as any other holds no more than the next of them.
+    """
+    events, size = [], []  # (first word, word after the last, part, shingle)
+    for p, part in enumerate(parts):
+        k = min(n, len(part))
+        own = {tuple(part[i : i + k]) for i in range(len(part) - k + 1)}
+        size.append(len(own))
+        events += [(i, i + k, p, t) for i in range(len(w) - k + 1) if (t := tuple(w[i : i + k])) in own]
+    held: list[Counter] = [Counter() for _ in parts]
+    ends, e, best = sorted(events, key=lambda x: x[1]), 0, None
+    for start, _, p, t in sorted(events, key=lambda x: x[0]):
+        while e < len(ends) and ends[e][1] <= start + length:
+            held[ends[e][2]][ends[e][3]] += 1
+            e += 1
+        of = [len(h) / m for h, m in zip(held, size)]
+        if all(x >= share for x in of) and (best is None or sum(of) > sum(best[1:])):
+            best = (start, *of)
+        held[p][t] -= 1
+        if not held[p][t]:
+            del held[p][t]
+    return best and (best[0], best[1], best[2] if len(best) > 2 else None)
+
+
 def shingle_counts(w: list[str], n: int) -> list[int]:
     """How often each distinct shingle stands in w, most frequent first."""
     return sorted(Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1)).values(), reverse=True)
@@ -83,13 +115,15 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], df: dict[str, int], n_items: int, mean_words: float, share: float, n: int, block: int = 32):
         self.ids, self.n, self.share = [i for i, _ in items], n, share
         self.parts = [question_answer(t) for _, t in items]
-        self.longest = max([1, *(len(q) + len(a) for q, a in self.parts)])
-        self.scale, postings = [], defaultdict(list)
+        self.length = [passage_words(len(q) + len(a)) for q, a in self.parts]
+        self.longest = max([1, *self.length])
+        self.scale, self.weight, postings = [], [], defaultdict(list)
         for k, (question, answer) in enumerate(self.parts):
             w = question + answer  # an answer label is in neither, a passage may leave it out
             weight = {t: math.log(1 + (n_items - df[t] + 0.5) / (df[t] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(w) / mean_words)) for t, c in Counter(w).items()}
             least = self._least(k, weight)
             self.scale.append(least)
+            self.weight.append(weight)
             for t, x in weight.items():
                 postings[t].append((k, x / least))
         self.term = {t: i for i, t in enumerate(postings)}
@@ -201,32 +235,33 @@ class Index:
             out[int(owner[p])].append(int(p - first[owner[p]]))
         return out
 
-    def contaminated(self, texts: list[str | None]) -> list[tuple[int, int, int, float, float, float]]:
+    def contaminated(self, split: list[list[str]]) -> list[tuple[int, int, int, float, float, float]]:
         """(text, item, passage's first word, BM25, overlap of question and of answer): the best passage for each item found.
 
-        Passages have twice the longest item's words, and start each that many words; so each run of that many words is in one.
+        The search reads twice the longest passage's words from each multiple of that passage on; so each passage, wherever it
+        begins, is in one of those. Items found there are checked on passages of their own length.
         """
-        split, step, out = [words(t) for t in texts], max(self.longest, 32), []
+        step, out = self.longest, []
         for k, found in self.passages(split, step).items():
             best: dict[int, tuple] = {}
             for a in (p * step for p in found):
-                passage = split[k][a : a + 2 * step]
-                hits = self.search(sorted({self.term[x] for x in passage if x in self.term}))
-                held = shingles(passage, self.n) if hits else set()
-                for item, score in hits:
-                    q, r = self.parts[item]
-                    of_q = overlap(q, held, passage, self.n)
-                    of_r = overlap(r, held, passage, self.n) if r else None
-                    if of_q >= self.share and (of_r is None or of_r >= self.share):
-                        row = (k, item, a, score * self.scale[item], of_q, of_r)
-                        if item not in best or (-row[3], row[2]) < (-best[item][3], best[item][2]):
+                part = split[k][a : a + 2 * step]
+                for item, _ in self.search(sorted({self.term[x] for x in part if x in self.term})):
+                    run = best_run([p for p in self.parts[item] if p], part, self.length[item], self.share, self.n)
+                    if run:
+                        score = sum(self.weight[item].get(t, 0.0) for t in set(part[run[0] : run[0] + self.length[item]]))
+                        row = (k, item, a + run[0], score, run[1], run[2])
+                        if item not in best or (-row[4] - (row[5] or 0), row[2]) < (-best[item][4] - (best[item][5] or 0), best[item][2]):
                             best[item] = row
             out += best.values()
         return out
 
 
 def indexes(items: DataFrame, share: float, n: int, per_block: int) -> list[Index]:
-    """Indexes of at most per_block items each, with counts over all items; what is sent to tasks at once is so bounded."""
+    """Indexes of blocks of some per_block items, with counts over all items; what is sent to tasks at once is so bounded.
+
+    A block has an index for each range of passage lengths, 64 words and then doubling: long items don't blur the search for short ones.
+    """
     spark = items.sparkSession
     rows = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     own = rows.withColumn("w", F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{M}\p{N}_]+)"), F.lit(1))).where(F.size("w") > 0)
@@ -240,17 +275,23 @@ def indexes(items: DataFrame, share: float, n: int, per_block: int) -> list[Inde
         vocabulary = spark.createDataFrame([(t,) for t in sorted({t for _, x in part for t in words(x)})], "t string")
         counts = own.select(F.explode(F.array_distinct("w")).alias("t")).groupBy("t").count()
         df = defaultdict(lambda: 1) | {r.t: r["count"] for r in counts.join(vocabulary, "t", "left_semi").toLocalIterator()}
-        if part:
-            out.append(Index(part, df, n_items, mean, share, n))
+        ranges = defaultdict(list)
+        for i, t in part:
+            ranges[(passage_words(sum(map(len, question_answer(t)))) - 1).bit_length()].append((i, t))
+        for _, some in sorted(ranges.items()):
+            out.append(Index(some, df, n_items, mean, share, n))
+            out[-1].of_block = k
     return out
 
 
 def find(docs: DataFrame, items: DataFrame, share: float = 0.8, shingle: int = 5, per_block: int = 20_000) -> DataFrame:
     """Documents that hold a test item: doc_id, item_id, passage, bm25, question_overlap, answer_overlap.
 
-    One row per document and item: of its passages with at least `share` of the
-    question's and, where the item has one, of the answer's distinct shingles,
-    the one with the best score. answer_overlap is null for items without an
+    One row per document and item: of its passages, which are all runs of twice
+    the item's words (64 at least), with at least `share` of the question's and,
+    where the item has one, of the answer's distinct shingles, the first that
+    has most of both. What is found doesn't depend on other items or on where
+    in the document a passage stands. answer_overlap is null for items without an
     answer of their own. Items with a null id or without a word are left out;
     null or empty texts hold nothing; rows with a null doc_id give rows with a
     null one, repeated rows give repeated rows, other columns are ignored.
@@ -260,14 +301,14 @@ def find(docs: DataFrame, items: DataFrame, share: float = 0.8, shingle: int = 5
     small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
-    for index in indexes(items, share, shingle, per_block):
-        shared = spark.sparkContext.broadcast(index)
+    for _, block in groupby(indexes(items, share, shingle, per_block), lambda x: x.of_block):
+        shared = spark.sparkContext.broadcast(list(block))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             names = [x.split()[0] for x in FOUND.split(", ")]
             for b in batches:
-                ids = b["doc_id"].tolist()
-                rows = [(ids[k], shared.value.ids[i], *rest) for k, i, *rest in shared.value.contaminated(b["text"].tolist())]
+                ids, split = b["doc_id"].tolist(), [words(t) for t in b["text"].tolist()]
+                rows = [(ids[k], index.ids[i], *rest) for index in shared.value for k, i, *rest in index.contaminated(split)]
                 if rows:
                     yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64", "answer_overlap": "float64"})
 

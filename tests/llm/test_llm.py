@@ -204,6 +204,19 @@ def test_decontamination_without_the_answer_label(spark):
     assert sorted((r.doc_id, r.item_id) for r in decontam.find(d, bench).collect()) == [(1, 1), (2, 2), (11, 1), (12, 2)]
 
 
+def test_decontamination_wherever_a_passage_stands(spark):
+    """Copies with inserted words, or with text between question and answer, at every offset, and whatever other items there are."""
+    rng = np.random.default_rng(12)
+    long = [f"long{k}" for k in range(51)]
+    its = [(1, " ".join(long)), (2, "Which of these towns lies on the coast? it is the town of grey towers")] + [(k, " ".join(f"o{k}w{i}" for i in range(9 * k))) for k in (3, 9)]
+    copies = [" ".join(long[:17] + ["and"] * 14 + long[17:34] + ["so"] * 14 + long[34:]), its[1][1].replace("? ", "? " + "between " * 40)]
+    rows = [(100 * k + at, " ".join(f"f{rng.integers(0, 999)}" for _ in range(7 * at)) + " " + c + " tail" * 90) for k, c in enumerate(copies, 1) for at in range(20)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for bench, per_block in ((its, 20_000), (its[:2], 20_000), (its, 1)):
+        got = sorted((r.doc_id, r.item_id) for r in decontam.find(d, spark.createDataFrame(bench, "item_id long, text string"), per_block=per_block).collect())
+        assert got == [(k, k // 100) for k, _ in rows], len(got)
+
+
 def test_block_max_search_equals_full_scores(spark):
     index = decontam.indexes(spark.createDataFrame(items(spark), "item_id long, text string"), 0.8, 5, 1000)[0]
     rng = np.random.default_rng(4)
