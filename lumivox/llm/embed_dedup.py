@@ -3,8 +3,9 @@
 Vectors are scaled to length one and split in halves; each half has a codebook
 of its own, and the pairs of codes form a grid of cells. Every distinct vector
 is indexed in its cell and searches the cells in order of the sum of its two
-half distances, as many as the calibration on a sample found for the target
-recall. Cells are dealt into blocks of bounded size and compared as matrices in
+half distances, as many as the calibration found for the target recall: the
+ranks at which a bounded set of queries has its true neighbours among all rows.
+Cells are dealt into blocks of bounded size and compared as matrices in
 double precision; tasks return counts and a spanning forest, never all pairs.
 """
 
@@ -66,23 +67,63 @@ def _codebook(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> n
     return centres
 
 
-def fit(sample: np.ndarray, threshold: float, o: Options = Options()) -> MultiIndex:
-    """Codebooks of a sample of unit vectors, and the visits that find the target share of its linked pairs, with some to spare."""
+def fit(sample: np.ndarray, o: Options = Options()) -> MultiIndex:
+    """Codebooks of a sample of unit vectors; all cells are visited until visits are set."""
     rng = np.random.default_rng(o.seed)
     half = sample.shape[1] // 2
     books = tuple(_codebook(p, min(o.codes, len(p)), o.rounds, rng) for p in (sample[:, :half], sample[:, half:]))
-    index = MultiIndex(books, 1)
-    own = np.argmin(index.distances(sample), axis=1)
-    ranks = []
-    for first in range(0, min(o.queries, len(sample)), 100):
-        q = sample[first : min(first + 100, o.queries)]
-        d = index.distances(q)
-        i, j = np.nonzero(q @ sample.T >= threshold)
-        i, j = i[j != i + first], j[j != i + first]
-        ranks.append((d[i] < d[i, own[j]][:, None]).sum(1) + 1)
-    ranks = np.concatenate(ranks)
-    index.visits = min(d.shape[1], (int(np.quantile(ranks, o.recall, method="higher")) if len(ranks) else 1) + o.spare)
-    return index
+    return MultiIndex(books, len(books[0]) * len(books[1]))
+
+
+def neighbour_ranks(each: DataFrame, shared, queries, threshold: float) -> list:
+    """(query, rank, n): in which place each query visits the cells of its neighbours among all rows, itself left out.
+
+    shared and queries: broadcasts of the index, and of the queries' classes and unit vectors.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index, (names, q) = shared.value, queries.value
+        names = np.array(names)
+        place = np.argsort(np.argsort(index.distances(q), axis=1, kind="stable"), axis=1, kind="stable") + 1
+        n = np.zeros((len(q), place.shape[1] + 1), np.int64)
+        for b in batches:
+            x, _ = _unit(b["embedding"])
+            own = np.argmin(index.distances(x), axis=1)
+            i, j = np.nonzero(q @ x.T >= threshold)
+            other = names[i] != b["class"].to_numpy()[j]
+            np.add.at(n, (i[other], place[i[other], own[j[other]]]), 1)
+        i, rank = np.nonzero(n)
+        yield pd.DataFrame({"query": i.astype(np.int32), "rank": rank.astype(np.int32), "n": n[i, rank]})
+
+    found = each.select("class", "embedding").mapInPandas(run, "query int, rank int, n long")
+    return found.groupBy("query", "rank").agg(F.sum("n").alias("n")).collect()
+
+
+def visits_for(ranks: list, q: np.ndarray, cells: int, threshold: float, o: Options = Options()) -> int:
+    """Cells to visit for the target recall of the groups that the queries stand for; all where no query has a neighbour.
+
+    A query needs the rank that has the target share of its neighbours at or
+    before it; queries linked with each other count once, by the one that
+    needs most, so that a large group doesn't hide the others.
+    """
+    of: dict[int, list] = {}
+    for i, rank, n in ranks:
+        of.setdefault(i, []).append((rank, n))
+    need = {}
+    for i, found in of.items():
+        rank, n = np.array(sorted(found)).T
+        need[i] = int(rank[np.searchsorted(np.cumsum(n), o.recall * n.sum() - 1e-9)])
+    if not need:
+        return cells
+    group = np.arange(len(q))
+    a, b = np.nonzero(np.triu(q @ q.T >= threshold, 1))
+    if len(a):
+        far, root = _spanning(a, b)
+        group[far] = root
+    most: dict[int, int] = {}
+    for i, rank in need.items():
+        most[group[i]] = max(most.get(group[i], 0), rank)
+    return min(cells, int(np.quantile(list(most.values()), o.recall, method="higher")) + o.spare)
 
 
 def _unit(batch: pd.Series) -> tuple[np.ndarray, np.ndarray]:
@@ -159,9 +200,13 @@ def link(vectors: DataFrame, threshold: float = 0.9, o: Options = Options()) ->
 def _found(each: DataFrame, threshold: float, o: Options) -> DataFrame:
     """(a, b, n) of the classes: rows with n give links to add to a's count, the others edges."""
     spark = each.sparkSession
-    sample = each.orderBy(F.xxhash64("class"), "class").limit(o.sample).select("embedding").toArrow().column("embedding").to_pylist()
-    shared = spark.sparkContext.broadcast(fit(_unit(pd.Series(sample))[0], threshold, o))
-    del sample
+    sample = each.orderBy(F.xxhash64("class"), "class").limit(o.sample + o.queries).select("class", "embedding").toArrow()
+    x, names = _unit(pd.Series(sample.column("embedding").to_pylist()))[0], sample.column("class").to_pylist()
+    index, q = fit(x[: o.sample], o), x[-o.queries :]  # the queries are others than the codebooks come from, where there are enough
+    queries = spark.sparkContext.broadcast((names[-o.queries :], q))
+    ranks = neighbour_ranks(each, spark.sparkContext.broadcast(index), queries, threshold)
+    shared = spark.sparkContext.broadcast(MultiIndex(index.books, visits_for(ranks, q, index.visits, threshold, o)))
+    del sample, x, names
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -419,6 +419,22 @@ def test_embedding_links_and_recall(spark, block):
     assert embed_dedup.link(df.limit(0)).count() == 0
 
 
+def test_visits_are_measured_against_all_rows_and_by_group(spark):
+    """Links that cross cells, in pairs of which a sample holds hardly any; a hot group in one cell beside other groups."""
+    rng = np.random.default_rng(31)
+    base = rng.normal(size=(600, 32))
+    x = np.vstack([base, base + 0.42 * rng.normal(size=(600, 32))])
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    want = int((u @ u.T >= 0.9).sum()) - len(u)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = sum(r.n_links for r in embed_dedup.link(df, 0.9, embed_dedup.Options(sample=40, queries=200)).collect())
+    assert want > 500 and 0.95 * want <= got <= want, (got, want)
+    q = np.vstack([np.tile(u[:1], (300, 1)), u[1:21]])
+    ranks = [(k, 1, 300) for k in range(300)] + [(k, 7, 1) for k in range(300, 320)]
+    assert embed_dedup.visits_for(ranks, q, 256, 0.9, embed_dedup.Options(spare=0)) == 7
+    assert embed_dedup.visits_for([], q, 256, 0.9) == 256
+
+
 # 9
 
 
