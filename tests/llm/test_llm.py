@@ -276,17 +276,53 @@ def test_suffix_tree_learns_contexts_and_sums_to_one(spark):
 # 6
 
 
-def test_license_lines_and_near_wordings(spark):
-    rows = [(1, "some prose here\nLicensed under the Apache License, Version 2.0.\nmore", "x"), (2, "released under the  MIT licence.", "x"), (3, "Released under the MIT License.", "x"), (4, None, "x"), (5, "", "x"), (None, license_scan.TEMPLATES[5][1] + " and a few more", "x"), (6, "licensed under something else entirely, not at all", "x")]
-    d = spark.createDataFrame(rows, "doc_id long, text string, license string")
-    got = {(r.doc_id, r.line, r.license) for r in license_scan.scan(d).collect()}
-    assert got == {(1, 1, "Apache-2.0"), (3, 0, "MIT"), (None, 0, "MIT")}
+def wrapped(x, width):
+    out = [""]
+    for w in x.split():
+        if len(out[-1]) + len(w) >= width:
+            out.append("")
+        out[-1] += f" {w}" if out[-1] else w
+    return "\n".join(out)
+
+
+def test_license_notices_in_any_place(spark):
+    code = "\n".join(f"def f{k}(x{k}): return x{k} + {k}" for k in range(60))
+    mit = license_scan.MIT
+    rows = [(1, "some prose here\nLicensed under the Apache License, Version 2.0.\nmore"), (2, "released under the  MIT licence."), (3, "Released under the MIT License."), (4, None), (5, ""), (6, "licensed under something else entirely, not at all")]
+    rows += [(7, f"Copyright (c) 2020 Someone\n\n{wrapped(mit, 79)}\n\n{code}"), (8, "Licensed under the MIT License. See LICENSE for details."), (9, f"{code}\n# This work is licensed under a Creative Commons\n# Attribution 4.0 International License.\n{code}")]
+    rows += [(10, "Released under the MIT License.\n" * 3), (10, "Released under the MIT License.\n" * 3), (None, "x\n" + license_scan.TEMPLATES[5][1] + " and a few more"), (11, "word " * 30_000 + "\nReleased under the MIT License.\n" + "of the " * 30_000)]
+    d = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, license string, row int")
+    got = sorted(((r.doc_id, r.first_line, r.last_line, r.license) for r in license_scan.scan(d).collect()), key=lambda r: (key(r[0]), r))
+    lines = wrapped(mit, 79).count("\n") + 1
+    want = [(1, 1, 1, "Apache-2.0"), (3, 0, 0, "MIT"), (7, 2, 1 + lines, "MIT"), (8, 0, 0, "MIT"), (9, 60, 61, "CC-BY-4.0")]
+    want += [(10, k, k, "MIT") for k in (0, 0, 1, 1, 2, 2)] + [(11, 1, 1, "MIT"), (None, 1, 1, "MIT")]
+    assert got == want
     assert license_scan.scan(d.limit(0)).count() == 0
     for n in range(1, 200):  # the bounds admit exactly the sizes that can reach the threshold
         low, high = license_scan.size_bounds(n, 0.8)
         assert [m for m in range(1, 400) if 2 * min(n, m) / (n + m) >= 0.8 - 1e-12] == list(range(low, high + 1))
 
 
+def test_license_scan_equals_its_sql_on_mangled_texts(spark, tmp_path):
+    import duckdb
+
+    rng = np.random.default_rng(14)
+    rows = []
+    for k in range(120):
+        parts = []
+        for _ in range(int(rng.integers(1, 4))):
+            w = license_scan.TEMPLATES[int(rng.integers(len(license_scan.TEMPLATES)))][1].split()
+            keep = rng.random(len(w)) > rng.choice([0, 0.03, 0.1])
+            parts += [wrapped(" ".join(x for x, y in zip(w, keep) if y), int(rng.integers(30, 200))), *[text(rng, 12)] * int(rng.integers(0, 2))]
+        rows.append((k, str(rng.choice(["\n", " ", "\n\n", ". "])).join(parts)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    d.write.parquet(str(tmp_path / "d"))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/d/*.parquet')")
+    want = sorted(c.execute(license_scan.scan_sql()).fetchall())
+    assert sorted(map(tuple, license_scan.scan(d).collect())) == want and len(want) > 100
+
+
 # 7
 
 
