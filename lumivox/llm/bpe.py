@@ -3,9 +3,10 @@
 A merge only ever builds a vocabulary token. If two neighbouring bytes stand
 together inside no token, no merge can span them: that place is a certain cut,
 the fragments on its two sides merge independently, and their ids concatenate.
-The pre-tokenizer's own pieces are cut this way, so a piece of any length is
-merged as short fragments, and the text itself is first cut at such places
-before spaces.
+A text's bytes are cut at all such places first, but for a few at which the
+pre-tokenizer would split one of the sides in another way (see `_cuts`), and
+the ids of each distinct fragment are kept. A fragment's pieces are cut again
+at every such pair before they are merged.
 """
 
 from __future__ import annotations
@@ -28,8 +29,11 @@ from lumivox.llm.common import small_batches
 
 #: Fixed value: the pattern of the byte-level pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-SPACE_AFTER_SPACE, CERTAIN_CUT = re.compile(r"^ |\s "), re.compile(r"(?<=\S)(?= )")
-CACHED_PIECES, CACHED_LENGTH, CACHED_PAIRS = 300_000, 32, 1_000_000
+#: White space of more than one byte in UTF-8, as the pattern's \\s has it.
+WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+SEPARATOR, APOSTROPHE = 0xFF, ord("'")  # the former is in no UTF-8
+SPACE = np.isin(np.arange(256), [*range(9, 14), 32])
+CACHED_FRAGMENTS, CACHED_LENGTH, CACHED_PAIRS = 400_000, 32, 1_000_000
 
 
 def _byte_chars() -> dict[str, int]:
@@ -40,21 +44,21 @@ def _byte_chars() -> dict[str, int]:
 
 
 class Cache(dict):
-    """Ids by text, bounded: when full it takes no more until four times as many texts have missed, then starts anew.
+    """Ids by fragment, bounded: when full it takes no more until four times as many fragments have missed, then starts anew.
 
-    Texts of more than CACHED_LENGTH are not kept.
+    Fragments of more than CACHED_LENGTH bytes are not kept.
     """
 
-    def __init__(self, of: Callable[[str], Iterable[int]]):
+    def __init__(self, of: Callable[[bytes], Iterable[int]]):
         super().__init__()
         self.of, self.missed = of, 0
 
-    def __missing__(self, text: str) -> tuple[int, ...]:
-        ids = tuple(self.of(text))
-        if len(self) < CACHED_PIECES:
-            if len(text) <= CACHED_LENGTH:
-                self[text] = ids
-        elif (missed := self.missed + 1) <= 4 * CACHED_PIECES:
+    def __missing__(self, fragment: bytes) -> tuple[int, ...]:
+        ids = tuple(self.of(fragment))
+        if len(self) < CACHED_FRAGMENTS:
+            if len(fragment) <= CACHED_LENGTH:
+                self[fragment] = ids
+        elif (missed := self.missed + 1) <= 4 * CACHED_FRAGMENTS:
             self.missed = missed
         else:
             self.clear()
@@ -95,22 +99,44 @@ class Codec:
             if i not in self.special.values():
                 for a, b in zip(t, t[1:]):
                     self.joined[a << 8 | b] = 1
-        self.cuts_at_space = not any(re.search(r"\S ", t.decode("utf-8", "replace")) for t in self.bytes.values())
         self.split = regex.compile(PATTERN).findall
         self.splitter = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.token = {t: i for i, t in self.bytes.items() if i not in self.special.values()}
+        self.longest = max(map(len, self.token))
+        # by pair of bytes: whether it is a certain cut; a cut inside a character is left to the second cutting, and so is one next to an apostrophe
+        first, second = np.divmod(np.arange(1 << 16), 256)
+        self.cut = (np.frombuffer(self.joined, np.uint8) == 0) & (second & 0xC0 != 0x80) & (first != ord("'")) & (second != ord("'"))
         self.neighbours = Neighbours(self)
-        self.pieces = Cache(self._piece)
-        self.words = Cache(lambda word: self._piece(word) if word.isalpha() else chain.from_iterable(map(self.pieces.__getitem__, self.split(word))))
-        self.spaced = Cache(lambda word: self._piece(" " + word) if word.isalpha() else chain.from_iterable(map(self.pieces.__getitem__, self.split(" " + word))))
+        self.known = Cache(self._fragment)
 
     @property
     def size(self) -> int:
         return max(self.bytes) + 1
 
-    def _piece(self, piece: str) -> Iterable[int]:
-        raw = piece.encode()
-        return self.encode_fragment(raw) if len(raw) <= 24 else chain.from_iterable(map(self.encode_fragment, self.fragments(raw)))
+    def _cuts(self, raw: bytes) -> list[bytes]:
+        """The text's bytes cut at certain cuts, but where that would change how the pre-tokenizer splits a side.
+
+        It reads a side alone as it does in the text unless the cut stands in or before a contraction, which begin with an
+        apostrophe, or between white space of two characters or more and something else, as the last of those belongs to
+        what follows.
+        """
+        b = np.frombuffer(raw, np.uint8)
+        at = np.flatnonzero(self.cut[b[:-1].astype(np.uint16) << 8 | b[1:]]) + 1
+        before, last, after = b[np.maximum(at - 2, 0)], b[at - 1], b[at]
+        if WIDE_SPACE.search(raw):
+            mask = SPACE[b]
+            for m in WIDE_SPACE.finditer(raw):
+                mask[m.start() : m.end()] = True
+            run = mask[np.maximum(at - 2, 0)] & mask[at - 1] & ~mask[at]
+        else:
+            run = SPACE[before] & SPACE[last] & ~SPACE[after]
+        at = at[~((run | (before == APOSTROPHE)) & (at > 1))]
+        return np.insert(b, at, SEPARATOR).tobytes().split(b"\xff") if len(at) else [raw]
+
+    def _fragment(self, fragment: bytes) -> Iterable[int]:
+        """Ids of a fragment of the text: its pieces by the pre-tokenizer, cut at every certain cut."""
+        pieces = map(str.encode, self.split(fragment.decode()))
+        return chain.from_iterable(map(self.encode_fragment, chain.from_iterable(map(self.fragments, pieces))))
 
     def fragments(self, piece: bytes) -> list[bytes]:
         """The piece cut at every pair of bytes that no token holds."""
@@ -128,11 +154,9 @@ class Codec:
         Longest token first, going back where no token fits after the last one;
         merging by rank gives that row, and no other has the property.
         """
-        n, known, joins = len(fragment), self.token.get, self.neighbours
-        if n > 24:
-            return self.merge(fragment)
+        n, known, joins, longest = len(fragment), self.token.get, self.neighbours, self.longest
         out: list[int] = []
-        ends, dead, at, end = [], set(), 0, n
+        ends, dead, at, end = [], set(), 0, min(n, longest)
         while at < n:
             while end > at:
                 t = known(fragment[at:end])
@@ -141,7 +165,7 @@ class Codec:
                 end -= 1
             if end > at:
                 out.append(t), ends.append(end)
-                at, end = end, n
+                at, end = end, min(n, end + longest)
             else:
                 dead.add(at)
                 out.pop(), ends.pop()
@@ -169,20 +193,8 @@ class Codec:
         return [i for i in ids if i >= 0]
 
     def _plain(self, text: str) -> Iterator[int]:
-        """Ids of a text without special tokens.
-
-        If no token holds a space after other than white space, as no piece of
-        the pre-tokenizer does, the text itself is cut there, into words that are
-        looked up whole.
-        """
-        if not self.cuts_at_space:
-            return chain.from_iterable(map(self.pieces.__getitem__, self.split(text)))
-        if SPACE_AFTER_SPACE.search(text) is None:
-            first, _, rest = text.partition(" ")
-            if not _:
-                return iter(self.words[first])
-            return chain(self.words[first] if first else (), chain.from_iterable(map(self.spaced.__getitem__, rest.split(" "))))
-        return chain.from_iterable(map(self.words.__getitem__, CERTAIN_CUT.split(text)))
+        """Ids of a text without special tokens."""
+        return chain.from_iterable(map(self.known.__getitem__, self._cuts(text.encode()))) if text else iter(())
 
     def encode(self, text: str) -> np.ndarray:
         if self.splitter and any(s in text for s in self.special):
