@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumivox.llm.bpe import PATTERN
-from lumivox.llm.common import filesystem, scratch, small_batches, written
+from lumivox.llm.common import conf, filesystem, scratch, small_batches, written
 
 MANIFEST = "doc_id long, segment int, first_token long, n_tokens int, shard string, pack string, row int, at int"
 
@@ -167,6 +167,9 @@ def pack(docs: DataFrame, path: str, out: str, length: int = 2048, group_tokens:
     return written(texts.mapInArrow(run, MANIFEST), "packing-manifest")
 
 
+SHARDS_PER_TASK = 8
+
+
 def unpack(manifest: DataFrame, digest: bool = False) -> DataFrame:
     """Reads the shards back: the manifest's rows that have a place, with `ids` from the matrix.
 
@@ -187,7 +190,9 @@ def unpack(manifest: DataFrame, digest: bool = False) -> DataFrame:
         return rows.assign(ids_sha256=[hashlib.sha256(x.tobytes()).hexdigest() for x in own]) if digest else rows.assign(ids=own)
 
     placed = manifest.where("shard is not null")
-    return placed.groupBy("shard").applyInPandas(run, f"{MANIFEST}, {'ids_sha256 string' if digest else 'ids array<int>'}")
+    shards = placed.agg(F.count_distinct("shard")).first()[0]
+    tasks = max(int(conf(manifest.sparkSession, "spark.sql.shuffle.partitions") or 1), -(-shards // SHARDS_PER_TASK))
+    return placed.repartition(tasks, "shard").groupBy("shard").applyInPandas(run, f"{MANIFEST}, {'ids_sha256 string' if digest else 'ids array<int>'}")
 
 
 def packed_digests(docs: DataFrame, path: str, length: int = 2048) -> DataFrame:

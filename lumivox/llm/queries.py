@@ -76,10 +76,10 @@ SELECT l.doc_id, coalesce(o.text, '') AS text, CAST(len(a) AS INTEGER) AS n_line
 
 #: Equal payloads of 1000 bytes or more refer to the largest page_id.
 OP1_SQL = """
-WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS d, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages WHERE page_id IS NOT NULL),
+WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS d, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages),
 q AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY d) ELSE page_id END AS f FROM p)
-SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN f = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN f <> page_id THEN f END AS refers_to FROM q
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN f IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN f IS DISTINCT FROM page_id THEN f END AS refers_to FROM q
 """
 
 

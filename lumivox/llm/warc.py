@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumivox.llm.common import filesystem, scratch, small_batches, written
+from lumivox.llm.common import conf, filesystem, scratch, small_batches, written
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Fixed value: the profile of a revisit record.
@@ -102,17 +102,28 @@ def read_member(f, m: Member) -> bytes:
     return raw if m.method == 0 else zlib.decompress(raw, -15)
 
 
-def build_record(page: int, url: str, payload: bytes, digest: str, refers_to: int | None, refers_url: str | None) -> bytes:
+NO_ID = "none"
+
+
+def record_id(page: int | None) -> str:
+    return f"<urn:page:{NO_ID if page is None else page}>"
+
+
+def page_of(uri: str) -> int | None:
+    return None if (page := uri.removeprefix("<urn:page:").rstrip(">")) == NO_ID else int(page)
+
+
+def build_record(page: int | None, url: str, payload: bytes, digest: str, refers_to: int | None, refers_url: str | None) -> bytes:
     """A WARC/1.1 record. A revisit keeps the HTTP header, whose Content-Length is the payload's, but not the payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if refers_to is None else b"")
     sha = base64.b32encode(bytes.fromhex(digest)).decode()
     head = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page}>", f"WARC-Target-URI: {url}",
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page)}", f"WARC-Target-URI: {url}",
         "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{sha}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
     if refers_to is not None:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Refers-To-Target-URI: {refers_url}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}", f"WARC-Refers-To-Target-URI: {refers_url}"]
     return ("\r\n".join(head) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
 
 
@@ -125,10 +136,9 @@ def parse_record(raw: bytes) -> dict:
     http, _, payload = block.partition(b"\r\n\r\n")
     length = int({k.lower(): v for k, _, v in (x.partition(": ") for x in http.decode().split("\r\n")[1:])}["content-length"])
     digest = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
-    page = lambda uri: int(uri.removeprefix("<urn:page:").rstrip(">"))
-    out = {"page_id": page(fields["warc-record-id"]), "url": fields["warc-target-uri"], "record_type": fields["warc-type"], "payload_bytes": length, "payload_digest": digest}
+    out = {"page_id": page_of(fields["warc-record-id"]), "url": fields["warc-target-uri"], "record_type": fields["warc-type"], "payload_bytes": length, "payload_digest": digest}
     if out["record_type"] == "revisit":
-        return out | {"refers_to": page(fields["warc-refers-to"]), "payload": None}
+        return out | {"refers_to": page_of(fields["warc-refers-to"]), "payload": None}
     if len(payload) != length or hashlib.sha1(payload).hexdigest() != digest:
         raise ValueError(f"page {out['page_id']}: the payload doesn't have its digest")
     return out | {"refers_to": None, "payload": payload}
@@ -143,7 +153,7 @@ class PackageWriter:
         self.zip = zipfile.ZipFile(self.stream, "w", zipfile.ZIP_STORED, allowZip64=True)
         self.member = self.zip.open(zipfile.ZipInfo(ARCHIVE), "w", force_zip64=True)
 
-    def add(self, page: int, url: str, record: bytes) -> None:
+    def add(self, page: int | None, url: str, record: bytes) -> None:
         packed = gzip.compress(record, 6, mtime=0)
         self.member.write(packed)
         self.index.append(json.dumps({"page": page, "url": url, "offset": self.at, "length": len(packed)}))
@@ -158,31 +168,34 @@ class PackageWriter:
         self.zip.close()
         self.stream.close()
 
+    def row(self) -> pd.DataFrame:
+        return pd.DataFrame({"package": [self.path], "records": [len(self.index)], "bytes": [self.at]})
+
 
 def with_roles(pages: DataFrame, least: int = 1000, salts: int = 16) -> DataFrame:
     """page_id, url, html, digest, size, refers_to, refers_url: which record of equal payloads carries them.
 
     Of rows with equal payloads of `least` bytes or more, that with the largest
-    page_id; refers_to is null for it and for all smaller payloads. Digests are
+    page_id (all that share it, all if none has one); refers_to is null for it and for all smaller payloads. Digests are
     counted before the join, only repeated ones are joined, and rows are salted, so
     a payload on a third of all rows goes to many tasks.
     """
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    p = p.where("page_id is not null").withColumns({"digest": F.sha1(F.encode("html", "UTF-8")), "size": F.octet_length("html").cast("long")})
+    p = p.withColumns({"digest": F.sha1(F.encode("html", "UTF-8")), "size": F.octet_length("html").cast("long")})
     seen = p.where(F.col("size") >= least).groupBy("digest").agg(F.max("page_id").alias("first"), F.max_by("url", "page_id").alias("first_url"), F.count(F.lit(1)).alias("n"))
     seen = seen.where("n > 1").drop("n").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    p = p.withColumn("salt", F.pmod(F.hash("page_id"), F.lit(salts))).join(seen, ["digest", "salt"], "left")
-    again = F.col("first").isNotNull() & (F.col("first") != F.col("page_id"))
+    p = p.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(seen, ["digest", "salt"], "left")
+    again = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
     return p.select("page_id", "url", "html", "digest", "size", F.when(again, F.col("first")).alias("refers_to"), F.when(again, F.col("first_url")).alias("refers_url"))
 
 
 def write_packages(pages: DataFrame, out: str, package_bytes: int = 1 << 27) -> DataFrame:
-    """Writes every page as a record into packages in the shared folder `out`; returns (package, records).
+    """Writes every page as a record into packages in the shared folder `out`; returns (package, records, bytes).
 
     A package is closed at package_bytes. The rows returned name packages of
     finished attempts only; what a lost attempt left is in no row. Null html is
-    an empty payload, null url an empty one; rows with a null page_id have no
-    record id and are left out; repeated rows give repeated records.
+    an empty payload, null url an empty one; a null page_id is written and read back as
+    none, its payload a revisit of a page that has an id; repeated rows give repeated records.
     """
     small_batches(pages.sparkSession)
     fs, root = filesystem(out)
@@ -196,17 +209,20 @@ def write_packages(pages: DataFrame, out: str, package_bytes: int = 1 << 27) ->
                 if package is None:
                     package = PackageWriter(f"{out}/pages-{context.partitionId():06d}-{context.taskAttemptId()}-{group:05d}.wacz")
                 url = " ".join(url.split())
-                refers = None if pd.isna(refers) else int(refers)
+                page, refers = (None if pd.isna(x) else int(x) for x in (page, refers))
                 package.add(page, url, build_record(page, url, html.encode(), digest, refers, " ".join((refers_url or "").split())))
                 if package.at >= package_bytes:
                     package.close()
-                    yield pd.DataFrame({"package": [package.path], "records": [len(package.index)]})
+                    yield package.row()
                     package, group = None, group + 1
         if package is not None:
             package.close()
-            yield pd.DataFrame({"package": [package.path], "records": [len(package.index)]})
+            yield package.row()
+
+    return written(with_roles(pages).mapInPandas(run, "package string, records long, bytes long"), "warc-packages")
+
 
-    return written(with_roles(pages).mapInPandas(run, "package string, records long"), "warc-packages")
+PER_TASK, CHUNK, TASK_BYTES = 4, 1 << 20, 1 << 26  # packages whose index a task reads; archive bytes that stay together, and of a task
 
 
 def index(packages: DataFrame) -> DataFrame:
@@ -224,9 +240,9 @@ def index(packages: DataFrame) -> DataFrame:
                     lines = [json.loads(x) for x in read_member(f, members[INDEX]).decode().split("\n") if x]
                 for k in range(0, len(lines), 10_000):
                     part = lines[k : k + 10_000]
-                    yield pd.DataFrame({"package": path, "page": [x["page"] for x in part], "offset": [start + x["offset"] for x in part], "length": [x["length"] for x in part]})
+                    yield pd.DataFrame({"package": path, "page": pd.array([x["page"] for x in part], dtype="Int64"), "offset": [start + x["offset"] for x in part], "length": [x["length"] for x in part]})
 
-    spread = packages.select("package").repartition("package")
+    spread = packages.select("package").repartition(max(1, -(-packages.count() // PER_TASK)), "package")
     return spread.mapInPandas(run, "package string, page long, offset long, length long")
 
 
@@ -252,11 +268,17 @@ def read_records(places: DataFrame, payload: bool = True) -> DataFrame:
     return places.mapInArrow(run, RECORD)
 
 
+def spread_places(places: DataFrame, packages: DataFrame) -> DataFrame:
+    """The places dealt into so many tasks that each has TASK_BYTES of archive, but no fewer than the session's shuffle partitions."""
+    size = packages.agg(F.sum("bytes")).first()[0] or 0
+    n = max(int(conf(places.sparkSession, "spark.sql.shuffle.partitions") or 1), -(-size // TASK_BYTES))
+    return places.repartition(n, "package", F.floor(F.col("offset") / CHUNK))
+
+
 def round_trip(pages: DataFrame) -> DataFrame:
     """Writes pages into packages and reads every record back; see write_packages for nulls and repeated rows."""
     packages = write_packages(pages, scratch(pages.sparkSession, "warc"))
-    places = index(packages).repartition("package", F.floor(F.col("offset") / (1 << 22)))
-    return read_records(places, payload=False).drop("payload")
+    return read_records(spread_places(index(packages), packages), payload=False).drop("payload")
 
 
 def open_packages(spark: SparkSession, paths: list[str]) -> DataFrame:
