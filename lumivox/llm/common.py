@@ -28,12 +28,14 @@ def conf(spark: SparkSession, key: str) -> str | None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir, which driver and executors share.
 
-    Only where that is unset, as in tests, a folder of our own is made and
-    handed to the context for checkpoint().
+    Only where that is unset and everything runs on one machine, as in tests, a
+    folder of our own is made and handed to the context for checkpoint().
     """
     named = conf(spark, "spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = tempfile.mkdtemp(prefix="lumivox-")
@@ -53,11 +55,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bounds the rows of an Arrow batch for operators on whole texts, so that long texts fit a worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf(spark, key) or 10_000) <= rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Bounds the bytes of an Arrow batch for operators on whole texts, so that long texts fit a worker; short rows stay many to a batch."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(conf(spark, key) or "")
+    if not (now.removesuffix("b").isdigit() and 0 < int(now.removesuffix("b")) <= most):
+        spark.conf.set(key, str(most))
 
 
 def held_out(doc_id, modulus: int, remainder: int):
