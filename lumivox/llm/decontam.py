@@ -8,9 +8,12 @@ threshold of 1 loses no passage that the overlap check would accept.
 from __future__ import annotations
 
 import math
+import pickle
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
@@ -18,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumivox.llm.common import small_batches
+from lumivox.llm.common import filesystem, scratch, small_batches, written
 
 WORD = re.compile(r"\w+")
 K1, B = 1.2, 0.75
@@ -129,32 +132,27 @@ class Index:
         self.term = {t: i for i, t in enumerate(postings)}
         self.post = [[k for k, _ in p] for p in postings.values()]
         self.impact = [[x for _, x in p] for p in postings.values()]
+        self.start = np.concatenate([[0], np.cumsum([len(p) for p in self.post])]).astype(np.int64)
         self.block = block
         self.block_max = [[max(x[i : i + block]) for i in range(0, len(x), block)] for x in self.impact]
         self.upper = [max(x) for x in self.impact]
         self._pivots()
 
     def _pivots(self, common: float = 0.5) -> None:
-        """Sets each item's most widespread terms aside while their impacts come to `common` or less; the rest can be its pivots.
+        """Marks the postings that can be an item's pivot; the most widespread terms can't, while their impacts come to `common` or less.
 
-        Only a passage whose pivot terms reach 1 less those impacts can reach 1.
+        Only a passage whose marked postings of an item reach 1 less those impacts can reach 1, so WAND need go no further for others.
         """
-        of_item = defaultdict(list)
-        for t, (post, impact) in enumerate(zip(self.post, self.impact)):
-            for k, x in zip(post, impact):
-                of_item[k].append((-len(post), x, t))
-        self.need, pivots = np.ones(len(self.ids)), defaultdict(list)
-        for k, terms in of_item.items():
-            for _, x, t in sorted(terms):
-                if not pivots[k, "done"] and 1 - self.need[k] + x <= common:
-                    self.need[k] -= x
-                else:
-                    pivots[k, "done"] = [True]
-                    pivots[t].append((k, x))
-        lists = [pivots[t] for t in range(len(self.post))]
-        self.pivot_start = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-        self.pivot_item = np.array([k for x in lists for k, _ in x], dtype=np.int64)
-        self.pivot_impact = np.array([x for y in lists for _, x in y])
+        item = np.concatenate([np.array(p, dtype=np.int64) for p in self.post])
+        impact = np.concatenate([np.array(x) for x in self.impact])
+        term = np.repeat(np.arange(len(self.post)), np.diff(self.start))
+        order = np.lexsort((term, impact, -np.diff(self.start)[term], item))
+        first = np.flatnonzero(np.diff(item[order], prepend=-1))
+        so_far = np.cumsum(impact[order])
+        so_far -= np.repeat(so_far[first] - impact[order][first], np.diff([*first, len(order)]))
+        self.flat_item, self.flat_impact, self.pivot = item, impact, np.ones(len(item), bool)
+        self.pivot[order] = so_far > common
+        self.need = 1 - np.bincount(item[~self.pivot], impact[~self.pivot], minlength=len(self.ids))
 
     def _least(self, k: int, weight: dict[str, float]) -> float:
         """What a passage scores at least that passes the check: all terms but the dearest that the missing shingles can hide."""
@@ -208,8 +206,8 @@ class Index:
                 at = (at // self.block + 1) * self.block if (at // self.block + 1) * self.block <= len(post) and post[min(len(post), (at // self.block + 1) * self.block) - 1] < item else at + 1
             x[0], x[2] = (post[at] if at < len(post) else None), at
 
-    def passages(self, texts: list[list[str]], step: int) -> dict[int, list[int]]:
-        """By text, the passages in which WAND's pivot test can succeed for some item, all passages tested at once.
+    def pivot_step(self, texts: list[list[str]], step: int) -> dict[int, list[int]]:
+        """WAND's first step for all passages of some texts at once, over the marked postings: by text, the passages that have a pivot.
 
         Passage p of a text has its words from p * step on, 2 * step of them.
         """
@@ -221,10 +219,11 @@ class Index:
         chunk = first[text] + (np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)) // step
         pairs = np.unique(chunk[ids >= 0] * len(self.post) + ids[ids >= 0])
         chunk, term = pairs // len(self.post), pairs % len(self.post)
-        count = self.pivot_start[term + 1] - self.pivot_start[term]
+        count = self.start[term + 1] - self.start[term]
         row = np.repeat(np.arange(len(term)), count)
-        at = self.pivot_start[term][row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        item, impact, chunk = self.pivot_item[at], self.pivot_impact[at], chunk[row]
+        at = self.start[term][row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        row, at = row[self.pivot[at]], at[self.pivot[at]]
+        item, impact, chunk = self.flat_item[at], self.flat_impact[at], chunk[row]
         owner = np.repeat(np.arange(len(texts)), chunks)
         starts = chunk == first[owner[chunk]]  # a text's first chunk is in no passage before it
         key = np.concatenate([chunk, chunk[~starts] - 1]) * len(self.ids) + np.concatenate([item, item[~starts]])
@@ -242,7 +241,7 @@ class Index:
         begins, is in one of those. Items found there are checked on passages of their own length.
         """
         step, out = self.longest, []
-        for k, found in self.passages(split, step).items():
+        for k, found in self.pivot_step(split, step).items():
             best: dict[int, tuple] = {}
             for a in (p * step for p in found):
                 part = split[k][a : a + 2 * step]
@@ -257,31 +256,50 @@ class Index:
         return out
 
 
-def indexes(items: DataFrame, share: float, n: int, per_block: int) -> list[Index]:
-    """Indexes of blocks of some per_block items, with counts over all items; what is sent to tasks at once is so bounded.
+def indexes(items: DataFrame, share: float, n: int, per_block: int) -> list[list[str]]:
+    """Builds indexes of blocks of some per_block items, with counts over all items, in tasks; returns their files by block.
 
-    A block has an index for each range of passage lengths, 64 words and then doubling: long items don't blur the search for short ones.
+    What is sent to tasks at once is so bounded, and nothing of an item comes to the driver. A block has an index for each range of
+    passage lengths, 64 words and then doubling: long items don't blur the search for short ones.
     """
     spark = items.sparkSession
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            w = [words(t) for t in b["text"]]
+            yield b.assign(w=w, range=[(passage_words(sum(map(len, question_answer(t)))) - 1).bit_length() for t in b["text"]])
+
     rows = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
-    own = rows.withColumn("w", F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{M}\p{N}_]+)"), F.lit(1))).where(F.size("w") > 0)
-    n_items = own.count()
-    mean = own.agg(F.avg(F.size("w"))).first()[0] or 1.0
+    own = written(rows.mapInPandas(split, "item_id long, text string, w array<string>, range int").where(F.size("w") > 0), "decontam-items")
+    n_items, mean = own.agg(F.count(F.lit(1)), F.avg(F.size("w"))).first()
     blocks = max(1, -(-n_items // per_block))
-    out = []
-    for k in range(blocks):
-        part = [(r.item_id, r.text) for r in own.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id", "text").toLocalIterator()]
-        part = [(i, t) for i, t in part if words(t)]
-        vocabulary = spark.createDataFrame([(t,) for t in sorted({t for _, x in part for t in words(x)})], "t string")
-        counts = own.select(F.explode(F.array_distinct("w")).alias("t")).groupBy("t").count()
-        df = defaultdict(lambda: 1) | {r.t: r["count"] for r in counts.join(vocabulary, "t", "left_semi").toLocalIterator()}
-        ranges = defaultdict(list)
-        for i, t in part:
-            ranges[(passage_words(sum(map(len, question_answer(t)))) - 1).bit_length()].append((i, t))
-        for _, some in sorted(ranges.items()):
-            out.append(Index(some, df, n_items, mean, share, n))
-            out[-1].of_block = k
-    return out
+    terms = own.select("item_id", "text", "range", F.explode(F.array_distinct("w")).alias("t"))
+    told = terms.join(terms.groupBy("t").agg(F.count(F.lit(1)).alias("df")), "t").groupBy("item_id", "text", "range").agg(F.collect_list("t").alias("t"), F.collect_list("df").alias("df"))
+    out = scratch(spark, "decontam-indexes")
+    fs, root = filesystem(out)
+    fs.create_dir(root, recursive=True)
+
+    def build(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["item_id", "text"])
+        df = {t: int(c) for ts, cs in zip(rows["t"], rows["df"]) for t, c in zip(ts, cs)}
+        index = Index(list(zip(rows["item_id"].tolist(), rows["text"])), df, n_items, mean, share, n)
+        path = f"{out}/{uuid.uuid4().hex}.index"  # a lost attempt's file is in no row
+        fs, at = filesystem(path)
+        with fs.open_output_stream(at) as f:
+            f.write(pickle.dumps(index))
+        return pd.DataFrame({"block": rows["block"].iloc[:1], "range": rows["range"].iloc[:1], "path": [path]})
+
+    files = told.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int")).groupBy("block", "range").applyInPandas(build, "block int, range int, path string")
+    found = sorted(map(tuple, written(files, "decontam-files").collect()))
+    return [[path for *_, path in block] for _, block in groupby(found, lambda x: x[0])]
+
+
+@lru_cache(maxsize=16)
+def loaded(path: str) -> Index:
+    """An index from its file, read once in each Python worker."""
+    fs, at = filesystem(path)
+    with fs.open_input_stream(at) as f:
+        return pickle.loads(f.read())
 
 
 def find(docs: DataFrame, items: DataFrame, share: float = 0.8, shingle: int = 5, per_block: int = 20_000) -> DataFrame:
@@ -293,22 +311,22 @@ def find(docs: DataFrame, items: DataFrame, share: float = 0.8, shingle: int = 5
     has most of both. What is found doesn't depend on other items or on where
     in the document a passage stands. answer_overlap is null for items without an
     answer of their own. Items with a null id or without a word are left out;
+    repeated ones count once. Texts of any length are searched whole;
     null or empty texts hold nothing; rows with a null doc_id give rows with a
     null one, repeated rows give repeated rows, other columns are ignored.
-    Items beyond per_block are indexed and sent out block by block.
+    Items beyond per_block are indexed and searched block by block.
     """
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
-    for _, block in groupby(indexes(items, share, shingle, per_block), lambda x: x.of_block):
-        shared = spark.sparkContext.broadcast(list(block))
+    for block in indexes(items, share, shingle, per_block):
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
             names = [x.split()[0] for x in FOUND.split(", ")]
             for b in batches:
                 ids, split = b["doc_id"].tolist(), [words(t) for t in b["text"].tolist()]
-                rows = [(ids[k], index.ids[i], *rest) for index in shared.value for k, i, *rest in index.contaminated(split)]
+                rows = [(ids[k], index.ids[i], *rest) for index in map(loaded, block) for k, i, *rest in index.contaminated(split)]
                 if rows:
                     yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64", "answer_overlap": "float64"})
 
