@@ -52,7 +52,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables made by `written` once nothing will read them, nor anything that a lost task would have to make again."""
+    for t in tables:
+        if t is not None and (path := getattr(t, "scratch_path", None)):
+            context = t.sparkSession.sparkContext
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
@@ -97,7 +108,8 @@ def components(edges: DataFrame, name: str, salts: int = 8, rounds: int = 60) ->
         large = written(large.distinct(), f"{name}-large")
         star = _with_least(large, "a", "b", salts)
         star = star.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(star.select("a", F.col("m").alias("b")))
-        e = written(star.where("a <> b").distinct(), f"{name}-small")
+        before_, e = e, written(star.where("a <> b").distinct(), f"{name}-small")
+        discard(before_, large)
         now = _signature(e)
         if now == before:
             break

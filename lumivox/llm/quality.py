@@ -156,14 +156,14 @@ def fit(docs: DataFrame, labels: DataFrame, o: Options = Options(), text: str =
     return train(rows, o)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Adds `score`, the chance of label 1, to every row from its whole text; null and empty texts get the prior's."""
+def score(docs: DataFrame, model: Model, text: str = "text", to: str = "score") -> DataFrame:
+    """Adds column `to`, the chance of label 1, to every row from its whole text; null and empty texts get the prior's. One of that name before is replaced."""
     spark, o = docs.sparkSession, model.options
     small_batches(spark)
     shared = spark.sparkContext.broadcast((model.weight.tolist(), model.bias))
-    rest = docs.drop("score")
+    rest = docs.drop(to)
     at = rest.columns.index(text)
-    names, schema = [*rest.columns, "score"], T.StructType([*rest.schema.fields, T.StructField("score", T.DoubleType())])
+    names, schema = [*rest.columns, to], T.StructType([*rest.schema.fields, T.StructField(to, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, bias = shared.value

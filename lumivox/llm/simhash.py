@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumivox.llm.common import components, small_batches, written
+from lumivox.llm.common import components, discard, small_batches, written
 
 WIDTH, RADIUS, GENERATOR = 23, 3, 0xC75  # the Golay code and its generator polynomial
 
@@ -158,18 +158,19 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame
 
 
 LANES, TABLE_SHIFT = ["f0", "f1", "f2", "f3"], 50
-FEW, BLOCK = 8, 128  # classes at an anchor that are compared as pairs; classes of a block at the others
+PLAIN = 8  # bits beside the anchor's in a key
+FEW, BLOCK = 8, 512  # classes at an anchor that are compared as pairs; classes of a block at the others
 
 
-def tables_for(n: int, similarity: float, recall: float) -> tuple[int, int]:
-    """Plain bits beside the anchor so that n texts have a quarter of a chance partner each, and tables for the recall.
+def tables_for(similarity: float, recall: float) -> int:
+    """Tables in which two texts of the similarity share a key at least once with a chance of `recall`.
 
     Bits of two texts differ by chance acos(cosine) / pi; a home anchor is
-    shared 0.85 times as often as 12 plain bits would be, by simulation.
+    shared 0.85 times as often as 12 plain bits would be, by simulation. The number
+    doesn't depend on how many texts there are: with more of them anchors fill, and those with more than FEW are compared in blocks.
     """
-    extra = max(0, math.ceil(math.log2(max(n, 2))) + 2 - 12)
     same = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return extra, math.ceil(math.log(1 - recall) / math.log(1 - 0.85 * same ** (12 + extra)))
+    return math.ceil(math.log(1 - recall) / math.log(1 - 0.85 * same ** (12 + PLAIN)))
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -195,7 +196,7 @@ def wide_fingerprint(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def _table_keys(lanes: np.ndarray, extra: int, tables: int) -> np.ndarray:
+def _table_keys(lanes: np.ndarray, tables: int, extra: int = PLAIN) -> np.ndarray:
     """(rows, tables) keys: in each table the home anchor of 23 of the 256 bits and `extra` plain ones, drawn anew for each table."""
     bits = np.unpackbits(np.ascontiguousarray(lanes, dtype="<u8").view(np.uint8).reshape(-1, 32), axis=1, bitorder="little").astype(np.int64)
     rng, leader, power = np.random.default_rng(11), _error_lists()[0][1], 1 << np.arange(WIDTH, dtype=np.int64)
@@ -263,8 +264,10 @@ def _crowd_links(at: DataFrame, classes: DataFrame, roots: DataFrame, texts: Dat
     at = written(at.join(roots, at.rep == roots.node, "left").select("key", "rep", F.coalesce("root", "rep").alias("root")), "similar-crowded")
     of_root = at.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
     keys = of_root.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.sum(F.when(F.col("c") < BLOCK, F.col("c")).otherwise(0)).alias("mixed")).where("roots > 1").select("key", "mixed")
-    of_root = written(of_root.join(keys, "key"), "similar-crowds").select("key", "root", (F.col("c") >= BLOCK).alias("own"), F.ceil(F.when(F.col("c") >= BLOCK, F.col("c")).otherwise(F.col("mixed")) / BLOCK).cast("int").alias("salts"))
+    crowds = written(of_root.join(keys, "key"), "similar-crowds")
+    of_root = crowds.select("key", "root", (F.col("c") >= BLOCK).alias("own"), F.ceil(F.when(F.col("c") >= BLOCK, F.col("c")).otherwise(F.col("mixed")) / BLOCK).cast("int").alias("salts"))
     if of_root.isEmpty():
+        discard(at, crowds)
         return None
     name = F.when(F.col("own"), F.col("root").cast("string")).otherwise("mixed")
     blocks = of_root.select("key", "own", name.alias("name"), "salts").distinct().select("key", "own", "name", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
@@ -281,6 +284,7 @@ def _crowd_links(at: DataFrame, classes: DataFrame, roots: DataFrame, texts: Dat
         return rows.iloc[np.unique(np.concatenate([i, j]))]
 
     some = written(sides[0].union(sides[1]).groupBy("key", "bx", "by").applyInPandas(near, schema), "similar-near")
+    discard(at, crowds, met, member)
     if some.isEmpty():
         return None
 
@@ -300,10 +304,12 @@ def _crowd_links(at: DataFrame, classes: DataFrame, roots: DataFrame, texts: Dat
         keep = _forest(root[i], root[j])
         return pd.DataFrame({"a": rep[i[keep]], "b": rep[j[keep]]})
 
-    return written(some.join(whole, "rep").groupBy("key", "bx", "by").applyInPandas(linked, "a long, b long"), "similar-crowd-links")
+    out = written(some.join(whole, "rep").groupBy("key", "bx", "by").applyInPandas(linked, "a long, b long"), "similar-crowd-links")
+    discard(some, whole)
+    return out
 
 
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, apart: int = 72, recall: float = 0.95) -> DataFrame:
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, apart: int = 72, recall: float = 0.99) -> DataFrame:
     """(doc_id, component_id): documents linked by a Jaccard similarity of `similarity` or more of their distinct shingles.
 
     Texts with one 256-bit fingerprint are one class. In each table, all classes
@@ -311,7 +317,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     pairs. Where there are more, each first meets two of them, which differ from
     table to table, and those not yet linked are then compared in blocks.
     Pairs of `apart` of 256 bits or fewer are checked on their whole
-    texts. A pair just at the similarity shares an anchor in one of the tables
+    texts: that many differ with a chance under 1e-7 in a pair just at the similarity, which shares an anchor in one of the tables
     with a chance of `recall`, one above it with a larger. component_id is the smallest doc_id reachable; rows with a
     null doc_id are left out; of texts with one doc_id the least counts.
     """
@@ -327,11 +333,11 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     prints = written(texts.mapInPandas(printed, "doc_id long, f0 long, f1 long, f2 long, f3 long"), "similar-prints")
     classes = written(prints.groupBy(*LANES).agg(F.min("doc_id").alias("rep")), "similar-classes")
 
-    extra, tables = tables_for(classes.count(), similarity, recall)
+    tables = tables_for(similarity, recall)
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            keys = _table_keys(b[LANES].to_numpy(np.int64).view(np.uint64), extra, tables)
+            keys = _table_keys(b[LANES].to_numpy(np.int64).view(np.uint64), tables)
             yield pd.DataFrame({"key": keys.ravel(), "rep": np.repeat(b["rep"].to_numpy(np.int64), tables)})
 
     # the order within an anchor is another one in each table
@@ -360,8 +366,10 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
             yield b.loc[keep, ["a", "b"]]
 
     roots = written(components(met.select("a", "b", "at", "bt").mapInPandas(checked, "a long, b long"), "similar"), "similar-roots")
+    discard(pairs, whole)
     more = _crowd_links(at.where(F.col("n") > FEW).select("key", "rep"), classes, roots, texts, words, similarity, apart)
     if more is not None:
         roots = written(components(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), "similar-all"), "similar-all-roots")
     named = written(classes.join(roots, classes.rep == roots.node, "left").select(*LANES, F.coalesce("root", "rep").alias("component_id")), "similar-named")
+    discard(at, classes, roots, more)
     return prints.join(named, LANES).select("doc_id", "component_id")
