@@ -33,7 +33,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 SEPARATOR, APOSTROPHE = 0xFF, ord("'")  # the former is in no UTF-8
 SPACE = np.isin(np.arange(256), [*range(9, 14), 32])
-CACHED_FRAGMENTS, CACHED_LENGTH, CACHED_PAIRS = 400_000, 32, 1_000_000
+CACHED_FRAGMENTS, CACHED_LENGTH, CACHED_PAIRS = 300_000, 32, 500_000
 
 
 def _byte_chars() -> dict[str, int]:

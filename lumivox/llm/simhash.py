@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumivox.llm.common import components, discard, small_batches, written
+from lumivox.llm.common import components, conf, discard, small_batches, written
 
 WIDTH, RADIUS, GENERATOR = 23, 3, 0xC75  # the Golay code and its generator polynomial
 
@@ -154,23 +154,22 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame
     return prints.join(classes, prints.fp == classes.key).select("doc_id", hexed, "component_id")
 
 
-# texts of a given similarity: wide fingerprints, many pairs of blocks, and an exact check
+# texts of a given Jaccard similarity: wide fingerprints, many pairs of blocks, and an exact check
 
 
-LANES, TABLE_SHIFT = ["f0", "f1", "f2", "f3"], 50
-PLAIN = 8  # bits beside the anchor's in a key
+LANES, TABLE_SHIFT, BITS = ["f0", "f1", "f2", "f3"], 50, 256
 FEW, BLOCK = 8, 512  # classes at an anchor that are compared as pairs; classes of a block at the others
 
 
-def tables_for(similarity: float, recall: float) -> int:
-    """Tables in which two texts of the similarity share a key at least once with a chance of `recall`.
+def tables_for(n: int, similarity: float, recall: float) -> tuple[int, int]:
+    """Plain bits beside the anchor so that n texts have 1/16 of a chance partner in a table, and tables for the recall.
 
-    Bits of two texts differ by chance acos(cosine) / pi; a home anchor is
-    shared 0.85 times as often as 12 plain bits would be, by simulation. The number
-    doesn't depend on how many texts there are: with more of them anchors fill, and those with more than FEW are compared in blocks.
+    Bits of two texts differ with a chance of half their distance; a home
+    anchor is shared 0.83 times as often as 12 plain bits would be, by simulation. At a similarity
+    of 0.8 the tables grow as the 0.15th power of the number of texts.
     """
-    same = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.ceil(math.log(1 - recall) / math.log(1 - 0.85 * same ** (12 + PLAIN)))
+    extra, same = max(0, math.ceil(math.log2(max(n, 2))) + 4 - 12), (1 + similarity) / 2
+    return extra, math.ceil(math.log(1 - recall) / math.log(1 - 0.83 * same ** (12 + extra)))
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -182,27 +181,33 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles), dtype=np.uint64, count=len(shingles)))
 
 
-def wide_fingerprint(h: np.ndarray) -> np.ndarray:
-    """256 bits as four words: majorities over the hashes, mixed anew for each word."""
-    out = np.zeros(4, np.uint64)
-    for lane in range(4):
-        counts = np.zeros(64, np.int64)
-        for at in range(0, len(h), 1 << 16):
-            x = h[at : at + (1 << 16)] + np.uint64((lane * 0x9E3779B97F4A7C15) & ((1 << 64) - 1))
-            x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(29))).astype("<u8")
-            counts += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out[lane] = np.packbits(2 * counts > len(h), bitorder="little").view("<u8")[0]
-    return out
+@lru_cache(maxsize=1)
+def _multipliers() -> np.ndarray:
+    return np.random.default_rng(13).integers(1 << 32, 1 << 63, BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _table_keys(lanes: np.ndarray, tables: int, extra: int = PLAIN) -> np.ndarray:
-    """(rows, tables) keys: in each table the home anchor of 23 of the 256 bits and `extra` plain ones, drawn anew for each table."""
+def wide_fingerprint(h: np.ndarray) -> np.ndarray:
+    """256 bits as four words: of each of 256 orders of the hashes one bit of the least, so bits follow the Jaccard similarity.
+
+    Two texts of similarity s differ in (1 - s) / 2 of them; sums of signs would differ in acos(2 s / (1 + s)) / pi, half as many again at 0.8.
+    """
+    least = np.full(BITS, ~np.uint64(0))
+    for at in range(0, len(h), 1 << 9):
+        x = h[at : at + (1 << 9), None] * _multipliers()[None, :]
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        least = np.minimum(least, x.min(axis=0))
+    bits = (least >> np.uint64(17) & np.uint64(1)).astype(np.uint8) if len(h) else np.zeros(BITS, np.uint8)
+    return np.packbits(bits, bitorder="little").view("<u8").astype(np.uint64)
+
+
+def _table_keys(lanes: np.ndarray, extra: int, tables: int) -> np.ndarray:
+    """(rows, tables) keys: in each table the home anchor of 23 of the bits and `extra` plain ones, drawn anew for each table."""
     bits = np.unpackbits(np.ascontiguousarray(lanes, dtype="<u8").view(np.uint8).reshape(-1, 32), axis=1, bitorder="little").astype(np.int64)
     rng, leader, power = np.random.default_rng(11), _error_lists()[0][1], 1 << np.arange(WIDTH, dtype=np.int64)
     out = np.empty((len(lanes), tables), np.int64)
     for t in range(tables):
-        take = rng.permutation(256)[: WIDTH + extra]
+        take = rng.permutation(BITS)[: WIDTH + extra]
         a, b = bits[:, take[:WIDTH]] @ power, bits[:, take[WIDTH:]] @ (1 << np.arange(extra, dtype=np.int64))
         out[:, t] = (a ^ leader[_remainder(a)]) | b << WIDTH | t << TABLE_SHIFT
     return out
@@ -309,7 +314,7 @@ def _crowd_links(at: DataFrame, classes: DataFrame, roots: DataFrame, texts: Dat
     return out
 
 
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, apart: int = 72, recall: float = 0.99) -> DataFrame:
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, apart: int = 56, recall: float = 0.99) -> DataFrame:
     """(doc_id, component_id): documents linked by a Jaccard similarity of `similarity` or more of their distinct shingles.
 
     Texts with one 256-bit fingerprint are one class. In each table, all classes
@@ -333,16 +338,18 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     prints = written(texts.mapInPandas(printed, "doc_id long, f0 long, f1 long, f2 long, f3 long"), "similar-prints")
     classes = written(prints.groupBy(*LANES).agg(F.min("doc_id").alias("rep")), "similar-classes")
 
-    tables = tables_for(similarity, recall)
+    n = classes.count()
+    extra, tables = tables_for(n, similarity, recall)
+    spread = max(int(conf(spark, "spark.sql.shuffle.partitions") or 1), -(-n // 50_000))
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            keys = _table_keys(b[LANES].to_numpy(np.int64).view(np.uint64), tables)
+            keys = _table_keys(b[LANES].to_numpy(np.int64).view(np.uint64), extra, tables)
             yield pd.DataFrame({"key": keys.ravel(), "rep": np.repeat(b["rep"].to_numpy(np.int64), tables)})
 
     # the order within an anchor is another one in each table
     mask = F.shiftrightunsigned(F.xxhash64(F.shiftright("key", TABLE_SHIFT)), 1)
-    rows = classes.mapInPandas(keyed, "key long, rep long").select("key", F.col("rep").bitwiseXOR(mask).alias("v"))
+    rows = classes.repartition(spread, "rep").mapInPandas(keyed, "key long, rep long").select("key", F.col("rep").bitwiseXOR(mask).alias("v"))
     ends = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).where("low <> high")
     at = written(rows.join(ends, "key").select("key", F.col("v").bitwiseXOR(mask).alias("rep"), "n", F.col("low").bitwiseXOR(mask).alias("low"), F.col("high").bitwiseXOR(mask).alias("high")), "similar-at")
     few = at.where(F.col("n") <= FEW).groupBy("key").agg(F.collect_list("rep").alias("all"))
