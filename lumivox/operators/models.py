@@ -312,7 +312,7 @@ def normalised_qa(fixels: DataFrame) -> DataFrame:
     """qa of each fixel over the scan's largest."""
     each = fixels.select(*KEY, F.posexplode("fixels").alias("idx", "f")).select(*KEY, "idx", "f.*")
     top = each.groupBy("scan_id").agg(F.max("qa").alias("top"))
-    return each.join(F.broadcast(top), "scan_id").withColumn("qa", F.try_divide("qa", "top")).drop("top")
+    return each.join(top, "scan_id").withColumn("qa", F.try_divide("qa", "top")).drop("top")
 
 
 def amplitude_floor(fixels: DataFrame, absolute: float | None = None, fraction: float | None = None) -> DataFrame:
@@ -324,7 +324,7 @@ def amplitude_floor(fixels: DataFrame, absolute: float | None = None, fraction:
         return each.where(F.col("amplitude") >= absolute)
     top = fixels.where(F.size("fixels") > 0).select("scan_id", F.array_max(F.transform("fixels", lambda f: f.amplitude)).alias("top"))
     cut = upper_median(top, ["scan_id"], "top")
-    return each.join(F.broadcast(cut), "scan_id").where(F.col("amplitude") >= (fraction or 0.0) * F.col("median")).drop("median")
+    return each.join(cut, "scan_id").where(F.col("amplitude") >= (fraction or 0.0) * F.col("median")).drop("median")
 
 
 def with_options(o: ShoreOptions, **changes) -> ShoreOptions:

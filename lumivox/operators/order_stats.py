@@ -14,31 +14,33 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumivox.functions.storage import checkpointed
 from lumivox.operators.voxel import is_finite
 
 
 def at_ranks(df: DataFrame, by: list[str], value: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """Per group, for each named rank (from 0, a function of the group's count n) the element there; NaN comes before all numbers.
 
-    Values fall into buckets between approximate quantiles, buckets are counted
-    exactly, and only those that hold a wanted rank are sorted: no task sorts
-    a whole group.
+    Equal values are counted first, so a value on many rows is one from then
+    on. Values fall into buckets between approximate quantiles, buckets are counted
+    exactly, and only those that hold a wanted rank are ordered, by cumulated
+    counts: no task sees a whole group's rows or orders more than a bucket's values.
     """
     v = F.col("_v")
-    df = df.select(*by, F.col(value).alias("_v"))
+    seen = df.select(*by, F.col(value).alias("_v")).groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_own"))
     edges = F.percentile_approx(F.when(~F.isnan(v), v), [k / 64 for k in range(1, 64)], 1000)
-    group = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), edges.alias("_edges"))
+    group = seen.groupBy(*by).agg(F.sum("_own").alias("_n"), edges.alias("_edges"))
     bucket = F.when(F.isnan(v), -1).otherwise(F.size(F.filter(F.coalesce("_edges", F.array().cast("array<double>")), lambda e: e < v)))
-    dealt = df.join(group, by).select(*by, "_v", "_n", bucket.alias("_bucket"))
-    counts = dealt.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_own"), F.first("_n").alias("_n"))
+    dealt = seen.join(group, by).select(*by, "_v", "_own", "_n", bucket.alias("_bucket"))
+    counts = dealt.groupBy(*by, "_bucket").agg(F.sum("_own").alias("_rows"), F.first("_n").alias("_n"))
     w = Window.partitionBy(*by).orderBy("_bucket")  # 65 rows a group at most
-    counts = counts.withColumn("_before", F.sum("_own").over(w) - F.col("_own"))
+    counts = counts.withColumn("_before", F.sum("_rows").over(w) - F.col("_rows"))
     wanted = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), f(F.col("_n")).cast("long").alias("rank")) for k, f in ranks.items()])).alias("_w")
-    wanted = counts.select(*by, "_bucket", "_before", "_own", wanted).where((F.col("_w.rank") >= F.col("_before")) & (F.col("_w.rank") < F.col("_before") + F.col("_own")))
+    wanted = counts.select(*by, "_bucket", "_before", "_rows", wanted).where((F.col("_w.rank") >= F.col("_before")) & (F.col("_w.rank") < F.col("_before") + F.col("_rows")))
     wanted = wanted.groupBy(*by, "_bucket").agg(F.first("_before").alias("_before"), F.collect_list("_w").alias("_wanted"))
     inside = Window.partitionBy(*by, "_bucket").orderBy("_v")
-    found = dealt.join(wanted, [*by, "_bucket"]).withColumn("_rank", F.row_number().over(inside) - 1 + F.col("_before"))
-    found = found.select(*by, "_v", "_rank", F.explode("_wanted").alias("_w")).where(F.col("_rank") == F.col("_w.rank"))
+    found = dealt.join(wanted, [*by, "_bucket"]).withColumn("_end", F.sum("_own").over(inside) + F.col("_before"))
+    found = found.select(*by, "_v", "_own", "_end", F.explode("_wanted").alias("_w")).where((F.col("_w.rank") < F.col("_end")) & (F.col("_w.rank") >= F.col("_end") - F.col("_own")))
     return found.groupBy(*by).agg(*[F.max(F.when(F.col("_w.name") == k, v)).alias(k) for k in ranks])
 
 
@@ -49,7 +51,9 @@ def nearest_rank(df: DataFrame, by: list[str], value: str, quantiles: dict[str,
 
 
 def averaging_median(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    return df.where(is_finite(F.col(value))).groupBy(*by).agg(F.median(value).alias("median"))
+    """The mean of the middle two elements, which are one where their number is odd."""
+    middle = at_ranks(df.where(is_finite(F.col(value))), by, value, {"low": lambda n: F.floor((n - 1) / 2), "high": lambda n: F.floor(n / 2)})
+    return middle.select(*by, ((F.col("low") + F.col("high")) / 2.0).alias("median"))
 
 
 def upper_median(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -66,66 +70,79 @@ def _edge(df: DataFrame, by: list[str], value: str, n: int, top: bool) -> DataFr
     if n < 1:
         raise ValueError("nothing is selected with n below 1")
     some = df.where(is_finite(F.col(value)) & (F.col(value) != 0))
-    w = Window.partitionBy(*by).orderBy(F.col(value).desc() if top else F.col(value))
-    return some.withColumn("rank", F.rank().over(w)).where(F.col("rank") <= n).drop("rank")
+    short = F.raise_error(F.format_string(f"{n} of %d values asked for", "_n"))
+    at = lambda total: F.when(total < n, short).otherwise(total - n if top else F.lit(n - 1))
+    cut = at_ranks(some, by, value, {"_cut": at})
+    return some.join(cut, by).where(F.col(value) >= F.col("_cut") if top else F.col(value) <= F.col("_cut")).drop("_cut")
 
 
 def top_n(df: DataFrame, by: list[str], value: str, n: int) -> DataFrame:
-    """Rows with one of the n largest finite, non-zero values; ties with the n-th stay."""
+    """Rows with one of the n largest finite, non-zero values; ties with the n-th stay. Fewer than n such values in a group are an error."""
     return _edge(df, by, value, n, True)
 
 
 def bottom_n(df: DataFrame, by: list[str], value: str, n: int) -> DataFrame:
-    """Rows with one of the n smallest finite, non-zero values; ties with the n-th stay."""
+    """Rows with one of the n smallest finite, non-zero values; ties with the n-th stay. Fewer than n such values in a group are an error."""
     return _edge(df, by, value, n, False)
 
 
 def percent_count(total: Column, percent: float) -> Column:
-    """total percent of a hundred, half rounded to even."""
-    return F.bround(total * F.lit(percent) / 100.0, 0).cast("int")
+    """total percent of a hundred, half rounded to even; an error where that is 0."""
+    n = F.bround(total * F.lit(percent) / 100.0, 0).cast("int")
+    return F.when(n == 0, F.raise_error(F.format_string(f"{percent}%% of %d values round to none", total.cast("long"))).cast("int")).otherwise(n)
 
 
-def optimal_threshold(df: DataFrame, value: str, tol: float = 0.01, rounds: int = 200) -> float | None:
-    """The threshold whose selection correlates best with the finite values, by golden section; None for constant values.
+#: Fixed value: the golden section, to the eight digits that keep thresholds equal to others' of this rule.
+GOLDEN = 0.61803399
+
+
+def golden_minimum(cost: Callable[[float], float], low: float, high: float, tol: float, rounds: int = 200) -> float:
+    """The better of the two probes left when the bracket is shorter than tol times the sum of their sizes; the first stands in its middle."""
+    near, far = low + (high - low) / 2, None
+    near, far = near - (1 - GOLDEN) * (near - low), near
+    at = {x: cost(x) for x in (near, far)}
+    for _ in range(rounds):
+        if high - low <= tol * (abs(near) + abs(far)):
+            break
+        if at[far] < at[near]:
+            low, near, far = near, far, GOLDEN * far + (1 - GOLDEN) * high
+            at[far] = cost(far)
+        else:
+            high, far, near = far, near, GOLDEN * near + (1 - GOLDEN) * low
+            at[near] = cost(near)
+    return near if at[near] < at[far] else far
+
+
+def optimal_threshold(df: DataFrame, value: str, offset: float = 0.0, tol: float = 0.01) -> float | None:
+    """The threshold of value less `offset` whose selection correlates best with the finite values; None for constant values.
 
     The search runs between the least and the largest value, a thousandth of
     the range off each. A probe is one aggregate; the values stay where they are.
     """
-    v = df.where(is_finite(F.col(value))).select(F.col(value).cast("double").alias("v"))
+    v = df.where(is_finite(F.col(value))).select((F.col(value).cast("double") - offset).alias("v"))
     s = v.agg(F.count("v").alias("n"), F.sum("v").alias("sum"), F.sum(F.col("v") * F.col("v")).alias("sq"), F.min("v").alias("low"), F.max("v").alias("high")).first()
     if not s.n or s.low == s.high:
         return None
-    mean, spread = s["sum"] / s.n, (s.sq / s.n - (s["sum"] / s.n) ** 2) ** 0.5
+    mean, spread = s["sum"] / s.n, (max(s.sq / s.n - (s["sum"] / s.n) ** 2, 0)) ** 0.5
+    if not spread:
+        return None
 
-    def correlation(t: float) -> float:
+    def against(t: float) -> float:
         r = v.where(F.col("v") > t).agg(F.count("v").alias("n"), F.sum("v").alias("sum")).first()
         p = r.n / s.n
-        return 0.0 if p in (0, 1) else (r["sum"] / s.n - p * mean) / ((p * (1 - p)) ** 0.5 * spread)
+        return 0.0 if p in (0, 1) else -(r["sum"] / s.n - p * mean) / ((p * (1 - p)) ** 0.5 * spread)
 
-    margin, ratio = (s.high - s.low) / 1000, (5**0.5 - 1) / 2
-    a, b = s.low + margin, s.high - margin
-    c, d = b - ratio * (b - a), a + ratio * (b - a)
-    fc, fd = correlation(c), correlation(d)
-    for _ in range(rounds):
-        if b - a <= tol * (s.high - s.low):
-            break
-        if fc > fd:
-            b, d, fd = d, c, fc
-            c = b - ratio * (b - a)
-            fc = correlation(c)
-        else:
-            a, c, fc = c, d, fd
-            d = a + ratio * (b - a)
-            fd = correlation(d)
-    return (a + b) / 2
+    margin = (s.high - s.low) / 1000
+    return golden_minimum(against, s.low + margin, s.high - margin, tol)
 
 
 def threshold_select(df: DataFrame, value: str, offset: float = 0.0, below: bool = False) -> DataFrame:
-    """Rows at or above the optimal threshold of value, or below it; `offset` is added to it first."""
-    t = optimal_threshold(df, value)
+    """Rows whose value less `offset` is at or above its optimal threshold, or below it; constant values are an error."""
+    t = optimal_threshold(df, value, offset)
     if t is None:
-        return df.limit(0)
-    return df.where(F.col(value) < t + offset if below else F.col(value) >= t + offset)
+        raise ValueError(f"{value} is constant, there is no threshold")
+    moved = F.col(value) - offset
+    return df.where(moved < t if below else moved >= t)
 
 
 def masked_min(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -135,7 +152,7 @@ def masked_min(df: DataFrame, by: list[str], value: str) -> DataFrame:
 def reject_outliers(df: DataFrame, by: list[str], value: str, k: float = 10.0) -> DataFrame:
     """`value` set to NaN where finite and above k times the group's nearest-rank 99th percentile; adds `rejected`."""
     cut = nearest_rank(df, by, value, {"p99": 0.99})
-    out = df.join(F.broadcast(cut), by, "left")
+    out = df.join(cut, by, "left")
     gone = is_finite(F.col(value)) & (F.col(value) > k * F.col("p99"))
     return out.withColumn("rejected", F.coalesce(gone, F.lit(False))).withColumn(value, F.when(F.col("rejected"), F.lit(float("nan"))).otherwise(F.col(value))).drop("p99")
 
@@ -174,7 +191,8 @@ def strided_quantile(df: DataFrame, order: list[str], value: str, q: float, aim:
     if stride > 1:
         # row numbers over all partitions: the place in one, after the rows of those before it
         place = F.monotonically_increasing_id()
-        rows = df.orderBy(*order).withColumns({"part": F.shiftright(place, 33), "place": place.bitwiseAND((1 << 33) - 1)}).checkpoint()
+        rows = df.orderBy(*order).withColumns({"part": F.shiftright(place, 33), "place": place.bitwiseAND((1 << 33) - 1)})
+        rows = checkpointed(rows)
         counts = rows.groupBy("part").count().withColumn("before", F.sum("count").over(Window.orderBy("part")) - F.col("count"))
-        each = rows.join(F.broadcast(counts.select("part", "before")), "part").where((F.col("before") + F.col("place")) % stride == 0)
+        each = rows.join(counts.select("part", "before"), "part").where((F.col("before") + F.col("place")) % stride == 0)
     return nearest_rank(each.withColumn("all", F.lit(1)), ["all"], value, {"quantile": q}).drop("all")

@@ -1,7 +1,7 @@
 """Image quality: neighbour correlations, contrast, outlier slices, fibre coherence and the report row.
 
-Everything that touches voxels is an aggregate over the long view (a row per
-voxel and volume); gradient tables are tiny and broadcast.
+Correlations are one aggregation in which each voxel meets its scan's pairs of
+volumes; slices and directions meet their neighbours by joins on the grid.
 """
 
 from __future__ import annotations
@@ -9,10 +9,14 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumivox.operators.voxel import KEY, long_view
+from lumivox.functions.storage import checkpointed
+from lumivox.operators.order_stats import nearest_rank
+from lumivox.operators.voxel import KEY
 
 NAN = float("nan")
 
@@ -35,7 +39,7 @@ def _pairs(gradient: DataFrame, threshold: float) -> DataFrame:
     """Each weighted volume i beside each other one j of its scan; the number of volumes bounds it."""
     g = q_vectors(gradient).where(F.col("bval") > threshold).select("scan_id", "vol", "qx", "qy", "qz")
     i, j = (g.select("scan_id", *[F.col(c).alias(f"{n}_{c}") for c in ("vol", "qx", "qy", "qz")]) for n in "ij")
-    return i.join(F.broadcast(j), "scan_id").where("i_vol <> j_vol")
+    return i.join(j, "scan_id").where("i_vol <> j_vol")
 
 
 def neighbour_pairs(gradient: DataFrame, threshold: float = 50.0) -> DataFrame:
@@ -66,18 +70,27 @@ def contrast_triples(gradient: DataFrame, threshold: float = 50.0) -> DataFrame:
     return near.withColumnRenamed("j", "near").join(far.withColumnRenamed("j", "contrast"), ["scan_id", "i"])
 
 
-def pair_correlations(voxels: DataFrame, pairs: DataFrame) -> DataFrame:
-    """scan_id, i, j, r, mean_i, mean_j over the given voxels; r is NaN where either volume is constant.
+def pair_statistics(voxels: DataFrame, pairs: DataFrame, masked: bool = False) -> DataFrame:
+    """scan_id, i, j, r, mean_i, mean_j over the given voxels, and the same within the mask if `masked`; r is NaN where either volume is constant.
 
     Each voxel row meets its scan's pairs, so both values of a pair come from the
     same row: one aggregation and no join of the long view with itself. Sums are
     taken about the pair's means.
     """
-    v = voxels.select("scan_id", "signal").join(F.broadcast(pairs), "scan_id")
-    v = v.select("scan_id", "i", "j", F.get("signal", "i").alias("a"), F.get("signal", "j").alias("b"))
-    s = v.groupBy("scan_id", "i", "j").agg(F.covar_pop("a", "b").alias("c"), F.stddev_pop("a").alias("sa"), F.stddev_pop("b").alias("sb"), F.avg("a").alias("mean_i"), F.avg("b").alias("mean_j"))
-    ok = (F.col("sa") > 0) & (F.col("sb") > 0)
-    return s.select("scan_id", "i", "j", F.when(ok, F.try_divide("c", F.col("sa") * F.col("sb"))).otherwise(F.lit(NAN)).alias("r"), "mean_i", "mean_j")
+    v = voxels.select("scan_id", "signal", *(["in_mask"] if masked else [])).join(pairs, "scan_id")
+    a, b = F.get("signal", "i"), F.get("signal", "j")
+    sums, out = [], []
+    for end in ("", "_masked")[: 1 + masked]:
+        x, y = (F.when(F.col("in_mask"), c) if end else c for c in (a, b))
+        sums += [F.covar_pop(x, y).alias(f"c{end}"), F.stddev_pop(x).alias(f"sx{end}"), F.stddev_pop(y).alias(f"sy{end}"), F.avg(x).alias(f"mean_i{end}"), F.avg(y).alias(f"mean_j{end}")]
+        ok = (F.col(f"sx{end}") > 0) & (F.col(f"sy{end}") > 0)
+        out += [F.when(ok, F.try_divide(f"c{end}", F.col(f"sx{end}") * F.col(f"sy{end}"))).otherwise(F.lit(NAN)).alias(f"r{end}"), F.col(f"mean_i{end}"), F.col(f"mean_j{end}")]
+    return v.groupBy("scan_id", "i", "j").agg(*sums).select("scan_id", "i", "j", *out)
+
+
+def pair_correlations(voxels: DataFrame, pairs: DataFrame) -> DataFrame:
+    """scan_id, i, j, r, mean_i, mean_j of each pair."""
+    return pair_statistics(voxels, pairs)
 
 
 def ndc(voxels: DataFrame, gradient: DataFrame) -> DataFrame:
@@ -85,18 +98,25 @@ def ndc(voxels: DataFrame, gradient: DataFrame) -> DataFrame:
     return pair_correlations(voxels, neighbour_pairs(gradient)).groupBy("scan_id").agg(F.avg("r").alias("ndc"))
 
 
+def correlation_report(voxels: DataFrame, gradient: DataFrame, masked: bool = True) -> DataFrame:
+    """scan_id, ndc, contrast_ratio, and both within the mask, from one pass over the voxels."""
+    kind = lambda pairs, name: pairs.select("scan_id", "i", "j", F.lit(name).alias("kind"))
+    triples = contrast_triples(gradient)
+    wanted = kind(neighbour_pairs(gradient), "ndc").union(kind(triples.withColumnRenamed("near", "j"), "near")).union(kind(triples.withColumnRenamed("contrast", "j"), "contrast"))
+    ends = ("", "_masked")[: 1 + masked]
+    r = wanted.join(pair_statistics(voxels, wanted.select("scan_id", "i", "j").distinct(), masked), ["scan_id", "i", "j"])
+    m = r.groupBy("scan_id").agg(*[F.avg(F.when(F.col("kind") == k, F.col(f"r{e}"))).alias(f"{k}{e}") for k in ("ndc", "near", "contrast") for e in ends])
+    return m.select("scan_id", *[c for e in ends for c in (F.col(f"ndc{e}"), F.try_divide(f"near{e}", f"contrast{e}").alias(f"contrast_ratio{e}"))])
+
+
 def contrast_ratio(voxels: DataFrame, gradient: DataFrame) -> DataFrame:
     """scan_id, contrast_ratio: mean correlation with the nearest volume over that with the contrast volume, over volumes that have both."""
-    triples = contrast_triples(gradient)
-    wanted = triples.select("scan_id", "i", F.explode(F.array(F.struct(F.lit("near").alias("kind"), F.col("near").alias("j")), F.struct(F.lit("contrast").alias("kind"), F.col("contrast").alias("j")))).alias("p"))
-    wanted = wanted.select("scan_id", "i", "p.kind", "p.j")
-    r = pair_correlations(voxels, wanted.select("scan_id", "i", "j").distinct())
-    m = wanted.join(r, ["scan_id", "i", "j"]).groupBy("scan_id").agg(F.avg(F.when(F.col("kind") == "near", F.col("r"))).alias("near"), F.avg(F.when(F.col("kind") == "contrast", F.col("r"))).alias("contrast"))
-    return m.select("scan_id", F.try_divide("near", "contrast").alias("contrast_ratio"))
+    return correlation_report(voxels, gradient, masked=False).select("scan_id", "contrast_ratio").where("contrast_ratio is not null")
 
 
 def contrast_grade(ratio: Column) -> Column:
-    return F.when(F.isnan(ratio), "poor").when(ratio < 1.1, "poor").when(ratio <= 1.3, "fair").otherwise("good")
+    """poor, fair or good; NaN is below no bound and so counts as good, and has a warning of its own."""
+    return F.when(F.isnan(ratio), "good").when(ratio < 1.1, "poor").when(ratio <= 1.3, "fair").otherwise("good")
 
 
 def gaussian_kernel(sigma: float) -> list[float]:
@@ -113,136 +133,179 @@ def reflect(i: Column, n: Column | int) -> Column:
     return F.when(m < n, m).otherwise(2 * n - 1 - m).cast("int")
 
 
-def smooth_in_plane(volumes: DataFrame, sigma: float, axis: int, shape: tuple[int, int, int]) -> DataFrame:
-    """`value` of the long view, dense over the grid, smoothed along the two axes but `axis`, the lower axis first.
+def _reflected(n: int, r: int) -> np.ndarray:
+    """(n, 2 r + 1) indices that a kernel of radius r reads about each place, reflected at the border."""
+    at = (np.arange(n)[:, None] + np.arange(-r, r + 1)) % (2 * n)
+    return np.where(at < n, at, 2 * n - 1 - at)
 
-    Each pass scatters a value to the places that its kernel reaches, reflected
-    at the border, and sums; results are stored in single precision.
+
+def smooth_in_plane(voxels: DataFrame, sigma: float, axis: int = 2) -> DataFrame:
+    """scan_id, x, y, z, signal, of voxels dense over the grid, each volume smoothed along the two axes but `axis`, the lower axis first.
+
+    Planes are independent of each other: each is one group. Results of either pass are stored in single precision; sigma 0 changes nothing.
     """
-    kernel = gaussian_kernel(sigma)
-    r = len(kernel) // 2
-    taps = F.array(*[F.struct(F.lit(k - r).alias("d"), F.lit(w).alias("w")) for k, w in enumerate(kernel)])
-    out = volumes
-    for a in (k for k in range(3) if k != axis):
-        name, n = "xyz"[a], shape[a]
-        # the places that read this one: i + d reflects onto it, so i is among the images of this place less d
-        t = out.withColumn("tap", F.explode(taps))
-        images = F.transform(F.sequence(F.lit(-((r + n - 1) // n) - 1), F.lit((r + n - 1) // n + 1)), lambda k: F.struct((F.col(name) + 2 * n * k - F.col("tap.d")).alias("i"), (2 * n * k - 1 - F.col(name) - F.col("tap.d")).alias("j")))
-        to = F.filter(F.flatten(F.transform(images, lambda p: F.array(p.i, p.j))), lambda i: (i >= 0) & (i < n))
-        t = t.withColumn(name, F.explode(F.transform(to, lambda i: i.cast("int"))))
-        keys = [c for c in (*KEY, "vol")]
-        out = t.groupBy(*keys).agg(F.sum(F.col("value") * F.col("tap.w")).cast("float").alias("value"))
-    return out
-
-
-def outlier_slices(voxels: DataFrame, o: SliceOptions = SliceOptions(), values: DataFrame | None = None) -> DataFrame:
-    """scan_id, vol, slice, ratio, outlier for interior slices with enough voxels in the mask.
+    if sigma == 0:
+        return voxels.select(*KEY, "signal")
+    kernel, names = np.array(gaussian_kernel(sigma)), [c for k, c in enumerate("xyz") if k != axis]
+
+    def smooth(rows: pd.DataFrame) -> pd.DataFrame:
+        at = [rows[c].to_numpy() for c in names]
+        plane = np.zeros((at[0].max() + 1, at[1].max() + 1, len(rows["signal"].iloc[0])), np.float32)
+        plane[at[0], at[1]] = np.stack(rows["signal"].to_numpy())
+        for _ in range(2):  # one axis, then the other, which the transposition brings to the front and back
+            out = np.zeros(plane.shape)
+            for w, i in zip(kernel, _reflected(len(plane), len(kernel) // 2).T):
+                out += w * plane[i]
+            plane = out.astype(np.float32).transpose(1, 0, 2)
+        return rows[KEY].assign(signal=list(plane[at[0], at[1]]))
+
+    return voxels.select(*KEY, "signal").groupBy("scan_id", "xyz"[axis]).applyInPandas(smooth, "scan_id string, x int, y int, z int, signal array<float>")
+
+
+def outlier_slices(voxels: DataFrame, o: SliceOptions = SliceOptions()) -> DataFrame:
+    """scan_id, vol, slice, ratio, outlier for interior slices with enough voxels in the mask, each volume smoothed in its planes first.
 
     The ratio sets each slice's difference from the mean of its two neighbours
     against half theirs from one another; NaN where they don't differ, and NaN is no
-    outlier. `values`: the long view to use, such as a smoothed one; neighbours
-    need not be in the mask.
+    outlier. Neighbours need not be in the mask. Whole signals meet their
+    neighbours, so there is one key for each voxel and not for each volume of it.
     """
     axis = "xyz"[o.axis]
-    inside = voxels.where("in_mask").select(*KEY)
-    long = (values if values is not None else long_view(voxels)).select(*KEY, "vol", "value")
-    spread = long.select(*KEY, "vol", F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.col("value").alias("value")) for d in (-1, 0, 1)])).alias("p"))
-    at = spread.withColumn(axis, (F.col(axis) - F.col("p.d")).cast("int"))
-    near = at.groupBy(*KEY, "vol").agg(*[F.max(F.when(F.col("p.d") == d, F.col("p.value"))).alias(n) for d, n in ((-1, "below"), (0, "own"), (1, "above"))])
-    near = near.join(inside, KEY).where("below is not null and own is not null and above is not null")
-    s = near.groupBy("scan_id", "vol", F.col(axis).alias("slice")).agg(
-        F.sum(F.abs(F.col("own") - (F.col("below") + F.col("above")) / 2)).alias("off"), F.sum(F.abs(F.col("above") - F.col("below")) / 2).alias("spread"), F.count(F.lit(1)).alias("n")
-    )
+    smooth = smooth_in_plane(voxels, o.sigma, o.axis)
+    ends = smooth.groupBy("scan_id").agg(F.max(axis).alias("last"))
+    sent = smooth.select(*KEY, "signal", F.explode(F.array(*[F.lit(d) for d in (-1, 0, 1)])).alias("d"))
+    sent = sent.select(*[(F.col(c) - F.col("d")).alias(c) if c == axis else F.col(c) for c in KEY], F.struct("d", "signal").alias("p"))
+    near = sent.groupBy(*KEY).agg(*[F.max(F.when(F.col("p.d") == d, F.col("p.signal"))).alias(n) for d, n in ((-1, "below"), (0, "own"), (1, "above"))])
+    near = near.join(voxels.where("in_mask").select(*KEY), KEY).join(ends, "scan_id").where((F.col(axis) > 0) & (F.col(axis) < F.col("last")))
+    each = near.select("scan_id", F.col(axis).alias("slice"), F.posexplode(F.arrays_zip("below", "own", "above")).alias("vol", "v"))
+    below, own, above = (F.col(f"v.{c}").cast("double") for c in ("below", "own", "above"))
+    s = each.groupBy("scan_id", "vol", "slice").agg(F.sum(F.abs(own - (below + above) / 2)).alias("off"), F.sum(F.abs(above - below) / 2).alias("spread"), F.count(F.lit(1)).alias("n"))
     ratio = F.when(F.col("spread") > 0, F.try_divide("off", "spread")).otherwise(F.lit(NAN))
     s = s.where(F.col("n") >= o.min_voxels).withColumn("ratio", ratio)
     return s.select("scan_id", "vol", "slice", "ratio", (~F.isnan("ratio") & (F.col("ratio") > o.threshold)).alias("outlier"))
 
 
-def fixel_coherence(dti: DataFrame, angle: float = 15.0, drop: float = 0.1) -> DataFrame:
-    """scan_id, coherence, elasticity, n_evaluated, n_agree: whether principal directions agree one step along themselves.
+def _dir(k: int, column: str = "principal_dir") -> Column:
+    return F.get(column, F.lit(k))
+
 
-    dti: key, fa and principal_dir. The lowest `drop` of fractional anisotropies are
-    left out; a voxel counts if the voxel one lattice step along its direction is
-    there; both ends agree within `angle` degrees. Shares are weighted by anisotropy.
+def evaluated(dti: DataFrame, quantile: float) -> DataFrame:
+    """Voxels with a direction whose anisotropy isn't below the scan's `quantile`; adds the cut. Written, as several joins read it."""
+    some = dti.where((F.col("fa") > 0) & (_dir(0) ** 2 + _dir(1) ** 2 + _dir(2) ** 2 > 0)).select(*KEY, "fa", "principal_dir")
+    return checkpointed(some.join(nearest_rank(some, ["scan_id"], "fa", {"cut": quantile}), "scan_id").where("fa >= cut"))
+
+
+def _connected(some: DataFrame, angle: float, voxel_mm: tuple[float, float, float]) -> DataFrame:
+    """some with `agree`: whether the direction one lattice step forward or backward along a voxel's own is within the angle of it."""
+    index = [_dir(k) / voxel_mm[k] for k in range(3)]
+    top = F.greatest(*[F.abs(x) for x in index])
+    step = F.array(*[F.round(x / top).cast("int") for x in index])
+    met = some.select(*KEY, "fa", F.col("principal_dir").alias("own_dir"), step.alias("step"), F.explode(F.array(F.lit(1), F.lit(-1))).alias("way"))
+    met = met.select(*KEY, "fa", "own_dir", *[(F.col(n) + F.col("way") * F.get("step", F.lit(k))).cast("int").alias(f"to_{n}") for k, n in enumerate("xyz")])
+    other = some.select("scan_id", *[F.col(n).alias(f"to_{n}") for n in "xyz"], F.col("principal_dir").alias("to_dir"))
+    cos = F.abs(sum(_dir(k, "own_dir") * _dir(k, "to_dir") for k in range(3)))
+    met = met.join(other, ["scan_id", "to_x", "to_y", "to_z"], "left")
+    return met.groupBy(*KEY).agg(F.first("fa").alias("fa"), F.coalesce(F.bool_or(cos >= math.cos(math.radians(angle))), F.lit(False)).alias("agree"))
+
+
+def fixel_coherence(dti: DataFrame, angle: float = 15.0, quantile: float = 0.1, voxel_mm: tuple[float, float, float] = (1.0, 1.0, 1.0), apart: float = 0.05) -> DataFrame:
+    """scan_id, coherence, elasticity, n_evaluated, n_connected, fa_threshold: whether directions continue one step along themselves.
+
+    dti: key, fa and principal_dir, a unit vector along the voxel axes. Voxels below the
+    `quantile` of anisotropies aren't evaluated. Of those that are, a voxel is connected if the one a lattice step forward or
+    backward agrees within `angle` degrees; coherence is their share by anisotropy. elasticity: its logarithm's slope
+    over that of the threshold, between thresholds `apart` below and above.
     """
-    from lumivox.operators.order_stats import nearest_rank
-
-    some = dti.where("fa > 0")
-    cut = nearest_rank(some, ["scan_id"], "fa", {"cut": drop})
-    some = some.join(F.broadcast(cut), "scan_id").where("fa >= cut")
-    d = [F.get("principal_dir", F.lit(k)) for k in range(3)]
-    # the step goes along the direction scaled so that its largest component is one
-    top = F.greatest(*[F.abs(x) for x in d])
-    step = [F.round(x / top).cast("int") for x in d]
-    ahead = some.select("scan_id", *[(F.col(n) + s).cast("int").alias(n) for n, s in zip("xyz", step)], F.col("fa").alias("w"), F.col("principal_dir").alias("from_dir"))
-    met = ahead.join(some.select(*KEY, F.col("principal_dir").alias("to_dir")), KEY)
-    cos = F.least(F.abs(sum(F.get("from_dir", F.lit(k)) * F.get("to_dir", F.lit(k)) for k in range(3))), F.lit(1.0))
-    met = met.withColumn("cos", cos).withColumn("agree", F.col("cos") >= math.cos(math.radians(angle)))
-    s = met.groupBy("scan_id").agg(F.sum("w").alias("w"), F.sum(F.when(F.col("agree"), F.col("w")).otherwise(0.0)).alias("a"), F.sum(F.col("w") * F.col("cos") ** 2).alias("c"), F.count(F.lit(1)).alias("n_evaluated"), F.count(F.when(F.col("agree"), 1)).alias("n_agree"))
-    return s.select("scan_id", F.try_divide("a", "w").alias("coherence"), F.try_divide("c", "w").alias("elasticity"), "n_evaluated", "n_agree")
-
-
-def _links(dti: DataFrame, angle: float) -> DataFrame:
-    """Mutual best links: each voxel's best-aligned neighbour on either end of its direction, kept where both choose each other."""
-    v = dti.where("fa > 0").select(*KEY, "fa", "principal_dir")
+    some = evaluated(dti, quantile)
+    share = lambda: F.try_divide(F.sum(F.when(F.col("agree"), F.col("fa")).otherwise(0.0)), F.sum("fa"))
+    cuts = some.select("scan_id", "cut").distinct()
+    out = _connected(some, angle, voxel_mm).groupBy("scan_id").agg(share().alias("coherence"), F.count(F.lit(1)).alias("n_evaluated"), F.count(F.when(F.col("agree"), 1)).alias("n_connected"))
+    for name, factor in (("lower", 1 - apart), ("higher", 1 + apart)):
+        part = dti.join(cuts, "scan_id").where((F.col("fa") > 0) & (F.col("fa") >= F.col("cut") * factor))
+        out = out.join(_connected(part, angle, voxel_mm).groupBy("scan_id").agg(share().alias(name)), "scan_id", "left")
+    slope = F.when((F.col("lower") > 0) & (F.col("higher") > 0), (F.log("higher") - F.log("lower")) / math.log((1 + apart) / (1 - apart)))
+    return out.join(cuts, "scan_id").select("scan_id", "coherence", slope.alias("elasticity"), "n_evaluated", "n_connected", F.col("cut").alias("fa_threshold"))
+
+
+def _links(some: DataFrame, by: list[str], angle: float, voxel_mm: tuple[float, float, float]) -> DataFrame:
+    """by, a, b, len: mutual best links; each voxel's best-aligned neighbour on either end of its direction, kept where both choose each other."""
     offsets = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) != (0, 0, 0)]
-    o = F.array(*[F.struct(*[F.lit(c).alias(n) for n, c in zip(("dx", "dy", "dz"), t)], F.lit(math.sqrt(sum(c * c for c in t))).alias("len")) for t in offsets])
-    near = v.withColumn("o", F.explode(o))
-    ahead = sum(F.get("principal_dir", F.lit(k)) * F.col(f"o.{n}") for k, n in enumerate(("dx", "dy", "dz"))) / F.col("o.len")
+    mm = lambda t: [c * m for c, m in zip(t, voxel_mm)]
+    o = F.array(*[F.struct(*[F.lit(c).alias(n) for n, c in zip(("dx", "dy", "dz"), t)], *[F.lit(c).alias(n) for n, c in zip(("mx", "my", "mz"), mm(t))], F.lit(math.sqrt(sum(c * c for c in mm(t)))).alias("len")) for t in offsets])
+    near = some.withColumn("o", F.explode(o))
+    ahead = sum(_dir(k) * F.col(f"o.{n}") for k, n in enumerate(("mx", "my", "mz"))) / F.col("o.len")
     near = near.withColumn("ahead", ahead).where(F.abs("ahead") >= math.cos(math.radians(60)))
-    near = near.select(*KEY, "principal_dir", "ahead", "o.len", *[(F.col(n) + F.col(f"o.d{n}")).cast("int").alias(f"to_{n}") for n in "xyz"])
-    other = v.select("scan_id", *[F.col(n).alias(f"to_{n}") for n in "xyz"], F.col("principal_dir").alias("to_dir"))
-    met = near.join(other, ["scan_id", "to_x", "to_y", "to_z"])
-    cos = F.abs(sum(F.get("principal_dir", F.lit(k)) * F.get("to_dir", F.lit(k)) for k in range(3)))
+    near = near.select(*by, "x", "y", "z", F.col("principal_dir").alias("own_dir"), "ahead", "o.len", *[(F.col(n) + F.col(f"o.d{n}")).cast("int").alias(f"to_{n}") for n in "xyz"])
+    other = some.select(*by, *[F.col(n).alias(f"to_{n}") for n in "xyz"], F.col("principal_dir").alias("to_dir"))
+    met = near.join(other, [*by, "to_x", "to_y", "to_z"])
+    cos = F.abs(sum(_dir(k, "own_dir") * _dir(k, "to_dir") for k in range(3)))
     met = met.withColumn("cos", cos).where(F.col("cos") >= math.cos(math.radians(angle)))
-    ends = met.groupBy(*KEY, (F.col("ahead") > 0).alias("end")).agg(F.max(F.struct(F.col("cos") * F.abs("ahead"), F.struct("to_x", "to_y", "to_z").alias("to"), "len")).alias("best"))
-    chosen = ends.select("scan_id", F.struct("x", "y", "z").alias("a"), F.struct(*[F.col(f"best.to.to_{n}").alias(n) for n in "xyz"]).alias("b"), "best.len")
-    back = chosen.select("scan_id", F.col("b").alias("a"), F.col("a").alias("b"))
-    return chosen.join(back, ["scan_id", "a", "b"]).where("a < b").distinct()
+    ends = met.groupBy(*by, "x", "y", "z", (F.col("ahead") > 0).alias("end")).agg(F.max(F.struct(F.col("cos") * F.abs("ahead"), F.struct("to_x", "to_y", "to_z").alias("to"), "len")).alias("best"))
+    chosen = checkpointed(ends.select(*by, F.struct("x", "y", "z").alias("a"), F.struct(*[F.col(f"best.to.to_{n}").alias(n) for n in "xyz"]).alias("b"), "best.len"))
+    back = chosen.select(*by, F.col("b").alias("a"), F.col("a").alias("b"))
+    return chosen.join(back, [*by, "a", "b"]).where("a < b").distinct()
 
 
-def chain_lengths(dti: DataFrame, voxel_mm: float = 1.0, angle: float = 30.0, long_mm: float = 20.0, rounds: int = 40) -> DataFrame:
-    """scan_id, chain_length (weighted by anisotropy, mm), share_long: chains of voxels that choose each other along their directions.
+def _chains(some: DataFrame, by: list[str], angle: float, voxel_mm: tuple[float, float, float], long_mm: float, rounds: int = 60) -> DataFrame:
+    """by, chain_length, share_long of the chains that the voxels of `some` form.
 
-    Chains are the components of the link graph; least labels spread along links,
-    two links a round, until none changes. Rounds are checkpointed.
+    A voxel's label is one of its chain's voxels. Each round gives every label's own voxel the least label
+    that stands beside it, and every voxel its label's label, so chains of any length settle in a number
+    of rounds that follows the logarithm of their length. Rounds are written; labels that don't settle are an error.
     """
-    links = _links(dti, angle)
-    both = links.select("scan_id", "a", "b").union(links.select("scan_id", F.col("b").alias("a"), F.col("a").alias("b"))).cache()
-    label = dti.where("fa > 0").select("scan_id", F.struct("x", "y", "z").alias("a"), "fa").withColumn("root", F.col("a"))
+    links = checkpointed(_links(some, by, angle, voxel_mm))
+    both = links.select(*by, "a", "b").union(links.select(*by, F.col("b").alias("a"), F.col("a").alias("b")))
+    label = some.select(*by, F.struct("x", "y", "z").alias("a"), "fa").withColumn("root", F.col("a"))
     for _ in range(rounds):
-        reach = both.join(label.select("scan_id", F.col("a").alias("b"), F.col("root").alias("r")), ["scan_id", "b"]).groupBy("scan_id", "a").agg(F.min("r").alias("r"))
-        new = label.join(reach, ["scan_id", "a"], "left").select("scan_id", "a", "fa", F.least("root", F.coalesce("r", "root")).alias("next"), "root")
-        jump = new.select("scan_id", F.col("a").alias("next"), F.col("next").alias("further"))
-        new = new.join(jump, ["scan_id", "next"], "left").select("scan_id", "a", "fa", F.least("next", F.coalesce("further", "next")).alias("next"), "root").checkpoint()
-        changed = new.where("next <> root").isEmpty()
-        label = new.select("scan_id", "a", "fa", F.col("next").alias("root"))
-        if changed:
+        own, other = label.select(*by, "a", F.col("root").alias("ra")), label.select(*by, F.col("a").alias("b"), F.col("root").alias("rb"))
+        met = both.join(own, [*by, "a"]).join(other, [*by, "b"]).where("rb < ra")
+        lower = checkpointed(met.groupBy(*by, F.col("ra").alias("root")).agg(F.min("rb").alias("low")))
+        if lower.isEmpty():
             break
-    length = links.join(label, ["scan_id", "a"]).groupBy("scan_id", "root").agg((F.sum("len") * voxel_mm).alias("mm"))
-    each = label.join(length, ["scan_id", "root"], "left").withColumn("mm", F.coalesce("mm", F.lit(0.0)))
-    return each.groupBy("scan_id").agg((F.sum(F.col("fa") * F.col("mm")) / F.sum("fa")).alias("chain_length"), (F.sum(F.when(F.col("mm") >= long_mm, F.col("fa")).otherwise(0.0)) / F.sum("fa")).alias("share_long"))
+        label = label.join(lower, [*by, "root"], "left").select(*by, "a", "fa", F.coalesce("low", "root").alias("root"))
+        hop = label.select(*by, F.col("a").alias("root"), F.col("root").alias("further"))
+        label = label.join(hop, [*by, "root"], "left").select(*by, "a", "fa", F.least("root", F.coalesce("further", "root")).alias("root"))
+        label = checkpointed(label)
+    else:
+        raise RuntimeError(f"chains did not settle in {rounds} rounds")
+    length = links.join(label, [*by, "a"]).groupBy(*by, "root").agg(F.sum("len").alias("mm"))
+    each = label.join(length, [*by, "root"], "left").withColumn("mm", F.coalesce("mm", F.lit(0.0)))
+    return each.groupBy(*by).agg((F.sum(F.col("fa") * F.col("mm")) / F.sum("fa")).alias("chain_length"), (F.sum(F.when(F.col("mm") >= long_mm, F.col("fa")).otherwise(0.0)) / F.sum("fa")).alias("share_long"))
+
+
+def chain_lengths(dti: DataFrame, voxel_mm: tuple[float, float, float] = (1.0, 1.0, 1.0), angle: float = 15.0, quantile: float = 0.1, long_mm: float = 20.0) -> DataFrame:
+    """scan_id, chain_length (weighted by anisotropy, mm), share_long: chains of voxels that choose each other along their directions.
+
+    Voxels below the `quantile` of anisotropies aren't evaluated; a voxel without a link is a chain of length 0.
+    """
+    return _chains(evaluated(dti, quantile), ["scan_id"], angle, voxel_mm, long_mm)
 
 
 def table_candidates() -> list[tuple[str, tuple[int, int, int], tuple[int, int, int]]]:
-    """The 24 axis permutations and flips that differ beyond a common sign: name, permutation, signs."""
+    """The 24 axis permutations and flips that differ beyond a common sign: name such as 012 or 012fx, permutation, signs."""
     from itertools import permutations
 
-    return [("".join(("+" if s > 0 else "-") + "xyz"[p] for p, s in zip(perm, sign)), perm, sign) for perm in permutations(range(3)) for sign in ((1, 1, 1), (-1, 1, 1), (1, -1, 1), (1, 1, -1))]
+    flips = (("", (1, 1, 1)), ("fx", (-1, 1, 1)), ("fy", (1, -1, 1)), ("fz", (1, 1, -1)))
+    return [("".join(map(str, perm)) + name, perm, sign) for perm in permutations(range(3)) for name, sign in flips]
 
 
-def gradient_table_check(dti: DataFrame, quantile: float = 0.9) -> DataFrame:
-    """scan_id, table, score for the 24 candidates, over voxels of the top anisotropies: the coherence that each candidate's directions have."""
-    from lumivox.operators.order_stats import nearest_rank
+CURRENT = "012"
 
-    cut = nearest_rank(dti.where("fa > 0"), ["scan_id"], "fa", {"cut": quantile})
-    some = dti.join(F.broadcast(cut), "scan_id").where("fa >= cut")
+
+def gradient_table_check(dti: DataFrame, voxel_mm: tuple[float, float, float] = (1.0, 1.0, 1.0), angle: float = 15.0, quantile: float = 0.9) -> DataFrame:
+    """scan_id, table, score for the 24 candidates: the mean chain length that each candidate's directions give, over voxels of the top anisotropies."""
     tables = F.array(*[F.struct(F.lit(n).alias("table"), F.array(*[F.lit(p) for p in perm]).alias("p"), F.array(*[F.lit(float(s)) for s in sign]).alias("s")) for n, perm, sign in table_candidates()])
-    each = some.withColumn("t", F.explode(tables))
+    each = evaluated(dti, quantile).withColumn("t", F.explode(tables))
     turned = F.transform(F.col("t.p"), lambda p, k: F.get("principal_dir", p) * F.get(F.col("t.s"), k))
-    each = each.select(F.concat_ws("|", "scan_id", "t.table").alias("scan_id"), "x", "y", "z", "fa", turned.alias("principal_dir"))
-    score = fixel_coherence(each, drop=0.0)
-    return score.select(F.split_part("scan_id", F.lit("|"), F.lit(1)).alias("scan_id"), F.split_part("scan_id", F.lit("|"), F.lit(2)).alias("table"), F.col("coherence").alias("score"))
+    each = each.select(*KEY, "t.table", "fa", turned.alias("principal_dir"))
+    return _chains(checkpointed(each), ["scan_id", "table"], angle, voxel_mm, 20.0).select("scan_id", "table", F.col("chain_length").alias("score"))
+
+
+def table_ratio(scores: DataFrame) -> DataFrame:
+    """scan_id, best, current_is_best, gradient_table_ratio from gradient_table_check's rows; at equal scores the current table is the best."""
+    order = F.struct("score", (F.col("table") == CURRENT).alias("now"), "table")
+    best = scores.groupBy("scan_id").agg(F.max(order).alias("b"), F.max(F.when(F.col("table") == CURRENT, F.col("score"))).alias("now"))
+    return best.select("scan_id", F.col("b.table").alias("best"), (F.col("b.table") == CURRENT).alias("current_is_best"), F.when(F.col("now") > 0, F.col("b.score") / F.col("now")).alias("gradient_table_ratio"))
 
 
 def warnings(row: DataFrame) -> DataFrame:
@@ -267,19 +330,26 @@ COLUMNS = {
 
 def assess(voxels: DataFrame, gradient: DataFrame, voxel_mm: tuple[float, float, float] = (1.0, 1.0, 1.0), dti: DataFrame | None = None, o: SliceOptions = SliceOptions()) -> DataFrame:
     """One row per scan with COLUMNS; those that need a tensor fit are null without one."""
-    inside = voxels.where("in_mask")
     shape = voxels.groupBy("scan_id").agg(*[(F.max(a) + 1).cast("double").alias(f"dimension_{a}") for a in "xyz"])
     size = shape.withColumns({f"voxel_size_{a}": F.lit(float(m)) for a, m in zip("xyz", voxel_mm)})
     counts = gradient.groupBy("scan_id").agg(F.max("bval").alias("max_b"), F.count(F.when(F.col("bval") > 50, 1)).cast("double").alias("n_dwi_volumes"), F.count(F.when(F.col("bval") <= 50, 1)).cast("double").alias("n_b0_volumes"))
-    out = size.join(counts, "scan_id", "left")
-    for v, suffix in ((voxels, ""), (inside, "_masked")):
-        out = out.join(ndc(v, gradient).withColumnRenamed("ndc", f"ndc{suffix}"), "scan_id", "left")
-        out = out.join(contrast_ratio(v, gradient).withColumnRenamed("contrast_ratio", f"dwi_contrast_ratio{suffix}"), "scan_id", "left")
+    r = correlation_report(voxels, gradient)
+    r = r.withColumnsRenamed({"contrast_ratio": "dwi_contrast_ratio", "contrast_ratio_masked": "dwi_contrast_ratio_masked"})
     slices = outlier_slices(voxels, o).groupBy("scan_id").agg(F.count(F.when(F.col("outlier"), 1)).cast("double").alias("n_outlier_slices"))
-    out = out.join(slices, "scan_id", "left")
+    out = size.join(counts, "scan_id", "left").join(r, "scan_id", "left").join(slices, "scan_id", "left").withColumn("n_outlier_slices", F.coalesce("n_outlier_slices", F.lit(0.0)))
     if dti is not None:
-        table = gradient_table_check(dti).groupBy("scan_id").agg(F.try_divide(F.max("score"), F.max(F.when(F.col("table") == "+x+y+z", F.col("score")))).alias("gradient_table_ratio"))
-        out = out.join(fixel_coherence(dti).select("scan_id", F.col("coherence").alias("fixel_coherence")), "scan_id", "left")
-        out = out.join(chain_lengths(dti, voxel_mm[0]).select("scan_id", F.col("chain_length").alias("fixel_chain_length")), "scan_id", "left").join(table, "scan_id", "left")
+        out = out.join(fixel_coherence(dti, voxel_mm=voxel_mm).select("scan_id", F.col("coherence").alias("fixel_coherence")), "scan_id", "left")
+        out = out.join(chain_lengths(dti, voxel_mm).select("scan_id", F.col("chain_length").alias("fixel_chain_length")), "scan_id", "left")
+        out = out.join(table_ratio(gradient_table_check(dti, voxel_mm)).select("scan_id", "gradient_table_ratio"), "scan_id", "left")
     missing = {c: F.lit(None).cast("double") for c in COLUMNS if c not in out.columns}
     return out.withColumns(missing).select("scan_id", *COLUMNS)
+
+
+def input_quality(voxels: DataFrame, gradient: DataFrame) -> DataFrame:
+    """scan_id, ndc, dwi_contrast, summary, warnings within the mask: what a fit says about its input before it starts."""
+    r = correlation_report(voxels.where("in_mask"), gradient, masked=False).select("scan_id", "ndc", F.col("contrast_ratio").alias("dwi_contrast"))
+    shown = lambda c: F.coalesce(F.format_string("%.3f", F.col(c)), F.lit("n/a"))
+    grade = F.when(F.col("dwi_contrast").isNull(), "").otherwise(F.concat(F.lit(" ("), contrast_grade(F.col("dwi_contrast")), F.lit(")")))
+    low = lambda c, t: F.coalesce(F.isnan(c) | (F.col(c) < t), F.lit(False))
+    said = F.filter(F.array(F.when(low("ndc", 0.4), "low neighbour correlation"), F.when(low("dwi_contrast", 1.1), "low contrast between directions")), lambda w: w.isNotNull())
+    return r.select("scan_id", "ndc", "dwi_contrast", F.concat(F.lit("NDC "), shown("ndc"), F.lit(", DWI contrast "), shown("dwi_contrast"), grade).alias("summary"), said.alias("warnings"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumivox.functions import numeric as N
+from lumivox.functions.storage import checkpointed
 from lumivox.operators import order_stats as O
 from lumivox.operators import solvers
 from lumivox.operators.models import map_rows
@@ -18,7 +19,7 @@ NAN = float("nan")
 
 
 def decay_metric(groups: list[tuple[float, list[int]]]) -> Column:
-    """Mean over weighted volumes of ln(S0 / Sb) by shell means of samples raised to 0; NaN where a mean isn't positive."""
+    """Mean over weighted volumes of ln(S0 / Sb) by shell means of samples raised to 0; NaN where a mean or the metric isn't positive."""
     mean = lambda vols: sum((F.greatest(F.get("signal", F.lit(v)).cast("double"), F.lit(0.0)) for v in vols), F.lit(0.0)) / float(len(vols))
     s0 = next(mean(v) for b, v in groups if b == 0)
     weighted = [(mean(v), len(v)) for b, v in groups if b > 0]
@@ -26,7 +27,7 @@ def decay_metric(groups: list[tuple[float, list[int]]]) -> Column:
     fine = s0 > 0
     for m, _ in weighted:
         fine &= m > 0
-    return F.when(fine, total).otherwise(F.lit(NAN))
+    return F.when(fine & (total > 0), total).otherwise(F.lit(NAN))
 
 
 @dataclass(frozen=True)
@@ -53,40 +54,53 @@ def select_staged(voxels: DataFrame, dti: DataFrame, groups: list[tuple[float, l
     """Tissue by decay and anisotropy: crude classes, splits at optimal thresholds, then the extremes of each.
 
     One scan at a time: thresholds are global to it. Each stage is a filter with
-    a few numbers from aggregates; voxels stay distributed.
+    a few numbers from aggregates; voxels stay distributed. A stage that leaves no voxel is an error.
     """
-    counts: dict[str, int] = {"mask": voxels.where("in_mask").count()}
-    safe = erode(voxels, o.erosions)
-    metric = gather(voxels, safe).withColumn("sdm", decay_metric(groups)).where(is_finite(F.col("sdm")) & (F.col("sdm") <= o.metric_cap))
-    f = metric.select(*KEY, "sdm").join(dti.select(*KEY, F.col("fa").cast("double").alias("fa")), KEY).withColumn("in_mask", F.lit(True)).persist()
-    counts["safe"] = f.count()
-
-    def split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-        t = O.optimal_threshold(df, "sdm")
-        return (df, df.limit(0)) if t is None else (df.where(F.col("sdm") >= t), df.where(F.col("sdm") < t))
-
-    crude_wm, rest = f.where(F.col("fa") > o.fa), f.where(F.col("fa") <= o.fa)
-    crude_csf, crude_gm = split(rest)
-    counts |= {"crude_wm": crude_wm.count(), "crude_gm": crude_gm.count(), "crude_csf": crude_csf.count()}
-    median = crude_wm.agg(F.median("sdm")).first()[0]
-    spread = crude_wm.agg(F.median(F.abs(F.col("sdm") - F.lit(median)))).first()[0] if median is not None else None
-    limit = (median or 0.0) + 2 * 1.4826 * (spread or 0.0)
-    wm, outliers = crude_wm.where(F.col("sdm") <= limit), crude_wm.where(F.col("sdm") > limit)
-    upper, lower = (crude_gm.where(F.col("sdm") >= m) if k == 0 else crude_gm.where(F.col("sdm") < m) for k, m in enumerate([crude_gm.agg(F.median("sdm")).first()[0] or 0.0] * 2))
-    gm = split(upper)[1].union(split(lower)[0])
+    counts: dict[str, int] = {}
+
+    def left(name: str, df: DataFrame) -> DataFrame:
+        counts[name] = df.count()
+        if not counts[name]:
+            raise ValueError(f"tissue selection: no voxel is left as {name}")
+        return df
+
+    def middle(df: DataFrame, value: str = "sdm") -> float:
+        return O.averaging_median(df.withColumn("_all", F.lit(1)), ["_all"], value).first().median
+
+    left("mask", voxels.where("in_mask"))
+    eroded = left("eroded", erode(voxels, o.erosions))
+    metric = gather(voxels, eroded).withColumn("sdm", decay_metric(groups)).where(is_finite(F.col("sdm")))
+    metric = metric.select(*KEY, F.least("sdm", F.lit(o.metric_cap)).alias("sdm"))
+    f = left("safe", checkpointed(metric.join(dti.select(*KEY, F.col("fa").cast("double").alias("fa")), KEY).withColumn("in_mask", F.lit(True))))
+    crude_wm, rest = left("crude_wm", f.where(F.col("fa") > o.fa)), left("crude_rest", f.where(~(F.col("fa") > o.fa)))
+    t, centre = O.optimal_threshold(rest, "sdm", middle(rest)), middle(rest)
+    if t is None:
+        raise ValueError("tissue selection: the decay metric is constant outside white matter")
+    crude_csf, crude_gm = left("crude_csf", rest.where(F.col("sdm") - centre >= t)), left("crude_gm", rest.where(F.col("sdm") - centre < t))
+    centre = middle(crude_wm)
+    spread = middle(crude_wm.withColumn("off", F.abs(F.col("sdm") - centre)), "off")
+    limit = centre + 2 * 1.4826 * spread
+    wm, outliers = left("wm", crude_wm.where(F.col("sdm") <= limit)), crude_wm.where(F.col("sdm") > limit)
+    # of each side of the median the half next to it; the lower side is turned about
+    centre, halves = middle(crude_gm), []
+    for side, sign in ((crude_gm.where(F.col("sdm") > centre), 1.0), (crude_gm.where(F.col("sdm") <= centre), -1.0)):
+        side = side.withColumn("off", sign * (F.col("sdm") - centre))
+        halves.append((side if side.isEmpty() else O.threshold_select(side, "off", below=True)).drop("off"))
+    gm = left("gm", halves[0].union(halves[1]))
     least = crude_csf.agg(F.min("sdm")).first()[0]
-    csf = split(crude_csf.union(outliers.where(F.col("sdm") > (least if least is not None else float("inf")))))[0]
-    counts |= {"wm": wm.count(), "gm": gm.count(), "csf": csf.count()}
-
-    def share(n: int, percent: float) -> int:
-        return max(1, round(n * percent / 100))  # half to even, one at least
-
-    centre = gm.agg(F.median("sdm")).first()[0] or 0.0
-    near = gm.withColumn("off", F.abs(F.col("sdm") - F.lit(centre)) + 1e-12)
-    best_wm = O.top_n(wm, ["scan_id"], "fa", share(counts["wm"], o.wm_percent))
-    best_gm = O.bottom_n(near, ["scan_id"], "off", share(counts["gm"], o.gm_percent)).drop("off")
-    best_csf = O.top_n(csf, ["scan_id"], "sdm", share(counts["csf"], o.csf_percent))
-    counts |= {"best_wm": best_wm.count(), "best_gm": best_gm.count(), "best_csf": best_csf.count()}
+    csf = left("csf", O.threshold_select(crude_csf.union(outliers.where(F.col("sdm") > least)), "sdm", least))
+
+    def share(name: str, percent: float) -> int:
+        n = round(counts[name] * percent / 100)  # half to even
+        if not n:
+            raise ValueError(f"tissue selection: {percent}% of {counts[name]} {name} voxels round to none")
+        return n
+
+    centre = middle(gm)
+    near = gm.withColumn("off", F.abs(F.col("sdm") - centre) + 1.0)  # never 0, which a selection leaves out
+    best_wm = left("best_wm", O.top_n(wm, ["scan_id"], "fa", share("wm", o.wm_percent)))
+    best_gm = left("best_gm", O.bottom_n(near, ["scan_id"], "off", share("gm", o.gm_percent)).drop("off"))
+    best_csf = left("best_csf", O.top_n(csf, ["scan_id"], "sdm", share("csf", o.csf_percent)))
     return Selection(best_wm, best_gm, best_csf, counts)
 
 
@@ -98,7 +112,7 @@ def classify_by_threshold(dti: DataFrame, fa: float = 0.7, dominance: float = 2.
     some = without_degenerate(dti).withColumn("_md", F.col("md").cast("double"))
     cut = O.nearest_rank(some, ["scan_id"], "_md", {"cut": 1 - md_percent / 100})
     kind = F.when(F.col("_md") > F.col("cut"), "csf").when((F.col("fa") > fa) & (fiber_dominance(F.col("evals")) > dominance), "wm").otherwise("gm")
-    return some.join(F.broadcast(cut), "scan_id").withColumn("tissue", kind).drop("_md", "cut")
+    return some.join(cut, "scan_id").withColumn("tissue", kind).drop("_md", "cut")
 
 
 def isotropic_response(selected: DataFrame, groups: list[tuple[float, list[int]]], tissue: str) -> DataFrame:
@@ -128,12 +142,13 @@ def wm_response(selected: DataFrame, groups: list[tuple[float, list[int]]], dire
 
     def fit(s: np.ndarray, d: np.ndarray) -> dict[str, np.ndarray]:
         out = np.zeros((len(s), len(groups), width))
-        for k in range(len(s)):
-            for i, (b, vols) in enumerate(groups):
-                if b == 0:
-                    out[k, i, 0] = s[k, vols].mean() * np.sqrt(4 * np.pi)
-                else:
-                    out[k, i] = zonal_fit(np.abs(directions[vols] @ d[k]), s[k, vols], lmax)
+        for i, (b, vols) in enumerate(groups):
+            if b == 0:
+                out[:, i, 0] = s[:, vols].mean(1) * np.sqrt(4 * np.pi)
+            else:
+                cos = np.abs(d @ directions[vols].T)
+                design = np.stack([np.sqrt((2 * l + 1) / (4 * np.pi)) * N.legendre(l, 0, cos) for l in range(0, lmax + 1, 2)], axis=2)
+                out[:, i] = (np.linalg.pinv(design) @ s[:, vols, None])[:, :, 0]
         return {"rows": out.reshape(len(s), -1)}
 
     flat = map_rows(selected, ["signal", "principal_dir"], fit, "rows array<double>")
@@ -349,13 +364,13 @@ def pool_faults(responses: DataFrame) -> DataFrame:
 
 
 def multipliers(responses: DataFrame, legacy: bool = False) -> DataFrame:
-    """scan_id, tissue, multiplier: the geometric mean over positive rows of the group's mean first coefficient over the own one."""
+    """scan_id, tissue, multiplier: the geometric mean over positive rows of the group's mean first coefficient over the own one; 1 without such a row."""
     if legacy:
         return responses.select("scan_id", "tissue").distinct().withColumn("multiplier", F.lit(1.0))
     first = responses.select("scan_id", "tissue", "row", F.get("coeffs", F.lit(0)).alias("c"))
     mean = first.groupBy("tissue", "row").agg(F.avg("c").alias("mean"))
-    both = first.join(mean, ["tissue", "row"]).where("c > 0 and mean > 0")
-    return both.groupBy("scan_id", "tissue").agg(F.exp(F.avg(F.ln(F.col("mean") / F.col("c")))).alias("multiplier"))
+    ratio = F.when((F.col("c") > 0) & (F.col("mean") > 0), F.ln(F.col("mean") / F.col("c")))
+    return first.join(mean, ["tissue", "row"]).groupBy("scan_id", "tissue").agg(F.coalesce(F.exp(F.avg(ratio)), F.lit(1.0)).alias("multiplier"))
 
 
 def pool(responses: DataFrame, statistic: str = "mean", legacy: bool = False) -> DataFrame:

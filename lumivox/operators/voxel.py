@@ -36,7 +36,7 @@ def fallback_mask(voxels: DataFrame, bvals: list[float], threshold: float = B0_T
     """in_mask set where the mean unweighted signal is above `share` of the scan's largest one."""
     b0 = voxels.withColumn("b0", mean_b0(bvals, threshold).cast("double"))
     top = b0.groupBy("scan_id").agg(F.max("b0").alias("top"))
-    return b0.join(F.broadcast(top), "scan_id").withColumn("in_mask", F.col("b0") > share * F.col("top")).drop("top")
+    return b0.join(top, "scan_id").withColumn("in_mask", F.col("b0") > share * F.col("top")).drop("top")
 
 
 def any_nonzero(coef: Column) -> Column:

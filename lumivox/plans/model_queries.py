@@ -123,13 +123,10 @@ def fixel_amplitudes(spark, d):
 
 
 @query()
-def coherence(spark, d):
-    return qc.fixel_coherence(models.fit_tensor(S.voxels(spark, d), BVALS, DIRS)).select("scan_id", *[F.round(c, 5).alias(c) for c in ("coherence", "elasticity")], "n_evaluated", "n_agree")
-
-
-@query()
-def gradient_table_check(spark, d):
-    return qc.gradient_table_check(models.fit_tensor(S.voxels(spark, d), BVALS, DIRS)).select("table", F.round("score", 5).alias("score"))
+def fitted_coherence(spark, d):
+    """The whole chain from signals to the report's direction columns."""
+    dti = models.fit_tensor(S.voxels(spark, d), BVALS, DIRS)
+    return qc.fixel_coherence(dti).select("scan_id", F.round("coherence", 5).alias("coherence"), "n_evaluated", "n_connected")
 
 
 _SHELL_SQL = ", ".join(f"avg(greatest(s, 0)) FILTER (vol IN ({', '.join(map(str, v))})) AS m{k}" for k, (_, v) in enumerate(GROUPS))
@@ -143,7 +140,7 @@ def decay_metric(spark, d):
 @query()
 def staged_selection(spark, d):
     v = S.voxels(spark, d)
-    s = tissue.select_staged(v, models.fit_tensor(v, BVALS, DIRS), GROUPS, tissue.StagedOptions(erosions=1, fa=0.05))
+    s = tissue.select_staged(v, models.fit_tensor(v, BVALS, DIRS), GROUPS, tissue.StagedOptions(erosions=1, fa=0.05, wm_percent=20, gm_percent=20, csf_percent=50))
     return spark.createDataFrame(list(s.counts.items()), "stage string, voxels long")
 
 
@@ -212,16 +209,21 @@ def response_deviation(spark, d):
 
 @query()
 def smooth_response(spark, d):
-    s = tissue.pooled_samples(S.voxels(spark, d).where("label = 5"), BVALS, None, 1.0)
-    rows = tissue.smooth_rows(s, 3000.0, 0, 250.0)
-    return spark.createDataFrame([(k, float(round(r[0], 3))) for k, r in enumerate(rows)], "row int, c double")
+    out = []
+    for label in (3, 5, 8):
+        rows = tissue.smooth_rows(tissue.pooled_samples(S.voxels(spark, d).where(F.col("label") == label), BVALS, None, 1.0), 3000.0, 0, 250.0)
+        out += [(label, k, float(round(r[0], 3))) for k, r in enumerate(rows)]
+    return spark.createDataFrame(out, "label int, row int, c double")
 
 
 @query()
 def kurtosis_response(spark, d):
-    s = tissue.pooled_samples(S.voxels(spark, d).where("label = 5"), BVALS, None, 1.0).groupBy("b").agg(F.avg("y").alias("y")).orderBy("b").collect()
-    f = tissue.fit_kurtosis(np.array([r.b for r in s]), np.ones(len(s)), np.array([r.y for r in s]), isotropic=True)
-    return spark.createDataFrame([(k, float(round(v, 3))) for k, v in enumerate(f.signal(np.arange(0, 3001, 500), np.ones(7)))], "k int, signal double")
+    out = []
+    for label in (3, 5, 8):
+        s = tissue.pooled_samples(S.voxels(spark, d).where(F.col("label") == label), BVALS, None, 1.0).groupBy("b").agg(F.avg("y").alias("y")).orderBy("b").collect()
+        f = tissue.fit_kurtosis(np.array([r.b for r in s]), np.ones(len(s)), np.array([r.y for r in s]), isotropic=True)
+        out += [(label, k, float(round(v, 3))) for k, v in enumerate(f.signal(np.arange(0, 3001, 500), np.ones(7)))]
+    return spark.createDataFrame(out, "label int, k int, signal double")
 
 
 @query()
@@ -254,5 +256,5 @@ def dense_b(spark, d):
 def normalised(spark, d):
     v = S.voxels(spark, d)
     t = v.select(*V.KEY, F.lit(True).alias("in_mask"), *[F.get("signal", F.lit(k)).alias(c) for k, c in ((0, "wm0"), (1, "gm"), (2, "csf"))])
-    n = decon.normalise(t, ["wm0", "gm", "csf"], shape(v), decon.NormaliseOptions(order=1, rounds=2, inner=2))
+    n = decon.normalise(t, ["wm0", "gm", "csf"], shape(v))
     return n.select(*XYZ, F.round("field", 4).alias("field"), F.round("wm0", 4).alias("wm0"))

@@ -45,7 +45,7 @@ def single_shell(voxels: DataFrame, bvals: np.ndarray, directions: np.ndarray, s
     """Responses from the scan, deconvolution, normalisation."""
     groups = N.shells(list(bvals))
     dti = models.fit_tensor(voxels, bvals, directions).persist()
-    selection = selection or tissue.select_staged(voxels, dti, N.merge_small_shells(groups))
+    selection = selection or tissue.select_staged(voxels, dti, N.merge_small_shells(N.shells(list(bvals), 100.0)))
     responses = shell_responses(selection, voxels, dti, groups, directions)
     fits = decon.fit_single_shell(voxels, bvals, directions, responses, o).withColumn("wm0", F.get("wm", F.lit(0))).withColumn("in_mask", F.lit(True))
     return Run(decon.normalise(fits, ["wm0", "gm", "csf"], shape, n), responses, dti, selection.counts)
@@ -78,12 +78,12 @@ def dense(voxels: DataFrame, bvals: np.ndarray, directions: np.ndarray, shape: t
     """The same along a dense b axis, with the reference unweighted signal and the floor corrected."""
     groups = N.shells(list(bvals))
     dti = models.fit_tensor(voxels, bvals, directions).persist()
-    selection = selection or tissue.select_staged(voxels, dti, N.merge_small_shells(groups))
+    selection = selection or tissue.select_staged(voxels, dti, N.merge_small_shells(N.shells(list(bvals), 100.0)))
     responses = dense_responses(selection, voxels, dti, bvals, directions, estimator or tissue.choose_estimator(None, interpolate=o.interpolate), o.lmax, o.step)
     fits = decon.fit_dense(voxels, bvals, directions, responses, o).withColumn("wm0", F.get("wm", F.lit(0))).withColumn("in_mask", F.lit(True))
     level = decon.normalise(fits, ["wm0", "gm", "csf"], shape, n)
-    share = F.try_divide(F.col("wm0"), F.col("wm0") + (F.col("gm") + F.col("csf")) * decon.SQRT4PI)
-    ref = decon.reference_b0(voxels, bvals, [selection.wm, fits.where(share >= 0.7)])
+    total = F.col("wm0") + F.col("gm") + F.col("csf")
+    ref = decon.reference_b0(voxels, bvals, [selection.wm, fits.where((total > 1e-9) & (F.col("wm0") / total >= 0.7))])
     return Run(decon.floor_corrected(level), responses, dti, selection.counts | {"reference_b0": ref})
 
 

@@ -137,30 +137,111 @@ def ndc_masked(spark, d):
     return qc.ndc(V.masked(S.voxels(spark, d)), S.gradient(spark)).select("scan_id", *r6("ndc"))
 
 
-@query(CORR_SQL.format(mask="true") + "SELECT round(avg(r) FILTER (kind = 'near') / avg(r) FILTER (kind = 'contrast'), 6) AS contrast_ratio, CASE WHEN avg(r) FILTER (kind = 'near') / avg(r) FILTER (kind = 'contrast') < 1.1 THEN 'poor' ELSE 'other' END AS grade FROM c")
+@query(CORR_SQL.format(mask="true") + "SELECT round(avg(r) FILTER (kind = 'near') / avg(r) FILTER (kind = 'contrast'), 6) AS contrast_ratio, CASE WHEN avg(r) FILTER (kind = 'near') / avg(r) FILTER (kind = 'contrast') < 1.1 THEN 'poor' WHEN avg(r) FILTER (kind = 'near') / avg(r) FILTER (kind = 'contrast') <= 1.3 THEN 'fair' ELSE 'good' END AS grade FROM c")
 def contrast_ratio(spark, d):
     r = qc.contrast_ratio(S.voxels(spark, d), S.gradient(spark))
-    return r.select(*r6("contrast_ratio"), F.when(qc.contrast_grade(F.col("contrast_ratio")) == "poor", "poor").otherwise("other").alias("grade"))
+    return r.select(*r6("contrast_ratio"), qc.contrast_grade(F.col("contrast_ratio")).alias("grade"))
 
 
-@query(""", k AS (SELECT vol, z, sum(abs(s - (b + a) / 2)) AS off, sum(abs(a - b) / 2) AS spread, count(*) AS n FROM
- (SELECT o.vol, o.z, o.s, b.s AS b, a.s AS a FROM long o JOIN long b ON o.x = b.x AND o.y = b.y AND o.vol = b.vol AND b.z = o.z - 1 JOIN long a ON o.x = a.x AND o.y = a.y AND o.vol = a.vol AND a.z = o.z + 1 WHERE o.in_mask) GROUP BY ALL)
-SELECT vol, z AS slice, round(off / spread, 6) AS ratio, off / spread > 2.5 AS outlier FROM k WHERE n >= 80""")
+#: sm: the long view smoothed in planes, single precision after either axis.
+_AT = "CASE WHEN ((n.i + w.d) % 20 + 20) % 20 < 10 THEN ((n.i + w.d) % 20 + 20) % 20 ELSE 19 - ((n.i + w.d) % 20 + 20) % 20 END"
+SMOOTH_SQL = f""", w AS (SELECT i - 8 AS d, exp(-((i - 8) ** 2) / 8.0) / (SELECT sum(exp(-((k - 8) ** 2) / 8.0)) FROM range(17) u(k)) AS w FROM range(17) t(i)),
+sx AS (SELECT CAST(n.i AS INTEGER) AS x, p.y, p.z, p.vol, CAST(sum(CAST(p.s AS FLOAT)::DOUBLE * w.w) AS FLOAT) AS s FROM range(10) n(i) JOIN w ON true JOIN long p ON p.x = {_AT} GROUP BY ALL),
+sm AS (SELECT p.x, CAST(n.i AS INTEGER) AS y, p.z, p.vol, CAST(sum(p.s::DOUBLE * w.w) AS FLOAT)::DOUBLE AS s FROM range(10) n(i) JOIN w ON true JOIN sx p ON p.y = {_AT} GROUP BY ALL)
+"""
+SLICES_SQL = SMOOTH_SQL + """, k AS (SELECT vol, z, sum(abs(s - (b + a) / 2)) AS off, sum(abs(a - b) / 2) AS spread, count(*) AS n FROM
+ (SELECT o.vol, o.z, o.s, b.s AS b, a.s AS a FROM sm o JOIN v USING (x, y, z) JOIN sm b ON o.x = b.x AND o.y = b.y AND o.vol = b.vol AND b.z = o.z - 1 JOIN sm a ON o.x = a.x AND o.y = a.y AND o.vol = a.vol AND a.z = o.z + 1 WHERE v.in_mask) GROUP BY ALL)
+"""
+
+
+@query(SLICES_SQL + "SELECT vol, z AS slice, round(off / spread, 4) AS ratio, off / spread > 2.5 AS outlier FROM k WHERE n >= 80")
 def outlier_slices(spark, d):
-    return qc.outlier_slices(S.voxels(spark, d), qc.SliceOptions(min_voxels=80)).select("vol", "slice", *r6("ratio"), "outlier")
+    return qc.outlier_slices(S.voxels(spark, d), qc.SliceOptions(min_voxels=80)).select("vol", "slice", F.round("ratio", 4).alias("ratio"), "outlier")
 
 
-@query(""", w AS (SELECT i - 8 AS d, exp(-((i - 8) ** 2) / 8.0) / (SELECT sum(exp(-((k - 8) ** 2) / 8.0)) FROM range(17) u(k)) AS w FROM range(17) t(i)),
-a AS (SELECT p.y, p.z, n.i AS x, CAST(sum(p.s * w.w) AS FLOAT) AS s FROM range(10) n(i), w, long p WHERE p.vol = 3 AND p.x = CASE WHEN ((n.i + w.d) % 20 + 20) % 20 < 10 THEN ((n.i + w.d) % 20 + 20) % 20 ELSE 19 - ((n.i + w.d) % 20 + 20) % 20 END GROUP BY ALL)
-SELECT CAST(p.x AS INTEGER) AS x, CAST(n.i AS INTEGER) AS y, p.z, round(sum(p.s * w.w), 2) AS value FROM range(10) n(i), w, a p WHERE p.y = CASE WHEN ((n.i + w.d) % 20 + 20) % 20 < 10 THEN ((n.i + w.d) % 20 + 20) % 20 ELSE 19 - ((n.i + w.d) % 20 + 20) % 20 END GROUP BY ALL""")
+@query(SMOOTH_SQL + "SELECT x, y, z, vol, round(s, 2) AS value FROM sm")
 def smooth_in_plane(spark, d):
-    v = V.long_view(S.voxels(spark, d)).where("vol = 3").select(*V.KEY, "vol", "value")
-    return qc.smooth_in_plane(v, 2.0, 2, (10, 10, 5)).select("x", "y", "z", F.round(F.col("value").cast("double"), 2).alias("value"))
+    v = qc.smooth_in_plane(S.voxels(spark, d), 2.0).select("x", "y", "z", F.posexplode("signal").alias("vol", "value"))
+    return v.withColumn("value", F.round(F.col("value").cast("double"), 2))
+
+
+#: dti: planted directions that circle about the z axis, bent by the embedding, and their anisotropies.
+DTI_SQL = """, dti0 AS (SELECT CAST(vec_id % 10 AS INTEGER) AS x, CAST(vec_id // 10 % 10 AS INTEGER) AS y, CAST(vec_id // 100 AS INTEGER) AS z, 0.2::DOUBLE + 0.05::DOUBLE * label + 0.001::DOUBLE * embedding[4]::DOUBLE AS fa,
+  4.5::DOUBLE - (vec_id // 10 % 10) + 0.3::DOUBLE * embedding[1]::DOUBLE AS a, (vec_id % 10) - 4.5::DOUBLE + 0.3::DOUBLE * embedding[2]::DOUBLE AS b, 0.3::DOUBLE * embedding[3]::DOUBLE AS c FROM embeddings),
+dti AS (SELECT x, y, z, fa, a / sqrt(a * a + b * b + c * c) AS d1, b / sqrt(a * a + b * b + c * c) AS d2, c / sqrt(a * a + b * b + c * c) AS d3 FROM dti0 WHERE fa > 0),
+cut AS (SELECT list(fa ORDER BY fa)[CAST(round((count(*) - 1) * 0.1) AS BIGINT) + 1] AS low, list(fa ORDER BY fa)[CAST(round((count(*) - 1) * 0.9) AS BIGINT) + 1] AS high FROM dti)
+"""
+COHERENCE_SQL = DTI_SQL + """, ev AS (SELECT dti.* FROM dti, cut WHERE fa >= low),
+st AS (SELECT *, greatest(abs(d1), abs(d2), abs(d3)) AS top FROM ev),
+way AS (SELECT st.*, st.x + w.w * CAST(round(d1 / top) AS INTEGER) AS tx, st.y + w.w * CAST(round(d2 / top) AS INTEGER) AS ty, st.z + w.w * CAST(round(d3 / top) AS INTEGER) AS tz FROM st, (VALUES (1), (-1)) w(w)),
+co AS (SELECT way.x, way.y, way.z, any_value(way.fa) AS fa, coalesce(bool_or(abs(way.d1 * o.d1 + way.d2 * o.d2 + way.d3 * o.d3) >= cos(radians(15))), false) AS agree FROM way LEFT JOIN ev o ON o.x = tx AND o.y = ty AND o.z = tz GROUP BY ALL)
+"""
+
+
+def chains_sql(source: str) -> str:
+    """CTEs from `source` (t, x, y, z, fa, d1, d2, d3) to cl (t, chain_length): mutual best links, and what each voxel reaches along them."""
+    return f""", of AS (SELECT a.v AS dx, b.v AS dy, c.v AS dz, sqrt(a.v * a.v + b.v * b.v + c.v * c.v) AS len FROM (VALUES (-1), (0), (1)) a(v), (VALUES (-1), (0), (1)) b(v), (VALUES (-1), (0), (1)) c(v) WHERE a.v <> 0 OR b.v <> 0 OR c.v <> 0),
+ah AS (SELECT f.*, f.x + dx AS tx, f.y + dy AS ty, f.z + dz AS tz, len, (d1 * dx + d2 * dy + d3 * dz) / len AS ahead FROM {source} f, of),
+me AS (SELECT ah.t, ah.x, ah.y, ah.z, ahead, tx, ty, tz, len, abs(ah.d1 * o.d1 + ah.d2 * o.d2 + ah.d3 * o.d3) AS c FROM ah JOIN {source} o ON o.t = ah.t AND o.x = tx AND o.y = ty AND o.z = tz WHERE abs(ahead) >= cos(radians(60))),
+en AS (SELECT t, (x, y, z) AS a, arg_max((tx, ty, tz), (c * abs(ahead), tx, ty, tz)) AS b, arg_max(len, (c * abs(ahead), tx, ty, tz)) AS len FROM me WHERE c >= cos(radians(15)) GROUP BY t, x, y, z, ahead > 0),
+li AS (SELECT DISTINCT p.t, p.a, p.b, p.len FROM en p JOIN en q ON p.t = q.t AND p.a = q.b AND p.b = q.a),
+re AS (SELECT t, (x, y, z) AS a, (x, y, z) AS b FROM {source} UNION SELECT re.t, re.a, li.b FROM re JOIN li ON li.t = re.t AND li.a = re.b),
+ro AS (SELECT t, a, min(b) AS root FROM re GROUP BY t, a),
+ln AS (SELECT ro.t, root, sum(len) AS mm FROM ro JOIN li ON li.t = ro.t AND li.a = ro.a WHERE li.a < li.b GROUP BY ALL),
+cl AS (SELECT f.t, sum(fa * coalesce(mm, 0)) / sum(fa) AS chain_length FROM {source} f JOIN ro ON ro.t = f.t AND ro.a = (f.x, f.y, f.z) LEFT JOIN ln ON ln.t = ro.t AND ln.root = ro.root GROUP BY f.t)
+"""
+
+
+CHAIN_SQL = DTI_SQL + ", ch AS (SELECT 0 AS t, dti.* FROM dti, cut WHERE fa >= low)" + chains_sql("ch")
+_TABLES = ", ".join(f"('{n}', {', '.join(str(p + 1) for p in perm)}, {', '.join(map(str, sign))})" for n, perm, sign in qc.table_candidates())
+TABLE_SQL = DTI_SQL + f""", tb(t, p1, p2, p3, s1, s2, s3) AS (VALUES {_TABLES}),
+ca AS (SELECT t, x, y, z, fa, s1 * [d1, d2, d3][p1] AS d1, s2 * [d1, d2, d3][p2] AS d2, s3 * [d1, d2, d3][p3] AS d3 FROM dti, cut, tb WHERE fa >= high)""" + chains_sql("ca")
+recursive = lambda sql: (S.SQL + sql).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-@query(CORR_SQL.format(mask="true") + """SELECT 10::DOUBLE AS dimension_x, 56::DOUBLE AS n_dwi_volumes, 8::DOUBLE AS n_b0_volumes, 3000::DOUBLE AS max_b, round(avg(r) FILTER (kind = 'near'), 6) AS ndc FROM c""")
+def planted_directions(spark: SparkSession, d: str) -> DataFrame:
+    e, i = table(spark, d, "embeddings"), F.col("vec_id")
+    m = [F.get("embedding", F.lit(k)).cast("double") for k in range(4)]
+    x, y, z = (i % 10).cast("int"), (F.floor(i / 10) % 10).cast("int"), F.floor(i / 100).cast("int")
+    w = [4.5 - y + 0.3 * m[0], x - 4.5 + 0.3 * m[1], 0.3 * m[2]]
+    norm = F.sqrt(w[0] * w[0] + w[1] * w[1] + w[2] * w[2])
+    return e.select(F.lit(S.SCAN).alias("scan_id"), x.alias("x"), y.alias("y"), z.alias("z"), (0.2 + 0.05 * F.col("label") + 0.001 * m[3]).alias("fa"), F.array(*[c / norm for c in w]).alias("principal_dir"))
+
+
+@query(COHERENCE_SQL + "SELECT 'virtual' AS scan_id, round(sum(fa) FILTER (agree) / sum(fa), 6) AS coherence, count(*) AS n_evaluated, count(*) FILTER (agree) AS n_connected, (SELECT low FROM cut) AS fa_threshold FROM co")
+def coherence(spark, d):
+    return qc.fixel_coherence(planted_directions(spark, d)).select("scan_id", *r6("coherence"), "n_evaluated", "n_connected", "fa_threshold")
+
+
+@query(recursive(CHAIN_SQL) + "SELECT 'virtual' AS scan_id, round(chain_length, 6) AS chain_length FROM cl", scan=False)
+def chain_lengths(spark, d):
+    return qc.chain_lengths(planted_directions(spark, d)).select("scan_id", *r6("chain_length"))
+
+
+@query(recursive(TABLE_SQL) + 'SELECT t AS "table", round(chain_length, 6) AS score FROM cl', scan=False)
+def gradient_table_check(spark, d):
+    return qc.gradient_table_check(planted_directions(spark, d)).select("table", *r6("score"))
+
+
+_CORR_BOTH = CORR_SQL.replace("corr(a.s, b.s) AS r,", "corr(a.s, b.s) AS r, corr(a.s, b.s) FILTER (a.in_mask) AS rm,").format(mask="true")
+
+
+@query(recursive(_CORR_BOTH + SLICES_SQL + COHERENCE_SQL + ", ch AS (SELECT 'm' AS t, * FROM ev UNION ALL SELECT t, x, y, z, fa, s1 * [d1, d2, d3][p1], s2 * [d1, d2, d3][p2], s3 * [d1, d2, d3][p3] FROM dti, cut, (VALUES " + _TABLES + ") tb(t, p1, p2, p3, s1, s2, s3) WHERE fa >= high)" + chains_sql("ch")) + """SELECT 'virtual' AS scan_id, 10::DOUBLE AS dimension_x, 10::DOUBLE AS dimension_y, (SELECT max(z) + 1 FROM v)::DOUBLE AS dimension_z, 1::DOUBLE AS voxel_size_x, 1::DOUBLE AS voxel_size_y, 1::DOUBLE AS voxel_size_z,
+3000::DOUBLE AS max_b, 56::DOUBLE AS n_dwi_volumes, 8::DOUBLE AS n_b0_volumes, round(avg(r) FILTER (kind = 'near'), 6) AS ndc, round(avg(rm) FILTER (kind = 'near'), 6) AS ndc_masked,
+round(avg(r) FILTER (kind = 'near') / avg(r) FILTER (kind = 'contrast'), 6) AS dwi_contrast_ratio, round(avg(rm) FILTER (kind = 'near') / avg(rm) FILTER (kind = 'contrast'), 6) AS dwi_contrast_ratio_masked,
+(SELECT count(*) FROM k WHERE n >= 80 AND off / spread > 2.5)::DOUBLE AS n_outlier_slices, (SELECT round(sum(fa) FILTER (agree) / sum(fa), 6) FROM co) AS fixel_coherence, (SELECT round(chain_length, 6) FROM cl WHERE t = 'm') AS fixel_chain_length,
+(SELECT round(max(chain_length) / max(chain_length) FILTER (t = '012'), 6) FROM cl WHERE t <> 'm') AS gradient_table_ratio FROM c""", scan=False)
 def qc_report(spark, d):
-    return qc.assess(S.voxels(spark, d), S.gradient(spark)).select("dimension_x", "n_dwi_volumes", "n_b0_volumes", "max_b", *r6("ndc"))
+    r = qc.assess(S.voxels(spark, d), S.gradient(spark), dti=planted_directions(spark, d), o=qc.SliceOptions(min_voxels=80))
+    whole = ["dimension_x", "dimension_y", "dimension_z", "voxel_size_x", "voxel_size_y", "voxel_size_z", "max_b", "n_dwi_volumes", "n_b0_volumes", "n_outlier_slices"]
+    return r.select("scan_id", *[F.col(c) if c in whole else F.round(c, 6).alias(c) for c in qc.COLUMNS])
+
+
+@query(CORR_SQL.format(mask="a.in_mask") + """, m AS (SELECT avg(r) FILTER (kind = 'near') AS ndc, avg(r) FILTER (kind = 'near') / avg(r) FILTER (kind = 'contrast') AS con FROM c)
+SELECT 'virtual' AS scan_id, round(ndc, 6) AS ndc, round(con, 6) AS dwi_contrast, format('NDC {:.3f}, DWI contrast {:.3f} ({})', ndc, con, CASE WHEN con < 1.1 THEN 'poor' WHEN con <= 1.3 THEN 'fair' ELSE 'good' END) AS summary,
+  CAST((ndc < 0.4)::INT + (con < 1.1)::INT AS INTEGER) AS n_warnings FROM m""")
+def input_quality(spark, d):
+    return qc.input_quality(S.voxels(spark, d), S.gradient(spark)).select("scan_id", *r6("ndc", "dwi_contrast"), "summary", F.size("warnings").alias("n_warnings"))
 
 
 # order statistics run over the larger relational tables

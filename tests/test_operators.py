@@ -33,9 +33,15 @@ def test_order_statistics_keep_their_conventions(spark):
     assert {r.g: r.median for r in O.upper_median(df, ["g"], "v").collect()} == {"a": 3.0, "b": 5.0}
     q = {r.g: (r.q1, r.q3) for r in O.iqr_quartiles(df.where("g = 'a'"), ["g"], "v").collect()}
     assert q == {"a": (1.0, 4.0)}  # NaN first: NaN 1 2 3 4, elements 1 and 4
-    assert O.top_n(df, ["g"], "v", 2).where("g = 'a'").count() == 2
+    assert O.top_n(df.where("g = 'a'"), ["g"], "v", 2).count() == 2
+    hot = spark.createDataFrame([("a", 7.0)] * 500 + [("a", float(k)) for k in range(7)], "g string, v double")  # most rows have one value
+    assert O.nearest_rank(hot, ["g"], "v", {"a": 0.005, "b": 0.5, "c": 1.0}).first()[1:] == (3.0, 7.0, 7.0)
     with pytest.raises(ValueError):
         O.top_n(df, ["g"], "v", 0)
+    with pytest.raises(Exception, match="values asked for"):
+        O.top_n(df, ["g"], "v", 5).count()
+    with pytest.raises(Exception, match="round to none"):
+        df.groupBy("g").agg(O.percent_count(F.count("v"), 1.0).alias("n")).collect()
     ties = spark.createDataFrame([("a", v) for v in (1.0, 2.0, 2.0, 2.0)], "g string, v double")
     assert O.top_n(ties, ["g"], "v", 1).count() == 3
 
@@ -46,6 +52,32 @@ def test_optimal_threshold_splits_two_groups(spark):
     assert O.optimal_threshold(df.select(F.lit(2.0).alias("v")), "v") is None
 
 
+def plain_threshold(v, tol=0.01):
+    """The rule on an array: golden section from the middle, stopping by the bracket's own values."""
+    v = np.asarray(v, float)
+    g, a, b = 0.61803399, v.min() + 0.001 * np.ptp(v), v.max() - 0.001 * np.ptp(v)
+    cost = lambda t: -np.corrcoef(v, v > t)[0, 1]
+    y = (v.min() + v.max()) / 2
+    x = y - (1 - g) * (y - a)
+    while b - a > tol * (abs(x) + abs(y)):
+        if cost(y) < cost(x):
+            a, x, y = x, y, g * y + (1 - g) * b
+        else:
+            b, y, x = y, x, g * x + (1 - g) * a
+    return min((y, x), key=cost)  # the latter one where they are equal
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_optimal_threshold_follows_the_rule(spark, seed):
+    rng = np.random.default_rng(seed)
+    v = [np.concatenate([rng.normal(1, 0.2, 600), rng.normal(2.2, 0.3, 300)]), rng.gamma(2, 1, 900), rng.uniform(1, 3, 900)][seed]
+    df = spark.createDataFrame([(float(x),) for x in v], "v double")
+    assert O.optimal_threshold(df, "v") == pytest.approx(plain_threshold(v), rel=1e-9)
+    assert O.optimal_threshold(df, "v", 0.7) == pytest.approx(plain_threshold(v - 0.7), rel=1e-9)
+    kept = {r.v for r in O.threshold_select(df, "v", 0.7, below=True).collect()}
+    assert kept == {float(x) for x in v if x - 0.7 < plain_threshold(v - 0.7)}
+
+
 def test_constant_volumes_have_no_correlation(spark):
     v = spark.createDataFrame([("s", k, 0, 0, True, [float(k), 7.0, float(2 * k)]) for k in range(5)], VOXEL)
     pairs = spark.createDataFrame([("s", 0, 1), ("s", 0, 2)], "scan_id string, i int, j int")
@@ -55,11 +87,53 @@ def test_constant_volumes_have_no_correlation(spark):
 
 def test_flat_slices_are_no_outliers(spark):
     s = qc.outlier_slices(cube(spark, 4), qc.SliceOptions(min_voxels=1)).collect()
-    assert len(s) == 4 and all(np.isnan(r.ratio) and not r.outlier for r in s)
+    assert len(s) == 4 and qc.outlier_slices(cube(spark, 4)).count() == 0 and all(np.isnan(r.ratio) and not r.outlier for r in s)
     spiky = qc.outlier_slices(cube(spark, 5, lambda x, y, z: 100.0 * (z == 2) + z), qc.SliceOptions(min_voxels=1)).collect()
     assert {r.slice for r in spiky if r.outlier} == {2}
 
 
+def test_corrupted_slices_are_found_and_no_others(spark):
+    rng = np.random.default_rng(5)
+    x, y, z = np.meshgrid(*(np.arange(n) for n in (20, 20, 12)), indexing="ij")
+    data = np.stack([100 + 10 * np.sin(x / 5 + k) + 8 * np.cos(y / 6) + 3 * z + rng.normal(0, 0.5, x.shape) for k in range(4)], axis=-1)
+    make = lambda d: spark.createDataFrame([("s", *map(int, k), True, d[k].tolist()) for k in np.ndindex(20, 20, 12)], VOXEL)
+    assert qc.outlier_slices(make(data)).where("outlier").count() == 0
+    data[:, :, 6, 1] *= 0.3
+    bad = {(r.vol, r.slice) for r in qc.outlier_slices(make(data)).where("outlier").collect()}
+    assert (1, 6) in bad and all(v == 1 and 5 <= k <= 7 for v, k in bad)
+
+
+def field(spark, shape, direction, fa=lambda k: 0.6):
+    """One unit direction for each place of a grid."""
+    rows = []
+    for k in np.ndindex(*shape):
+        d = np.asarray(direction(*k), float)
+        rows.append(("s", *map(int, k), float(fa(k)), (d / np.linalg.norm(d)).tolist()))
+    return spark.createDataFrame(rows, "scan_id string, x int, y int, z int, fa double, principal_dir array<double>")
+
+
+def test_smooth_fields_are_coherent_and_random_ones_are_not(spark):
+    rng = np.random.default_rng(9)
+    smooth, wild = field(spark, (8, 8, 4), lambda x, y, z: (1, 0, 0)), field(spark, (8, 8, 4), lambda x, y, z: rng.random(3) - 0.5)
+    a, b = qc.fixel_coherence(smooth).first(), qc.fixel_coherence(wild).first()
+    assert a.coherence == 1 and a.n_evaluated == a.n_connected == 256 and b.coherence < 0.5
+    assert qc.chain_lengths(smooth, (2.0, 1.0, 1.0)).first().chain_length == pytest.approx(14)  # seven steps of 2 mm
+    assert qc.chain_lengths(wild).first().chain_length < 2
+    # a voxel whose only neighbour on the line lies behind it is connected, one without any isn't but counts
+    two = field(spark, (2, 1, 1), lambda x, y, z: (1, 0, 0)).union(field(spark, (1, 1, 1), lambda x, y, z: (0, 0, 1)).withColumn("z", F.lit(9)))
+    assert qc.fixel_coherence(two, quantile=0.0).first().coherence == pytest.approx(2 / 3)
+    # the lowest tenth by anisotropy is left out
+    assert qc.fixel_coherence(field(spark, (10, 1, 1), lambda x, y, z: (1, 0, 0), lambda k: 0.1 + 0.05 * k[0])).first().n_evaluated == 9
+
+
+def test_long_rings_settle_and_a_flipped_table_is_named(spark):
+    ring = lambda flip: lambda x, y, z: (flip * -(y - 7.5), x - 7.5, 0)
+    good = qc.table_ratio(qc.gradient_table_check(field(spark, (16, 16, 2), ring(1)), quantile=0.0)).first()
+    assert good.best == "012" and good.current_is_best and good.gradient_table_ratio == 1
+    bad = qc.table_ratio(qc.gradient_table_check(field(spark, (16, 16, 2), ring(-1)), quantile=0.0)).first()
+    assert bad.best in ("012fx", "012fy") and not bad.current_is_best and bad.gradient_table_ratio > 1.2
+
+
 def fibre_scan(spark, n=5):
     """All voxels with one fibre direction along x."""
     v = np.arange(32)
@@ -79,14 +153,15 @@ def fibre_scan(spark, n=5):
 def test_report_and_coherence_of_parallel_fibres(spark):
     scan = fibre_scan(spark, 4)
     wm = scan.tensor.where("z < 2")
-    assert qc.fixel_coherence(wm).first().coherence == pytest.approx(1)
-    chains = qc.chain_lengths(wm, long_mm=3).first()
+    assert qc.fixel_coherence(wm, quantile=0.0).first().coherence == pytest.approx(1)
+    chains = qc.chain_lengths(wm, quantile=0.0, long_mm=2.5).first()
     assert chains.chain_length == pytest.approx(3, abs=0.1)
-    table = {r.table: r.score for r in qc.gradient_table_check(wm, 0.0).collect()}
-    assert len(table) == 24 and table["+x+y+z"] == max(table.values())
+    table = {r.table: r.score for r in qc.gradient_table_check(wm, quantile=0.0).collect()}
+    assert len(table) == 24 and table["012"] == max(table.values())
     row = scan.report(coherence=False).first()
     assert row.n_b0_volumes == 2 and row.n_dwi_volumes == 96 and row.ndc > 0.9 and row.fixel_coherence is None
     assert qc.warnings(scan.report(coherence=False)).count() == 1
+    assert qc.input_quality(scan.voxels, scan.gradient).first().summary.startswith("NDC ")
 
 
 def test_dense_pipeline_tells_tissues_apart(spark):
@@ -132,6 +207,77 @@ def test_peaks_of_two_crossing_fibres(spark):
         models.with_options(models.ShoreOptions(), eps=2.0)
 
 
+def plain_normalise(x, places, order, rounds, inner, target):
+    """The rule on arrays: x (voxels, tissues), places in -1..1."""
+    n, t = x.shape
+    p = np.stack([np.prod(places**np.array(k), axis=1) for k in N.polynomial_terms(order)], axis=1)
+    balance, field, coef = np.ones(t), np.ones(n), np.zeros(p.shape[1])
+
+    def weights(k):
+        with np.errstate(divide="ignore"):
+            log = np.log(x @ balance / field)
+        s = np.sort(log)
+        q1, q3 = (s[min(int(np.floor(n * q + 0.5)), n - 1)] for q in (0.25, 0.75))
+        return np.isfinite(log) & (log >= q1 - k * (q3 - q1)) & (log <= q3 + k * (q3 - q1))
+
+    w = weights(3.0)
+    for _ in range(rounds):
+        for _ in range(inner):
+            s = x[w] / field[w, None]
+            b = np.linalg.solve(s.T @ s, s.sum(0))
+            balance = b / np.exp(np.log(b).mean())
+            before, w = w, weights(1.5)
+            if (w == before).all():
+                break
+        coef = np.linalg.lstsq(p[w], np.log(x[w] @ balance / target), rcond=None)[0]
+        field = np.exp(p @ coef)
+    return balance, field
+
+
+def test_normalisation_follows_the_rule(spark):
+    rng = np.random.default_rng(7)
+    shape = (8, 7, 4)
+    k = np.array(list(np.ndindex(*shape)))
+    places = 2 * k / (np.array(shape) - 1) - 1
+    true = np.exp(0.3 * places[:, 0] - 0.2 * places[:, 1] ** 2)
+    x = rng.dirichlet([2, 1, 1], len(k)) * true[:, None] * np.array([1.0, 0.7, 1.4]) * np.exp(rng.normal(0, 0.02, (len(k), 1)))
+    x[:6] *= 8  # outliers
+    x[6] = 0
+    rows = [("s", *map(int, c), True, *map(float, v), [float(v[0]), 0.5, -0.25]) for c, v in zip(k, x)]
+    df = spark.createDataFrame(rows, "scan_id string, x int, y int, z int, in_mask boolean, wm0 double, gm double, csf double, wm array<double>")
+    sums = np.sort(x.sum(1)[x.sum(1) > 0])
+    target = sums[len(sums) // 2]
+    balance, f = plain_normalise(x, places, 2, 3, 7, target)
+    level = decon.fit_level(df, ["wm0", "gm", "csf"], shape, decon.NormaliseOptions(order=2, rounds=3))
+    assert level.target == pytest.approx(target) and level.balance == pytest.approx(balance, rel=1e-6)
+    out = {(r.x, r.y, r.z): r for r in decon.normalise(df, ["wm0", "gm", "csf"], shape, level=level).collect()}
+    for c, v, g in zip(k, x, f):
+        r = out[tuple(c)]
+        assert r.field == pytest.approx(g, rel=1e-6) and r.gm == pytest.approx(v[1] / g) and r.wm == pytest.approx([v[0] / g, 0.5 / g, -0.25 / g])
+    with pytest.raises(ValueError):
+        decon.fit_level(df.withColumn("gm", F.lit(0.0)).withColumn("csf", F.col("wm0") * 2), ["wm0", "gm", "csf"], shape, decon.NormaliseOptions(target=-1.0))
+
+
+def test_staged_selection_caps_the_metric_and_names_empty_stages(spark):
+    scan = fibre_scan(spark, 6)
+    groups = N.shells(list(scan.bvals))
+    s = tissue.select_staged(scan.voxels, scan.tensor, groups, tissue.StagedOptions(erosions=1, wm_percent=20, gm_percent=20, csf_percent=20))
+    assert s.counts["safe"] == 64 and all(s.counts.values())
+    assert {r.z for r in s.wm.collect()} == {1} and {r.z for r in s.csf.collect()} == {4}
+    with pytest.raises(ValueError, match="eroded"):
+        tissue.select_staged(scan.voxels, scan.tensor, groups, tissue.StagedOptions(erosions=3))
+    with pytest.raises(ValueError, match="round to none"):
+        tissue.select_staged(scan.voxels, scan.tensor, groups, tissue.StagedOptions(erosions=1))
+    v = spark.createDataFrame([("s", 0, 0, 0, True, [100.0, 120.0]), ("s", 1, 0, 0, True, [100.0, 1e-4])], VOXEL)
+    m = {r.x: r.m for r in v.select("x", tissue.decay_metric([(0.0, [0]), (1000.0, [1])]).alias("m")).collect()}
+    assert np.isnan(m[0]) and m[1] > 10  # growth isn't decay; the selection lowers the other to its cap
+
+
+def test_a_set_without_positive_rows_keeps_its_scale(spark):
+    r = spark.createDataFrame([("a", "gm", 0, 0.0, [2.0]), ("b", "gm", 0, 0.0, [4.0]), ("c", "gm", 0, 0.0, [-1.0])], "scan_id string, tissue string, row int, b double, coeffs array<double>")
+    assert {x.scan_id: x.multiplier for x in tissue.multipliers(r).collect()}["c"] == 1
+
+
 def test_response_pool_is_exact_for_scaled_copies(spark):
     rows = [(f"s{k}", "wm", i, 1000.0 * i, [c * f, -0.5 * c * f]) for k, f in enumerate((1.0, 2.0, 4.0)) for i, c in enumerate((3.0, 2.0))]
     r = spark.createDataFrame(rows, "scan_id string, tissue string, row int, b double, coeffs array<double>")
