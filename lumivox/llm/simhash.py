@@ -262,8 +262,8 @@ def _crowd_links(at: DataFrame, classes: DataFrame, roots: DataFrame, texts: Dat
 
     Classes at an anchor are dealt into salted blocks, those of a large
     component into blocks of their own, and all blocks are compared with each
-    other but those of one component. First on bits alone; shingles go only
-    to block pairs with near pairs, and only for their members. Tasks return
+    other but those of one component, on bits alone. What is near at any anchor makes clusters, whose members' shingles are then
+    compared in blocks once, however many anchors they have in common. Tasks return
     spanning forests.
     """
     at = written(at.join(roots, at.rep == roots.node, "left").select("key", "rep", F.coalesce("root", "rep").alias("root")), "similar-crowded")
@@ -282,47 +282,56 @@ def _crowd_links(at: DataFrame, classes: DataFrame, roots: DataFrame, texts: Dat
     block = F.concat_ws(":", name, F.pmod(F.xxhash64("rep", F.lit(3)), F.col("salts")).cast("int"))
     member = written(member.select("key", "rep", "root", *LANES, block.alias("block")), "similar-members")
     sides = [met.where("true" if k == 0 else "bx < by").withColumnRenamed(b, "block").withColumn(b, F.col("block")).join(member, ["key", "block"]).select("key", "bx", "by", F.lit(k).alias("side"), "rep", "root", *LANES) for k, b in enumerate(("bx", "by"))]
-    schema = "key long, bx string, by string, side int, rep long, root long, f0 long, f1 long, f2 long, f3 long"
-
     def near(rows: pd.DataFrame) -> pd.DataFrame:
         i, j = _candidates(rows, apart)
-        return rows.iloc[np.unique(np.concatenate([i, j]))]
+        rep = rows["rep"].to_numpy(np.int64)
+        keep = _forest(rep[i], rep[j])
+        return pd.DataFrame({"a": rep[i[keep]], "b": rep[j[keep]]})
 
-    some = written(sides[0].union(sides[1]).groupBy("key", "bx", "by").applyInPandas(near, schema), "similar-near")
+    edges = written(sides[0].union(sides[1]).groupBy("key", "bx", "by").applyInPandas(near, "a long, b long"), "similar-near")
     discard(at, crowds, met, member)
-    if some.isEmpty():
+    if edges.isEmpty():
         return None
+    cluster = written(components(edges, "similar-near"), "similar-clusters")
 
     def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"rep": b["doc_id"], "shingles": [shingle_hashes(t, words).view(np.int64) for t in b["text"]]})
 
-    whole = texts.join(some.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    whole = written(whole.mapInPandas(shingled, "rep long, shingles array<long>"), "similar-shingles")
+    whole = texts.join(cluster.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    whole = whole.mapInPandas(shingled, "rep long, shingles array<long>")
+    size = cluster.groupBy(F.col("root").alias("cluster")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("salts"))
+    named = cluster.select(F.col("node").alias("rep"), F.col("root").alias("cluster")).join(size, "cluster").join(classes, "rep").join(whole, "rep").join(roots, F.col("rep") == roots.node, "left")
+    salt = F.pmod(F.xxhash64("rep", F.lit(3)), F.col("salts")).cast("int")
+    named = named.select("cluster", "rep", F.coalesce("root", "rep").alias("root"), *LANES, "shingles", salt.alias("salt"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("with"))
+    named = named.select("cluster", F.least("salt", "with").alias("bx"), F.greatest("salt", "with").alias("by"), (F.col("salt") > F.col("with")).cast("int").alias("side"), "rep", "root", *LANES, "shingles")
 
     def linked(rows: pd.DataFrame) -> pd.DataFrame:
         i, j = _candidates(rows, apart)
-        sets = [np.asarray(s, dtype=np.int64) for s in rows["shingles"]]
-        size, both = np.array([len(s) for s in sets]), _shared_shingles(sets)[i, j]
-        i, j = (x[both >= similarity * (size[i] + size[j] - both)] for x in (i, j))
+        if not len(i):
+            return pd.DataFrame({"a": i, "b": j})
+        used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+        sets = [np.asarray(rows["shingles"].iloc[k], dtype=np.int64) for k in used]
+        p, q = at[: len(i)], at[len(i) :]
+        size, both = np.array([len(s) for s in sets]), _shared_shingles(sets)[p, q]
+        like = both >= similarity * (size[p] + size[q] - both)
         root, rep = rows["root"].to_numpy(np.int64), rows["rep"].to_numpy(np.int64)
+        i, j = i[like], j[like]
         keep = _forest(root[i], root[j])
         return pd.DataFrame({"a": rep[i[keep]], "b": rep[j[keep]]})
 
-    out = written(some.join(whole, "rep").groupBy("key", "bx", "by").applyInPandas(linked, "a long, b long"), "similar-crowd-links")
-    discard(some, whole)
-    return out
+    return written(named.groupBy("cluster", "bx", "by").applyInPandas(linked, "a long, b long"), "similar-crowd-links")
 
 
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, apart: int = 56, recall: float = 0.99) -> DataFrame:
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, apart: int = 45, recall: float = 0.99) -> DataFrame:
     """(doc_id, component_id): documents linked by a Jaccard similarity of `similarity` or more of their distinct shingles.
 
     Texts with one 256-bit fingerprint are one class. In each table, all classes
     with the same home anchor are compared, where there are few of them as
-    pairs. Where there are more, each first meets two of them, which differ from
-    table to table, and those not yet linked are then compared in blocks.
+    pairs. Where there are more, each first meets the least and the largest of
+    them, and those not yet linked are then compared in blocks.
     Pairs of `apart` of 256 bits or fewer are checked on their whole
-    texts: that many differ with a chance under 1e-7 in a pair just at the similarity, which shares an anchor in one of the tables
+    texts: more differ with a chance of 3e-5 in a pair just at the similarity, which shares an anchor in one of the tables
     with a chance of `recall`, one above it with a larger. component_id is the smallest doc_id reachable; rows with a
     null doc_id are left out; of texts with one doc_id the least counts.
     """
@@ -347,11 +356,9 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
             keys = _table_keys(b[LANES].to_numpy(np.int64).view(np.uint64), extra, tables)
             yield pd.DataFrame({"key": keys.ravel(), "rep": np.repeat(b["rep"].to_numpy(np.int64), tables)})
 
-    # the order within an anchor is another one in each table
-    mask = F.shiftrightunsigned(F.xxhash64(F.shiftright("key", TABLE_SHIFT)), 1)
-    rows = classes.repartition(spread, "rep").mapInPandas(keyed, "key long, rep long").select("key", F.col("rep").bitwiseXOR(mask).alias("v"))
-    ends = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).where("low <> high")
-    at = written(rows.join(ends, "key").select("key", F.col("v").bitwiseXOR(mask).alias("rep"), "n", F.col("low").bitwiseXOR(mask).alias("low"), F.col("high").bitwiseXOR(mask).alias("high")), "similar-at")
+    rows = classes.repartition(spread, "rep").mapInPandas(keyed, "key long, rep long")
+    ends = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")
+    at = written(rows.join(ends, "key"), "similar-at")
     few = at.where(F.col("n") <= FEW).groupBy("key").agg(F.collect_list("rep").alias("all"))
     few = few.select("all", F.explode("all").alias("x")).select("x", F.explode("all").alias("y"))
     pairs = few.union(at.where(F.col("n") > FEW).select(F.col("rep").alias("x"), F.explode(F.array("low", "high")).alias("y"))).where("x <> y")
@@ -359,10 +366,6 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     side = lambda n: classes.select(F.col("rep").alias(n), *[F.col(c).alias(f"{n}{c}") for c in LANES])
     pairs = pairs.join(side("a"), "a").join(side("b"), "b")
     pairs = written(pairs.where(sum(F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in LANES) <= apart).select("a", "b"), "similar-pairs")
-    some = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    whole = written(texts.join(some, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "similar-texts")
-    met = pairs.join(whole.select(F.col("doc_id").alias("a"), F.col("text").alias("at")), "a").join(whole.select(F.col("doc_id").alias("b"), F.col("text").alias("bt")), "b")
-
     def checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             keep = []
@@ -372,8 +375,23 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
                 keep.append(both >= similarity * (len(p) + len(q) - both))
             yield b.loc[keep, ["a", "b"]]
 
-    roots = written(components(met.select("a", "b", "at", "bt").mapInPandas(checked, "a long, b long"), "similar"), "similar-roots")
-    discard(pairs, whole)
+    def similar(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs whose whole texts are similar."""
+        some = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+        whole = written(texts.join(some, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "similar-texts")
+        met = pairs.join(whole.select(F.col("doc_id").alias("a"), F.col("text").alias("at")), "a").join(whole.select(F.col("doc_id").alias("b"), F.col("text").alias("bt")), "b")
+        out = written(met.select("a", "b", "at", "bt").mapInPandas(checked, "a long, b long"), "similar-checked")
+        discard(whole)
+        return out
+
+    # each text with its least partner first: of the other pairs, most are in one component then
+    first = similar(pairs.groupBy("a").agg(F.min("b").alias("b")))
+    roots = written(components(first, "similar-first"), "similar-first-roots")
+    of = lambda n: roots.select(F.col("node").alias(n), F.col("root").alias(f"{n}_root"))
+    left = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b"))
+    second = similar(written(left.select("a", "b"), "similar-left"))
+    before, roots = roots, written(components(first.union(second), "similar"), "similar-roots")
+    discard(pairs, first, second, before)
     more = _crowd_links(at.where(F.col("n") > FEW).select("key", "rep"), classes, roots, texts, words, similarity, apart)
     if more is not None:
         roots = written(components(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), "similar-all"), "similar-all-roots")
