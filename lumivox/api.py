@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 from functools import cached_property
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from lumivox.functions import numeric as N
 from lumivox.operators import decon, models, qc, tissue
 from lumivox.operators import voxel as V
 from lumivox.plans import pipelines
+from lumivox.sinks import fits
 from lumivox.sources import nifti, text
 
 
@@ -45,10 +47,19 @@ class Scan:
         if data.ndim != 4 or data.shape[3] != len(bvals) or len(bvals) != len(directions) or (mask is not None and mask.shape != data.shape[:3]):
             raise ValueError("data, table and mask don't belong together")
         inside = np.ones(data.shape[:3], bool) if mask is None else mask > 0
-        rows = ((scan_id, int(x), int(y), int(z), bool(inside[x, y, z]), data[x, y, z].astype(float).tolist()) for x, y, z in np.ndindex(*data.shape[:3]))
+        spark_planes = [(scan_id, x, np.asarray(data[x], "<f4").tobytes(), inside[x].tobytes()) for x in range(data.shape[0])]  # a plane a row, unpacked in tasks
+        ny, nz, n = data.shape[1:]
+
+        def unpack(batches):
+            for b in batches:
+                for scan, x, values, within in zip(b["scan"], b["x"], b["values"], b["inside"]):
+                    y, z = np.indices((ny, nz)).reshape(2, -1)
+                    yield pd.DataFrame({"scan_id": scan, "x": np.int32(x), "y": y.astype(np.int32), "z": z.astype(np.int32), "in_mask": np.frombuffer(within, bool), "signal": list(np.frombuffer(values, "<f4").reshape(-1, n))})
+
         from lumivox.sources.schemas import VOXEL
 
-        scan = cls(spark.createDataFrame(list(rows), VOXEL), np.asarray(bvals, float), np.asarray(directions, float), data.shape[:3], np.eye(4) if affine is None else affine)
+        planes = spark.createDataFrame(spark_planes, "scan string, x int, values binary, inside binary").repartition(max(1, min(data.shape[0], spark.sparkContext.defaultParallelism)))
+        scan = cls(planes.mapInPandas(unpack, VOXEL), np.asarray(bvals, float), np.asarray(directions, float), data.shape[:3], np.eye(4) if affine is None else affine)
         return scan if mask is not None else scan.masked_by_b0()
 
     def masked_by_b0(self) -> Scan:
@@ -72,6 +83,15 @@ class Scan:
     def report(self, coherence: bool = True) -> DataFrame:
         return qc.assess(self.voxels, self.gradient, self.voxel_mm, self.tensor if coherence else None)
 
+    def input_quality(self) -> DataFrame:
+        return qc.input_quality(self.voxels, self.gradient)
+
+    def with_graddev(self, series: str, path: str, holds_identity: bool | None = None) -> Scan:
+        return Scan(nifti.with_graddev(self.voxels, series, path, holds_identity), self.bvals, self.directions, self.shape, self.affine)
+
+    def save_fit(self, fit: DataFrame, path: str, o: models.ShoreOptions, overwrite: bool = False) -> None:
+        fits.save_fit(fit, path, o, self.affine, self.shape, self.bvals, self.directions, overwrite=overwrite)
+
     def fit_shore(self, **options) -> DataFrame:
         return models.fit_shore(self.voxels, self.bvals, self.directions, o=models.ShoreOptions(**options))
 

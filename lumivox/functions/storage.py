@@ -5,20 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written as a table to the folder named in spark.checkpoint.dir and read again, so lineage stays short and a lost executor costs nothing.
-
-    Unlike a plan that checkpoint() gives, a table's carries no constraints of the plan before it, which would double from round to round. Where no folder is set and everything runs on one machine, a temporary one is made.
-    """
-    context = df.sparkSession.sparkContext
+def scratch_folder(spark: SparkSession) -> str:
+    """The context's folder below that named in spark.checkpoint.dir; where none is set and everything runs on one machine, a temporary one."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
         if not named and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lumivox-"))
-    path = f"{context.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written as a table to the shared folder and read again, so lineage stays short and a lost executor costs nothing.
+
+    Unlike a plan that checkpoint() gives, a table's carries no constraints of the plan before it, which would double from round to round.
+    """
+    path = f"{scratch_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

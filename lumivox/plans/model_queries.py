@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumivox.functions import numeric as N
+from lumivox.functions.storage import scratch_folder
 from lumivox.operators import decon, models, qc, tissue
 from lumivox.operators import voxel as V
 from lumivox.plans import pipelines
 from lumivox.plans import virtual_scan as S
 from lumivox.plans.queries import query, r6
+from lumivox.sinks import fits
 
 BVALS, DIRS = S.gradient_arrays()
 GROUPS = N.shells(list(BVALS))
@@ -56,6 +60,18 @@ def propagator_scalars(spark, d):
     return models.propagator_scalars(_coefs(spark, d), models.ShoreOptions(order=5)).select(*XYZ, *r6("rtop", "msd", "ng"))
 
 
+@query(""" SELECT CAST(vec_id % 10 AS INTEGER) AS x, CAST(vec_id // 10 % 10 AS INTEGER) AS y, CAST(vec_id // 100 AS INTEGER) AS z, 3 AS radial_order, list_sum(list_transform(range(14), lambda k: (k + 1) * CASE WHEN k = 0 THEN 1 ELSE round(embedding[k + 1]::DOUBLE * 0.1::DOUBLE, 6) END))::DECIMAL(18, 4)::DOUBLE AS check_sum FROM embeddings""")
+def fit_round_trip(spark, d):
+    """Coefficients written in the order of exchange and read back in ours: each counts by its place, so none may have moved."""
+    o = models.ShoreOptions(order=3, regularisation="l2")
+    c = F.transform(F.slice(F.col("coef"), 1, len(N.shore_indices(3))), lambda x: F.round(x, 6))
+    path = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
+    fits.save_fit(_coefs(spark, d).withColumn("coef", c), path, o, np.eye(4), (10, 10, 5), BVALS, DIRS)
+    rows, header, *_ = fits.load_fit(spark, path)
+    total = F.aggregate(F.transform("coef", lambda x, k: (k + 1) * x), F.lit(0.0), lambda a, x: a + x)
+    return rows.select(*XYZ, F.lit(header["radial_order"]).alias("radial_order"), total.cast("decimal(18,4)").cast("double").alias("check_sum"))
+
+
 @query()
 def axis_probabilities(spark, d):
     c = _coefs(spark, d).withColumn("axis", F.array(F.lit(0.0), F.lit(0.6), F.lit(0.8)))

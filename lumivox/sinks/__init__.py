@@ -1,4 +1,4 @@
-"""Results as Parquet bundles, report files and images."""
+"""Results as Parquet bundles, report files and images; fits and their content are in `fits`."""
 
 from __future__ import annotations
 
@@ -11,20 +11,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumivox.operators.qc import COLUMNS
+from lumivox.operators.qc import COLUMNS, warnings
 from lumivox.sources import nifti
 
-#: Names of orientation formats by file suffix; their writers are outside this library.
-FORMATS = {".odx": "odx-archive", ".fz": "dsistudio-fz", ".fib.gz": "dsistudio-fibgz", ".pam5": "dipy-pam5", ".mif": "mrtrix-sh-image", "/": "odx-directory", ".fixel": "mrtrix-fixel-dir"}
-
-
-def format_of(path: str) -> str:
-    for suffix in sorted(FORMATS, key=len, reverse=True):
-        if path.endswith(suffix):
-            return FORMATS[suffix]
-    raise ValueError(f"no format is known for {path}")
-
-
 def sibling(path: str, suffix: str) -> str:
     """The path without .nii or .nii.gz, and a suffix."""
     return path.removesuffix(".gz").removesuffix(".nii") + suffix
@@ -72,18 +61,26 @@ def read_header(spark, path: str) -> dict:
 
 
 def report_tsv(report: DataFrame, path: str, prefix: str = "") -> None:
-    """Report rows as tab-separated values, n/a for what is missing or not finite."""
+    """Report rows as tab-separated values, n/a for what is missing or not finite, and the dictionary of their columns beside them."""
     shown = [F.when(F.isnan(c) | F.col(c).isNull() | (F.abs(c) == F.lit(math.inf)), "n/a").otherwise(F.col(c).cast("string")).alias(f"{prefix}{c}") for c in COLUMNS]
     report.select("scan_id", *shown).coalesce(1).write.mode("errorifexists").csv(path, sep="\t", header=True)
+    one = report.sparkSession.createDataFrame([(json.dumps(data_dictionary(prefix), indent=2),)], "value string").coalesce(1)
+    one.write.mode("errorifexists").text(f"{path.rstrip('/')}.json")
+
+
+def report_json(report: DataFrame, path: str, mask_source: str = "file") -> None:
+    """A line of JSON for each scan: its columns, where the mask came from and what is worth a look."""
+    row = F.struct(*COLUMNS)
+    told = report.select("scan_id", row.alias("metrics")).join(warnings(report), "scan_id")
+    told.select("scan_id", "metrics", F.lit(mask_source).alias("mask_source"), "warnings").write.mode("errorifexists").json(path, ignoreNullFields=False)
 
 
 def data_dictionary(prefix: str = "") -> dict[str, dict[str, str]]:
     return {f"{prefix}{c}": {"Description": d} for c, d in COLUMNS.items()}
 
 
-def write_image(df: DataFrame, value: str, shape: tuple[int, int, int], affine: np.ndarray, path: str, overwrite: bool = False) -> None:
-    """One scan's scalar column as an image; one image is bounded by its grid."""
-    out = np.zeros(shape, np.float32)
-    for r in df.select("x", "y", "z", value).toLocalIterator():
-        out[r.x, r.y, r.z] = r[value] if r[value] is not None else 0
-    write_file(with_suffix(path), nifti.encode(out, affine), overwrite)
+def write_image(df: DataFrame, value: str, shape: tuple[int, int, int], affine: np.ndarray, path: str, width: int | None = None, overwrite: bool = False) -> None:
+    """One scan's column as an image, of four dimensions where it holds arrays of `width`; one image is bounded by its grid."""
+    from lumivox.sinks.fits import grid
+
+    write_file(with_suffix(path), nifti.encode(grid(df, value, shape, width), affine), overwrite)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import gzip
 import struct
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumivox.operators.voxel import KEY
 from lumivox.sources.schemas import VOXEL
 
 #: Data type codes of the format.
@@ -36,7 +38,7 @@ class Image:
 def decode(raw: bytes, data: bool = True) -> Image:
     """An image from a file's bytes, packed by gzip or not."""
     if raw[:2] == b"\x1f\x8b":
-        raw = gzip.decompress(raw)
+        raw = gzip.decompress(raw) if data else zlib.decompressobj(31).decompress(raw, 352)
     order = "<" if struct.unpack("<i", raw[:4])[0] == 348 else ">"
     if struct.unpack(order + "i", raw[:4])[0] != 348 or raw[344:347] not in (b"n+1", b"ni1"):
         raise ValueError("not a NIfTI-1 file")
@@ -48,7 +50,7 @@ def decode(raw: bytes, data: bool = True) -> Image:
     offset, slope, inter = struct.unpack(order + "3f", raw[108:120])
     shape = dim[1 : dim[0] + 1]
     affine, warnings = _affine(raw, order, pixdim)
-    values = np.zeros(shape, np.float32)
+    values = np.broadcast_to(np.float32(0), shape)
     if data:
         stored = np.frombuffer(raw, np.dtype(order + TYPES[code]), count=int(np.prod(shape)), offset=int(offset)).reshape(shape, order="F")
         scaled = np.isfinite(slope) and slope not in (0, 1) or inter not in (0,) and slope != 0
@@ -156,3 +158,25 @@ def read_scans(spark: SparkSession, path: str) -> DataFrame:
 
     schema = "scan_id string, nx int, ny int, nz int, n_vol int, affine array<array<double>>, warnings array<string>"
     return spark.read.format("binaryFile").load(path).select(name.alias("scan_id"), "content").mapInPandas(run, schema)
+
+
+def with_graddev(voxels: DataFrame, series: str, path: str, holds_identity: bool | None = None) -> DataFrame:
+    """Adds `graddev`, row by row the nine entries of what a gradient becomes at each voxel, from images of nine volumes named as the series.
+
+    Fields hold the deviation alone or the identity too; where that isn't told, a field whose diagonals are nearer to 1 than to 0
+    on average holds it. Another grid than the series' is an error; voxels without a field keep the identity.
+    """
+    spark = voxels.sparkSession
+    if read_scans(spark, path).where("n_vol <> 9").limit(1).count():
+        raise ValueError("a gradient deviation has nine volumes")
+    grid = lambda p, end: read_scans(spark, p).select("scan_id", F.struct("nx", "ny", "nz").alias(f"shape{end}"), F.flatten("affine").alias(f"affine{end}"))
+    both = grid(series, "").join(grid(path, "2"), "scan_id")
+    far = F.array_max(F.zip_with("affine", "affine2", lambda a, b: F.abs(a - b))) > 1e-3
+    if both.where(far | (F.col("shape") != F.col("shape2"))).limit(1).count():
+        raise ValueError("the gradient deviation isn't on the series' grid")
+    field = read_voxels(spark, path).select(*KEY, F.col("signal").cast("array<double>").alias("t"))
+    eye = F.array(*[F.lit(float(k % 4 == 0)) for k in range(9)])
+    whole = F.lit(holds_identity) if holds_identity is not None else F.col("mean") > 0.5
+    mean = field.groupBy("scan_id").agg(F.avg((F.get("t", F.lit(0)) + F.get("t", F.lit(4)) + F.get("t", F.lit(8))) / 3).alias("mean"))
+    field = field.join(mean, "scan_id").select(*KEY, F.when(whole, F.col("t")).otherwise(F.zip_with("t", eye, lambda a, b: a + b)).alias("_t"))
+    return voxels.join(field, KEY, "left").withColumn("graddev", F.coalesce("_t", eye)).drop("_t")

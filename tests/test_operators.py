@@ -4,13 +4,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumivox import sinks
+from lumivox import jobs, sinks
 from lumivox.api import Scan
 from lumivox.functions import numeric as N
 from lumivox.operators import decon, models, qc, tissue
 from lumivox.operators import order_stats as O
 from lumivox.operators import voxel as V
 from lumivox.plans import pipelines
+from lumivox.sinks import fits
 from lumivox.sources import nifti, text
 from lumivox.sources.schemas import VOXEL
 
@@ -306,7 +307,7 @@ def test_files_round_trip(spark, tmp_path):
     assert sinks.read_header(spark, str(tmp_path / "bundle")) == {"kind": "test"}
     sinks.report_tsv(scan.report(coherence=False), str(tmp_path / "report"))
     assert "n/a" in next((tmp_path / "report").glob("*.csv")).read_text()
-    assert json.dumps(sinks.data_dictionary("q_")) and sinks.format_of("a.fib.gz") == "dsistudio-fibgz"
+    assert json.dumps(sinks.data_dictionary("q_"))
     rows = np.array([[1.0, -0.5], [0.25, 0.125]])
     assert np.array_equal(text.parse_response(text.format_response(rows, "made here")), rows)
     for bad in ("", "1 2\n3", "1 x"):
@@ -324,3 +325,79 @@ def test_stream_of_scans(spark, tmp_path):
     q = watch(spark, str(tmp_path / "in"), scan.gradient, str(tmp_path / "out"), str(tmp_path / "check"))
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_order_of_exchange_is_the_basis_of_exchange():
+    """Blocks of cosines from l down to 1, the zonal term and sines from 1 up to l, all with the phase, sines turned about."""
+    rng = np.random.default_rng(4)
+    d = rng.normal(size=(9, 3))
+    d /= np.linalg.norm(d, axis=1)[:, None]
+    _, azimuth, polar = N.sphere_angles(d)
+    ours, order = N.sh_matrix(d, 4), 4
+    places, at = fits.exchange(order), 0
+    for n in range(order + 1):
+        for l in range(0, n + 1, 2):
+            p = [np.sqrt((2 * l + 1) / (4 * np.pi) * N.factorial(l - k) / N.factorial(l + k)) * N.legendre(l, k, np.cos(polar)) for k in range(l + 1)]
+            theirs = [np.sqrt(2) * p[k] * np.cos(k * azimuth) for k in range(l, 0, -1)] + [p[0]] + [(-1) ** (k + 1) * np.sqrt(2) * p[k] * np.sin(k * azimuth) for k in range(1, l + 1)]
+            for o, want in enumerate(theirs):
+                k, sign = places[at + o]
+                assert sign * ours[:, N.sh_index(l, k - at - l)] == pytest.approx(want)
+            at += 2 * l + 1
+    assert at == len(places) == len(N.shore_indices(order))
+
+
+def test_fits_are_saved_and_loaded(spark, tmp_path):
+    scan = fibre_scan(spark, 3)
+    o = models.ShoreOptions(order=4, regularisation="l2")
+    fit = models.fit_shore(scan.voxels, scan.bvals, scan.directions, o=o)
+    scan.save_fit(fit, str(tmp_path / "fit"), o)
+    with pytest.raises(Exception):
+        scan.save_fit(fit, str(tmp_path / "fit"), o)
+    rows, header, b, g = fits.load_fit(spark, str(tmp_path / "fit"))
+    want = {(r.x, r.y, r.z): r.coef for r in fit.collect()}
+    assert {(r.x, r.y, r.z): r.coef for r in rows.collect()} == want and header["radial_order"] == 4 and header["solver"]["kind"] == "tikhonov"
+    assert b == pytest.approx(scan.bvals) and g == pytest.approx(scan.directions)
+    path = str(tmp_path / "scan.nii.gz")
+    fits.write_coefficients(fit, path, o, scan.shape, scan.affine, {"note": 1})
+    back, side = fits.read_coefficients(spark, path)
+    for r in back.collect():
+        assert r.coef == pytest.approx(want[r.x, r.y, r.z])
+    assert back.count() == 27 and side["note"] == 1 and side["n_coeffs"] == len(N.shore_indices(4))
+    fits.write_result("shore", fits.shore_tables(fit, o), str(tmp_path / "bundle"), {"provenance": fits.Provenance("t", "full").finish(spark)})
+    assert sinks.read_header(spark, str(tmp_path / "bundle"))["content"]["odf"] == ["sh"]
+    with pytest.raises(ValueError, match="lacks"):
+        fits.write_result("shore", {"coefficients": fit}, str(tmp_path / "other"), {})
+    assert fits.bids_sidecar("shore", o, ["a"])["Model"]["Parameters"]["order"] == 4 and fits.Provenance("t", "none").finish(spark) is None
+    fits.write_directory(str(tmp_path / "whole"), lambda f: open(f"{f}/a", "w").close())
+    with pytest.raises(RuntimeError):
+        fits.write_directory(str(tmp_path / "half"), lambda f: (_ for _ in ()).throw(RuntimeError()))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["bundle", "fit", "scan.json", "scan.nii.gz", "whole"]
+
+
+def test_gradient_deviation_from_files_and_jobs(spark, tmp_path):
+    scan = fibre_scan(spark, 3)
+    data = np.zeros((3, 3, 3, len(scan.bvals)), np.float32)
+    for r in scan.voxels.collect():
+        data[r.x, r.y, r.z] = r.signal
+    dev = np.zeros((3, 3, 3, 9), np.float32)
+    dev[0, 0, 0] = [0.02, 0, 0, 0.01, -0.02, 0, 0, 0, 0]
+    for folder, image in (("s", data), ("g", dev), ("i", dev + np.eye(3).ravel()), ("bad", dev[:2])):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "a.nii.gz").write_bytes(nifti.encode(image, np.eye(4)))
+    at = lambda f: str(tmp_path / f / "a.nii.gz")
+    for f in ("g", "i"):
+        got = {(r.x, r.y, r.z): r.graddev for r in nifti.with_graddev(nifti.read_voxels(spark, at("s")), at("s"), at(f)).collect()}
+        assert got[0, 0, 0] == pytest.approx([1.02, 0, 0, 0.01, 0.98, 0, 0, 0, 1]) and got[1, 1, 1] == pytest.approx(np.eye(3).ravel())
+    with pytest.raises(ValueError, match="grid"):
+        nifti.with_graddev(nifti.read_voxels(spark, at("s")), at("s"), at("bad"))
+    meta = nifti.read_scans(spark, at("s")).first()
+    assert (meta.nx, meta.ny, meta.nz, meta.n_vol) == (3, 3, 3, len(scan.bvals))
+    (tmp_path / "b").write_text(" ".join(map(str, scan.bvals)))
+    (tmp_path / "v").write_text("\n".join(" ".join(map(str, r)) for r in scan.directions.T))
+    common = ["--series", at("s"), "--bvals", str(tmp_path / "b"), "--bvecs", str(tmp_path / "v")]
+    jobs.run(spark, jobs.arguments(["shore", *common, "--out", str(tmp_path / "shore"), "--order", "4", "--regularisation", "l2"]))
+    assert fits.load_fit(spark, str(tmp_path / "shore"))[0].count() == 27
+    jobs.run(spark, jobs.arguments(["qc", *common, "--out", str(tmp_path / "qc"), "--no-coherence"]))
+    assert json.loads(next((tmp_path / "qc" / "report").glob("*.json")).read_text().splitlines()[0])["metrics"]["max_b"] == 3000
+    jobs.run(spark, jobs.arguments(["tensor", *common, "--graddev", at("g"), "--out", str(tmp_path / "dti")]))
+    assert spark.read.parquet(str(tmp_path / "dti")).count() == 27
