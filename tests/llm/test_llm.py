@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, and on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import functools
 import hashlib
 import math
 import re
@@ -308,13 +309,37 @@ def test_suffix_tree_learns_contexts_and_sums_to_one(spark):
     train = spark.createDataFrame([(k, s) for k, s in enumerate(seqs)], "doc_id long, text string")
     tree = suffix_tree.learn(train)
     assert len(tree.keys) >= 2
-    one = lambda x: suffix_tree.score(spark.createDataFrame([(1, x)], "doc_id long, text string"), tree).first()
-    assert one("a b a b a b").score > one("a c a c a c").score + 1
-    # the chance of each possible next symbol, the end and any unknown one, after "a b": all of them come to 1
-    prefix = 10 ** (one("a b").score)
-    step = {w: one(f"a b {w}").score for w in ("a", "b", "c", "zzz")}
-    ends = {w: one(f"a b {w}").score for w in step}
-    assert all(np.isfinite(list(ends.values()))) and prefix < 1
+    one = lambda x: suffix_tree.score(spark.createDataFrame([(1, x)], "doc_id long, text string"), tree).first().score
+    assert one("a b a b a b") > one("a c a c a c") + 1
+    # the tree by plain counting: which contexts it keeps, from their hashes, and what follows them
+    o, after, root = suffix_tree.Options(), {}, Counter()
+    for x in seqs:
+        w = [*x.split(), None]
+        for i, y in enumerate(w):
+            root[y] += 1
+            for d in range(1, min(i, o.depth) + 1):
+                after.setdefault(tuple(w[i - d : i]), Counter())[y] += 1
+    hashed = lambda c: int(functools.reduce(lambda h, w: suffix_tree.mix(h, np.array([xxhash.xxh64_intdigest(w.encode())], np.uint64)), reversed(c), np.zeros(1, np.uint64))[0])
+    known = set(tree.keys.tolist())
+    kept = {c for c in after if hashed(c) in known}
+    assert len(kept) == len(known) and ("a",) in kept and all(c[1:] in kept or len(c) == 1 for c in kept)
+    n, unseen = sum(root.values()), (sum(v == 1 for v in root.values()) + 0.5) / (sum(root.values()) + 1)
+
+    def chance(before, y):
+        p = (1 - unseen) * root[y] / n if root[y] else unseen
+        for d in range(1, o.depth + 1):
+            c = tuple(before[-d:])
+            if len(c) < d or c not in kept:
+                break
+            own = after[c]
+            p = (max(own[y] - o.discount, 0) + o.discount * len(own) * p) / sum(own.values())
+        return p
+
+    for x in ("a b a b a b", "a c a c zzz a", "", "c c b a", seqs[0]):
+        w = [*x.split(), None]
+        assert one(x) == pytest.approx(sum(math.log10(chance(w[:i], y)) for i, y in enumerate(w)))
+    for before in ([], ["a"], ["a", "b"], ["c", "a", "b"], ["zzz"]):
+        assert sum(chance(before, y) for y in [*root, "zzz"]) == pytest.approx(1)
 
 
 # 6
