@@ -116,6 +116,19 @@ def _passing(distinct: DataFrame, keys: DataFrame, o: Options) -> DataFrame:
     return mine.select("doc_id", "line", F.array(*[F.array_contains("of", i) for i in range(4)]).alias("hits"))
 
 
+def split_by_ids(docs: DataFrame, ids: DataFrame, o: Options = Options()) -> tuple[DataFrame, DataFrame]:
+    """Rows of docs whose doc_id may be among `ids` (doc_id), and those whose surely isn't, so that the latter's texts need no shuffle.
+
+    Through a filter of bounded size; beyond its bound all rows are in the first part.
+    """
+    bits = _bits_for(ids.count(), o)
+    if not bits:
+        return docs, docs.limit(0)
+    hashed = F.xxhash64(F.col("doc_id").cast("long"))
+    may = F.coalesce(_in_filter(_filter_of(ids.select(hashed.alias("key")), bits).scalar(), hashed, bits), F.lit(False)) & F.col("doc_id").isNotNull()
+    return docs.where(may), docs.where(~may)
+
+
 def _survivors(docs: DataFrame, passing: DataFrame, o: Options) -> DataFrame:
     """The passing lines with their words, from a second look at the texts."""
     first = written(passing.select(F.col("doc_id").alias("of"), F.col("line").alias("no"), "hits"), "lines-passing")
