@@ -44,10 +44,11 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     near = written(simhash.similar_documents(docs, words=5, similarity=0.8), "pipeline-near")
     go = near.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     again = near.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    left = docs.join(go, "doc_id", "left_anti")
+    some, rest = line_dedup.split_by_ids(docs, written(go.union(again).distinct(), "pipeline-touched"))
+    left = some.join(go, "doc_id", "left_anti")
     text = F.xxhash64(F.col("text").isNull(), "text"), F.xxhash64(F.lit(1), "text")
     once = left.join(again, "doc_id", "left_semi").withColumns({OWN + "a": text[0], OWN + "b": text[1]}).dropDuplicates(["doc_id", OWN + "a", OWN + "b"])
-    return left.join(again, "doc_id", "left_anti").select(*docs.columns).union(once.select(*docs.columns))
+    return rest.select(*docs.columns).union(left.join(again, "doc_id", "left_anti").select(*docs.columns)).union(once.select(*docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +60,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     items, text = table(spark, sf_dir, "benchmark"), F.xxhash64("text")
     named, nameless = docs.where("doc_id is not null"), docs.where("doc_id is null")
     found = written(decontam.find(named, items).select("doc_id").distinct(), "pipeline-found")
-    left = named.join(found, "doc_id", "left_anti").select(*docs.columns)
+    some, rest = line_dedup.split_by_ids(named, found)
+    left = rest.select(*docs.columns).union(some.join(found, "doc_id", "left_anti").select(*docs.columns))
     if nameless.isEmpty():
         return left
     held = written(decontam.find(nameless.select(text.alias("doc_id"), "text"), items).select(F.col("doc_id").alias(OWN + "text")).distinct(), "pipeline-found")
