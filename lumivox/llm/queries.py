@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumivox.llm import bpe, decontam, embed_dedup, license_scan, line_dedup, packing, quality, simhash, suffix_tree, warc
+from lumivox.llm import align, bpe, decontam, embed_dedup, license_scan, line_dedup, packing, quality, resample, simhash, suffix_tree, toxicity, warc
 from lumivox.llm.common import table
 
 
@@ -57,6 +57,19 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.summary(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = resample.Options(longest=1, buckets=10_000, scale=1000, least_words=20, per_cent=10, seed=2024)
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), o)
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
 #: The line rule by brute force over distinct lines: every edit by one word is a join on what is left without a word.
 OP10_SQL = r"""
 WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS a, text FROM documents),
@@ -83,6 +96,26 @@ SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN f IS DISTINCT
 """
 
 
+#: crc32 by its rule, of each distinct word's bytes; tab: a byte's eight steps.
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS f FROM benchmark),
+e AS (SELECT doc_id, unnest(w) AS f FROM d),
+n AS (SELECT f, sum(s) AS s, sum(t) AS t, hex(encode(f)) AS h FROM (SELECT f, 1 AS s, 0 AS t FROM e UNION ALL SELECT f, 0, 1 FROM b) GROUP BY f),
+tab AS (SELECT list_transform(range(256), lambda r: list_reduce([r, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS step),
+c AS (SELECT f, s, t, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(CAST(length(h) / 2 AS BIGINT)), lambda k: CAST('0x' || substr(h, 2 * k + 1, 2) AS BIGINT))),
+  lambda x, y: xor(x >> 8, step[(xor(x, y) & 255) + 1]))) % 10000 AS bucket FROM n, tab),
+k AS (SELECT bucket, sum(s) AS s, sum(t) AS t FROM c GROUP BY bucket),
+a AS (SELECT sum(s) AS s, sum(t) AS t FROM k),
+g AS (SELECT bucket, CAST(floor(1000 * ln(((CAST(k.t AS DOUBLE) + 1) * (CAST(a.s AS DOUBLE) + 10000)) / ((CAST(k.s AS DOUBLE) + 1) * (CAST(a.t AS DOUBLE) + 10000)))) AS BIGINT) AS gain FROM k, a),
+w AS (SELECT e.doc_id, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight FROM e JOIN c USING (f) JOIN g USING (bucket) GROUP BY e.doc_id),
+o AS (SELECT doc_id, CAST(len(d.w) AS BIGINT) AS n_features, coalesce(w.weight, 0) AS weight,
+  coalesce(w.weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM d LEFT JOIN w USING (doc_id)),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM o WHERE n_features >= 20)
+SELECT o.doc_id, n_features, weight, score, CASE WHEN rank <= floor(10 * n / 100) THEN rank END AS rank FROM o LEFT JOIN r USING (doc_id)
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -90,8 +123,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_zip_round_trip, op2_quality_classifier, op3_bpe_round_trip, op4_benchmark_decontamination, op5_suffix_tree_scores, op6_license_scan, op7_simhash_near_dedup, op8_embedding_near_dedup, op9_packed_token_rows, op10_line_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_warc_zip_round_trip, op2_quality_classifier, op3_bpe_round_trip, op4_benchmark_decontamination, op5_suffix_tree_scores, op6_license_scan, op7_simhash_near_dedup, op8_embedding_near_dedup, op9_packed_token_rows, op10_line_dedup, op11_tokenizer_alignment, op12_importance_resampling, op13_toxicity, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_zip_round_trip": OP1_SQL, "op6_license_scan": license_scan.scan_sql(), "op10_line_dedup": OP10_SQL}
+    return {"op1_warc_zip_round_trip": OP1_SQL, "op6_license_scan": license_scan.scan_sql(), "op10_line_dedup": OP10_SQL, "op12_importance_resampling": OP12_SQL}
