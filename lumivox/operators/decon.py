@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lumivox.functions import numeric as N
 from lumivox.operators import order_stats as O
 from lumivox.operators import solvers
-from lumivox.operators.models import effective_table, map_rows
+from lumivox.operators.models import effective_table, effective_table_column, map_rows
 from lumivox.operators.voxel import KEY, is_finite
 
 SQRT4PI = float(np.sqrt(4 * np.pi))
@@ -206,14 +206,10 @@ def fit_dense(voxels: DataFrame, bvals: np.ndarray, directions: np.ndarray, resp
     return map_rows(voxels.where("in_mask"), columns, fit, TISSUE)
 
 
-def graddev_table(voxels: DataFrame, bvals: np.ndarray, directions: np.ndarray) -> DataFrame:
-    """KEY, vol, b_eff and direction that each voxel sees through its `graddev`, on the JVM."""
-    table = F.array(*[F.struct(F.lit(v).alias("vol"), F.lit(float(b)).alias("b"), F.array(*[F.lit(float(x)) for x in g]).alias("g")) for v, (b, g) in enumerate(zip(bvals, directions))])
-    each = voxels.select(*KEY, "graddev", F.explode(table).alias("t"))
-    q = F.transform(F.array(*[F.lit(k) for k in range(3)]), lambda k: sum(F.get("graddev", 3 * F.lit(r) + k).cast("double") * F.get("t.g", F.lit(r)) for r in range(3)))
-    each = each.withColumn("q", q).withColumn("n2", F.aggregate("q", F.lit(0.0), lambda a, x: a + x * x))
-    weighted = (F.col("t.b") > 50) & (F.col("n2") > 0)
-    return each.select(*KEY, "t.vol", F.when(weighted, F.col("t.b") * F.col("n2")).otherwise(F.col("t.b")).alias("b_eff"), F.when(weighted, F.transform("q", lambda x: x / F.sqrt("n2"))).otherwise(F.col("t.g")).alias("direction"))
+def graddev_table(voxels: DataFrame, bvals: np.ndarray, directions: np.ndarray, rotation: np.ndarray | None = None) -> DataFrame:
+    """KEY, vol, b_eff and direction that each voxel sees through its `graddev`, on the JVM; rotation: of effective_table()."""
+    each = voxels.select(*KEY, F.explode(effective_table_column(F.col("graddev"), bvals, directions, rotation)).alias("t"))
+    return each.select(*KEY, "t.vol", F.col("t.b").alias("b_eff"), F.col("t.g").alias("direction"))
 
 
 def reference_b0(voxels: DataFrame, bvals: np.ndarray, masks: list[DataFrame]) -> float | None:

@@ -44,6 +44,9 @@ class TensorOptions:
     min_signal: float = 1e-6
 
 
+#: b-values up to here count as unweighted.
+B0 = 50.0
+
 DTI = "s0 float, fa float, md float, outlier_fraction float, tensor array<float>, principal_dir array<float>, evals array<double>, iterations int, converged boolean"
 
 
@@ -66,16 +69,48 @@ def fit_tensor_graddev(voxels: DataFrame, bvals: np.ndarray, directions: np.ndar
     return map_rows(voxels.where("in_mask"), ["signal", "graddev"], fit, DTI)
 
 
-def effective_table(bvals: np.ndarray, directions: np.ndarray, t: np.ndarray, b0_threshold: float = 50.0) -> tuple[np.ndarray, np.ndarray]:
-    """b-values and directions that a voxel sees through its deviation matrix; unweighted volumes stay."""
+def effective_table(bvals: np.ndarray, directions: np.ndarray, t: np.ndarray, b0_threshold: float = B0, rotation: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """b-values and directions that a voxel sees through its deviation matrix; unweighted volumes stay.
+
+    rotation: from the voxel grid's axes, in which the matrix is, to those of the directions.
+    """
     if np.abs(t - np.eye(3)).max() <= 1e-6:
         return bvals, directions
-    q = directions @ t
+    if rotation is not None:
+        t = rotation @ t @ rotation.T
+    size = np.linalg.norm(directions, axis=1)
+    q = directions / np.where(size > 0, size, 1)[:, None] @ t
     n = np.linalg.norm(q, axis=1)
     weighted = (bvals > b0_threshold) & (n > 0)
     return np.where(weighted, bvals * n * n, bvals), np.where(weighted[:, None], q / np.where(n > 0, n, 1)[:, None], directions)
 
 
+def nominal_table_column(bvals: np.ndarray, directions: np.ndarray) -> Column:
+    """array of (vol, b, g, weighted), the same for every voxel."""
+    one = lambda v, b, g: F.struct(F.lit(v).alias("vol"), F.lit(float(b)).alias("b"), F.array(*[F.lit(float(x)) for x in g]).alias("g"), F.lit(bool(b > B0)).alias("weighted"))
+    return F.array(*[one(v, b, g) for v, (b, g) in enumerate(zip(bvals, directions))])
+
+
+def effective_table_column(graddev: Column, bvals: np.ndarray, directions: np.ndarray, rotation: np.ndarray | None = None) -> Column:
+    """The same as effective_table() sees it, a null deviation being none."""
+    r = np.eye(3) if rotation is None else np.asarray(rotation, dtype=float)
+    size = np.linalg.norm(directions, axis=1)
+    unit = directions / np.where(size > 0, size, 1)[:, None]
+    grid = unit @ r  # in the voxel grid's axes
+    table = F.array(*[F.struct(F.lit(v).alias("vol"), F.lit(float(b)).alias("b"), *(F.array(*[F.lit(float(x)) for x in g]).alias(n) for g, n in ((directions[v], "g"), (grid[v], "h")))) for v, b in enumerate(bvals)])
+    three = F.array(*[F.lit(k) for k in range(3)])
+    turn = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in r])
+    seen = lambda t: F.transform(three, lambda k: sum(F.get(graddev, 3 * F.lit(i) + k).cast("double") * F.get(t.h, F.lit(i)) for i in range(3)))
+    back = lambda q: F.transform(three, lambda k: sum(F.get(F.get(turn, k), F.lit(i)) * F.get(q, F.lit(i)) for i in range(3)))
+    with_q = F.transform(table, lambda t: F.struct(t.vol.alias("vol"), t.b.alias("b"), t.g.alias("g"), seen(t).alias("q")))
+    with_n = F.transform(with_q, lambda t: F.struct(t.vol.alias("vol"), t.b.alias("b"), t.g.alias("g"), t.q.alias("q"), F.aggregate(t.q, F.lit(0.0), lambda a, x: a + x * x).alias("n2")))
+    moved = lambda t: (t.b > B0) & F.coalesce(t.n2 > 0, F.lit(False))
+    eye = F.array(*[F.lit(float(x)) for x in np.eye(3).ravel()])
+    off = F.exists(F.zip_with(graddev, eye, lambda a, b: F.abs(a.cast("double") - b)), lambda x: x > 1e-6)
+    own = F.transform(with_n, lambda t: F.struct(t.vol.alias("vol"), F.when(moved(t), t.b * t.n2).otherwise(t.b).alias("b"), F.when(moved(t), F.transform(back(t.q), lambda x: x / F.sqrt(t.n2))).otherwise(t.g).alias("g"), (t.b > B0).alias("weighted")))
+    return F.when(off, own).otherwise(nominal_table_column(bvals, directions))
+
+
 def fiber_dominance(evals: Column) -> Column:
     """The largest eigenvalue over the mean of the other two."""
     rest = (F.get(evals, F.lit(1)) + F.get(evals, F.lit(2))) / 2

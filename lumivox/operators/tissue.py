@@ -158,112 +158,12 @@ def wm_response(selected: DataFrame, groups: list[tuple[float, list[int]]], dire
     return rows.select("scan_id", F.lit("wm").alias("tissue"), "row", F.get(bs, "row").alias("b"), F.transform("c", lambda x: x.c).alias("coeffs"))
 
 
-def pooled_samples(selected: DataFrame, bvals: np.ndarray, directions: np.ndarray | None = None, reference: float | None = None) -> DataFrame:
-    """scan_id, b, cos, y, w: every measurement of the selected voxels, scaled to a common unweighted signal.
-
-    cos is to principal_dir, 1 without directions; w is the squared ratio of the
-    voxel's unweighted signal to the reference.
-    """
-    at = np.flatnonzero(bvals <= 50)
-    b0 = sum((F.get("signal", F.lit(int(v))).cast("double") for v in at), F.lit(0.0)) / float(len(at))
-    g = lambda v: [F.get(F.array(*[F.lit(float(x)) for x in directions[:, k]]), v) for k in range(3)]
-    each = selected.withColumn("_b0", b0).where(F.col("_b0") > 0)
-    each = each.select("scan_id", "_b0", *(["principal_dir"] if directions is not None else []), F.posexplode("signal").alias("v", "s"))
-    cos = F.least(F.abs(sum(a * F.get("principal_dir", F.lit(k)) for k, a in enumerate(g(F.col("v"))))), F.lit(1.0)) if directions is not None else F.lit(1.0)
-    ref = F.lit(float(reference)) if reference is not None else F.col("_b0")
-    b = F.get(F.array(*[F.lit(float(x)) for x in bvals]), "v")
-    return each.select("scan_id", b.alias("b"), cos.alias("cos"), (F.col("s").cast("double") * ref / F.col("_b0")).alias("y"), (F.col("_b0") / ref * (F.col("_b0") / ref)).alias("w"))
-
-
-def kernel_rows(samples: DataFrame, tissue: str, b_max: float, step: float = 50.0, sigma: float = 150.0, share: float = 0.05) -> DataFrame:
-    """Isotropic rows on the grid k * step: Gaussian-weighted means of the samples, times the root of 4 pi.
-
-    Rows whose weight is below `share` of the average row's take the last one
-    before that isn't. Samples are summed by b before they meet the grid.
-    """
-    by_b = samples.groupBy("scan_id", "b").agg(F.sum(F.col("w") * F.col("y")).alias("wy"), F.sum("w").alias("w"))
-    grid = F.explode(F.sequence(F.lit(0), F.lit(int(np.ceil(b_max / step - 1e-9))))).alias("row")
-    k = by_b.select("*", grid)
-    near = F.exp(-((F.col("b") - F.col("row") * step) ** 2) / (2 * sigma * sigma))
-    rows = k.groupBy("scan_id", "row").agg(F.sum(near * F.col("wy")).alias("wy"), F.sum(near * F.col("w")).alias("w"))
-    mean = rows.groupBy("scan_id").agg(F.avg("w").alias("mean"))
-    own = F.when((F.col("w") >= share * F.col("mean")) & (F.col("w") > 1e-12), F.try_divide("wy", "w"))
-    w = Window.partitionBy("scan_id").orderBy("row")  # as many rows as the grid has
-    rows = rows.join(mean, "scan_id").withColumn("m", F.last(own, ignorenulls=True).over(w))
-    return rows.select("scan_id", F.lit(tissue).alias("tissue"), "row", (F.col("row") * F.lit(step)).alias("b"), F.array(F.col("m") * F.lit(float(np.sqrt(4 * np.pi)))).alias("coeffs"))
-
-
-def kernel_rows_zonal(samples: DataFrame, b_max: float, lmax: int = 8, step: float = 50.0, sigma: float = 150.0, share: float = 0.05) -> np.ndarray:
-    """Anisotropic rows (grid points by lmax / 2 + 1): Spark sums the weighted normal equations by b, the small systems are solved here."""
-    ls = list(range(0, lmax + 1, 2))
-    x = [F.lit(float(np.sqrt((2 * l + 1) / (4 * np.pi)))) * _legendre_column(l, F.col("cos")) for l in ls]
-    sums = [F.sum(F.col("w") * x[i] * x[j]).alias(f"g{i}_{j}") for i in range(len(ls)) for j in range(i, len(ls))] + [F.sum(F.col("w") * x[i] * F.col("y")).alias(f"r{i}") for i in range(len(ls))]
-    rows = samples.groupBy("b").agg(*sums, F.sum("w").alias("w")).collect()  # one row for each b-value of the table
-    grid = np.arange(int(np.ceil(b_max / step - 1e-9)) + 1) * step
-    out, weights = np.zeros((len(grid), len(ls))), []
-    systems = []
-    for b in grid:
-        near = [np.exp(-((r.b - b) ** 2) / (2 * sigma**2)) for r in rows]
-        g = np.array([[sum(k * r[f"g{min(i, j)}_{max(i, j)}"] for k, r in zip(near, rows)) for j in range(len(ls))] for i in range(len(ls))])
-        systems.append((g, np.array([sum(k * r[f"r{i}"] for k, r in zip(near, rows)) for i in range(len(ls))])))
-        weights.append(sum(k * r.w for k, r in zip(near, rows)))
-    for k, (g, rhs) in enumerate(systems):
-        fine = weights[k] >= share * np.mean(weights) and np.linalg.cond(g) < 1e12
-        out[k] = np.linalg.solve(g, rhs) if fine else (out[k - 1] if k else 0)
-    return out
-
-
 def _legendre_column(l: int, c: Column) -> Column:
     """A Legendre polynomial as a column, by its power coefficients."""
     p = np.polynomial.legendre.leg2poly([0] * l + [1])
     return sum((F.lit(float(a)) * F.pow(c, F.lit(float(k))) for k, a in enumerate(p) if a), F.lit(0.0))
 
 
-def smooth_rows(samples: DataFrame, b_max: float, lmax: int = 8, step: float = 50.0, smoothing_b: float = 150.0) -> np.ndarray:
-    """All rows in one constrained least squares: linear in b between grid points, with small second differences.
-
-    The first coefficient isn't negative and doesn't rise with b, higher ones
-    alternate in sign; the unweighted row is pinned to the measured mean.
-    """
-    n, ls = int(np.ceil(b_max / step - 1e-9)) + 1, list(range(0, lmax + 1, 2))
-    k = F.least(F.floor(F.col("b") / step), F.lit(n - 2)).cast("int")
-    t = F.col("b") / step - F.col("k")
-    x = [F.lit(float(np.sqrt((2 * l + 1) / (4 * np.pi)))) * _legendre_column(l, F.col("cos")) for l in ls]
-    both = [*[(1 - F.col("t")) * c for c in x], *[F.col("t") * c for c in x]]
-    s = samples.withColumn("k", k).withColumn("t", t)
-    sums = [F.sum(F.col("w") * both[i] * both[j]).alias(f"g{i}_{j}") for i in range(len(both)) for j in range(i, len(both))] + [F.sum(F.col("w") * both[i] * F.col("y")).alias(f"r{i}") for i in range(len(both))]
-    width = len(ls)
-    gram, rhs = np.zeros((n * width, n * width)), np.zeros(n * width)
-    total = 0.0
-    for r in s.groupBy("k").agg(*sums, F.sum("w").alias("w")).collect():  # a row for each grid interval
-        at = np.concatenate([r.k * width + np.arange(width), (r.k + 1) * width + np.arange(width)])
-        g = np.array([[r[f"g{min(i, j)}_{max(i, j)}"] for j in range(2 * width)] for i in range(2 * width)])
-        gram[np.ix_(at, at)] += g
-        rhs[at] += [r[f"r{i}"] for i in range(2 * width)]
-        total += r.w
-    second = np.zeros((n - 2, n))
-    for i in range(n - 2):
-        second[i, i : i + 3] = (1, -2, 1)
-    penalty = np.kron(second.T @ second, np.eye(width)) * (total / n) * (smoothing_b / step) ** 4
-    pin = samples.where(F.col("b") <= 50).agg(F.sum(F.col("w") * F.col("y")) / F.sum("w")).first()[0]
-    if pin is not None:
-        gram[0, 0] += 1e6 * total
-        rhs[0] += 1e6 * total * pin * np.sqrt(4 * np.pi)
-    rows = []
-    for i in range(n):
-        for c in range(width):
-            e = np.zeros(n * width)
-            e[i * width + c] = 1.0 if c % 2 == 0 else -1.0
-            rows.append(e)
-            if c == 0 and i + 1 < n:
-                d = np.zeros(n * width)
-                d[i * width], d[(i + 1) * width] = 1.0, -1.0
-                rows.append(d)
-    scale = np.abs(np.diag(gram)).max() or 1.0
-    qp = solvers.Inequality(None, np.array(rows), gram=(gram + penalty) / scale, max_iter=100_000, epsilon=1e-9)
-    return qp.solve_moments((rhs / scale)[None])[0][0].reshape(n, width)
-
-
 @dataclass
 class KurtosisFit:
     """theta: S0, diffusivities, kurtosis terms, offset; b is in thousands here."""

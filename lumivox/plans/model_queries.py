@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lumivox.functions import numeric as N
 from lumivox.functions.storage import scratch_folder
-from lumivox.operators import decon, models, qc, tissue
+from lumivox.operators import decon, dense, models, qc, tissue
 from lumivox.operators import voxel as V
 from lumivox.plans import pipelines
 from lumivox.plans import virtual_scan as S
@@ -168,10 +168,10 @@ def threshold_classes(spark, d):
 _ROW_SQL = " ".join(f"WHEN vol IN ({', '.join(map(str, v))}) THEN {k}" for k, (_, v) in enumerate(GROUPS))
 
 
-@query(f'SELECT CAST(CASE {_ROW_SQL} END AS INTEGER) AS "row", round(avg(s) * sqrt(4 * pi()), 4) AS c FROM long WHERE label = 5 GROUP BY 1')
+@query(f'SELECT CAST(label AS VARCHAR) AS scan_id, CAST(CASE {_ROW_SQL} END AS INTEGER) AS "row", round(avg(s) * sqrt(4 * pi()), 4) AS c FROM long GROUP BY 1, 2')
 def isotropic_response(spark, d):
-    v = S.voxels(spark, d)
-    return tissue.isotropic_response(v.where("label = 5"), GROUPS, "gm").select("row", F.round(F.get("coeffs", F.lit(0)), 4).alias("c"))
+    v = S.voxels(spark, d).withColumn("scan_id", F.col("label").cast("string"))
+    return tissue.isotropic_response(v, GROUPS, "gm").select("scan_id", "row", F.round(F.get("coeffs", F.lit(0)), 4).alias("c"))
 
 
 @query()
@@ -181,13 +181,38 @@ def wm_response(spark, d):
     return tissue.wm_response(own, GROUPS, DIRS, 4).select("row", "b", F.transform("coeffs", lambda c: F.round(c, 2)).alias("coeffs"))
 
 
-@query(""", b0 AS (SELECT x, y, z, avg(s) AS b0 FROM long WHERE vol % 8 = 0 AND label = 5 GROUP BY ALL),
-p AS (SELECT g.bval AS b, s / b0 AS y, b0 * b0 AS w FROM long JOIN b0 USING (x, y, z) JOIN g USING (vol)), k AS (SELECT i AS "row", sum(exp(-((b - i * 50) ** 2) / 45000.0::DOUBLE) * w * y) AS wy, sum(exp(-((b - i * 50) ** 2) / 45000.0::DOUBLE) * w) AS w FROM p, range(61) t(i) GROUP BY 1),
-f AS (SELECT "row", last_value(CASE WHEN w >= 0.05 * (SELECT avg(w) FROM k) AND w > 1e-12 THEN wy / w END IGNORE NULLS) OVER (ORDER BY "row") AS m FROM k)
-SELECT CAST("row" AS INTEGER) AS "row", "row" * 50.0::DOUBLE AS b, round(m * sqrt(4 * pi()), 6) AS c FROM f""")
+def _labelled(spark, d) -> DataFrame:
+    """Voxels with their label as the tissue."""
+    return S.voxels(spark, d).select("scan_id", F.col("label").cast("string").alias("tissue"), "signal")
+
+
+#: All labels over the upper median of label 3's unweighted signal, in one scan.
+_LEVEL_SQL = """, b0 AS (SELECT x, y, z, label, avg(s) AS b0 FROM long WHERE vol % 8 = 0 GROUP BY ALL),
+ref AS (SELECT b0 AS ref FROM (SELECT b0, row_number() OVER (ORDER BY b0) AS k, count(*) OVER () AS n FROM b0 WHERE label = 3) WHERE k = n // 2 + 1),
+lev AS (SELECT label, avg(b0) / any_value(ref) AS level FROM b0, ref WHERE b0 > 0 GROUP BY 1)"""
+
+
+@query(_LEVEL_SQL + """ SELECT CAST(label AS VARCHAR) AS tissue, round(ref, 6) AS reference, round(level, 6) AS level FROM lev, ref""")
+def tissue_levels(spark, d):
+    return dense.levels(_labelled(spark, d), BVALS, "3").select("tissue", *r6("reference", "level"))
+
+
+@query(_LEVEL_SQL + """, p AS (SELECT label, g.bval AS b, s / ref AS y FROM long JOIN b0 USING (x, y, z, label) JOIN g USING (vol), ref WHERE b0 > 0 AND g.bval > 50),
+k AS (SELECT label, i AS "row", sum(exp(-((b - i * 50) ** 2) / 45000.0::DOUBLE) * y) AS wy, sum(exp(-((b - i * 50) ** 2) / 45000.0::DOUBLE)) AS w, count(*) / 63.0::DOUBLE AS mean FROM p, range(63) t(i) GROUP BY 1, 2),
+f AS (SELECT label, "row", last_value(CASE WHEN "row" <= 1 THEN level WHEN w >= CASE WHEN label = 3 THEN 0.05 * mean ELSE 1e-12 END THEN wy / w END IGNORE NULLS) OVER (PARTITION BY label ORDER BY "row") AS m FROM k JOIN lev USING (label))
+SELECT CAST(label AS VARCHAR) AS tissue, CAST("row" AS INTEGER) AS "row", "row" * 50.0::DOUBLE AS b, round(m * sqrt(4 * pi()), 6) AS c FROM f""")
 def kernel_rows(spark, d):
-    s = tissue.pooled_samples(S.voxels(spark, d).where("label = 5"), BVALS, None, 1.0)
-    return tissue.kernel_rows(s, "gm", 3000.0).select("row", "b", F.round(F.get("coeffs", F.lit(0)), 6).alias("c"))
+    r = dense.responses(_labelled(spark, d), BVALS, DIRS, "kernel", lmax=0, reference="3")
+    return r.select("tissue", "row", "b", F.round(F.get("coeffs", F.lit(0)), 6).alias("c"))
+
+
+@query(_LEVEL_SQL + """, p AS (SELECT label, vol, count(*) AS n, round(sum(s / b0 * level * (b0 / ref) * (b0 / ref)) / sum((b0 / ref) * (b0 / ref)), 6) AS y FROM long JOIN b0 USING (x, y, z, label) JOIN lev USING (label), ref WHERE b0 > 0 AND vol % 8 <> 0 GROUP BY 1, 2)
+SELECT CAST(label AS VARCHAR) AS tissue, g.bval AS b, sum(n)::BIGINT AS samples, round(avg(y), 4) AS y FROM p JOIN g USING (vol) GROUP BY 1, 2""")
+def shape_samples(spark, d):
+    own = _labelled(spark, d)
+    s = dense.shapes(dense.pooled_samples(own, dense.levels(own, BVALS, "3"), BVALS, DIRS))
+    # voxels of a label differ, volumes of a shell don't, in how many there are: so the mean over volumes is the weighted mean
+    return s.groupBy("tissue", "b").agg(F.count(F.lit(1)).alias("samples"), F.round(F.sum(F.col("w") * F.col("y")) / F.sum("w"), 4).alias("y"))
 
 
 def _scan_responses(spark, d) -> DataFrame:
@@ -225,21 +250,14 @@ def response_deviation(spark, d):
 
 @query()
 def smooth_response(spark, d):
-    out = []
-    for label in (3, 5, 8):
-        rows = tissue.smooth_rows(tissue.pooled_samples(S.voxels(spark, d).where(F.col("label") == label), BVALS, None, 1.0), 3000.0, 0, 250.0)
-        out += [(label, k, float(round(r[0], 3))) for k, r in enumerate(rows)]
-    return spark.createDataFrame(out, "label int, row int, c double")
+    r = dense.responses(_labelled(spark, d), BVALS, DIRS, "smooth", lmax=0, step=250.0, reference="3")
+    return r.select("tissue", "row", F.round(F.get("coeffs", F.lit(0)), 3).alias("c"))
 
 
 @query()
 def kurtosis_response(spark, d):
-    out = []
-    for label in (3, 5, 8):
-        s = tissue.pooled_samples(S.voxels(spark, d).where(F.col("label") == label), BVALS, None, 1.0).groupBy("b").agg(F.avg("y").alias("y")).orderBy("b").collect()
-        f = tissue.fit_kurtosis(np.array([r.b for r in s]), np.ones(len(s)), np.array([r.y for r in s]), isotropic=True)
-        out += [(label, k, float(round(v, 3))) for k, v in enumerate(f.signal(np.arange(0, 3001, 500), np.ones(7)))]
-    return spark.createDataFrame(out, "label int, k int, signal double")
+    r = dense.responses(_labelled(spark, d), BVALS, DIRS, "kurtosis", lmax=0, step=500.0, reference="3")
+    return r.select("tissue", "row", F.round(F.get("coeffs", F.lit(0)), 3).alias("c"))
 
 
 @query()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lumivox.functions import numeric as N
 from lumivox.operators import decon, models, qc, tissue
+from lumivox.operators import dense as dense_rows
 from lumivox.operators.voxel import KEY
 
 
@@ -51,27 +52,14 @@ def single_shell(voxels: DataFrame, bvals: np.ndarray, directions: np.ndarray, s
     return Run(decon.normalise(fits, ["wm0", "gm", "csf"], shape, n), responses, dti, selection.counts)
 
 
-def dense_responses(selected: tissue.Selection, voxels: DataFrame, dti: DataFrame, bvals: np.ndarray, directions: np.ndarray, estimator: str = "kernel", lmax: int = 8, step: float = 50.0) -> dict[str, np.ndarray]:
-    """Rows on the b grid for the three tissues, of a unit unweighted signal, by kernel, smooth or kurtosis fits."""
-    sv = voxels.select(*KEY, "signal")
-    b_max = float(bvals.max() + 2 * step)
-    grid = np.arange(int(np.ceil(b_max / step - 1e-9)) + 1) * step
-    out = {}
-    for name, rows in (("wm", selected.wm), ("gm", selected.gm), ("csf", selected.csf)):
-        own = sv.join(rows.select(*KEY), KEY)
-        axis = directions if name == "wm" else None
-        if axis is not None:
-            own = own.join(dti.select(*KEY, "principal_dir"), KEY)
-        samples = tissue.pooled_samples(own, bvals, axis, 1.0)
-        if estimator == "kernel":
-            out[name] = tissue.kernel_rows_zonal(samples, b_max, lmax if name == "wm" else 0, step)
-        elif estimator == "smooth":
-            out[name] = tissue.smooth_rows(samples, b_max, lmax if name == "wm" else 0, step)
-        else:
-            s = samples.groupBy("b", F.round("cos", 2).alias("cos")).agg((F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("y"), F.sum("w").alias("w")).collect()  # at most 101 angles a b-value
-            fit = tissue.fit_kurtosis(*(np.array([r[k] for r in s]) for k in ("b", "cos", "y", "w")), isotropic=name != "wm")
-            out[name] = tissue.kurtosis_rows(fit, grid, lmax if name == "wm" else 0)
-    return {k: v / (out["wm"][0, 0] / decon.SQRT4PI) if k == "wm" else v for k, v in out.items()}
+def dense_responses(selected: tissue.Selection, voxels: DataFrame, dti: DataFrame, bvals: np.ndarray, directions: np.ndarray, estimator: str = "kernel", lmax: int = 8, step: float = 50.0, b_max: float | None = None) -> dict[str, np.ndarray]:
+    """One scan's rows on the b grid for the three tissues, all over its white matter's reference signal."""
+    rows = dense_rows.responses(dense_rows.union_of(selected, voxels, dti), bvals, directions, estimator, lmax, step, b_max).persist()
+    out = {t: matrix(rows, t) for t in ("wm", "gm", "csf")}
+    rows.unpersist()
+    if not all(len(v) for v in out.values()):
+        raise ValueError("response estimation: no unweighted signal to scale by, or no voxel of a tissue")
+    return out
 
 
 def dense(voxels: DataFrame, bvals: np.ndarray, directions: np.ndarray, shape: tuple[int, int, int], selection: tissue.Selection | None = None, estimator: str | None = None, o: decon.DenseOptions = decon.DenseOptions(), n: decon.NormaliseOptions = decon.NormaliseOptions()) -> Run:
@@ -79,7 +67,9 @@ def dense(voxels: DataFrame, bvals: np.ndarray, directions: np.ndarray, shape: t
     groups = N.shells(list(bvals))
     dti = models.fit_tensor(voxels, bvals, directions).persist()
     selection = selection or tissue.select_staged(voxels, dti, N.merge_small_shells(N.shells(list(bvals), 100.0)))
-    responses = dense_responses(selection, voxels, dti, bvals, directions, estimator or tissue.choose_estimator(None, interpolate=o.interpolate), o.lmax, o.step)
+    moved = dense_rows.b_shift(voxels, bvals, directions).first() if "graddev" in voxels.columns else None
+    estimator = estimator or tissue.choose_estimator(moved.shift if moved else None, interpolate=o.interpolate)
+    responses = dense_responses(selection, voxels, dti, bvals, directions, estimator, o.lmax, o.step, moved.largest if moved else None)
     fits = decon.fit_dense(voxels, bvals, directions, responses, o).withColumn("wm0", F.get("wm", F.lit(0))).withColumn("in_mask", F.lit(True))
     level = decon.normalise(fits, ["wm0", "gm", "csf"], shape, n)
     total = F.col("wm0") + F.col("gm") + F.col("csf")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lumivox import jobs, sinks
 from lumivox.api import Scan
 from lumivox.functions import numeric as N
-from lumivox.operators import decon, models, qc, tissue
+from lumivox.operators import decon, dense, models, qc, tissue
 from lumivox.operators import order_stats as O
 from lumivox.operators import voxel as V
 from lumivox.plans import pipelines
@@ -176,6 +176,8 @@ def test_dense_pipeline_tells_tissues_apart(spark):
     y = N.sh_matrix(N.hemisphere(), 4)
     assert (np.array([r.wm for r in rows], dtype=float) @ y.T).min() > -1e-3
     assert run.details["reference_b0"] == pytest.approx(1000, rel=0.05)
+    first = {t: r[0, 0] / decon.SQRT4PI for t, r in run.responses.items()}
+    assert first == pytest.approx({"wm": 1.0, "gm": 1.3, "csf": 2.6}, rel=0.01)
 
 
 def test_kurtosis_fit_recovers_planted_parameters():
@@ -189,9 +191,55 @@ def test_kurtosis_fit_recovers_planted_parameters():
 
 
 def test_smooth_rows_fall_with_b(spark):
-    s = spark.createDataFrame([("s", float(b), 1.0, float(np.exp(-b * 1e-3)), 1.0) for b in (0, 0, 500, 1000, 1500, 2000) for _ in range(3)], "scan_id string, b double, cos double, y double, w double")
-    r = tissue.smooth_rows(s, 2000.0, 0, 250.0)[:, 0]
-    assert (np.diff(r) <= 1e-6).all() and r[0] == pytest.approx(np.sqrt(4 * np.pi), rel=1e-3) and r.min() >= -1e-9
+    s = spark.createDataFrame([("s", "gm", 1.3, float(b), 1.0, 1.3 * float(np.exp(-b * 1e-3)), 1.0) for b in (500, 1000, 1500, 2000) for _ in range(3)], "scan_id string, tissue string, level double, b double, cos double, y double, w double")
+    r = np.array([x.coeffs[0] for x in dense.smooth_rows(s, 2000.0, 0, 250.0).orderBy("row").collect()])
+    assert (np.diff(r) <= 1e-6).all() and r[0] == pytest.approx(1.3 * np.sqrt(4 * np.pi), rel=1e-3) and r.min() >= -1e-9
+    assert r[4] == pytest.approx(1.3 * np.exp(-1) * np.sqrt(4 * np.pi), rel=0.02)
+
+
+def selected_of(scan, scan_id="scan"):
+    pick = tissue.Selection(*(scan.voxels.where(w).select(*V.KEY) for w in ("z < 2", "z in (2, 3)", "z = 4")))
+    return dense.union_of(pick, scan.voxels, scan.tensor).withColumn("scan_id", F.lit(scan_id))
+
+
+@pytest.mark.parametrize("estimator", ["kernel", "smooth", "kurtosis"])
+def test_dense_responses_keep_what_tissues_differ_in_without_weighting(spark, estimator):
+    scan = fibre_scan(spark, 5)
+    own = selected_of(scan, "a")
+    both = own.union(own.withColumn("scan_id", F.lit("b")).withColumn("signal", F.transform("signal", lambda v: v * F.lit(7.0))))  # another gain
+    got = dense.responses(both, scan.bvals, scan.directions, estimator, lmax=4).collect()
+    rows = {(r.scan_id, r.tissue, r.row): np.array(r.coeffs) for r in got}
+    assert len(rows) == len(got) == 2 * 3 * 63
+    for t, level in (("wm", 1.0), ("gm", 1.3), ("csf", 2.6)):
+        assert rows["a", t, 0][0] / dense.SQRT4PI == pytest.approx(level, rel=0.01)
+        assert not rows["a", t, 0][1:].any() or estimator != "kernel"
+        for k in range(63):
+            assert rows["a", t, k] == pytest.approx(rows["b", t, k], rel=1e-4, abs=1e-4)
+    for t, level, decay in (("gm", 1.3, 0.8e-3), ("csf", 2.6, 3e-3)):
+        for k in (20, 40, 60):
+            assert rows["a", t, k][0] / dense.SQRT4PI == pytest.approx(level * np.exp(-50 * k * decay), rel=0.03, abs=0.02)
+    with pytest.raises(ValueError):
+        dense.responses(both, scan.bvals, scan.directions, "spline")
+
+
+def test_dense_samples_stand_where_each_voxel_saw_them(spark):
+    scan = fibre_scan(spark, 5)
+    stretch = np.diag([1.1, 1.0, 0.9])
+    turn = np.array([[0, -1, 0], [1, 0, 0], [0, 0, 1.0]])
+    own = selected_of(scan).withColumn("graddev", F.when(F.col("tissue") == "gm", F.array(*[F.lit(float(x)) for x in stretch.ravel()])).otherwise(F.array(*[F.lit(float(x)) for x in np.eye(3).ravel()])))
+    for r in (None, turn):
+        s = dense.pooled_samples(own, dense.levels(own, scan.bvals), scan.bvals, scan.directions, rotation=r)
+        want, g = models.effective_table(scan.bvals, scan.directions, stretch, rotation=r)
+        got = sorted({round(x.b, 6) for x in s.where("tissue = 'gm'").select("b").distinct().collect()})
+        assert got == sorted({round(float(b), 6) for b in want[scan.bvals > 50]})
+        assert {x.b for x in s.where("tissue = 'wm'").select("b").distinct().collect()} == {1000.0, 2000.0, 3000.0}
+    # turned table and turned frame: the same deviations seen from another frame
+    here, there = models.effective_table(scan.bvals, scan.directions, stretch), models.effective_table(scan.bvals, scan.directions @ turn.T, stretch, rotation=turn)
+    assert np.allclose(here[0], there[0]) and np.allclose(here[1] @ turn.T, there[1])
+    table = decon.graddev_table(own.where("tissue = 'gm'").limit(1).withColumns({c: F.lit(0) for c in "xyz"}), scan.bvals, scan.directions @ turn.T, turn).orderBy("vol").collect()
+    assert np.allclose([t.b_eff for t in table], there[0]) and np.allclose([t.direction for t in table], there[1])
+    moved = dense.b_shift(own.withColumn("in_mask", F.lit(True)), scan.bvals, scan.directions).first()
+    assert moved.largest == pytest.approx(want.max(), rel=1e-6) and 0 < moved["shift"] < 0.21 * 3000
 
 
 def test_peaks_of_two_crossing_fibres(spark):
