@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lumivox.functions import numeric as N
 from lumivox.operators import order_stats as O
 from lumivox.operators import solvers
+from lumivox.operators.levels import Level, NormaliseOptions, fit_level, fit_levels, normalise  # noqa: F401  normalisation belongs to deconvolution
 from lumivox.operators.models import effective_table, effective_table_column, map_rows
 from lumivox.operators.voxel import KEY, is_finite
 
@@ -223,142 +224,6 @@ def reference_b0(voxels: DataFrame, bvals: np.ndarray, masks: list[DataFrame]) -
     return None
 
 
-@dataclass(frozen=True)
-class NormaliseOptions:
-    """target: what tissue sums are brought to, None for the upper median of the positive ones; balance: whether results carry the balance factors."""
-
-    order: int = 3
-    rounds: int = 15
-    inner: int = 7
-    target: float | None = None
-    balance: bool = False
-
-
-@dataclass
-class Level:
-    """coef: of the log field's polynomial of that order; balance: of the tissues; target: the sum that was aimed at; fitted: voxels with weight;
-    residual: their mean absolute log difference from the target; scale: the field's geometric mean over them; rounds done.
-    """
-
-    order: int
-    coef: np.ndarray
-    balance: np.ndarray
-    target: float
-    fitted: int
-    residual: float
-    scale: float
-    rounds: int
-
-
-def _solved(gram: np.ndarray, rhs: np.ndarray, what: str) -> np.ndarray:
-    """Normal equations with a ridge that only matters where they are singular."""
-    ridge = max(gram.diagonal().max(), 1.0) * 1e-12
-    try:
-        low = np.linalg.cholesky(gram + ridge * np.eye(len(gram)))
-    except np.linalg.LinAlgError:
-        raise ValueError(f"normalisation: the equations of the {what} aren't positive definite") from None
-    return np.linalg.solve(low.T, np.linalg.solve(low, rhs))
-
-
-def _basis(order: int, shape: tuple[int, int, int]) -> Column:
-    at = [2 * F.col(a) / max(n - 1, 1) - 1 for a, n in zip("xyz", shape)]
-    return F.array(*[F.pow(at[0], F.lit(i)) * F.pow(at[1], F.lit(j)) * F.pow(at[2], F.lit(k)) for i, j, k in N.polynomial_terms(order)])
-
-
-def _field(coef: np.ndarray, basis: str = "_p") -> Column:
-    return F.exp(sum((F.get(basis, F.lit(k)) * float(v) for k, v in enumerate(coef)), F.lit(0.0)))
-
-
-def fit_level(tissue: DataFrame, columns: list[str], shape: tuple[int, int, int], o: NormaliseOptions = NormaliseOptions()) -> Level:
-    """The field and balance under which the tissue sum of the masked voxels is level, for one scan.
-
-    A voxel weighs 1 where its log sum is within the quartiles widened by 3, later
-    by 1.5 of their distance, else 0. Each round takes balance factors and weights in turn till no weight changes or `inner` times,
-    then the field's least squares. Every step is an aggregation whose few sums come to the driver.
-    """
-    if o.rounds < 1 or o.inner < 1 or (o.target is not None and not o.target > 0):
-        raise ValueError("normalisation: rounds, inner rounds and the target must be positive")
-    n, t = len(columns), [f"_t{i}" for i in range(len(columns))]
-    positive = lambda c: F.when(is_finite(F.col(c).cast("double")) & (F.col(c) > 0), F.col(c).cast("double")).otherwise(0.0)
-    inside = tissue.where("in_mask").select(*[positive(c).alias(k) for c, k in zip(columns, t)], _basis(o.order, shape).alias("_p"))
-    inside = inside.persist()
-    try:
-        plain = sum((F.col(k) for k in t), F.lit(0.0))
-        target = o.target
-        if target is None:
-            target = O.upper_median(inside.select(plain.alias("s")).where("s > 0").withColumn("all", F.lit(1)), ["all"], "s").first()
-            if target is None:
-                raise ValueError("normalisation: no voxel of the mask has a positive sum")
-            target = target.median
-        balance, coef = np.ones(n), np.zeros(len(N.polynomial_terms(o.order)))
-
-        def level(b: np.ndarray, c: np.ndarray) -> DataFrame:
-            s = inside.withColumns({"_f": _field(c), "_s": sum((float(v) * F.col(k) for v, k in zip(b, t)), F.lit(0.0))})
-            return s.withColumn("_log", F.when(F.col("_s") > 0, F.ln(F.col("_s") / F.col("_f"))).otherwise(F.lit(float("-inf"))))
-
-        def bounds(b: np.ndarray, c: np.ndarray, k: float) -> Column:
-            """Whether a voxel weighs 1, for this balance and field whatever the next ones are."""
-            q = O.iqr_quartiles(level(b, c).withColumn("all", F.lit(1)), ["all"], "_log").first()
-            low, high = q.q1 - k * (q.q3 - q.q1), q.q3 + k * (q.q3 - q.q1)
-            own = sum((float(v) * F.col(x) for v, x in zip(b, t)), F.lit(0.0))
-            log = F.when(own > 0, F.ln(own / _field(c)))
-            return F.coalesce((log >= low) & (log <= high) & (log > float("-inf")), F.lit(False))
-
-        weight = bounds(balance, coef, 3.0)
-        for _ in range(o.rounds):
-            for _ in range(o.inner):
-                x = [F.col(k) / F.col("_f") for k in t]
-                r = level(balance, coef).where(weight).agg(*[F.sum(x[i] * x[j]).alias(f"g{i}_{j}") for i in range(n) for j in range(i, n)], *[F.sum(x[i]).alias(f"r{i}") for i in range(n)]).first()
-                if r.r0 is None:
-                    raise ValueError("normalisation: no voxel is left that weighs anything")
-                gram = np.array([[r[f"g{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)])
-                new = _solved(gram, np.array([r[f"r{i}"] for i in range(n)]), "balance factors")
-                if not (new > 0).all():
-                    raise ValueError(f"normalisation: balance factors that aren't positive: {new}")
-                balance = new / np.exp(np.log(new).mean())
-                before, weight = weight, bounds(balance, coef, 1.5)
-                if inside.where(before != weight).isEmpty():
-                    break
-            gram, rhs = _field_sums(level(balance, coef).where(weight).select("_p", "_s"), len(coef), target)
-            coef = _solved(gram, rhs, "field")
-        s = level(balance, coef).where(weight).agg(F.count(F.lit(1)).alias("n"), F.avg(F.ln("_f")).alias("f"), F.sum(F.when(F.col("_s") > 0, F.abs(F.col("_log") - float(np.log(target))))).alias("r")).first()
-        return Level(o.order, coef, balance, target, s.n, (s.r or 0.0) / max(s.n, 1), float(np.exp(s.f or 0.0)), o.rounds)
-    finally:
-        inside.unpersist()
-
-
-def normalise(tissue: DataFrame, columns: list[str], shape: tuple[int, int, int], o: NormaliseOptions = NormaliseOptions(), level: Level | None = None) -> DataFrame:
-    """Adds `field` and divides the tissue columns by it, and `wm`, all coefficients of it, where that is there: rows outside the mask too.
-
-    The field is fitted to `columns` where no level is given.
-    """
-    level = level or fit_level(tissue, columns, shape, o)
-    rows = tissue.withColumn("_p", _basis(level.order, shape)).withColumn("field", _field(level.coef)).drop("_p")
-    factor = {c: (float(level.balance[i]) if o.balance else 1.0) / F.col("field") for i, c in enumerate(columns)}
-    out = {c: F.col(c) * f for c, f in factor.items()}
-    if "wm" in tissue.columns:
-        whole = next((f for c, f in factor.items() if c.startswith("wm")), 1.0 / F.col("field"))
-        out["wm"] = F.transform("wm", lambda x: x * whole)
-    return rows.withColumns(out)
-
-
-def _field_sums(rows: DataFrame, n: int, target: float) -> tuple[np.ndarray, np.ndarray]:
-    """Gram matrix and moments of the log field's fit; rows without a positive sum count with 0."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gram, rhs = np.zeros((n, n)), np.zeros(n)
-        for b in batches:
-            if len(b):
-                p, s = np.stack(b["_p"].to_numpy()), b["_s"].to_numpy()
-                gram += p.T @ p
-                rhs += p.T @ np.where(s > 0, np.log(np.where(s > 0, s, 1) / target), 0)
-        yield pd.DataFrame({"k": np.arange(n * n + n), "v": np.concatenate([gram.ravel(), rhs])})
-
-    sums = {r.k: r.v for r in rows.mapInPandas(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}
-    flat = np.array([sums.get(k, 0.0) for k in range(n * n + n)])
-    return flat[: n * n].reshape(n, n), flat[n * n :]
-
-
 def floor_corrected(tissue: DataFrame) -> DataFrame:
     """The noise floor over the field, where that is positive and the voxel is in the mask."""
     return tissue.withColumn("floor", F.when(F.col("in_mask") & (F.col("field") > 0), F.col("floor") / F.col("field")).otherwise(0.0))

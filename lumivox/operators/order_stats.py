@@ -9,7 +9,7 @@ one sorted pass per group without gathering the group's values in one row.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Generator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,12 +66,14 @@ def iqr_quartiles(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return at_ranks(df, by, value, {k: (lambda n, q=q: F.least(F.round(n * q), n - 1)) for k, q in (("q1", 0.25), ("q3", 0.75))})
 
 
-def _edge(df: DataFrame, by: list[str], value: str, n: int, top: bool) -> DataFrame:
-    if n < 1:
+def _edge(df: DataFrame, by: list[str], value: str, n: int | Callable[[Column], Column], top: bool) -> DataFrame:
+    """n: a number, or a function of the group's count."""
+    if not callable(n) and n < 1:
         raise ValueError("nothing is selected with n below 1")
     some = df.where(is_finite(F.col(value)) & (F.col(value) != 0))
-    short = F.raise_error(F.format_string(f"{n} of %d values asked for", "_n"))
-    at = lambda total: F.when(total < n, short).otherwise(total - n if top else F.lit(n - 1))
+    of = n if callable(n) else (lambda total: F.lit(n))
+    short = lambda total: F.raise_error(F.format_string("%d of %d values asked for", of(total), total))
+    at = lambda total: F.when(total < of(total), short(total)).otherwise(total - of(total) if top else of(total) - 1)
     cut = at_ranks(some, by, value, {"_cut": at})
     return some.join(cut, by).where(F.col(value) >= F.col("_cut") if top else F.col(value) <= F.col("_cut")).drop("_cut")
 
@@ -86,6 +88,15 @@ def bottom_n(df: DataFrame, by: list[str], value: str, n: int) -> DataFrame:
     return _edge(df, by, value, n, False)
 
 
+def top_percent(df: DataFrame, by: list[str], value: str, percent: float) -> DataFrame:
+    """The same with that share of each group's values."""
+    return _edge(df, by, value, lambda total: percent_count(total, percent), True)
+
+
+def bottom_percent(df: DataFrame, by: list[str], value: str, percent: float) -> DataFrame:
+    return _edge(df, by, value, lambda total: percent_count(total, percent), False)
+
+
 def percent_count(total: Column, percent: float) -> Column:
     """total percent of a hundred, half rounded to even; an error where that is 0."""
     n = F.bround(total * F.lit(percent) / 100.0, 0).cast("int")
@@ -96,53 +107,78 @@ def percent_count(total: Column, percent: float) -> Column:
 GOLDEN = 0.61803399
 
 
-def golden_minimum(cost: Callable[[float], float], low: float, high: float, tol: float, rounds: int = 200) -> float:
-    """The better of the two probes left when the bracket is shorter than tol times the sum of their sizes; the first stands in its middle."""
+def golden_probes(low: float, high: float, tol: float, rounds: int = 200) -> Generator[float, float, float]:
+    """Yields places, is sent their costs, and returns the better of the two probes left when the bracket is shorter than tol times the sum of their sizes.
+
+    The first stands in the bracket's middle.
+    """
     near, far = low + (high - low) / 2, None
     near, far = near - (1 - GOLDEN) * (near - low), near
-    at = {x: cost(x) for x in (near, far)}
+    at = {}
+    for x in (near, far):
+        at[x] = yield x
     for _ in range(rounds):
         if high - low <= tol * (abs(near) + abs(far)):
             break
         if at[far] < at[near]:
             low, near, far = near, far, GOLDEN * far + (1 - GOLDEN) * high
-            at[far] = cost(far)
+            at[far] = yield far
         else:
             high, far, near = far, near, GOLDEN * near + (1 - GOLDEN) * low
-            at[near] = cost(near)
+            at[near] = yield near
     return near if at[near] < at[far] else far
 
 
-def optimal_threshold(df: DataFrame, value: str, offset: float = 0.0, tol: float = 0.01) -> float | None:
-    """The threshold of value less `offset` whose selection correlates best with the finite values; None for constant values.
+def optimal_thresholds(df: DataFrame, by: str, value: str, tol: float = 0.01) -> dict[str, float | None]:
+    """By group the threshold whose selection correlates best with the finite values; None for constant values.
 
-    The search runs between the least and the largest value, a thousandth of
-    the range off each. A probe is one aggregate; the values stay where they are.
+    The search runs between the least and the largest value, a thousandth of the range off each. All groups search side by side:
+    a probe of every group still searching is one aggregate; the values stay where they are, some numbers a group come to the driver.
     """
-    v = df.where(is_finite(F.col(value))).select((F.col(value).cast("double") - offset).alias("v"))
-    s = v.agg(F.count("v").alias("n"), F.sum("v").alias("sum"), F.sum(F.col("v") * F.col("v")).alias("sq"), F.min("v").alias("low"), F.max("v").alias("high")).first()
-    if not s.n or s.low == s.high:
-        return None
-    mean, spread = s["sum"] / s.n, (max(s.sq / s.n - (s["sum"] / s.n) ** 2, 0)) ** 0.5
-    if not spread:
-        return None
-
-    def against(t: float) -> float:
-        r = v.where(F.col("v") > t).agg(F.count("v").alias("n"), F.sum("v").alias("sum")).first()
-        p = r.n / s.n
-        return 0.0 if p in (0, 1) else -(r["sum"] / s.n - p * mean) / ((p * (1 - p)) ** 0.5 * spread)
-
-    margin = (s.high - s.low) / 1000
-    return golden_minimum(against, s.low + margin, s.high - margin, tol)
-
-
-def threshold_select(df: DataFrame, value: str, offset: float = 0.0, below: bool = False) -> DataFrame:
-    """Rows whose value less `offset` is at or above its optimal threshold, or below it; constant values are an error."""
-    t = optimal_threshold(df, value, offset)
-    if t is None:
+    v = df.where(is_finite(F.col(value))).select(F.col(by).alias("_by"), F.col(value).cast("double").alias("v"))
+    every = v.groupBy("_by").agg(F.count("v").alias("n"), F.sum("v").alias("sum"), F.sum(F.col("v") * F.col("v")).alias("sq"), F.min("v").alias("low"), F.max("v").alias("high")).collect()
+    found, searches, probes, spread = {}, {}, {}, {}
+    for s in every:
+        spread[s._by] = max(s.sq / s.n - (s["sum"] / s.n) ** 2, 0) ** 0.5
+        margin = (s.high - s.low) / 1000
+        if s.low == s.high or not spread[s._by]:
+            found[s._by] = None
+        else:
+            searches[s._by] = golden_probes(s.low + margin, s.high - margin, tol)
+            probes[s._by] = next(searches[s._by])
+    total = {s._by: s for s in every}
+    while probes:
+        at = df.sparkSession.createDataFrame(list(probes.items()), v.select("_by", F.col("v").alias("_t")).schema)
+        above = v.join(at, "_by").where(F.col("v") > F.col("_t")).groupBy("_by").agg(F.count("v").alias("n"), F.sum("v").alias("sum"))
+        got = {r._by: r for r in above.collect()}
+        for key in list(probes):
+            s, r = total[key], got.get(key)
+            p = r.n / s.n if r else 0.0
+            cost = 0.0 if p in (0, 1) else -(r["sum"] / s.n - p * s["sum"] / s.n) / ((p * (1 - p)) ** 0.5 * spread[key])
+            try:
+                probes[key] = searches[key].send(cost)
+            except StopIteration as end:
+                found[key] = end.value
+                del probes[key]
+    return found
+
+
+def optimal_threshold(df: DataFrame, value: str, offset: float = 0.0, tol: float = 0.01) -> float | None:
+    """The threshold of value less `offset` over all rows; None for constant values."""
+    one = df.select(F.lit("all").alias("all"), (F.col(value).cast("double") - offset).alias("v"))
+    return optimal_thresholds(one, "all", "v", tol).get("all")
+
+
+def threshold_select(df: DataFrame, value: str, offset: float = 0.0, below: bool = False, by: str | None = None) -> DataFrame:
+    """Rows whose value less `offset` is at or above its optimal threshold, each group's own where `by` is given, or below it; constant values are an error."""
+    moved = df.withColumns({"_off": F.col(value).cast("double") - offset, "_by": F.col(by) if by else F.lit("all")})
+    found = optimal_thresholds(moved, "_by", "_off")
+    if constant := sorted(str(k) for k, t in found.items() if t is None):
+        raise ValueError(f"{value} is constant in {', '.join(constant)}, there is no threshold")
+    if not found and not by:
         raise ValueError(f"{value} is constant, there is no threshold")
-    moved = F.col(value) - offset
-    return df.where(moved < t if below else moved >= t)
+    at = df.sparkSession.createDataFrame(list(found.items()), moved.select("_by", F.lit(0.0).alias("_cut")).schema)
+    return moved.join(at, "_by").where(F.col("_off") < F.col("_cut") if below else F.col("_off") >= F.col("_cut")).select(*df.columns)
 
 
 def masked_min(df: DataFrame, by: list[str], value: str) -> DataFrame:

@@ -42,66 +42,71 @@ class StagedOptions:
 
 @dataclass
 class Selection:
-    """Voxels of single-fibre white matter, grey matter and fluid, and how many each stage left."""
+    """Voxels of single-fibre white matter, grey matter and fluid; how many each stage left in all, and in each scan."""
 
     wm: DataFrame
     gm: DataFrame
     csf: DataFrame
     counts: dict[str, int] = field(default_factory=dict)
+    by_scan: dict[str, dict[str, int]] = field(default_factory=dict)
 
 
 def select_staged(voxels: DataFrame, dti: DataFrame, groups: list[tuple[float, list[int]]], o: StagedOptions = StagedOptions()) -> Selection:
     """Tissue by decay and anisotropy: crude classes, splits at optimal thresholds, then the extremes of each.
 
-    One scan at a time: thresholds are global to it. Each stage is a filter with
-    a few numbers from aggregates; voxels stay distributed. A stage that leaves no voxel is an error.
+    Thresholds are each scan's own; all scans, which share a table of shells, go through a stage together, so the jobs are as many
+    for one as for thousands. Voxels stay distributed; counts and thresholds of scans come to the driver. A stage that leaves a scan no voxel is an error that names both.
     """
-    counts: dict[str, int] = {}
+    counts: dict[str, dict[str, int]] = {}
+    one = ["scan_id"]
 
     def left(name: str, df: DataFrame) -> DataFrame:
-        counts[name] = df.count()
-        if not counts[name]:
-            raise ValueError(f"tissue selection: no voxel is left as {name}")
+        counts[name] = {r.scan_id: r["count"] for r in df.groupBy("scan_id").count().collect()}
+        scans = counts["mask"].keys()
+        if not scans or (gone := scans - counts[name].keys()):
+            raise ValueError(f"tissue selection: no voxel is left as {name}" + (f" in {', '.join(sorted(map(str, gone)))}" if scans else ""))
         return df
 
-    def middle(df: DataFrame, value: str = "sdm") -> float:
-        return O.averaging_median(df.withColumn("_all", F.lit(1)), ["_all"], value).first().median
+    def beside(df: DataFrame, of: DataFrame, value: str = "sdm", to: str = "centre") -> DataFrame:
+        """df with the averaging median of `of` in its scan."""
+        return df.join(O.averaging_median(of, one, value).withColumnRenamed("median", to), one)
 
     left("mask", voxels.where("in_mask"))
     eroded = left("eroded", erode(voxels, o.erosions))
     metric = gather(voxels, eroded).withColumn("sdm", decay_metric(groups)).where(is_finite(F.col("sdm")))
     metric = metric.select(*KEY, F.least("sdm", F.lit(o.metric_cap)).alias("sdm"))
     f = left("safe", checkpointed(metric.join(dti.select(*KEY, F.col("fa").cast("double").alias("fa")), KEY).withColumn("in_mask", F.lit(True))))
+    plain = f.columns
     crude_wm, rest = left("crude_wm", f.where(F.col("fa") > o.fa)), left("crude_rest", f.where(~(F.col("fa") > o.fa)))
-    t, centre = O.optimal_threshold(rest, "sdm", middle(rest)), middle(rest)
-    if t is None:
-        raise ValueError("tissue selection: the decay metric is constant outside white matter")
-    crude_csf, crude_gm = left("crude_csf", rest.where(F.col("sdm") - centre >= t)), left("crude_gm", rest.where(F.col("sdm") - centre < t))
-    centre = middle(crude_wm)
-    spread = middle(crude_wm.withColumn("off", F.abs(F.col("sdm") - centre)), "off")
-    limit = centre + 2 * 1.4826 * spread
-    wm, outliers = left("wm", crude_wm.where(F.col("sdm") <= limit)), crude_wm.where(F.col("sdm") > limit)
+    rest = checkpointed(beside(rest, rest).withColumn("off", F.col("sdm") - F.col("centre")))
+    cuts = O.optimal_thresholds(rest, "scan_id", "off")
+    if constant := sorted(str(k) for k, t in cuts.items() if t is None):
+        raise ValueError(f"tissue selection: the decay metric is constant outside white matter in {', '.join(constant)}")
+    rest = rest.join(f.sparkSession.createDataFrame(list(cuts.items()), rest.select("scan_id", F.lit(0.0).alias("cut")).schema), one)
+    crude_csf, crude_gm = (left(name, rest.where(w).select(*plain)) for name, w in (("crude_csf", F.col("off") >= F.col("cut")), ("crude_gm", F.col("off") < F.col("cut"))))
+    off_wm = checkpointed(beside(crude_wm, crude_wm).withColumn("off", F.abs(F.col("sdm") - F.col("centre"))))
+    limit = F.col("centre") + 2 * 1.4826 * F.col("spread")
+    off_wm = beside(off_wm, off_wm, "off", "spread")
+    wm, outliers = left("wm", off_wm.where(F.col("sdm") <= limit).select(*plain)), off_wm.where(F.col("sdm") > limit).select(*plain)
     # of each side of the median the half next to it; the lower side is turned about
-    centre, halves = middle(crude_gm), []
-    for side, sign in ((crude_gm.where(F.col("sdm") > centre), 1.0), (crude_gm.where(F.col("sdm") <= centre), -1.0)):
-        side = side.withColumn("off", sign * (F.col("sdm") - centre))
-        halves.append((side if side.isEmpty() else O.threshold_select(side, "off", below=True)).drop("off"))
-    gm = left("gm", halves[0].union(halves[1]))
-    least = crude_csf.agg(F.min("sdm")).first()[0]
-    csf = left("csf", O.threshold_select(crude_csf.union(outliers.where(F.col("sdm") > least)), "sdm", least))
-
-    def share(name: str, percent: float) -> int:
-        n = round(counts[name] * percent / 100)  # half to even
-        if not n:
-            raise ValueError(f"tissue selection: {percent}% of {counts[name]} {name} voxels round to none")
-        return n
-
-    centre = middle(gm)
-    near = gm.withColumn("off", F.abs(F.col("sdm") - centre) + 1.0)  # never 0, which a selection leaves out
-    best_wm = left("best_wm", O.top_n(wm, ["scan_id"], "fa", share("wm", o.wm_percent)))
-    best_gm = left("best_gm", O.bottom_n(near, ["scan_id"], "off", share("gm", o.gm_percent)).drop("off"))
-    best_csf = left("best_csf", O.top_n(csf, ["scan_id"], "sdm", share("csf", o.csf_percent)))
-    return Selection(best_wm, best_gm, best_csf, counts)
+    sided, halves = checkpointed(beside(crude_gm, crude_gm)), []
+    for side, sign in (("sdm > centre", 1.0), ("sdm <= centre", -1.0)):
+        half = sided.where(side).withColumn("off", sign * (F.col("sdm") - F.col("centre")))
+        halves.append(O.threshold_select(half, "off", below=True, by="scan_id").select(*plain))
+    gm = left("gm", checkpointed(halves[0].union(halves[1])))
+    least = crude_csf.groupBy("scan_id").agg(F.min("sdm").alias("least"))
+    wet = crude_csf.join(least, one).union(outliers.join(least, one).where(F.col("sdm") > F.col("least")))
+    csf = left("csf", O.threshold_select(checkpointed(wet.withColumn("off", F.col("sdm") - F.col("least"))), "off", by="scan_id").select(*plain))
+    near = beside(gm, gm).withColumn("off", F.abs(F.col("sdm") - F.col("centre")) + 1.0)  # never 0, which a selection leaves out
+    for name, percent in (("wm", o.wm_percent), ("gm", o.gm_percent), ("csf", o.csf_percent)):
+        for scan, n in counts[name].items():
+            if not round(n * percent / 100):  # half to even
+                raise ValueError(f"tissue selection: {percent}% of {n} {name} voxels of {scan} round to none")
+    best_wm = left("best_wm", O.top_percent(wm, one, "fa", o.wm_percent))
+    best_gm = left("best_gm", O.bottom_percent(near, one, "off", o.gm_percent).select(*plain))
+    best_csf = left("best_csf", O.top_percent(csf, one, "sdm", o.csf_percent))
+    by_scan = {scan: {stage: c.get(scan, 0) for stage, c in counts.items()} for scan in counts["mask"]}
+    return Selection(best_wm, best_gm, best_csf, {stage: sum(c.values()) for stage, c in counts.items()}, by_scan)
 
 
 def classify_by_threshold(dti: DataFrame, fa: float = 0.7, dominance: float = 2.0, md_percent: float = 2.5) -> DataFrame:

@@ -307,6 +307,58 @@ def test_normalisation_follows_the_rule(spark):
         decon.fit_level(df.withColumn("gm", F.lit(0.0)).withColumn("csf", F.col("wm0") * 2), ["wm0", "gm", "csf"], shape, decon.NormaliseOptions(target=-1.0))
 
 
+def test_scans_normalised_together_are_as_if_alone(spark):
+    rng = np.random.default_rng(11)
+    rows, shapes, alone = [], [], {}
+    o = decon.NormaliseOptions(order=2, rounds=3)
+    for scan, shape, spread in (("a", (9, 8, 5), 0.02), ("b", (5, 5, 5), 0.3), ("c", (12, 6, 7), 0.1)):
+        k = np.array(list(np.ndindex(*shape)))
+        places = 2 * k / (np.array(shape) - 1) - 1
+        x = rng.dirichlet([2, 1, 1], len(k)) * np.exp(0.4 * places[:, :1] * places[:, 1:2]) * [1.0, 0.6, 1.9] * np.exp(rng.normal(0, spread, (len(k), 1)))
+        x[:4] *= 9
+        sums = np.sort(x.sum(1))
+        alone[scan] = (sums[len(sums) // 2], *plain_normalise(x, places, 2, 3, 7, sums[len(sums) // 2]), k)
+        rows += [(scan, *map(int, c), True, *map(float, v)) for c, v in zip(k, x)]
+        shapes.append((scan, *shape))
+    df = spark.createDataFrame(rows, "scan_id string, x int, y int, z int, in_mask boolean, wm0 double, gm double, csf double").repartition(5)
+    sizes = spark.createDataFrame(shapes, "scan_id string, nx int, ny int, nz int")
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("levels"))
+    spark.sparkContext.setJobGroup("levels", "all")
+    found = decon.fit_levels(df, ["wm0", "gm", "csf"], sizes, o)
+    together = jobs()
+    decon.fit_levels(df.where("scan_id = 'b'"), ["wm0", "gm", "csf"], sizes, o)
+    spark.sparkContext.setJobGroup("rest", "rest")
+    assert together <= 1.5 * (jobs() - together) + 20  # as many passes as the slowest scan needs, not three times as many
+    for scan, (target, balance, f, k) in alone.items():
+        assert found[scan].target == pytest.approx(target) and found[scan].balance == pytest.approx(balance, rel=1e-6)
+        out = {(r.x, r.y, r.z): r.field for r in decon.normalise(df, ["wm0", "gm", "csf"], sizes, o, found).where(F.col("scan_id") == scan).collect()}
+        assert [out[tuple(c)] for c in k] == pytest.approx(list(f), rel=1e-6)
+    with pytest.raises(ValueError, match="c: "):
+        decon.fit_levels(df.withColumn("gm", F.when(F.col("scan_id") == "c", 0.0).otherwise(F.col("gm"))).withColumn("csf", F.when(F.col("scan_id") == "c", 0.0).otherwise(F.col("csf"))).withColumn("wm0", F.when(F.col("scan_id") == "c", -1.0).otherwise(F.col("wm0"))), ["wm0", "gm", "csf"], sizes, o)
+
+
+def test_scans_selected_together_are_as_if_alone(spark):
+    scan = fibre_scan(spark, 6)
+    groups = N.shells(list(scan.bvals))
+    o = tissue.StagedOptions(erosions=1, wm_percent=20, gm_percent=20, csf_percent=20)
+    one, dti = scan.voxels.persist(), scan.tensor
+    more, also = [one], [dti]
+    for k, (name, cut) in enumerate((("bright", "x < 6"), ("small", "x < 5"))):
+        rename = lambda df: df.where(cut).withColumn("scan_id", F.lit(name))  # noqa: B023, E731
+        more.append(rename(one).withColumn("signal", F.transform("signal", lambda v: v * F.lit(2.0 + k)).cast(dict(one.dtypes)["signal"])))  # noqa: B023
+        also.append(rename(dti))
+    every, dtis = more[0].union(more[1]).union(more[2]), also[0].union(also[1]).union(also[2])
+    got = tissue.select_staged(every, dtis, groups, o)
+    assert len(got.by_scan) == 3
+    for v, d in zip(more, also):
+        alone = tissue.select_staged(v, d, groups, o)
+        name = v.first().scan_id
+        assert got.by_scan[name] == alone.counts
+        for kind in ("wm", "gm", "csf"):
+            keys = lambda s: sorted((r.x, r.y, r.z) for r in getattr(s, kind).where(F.col("scan_id") == name).collect())  # noqa: B023, E731
+            assert keys(got) == keys(alone)
+
+
 def test_staged_selection_caps_the_metric_and_names_empty_stages(spark):
     scan = fibre_scan(spark, 6)
     groups = N.shells(list(scan.bvals))
