@@ -135,7 +135,7 @@ def optimal_thresholds(df: DataFrame, by: str, value: str, tol: float = 0.01) ->
     The search runs between the least and the largest value, a thousandth of the range off each. All groups search side by side:
     a probe of every group still searching is one aggregate; the values stay where they are, some numbers a group come to the driver.
     """
-    v = df.where(is_finite(F.col(value))).select(F.col(by).alias("_by"), F.col(value).cast("double").alias("v"))
+    v = df.where(is_finite(F.col(value))).select(F.col(by).alias("_by"), F.col(value).cast("double").alias("v")).persist()
     every = v.groupBy("_by").agg(F.count("v").alias("n"), F.sum("v").alias("sum"), F.sum(F.col("v") * F.col("v")).alias("sq"), F.min("v").alias("low"), F.max("v").alias("high")).collect()
     found, searches, probes, spread = {}, {}, {}, {}
     for s in every:
@@ -148,8 +148,8 @@ def optimal_thresholds(df: DataFrame, by: str, value: str, tol: float = 0.01) ->
             probes[s._by] = next(searches[s._by])
     total = {s._by: s for s in every}
     while probes:
-        at = df.sparkSession.createDataFrame(list(probes.items()), v.select("_by", F.col("v").alias("_t")).schema)
-        above = v.join(at, "_by").where(F.col("v") > F.col("_t")).groupBy("_by").agg(F.count("v").alias("n"), F.sum("v").alias("sum"))
+        at = F.create_map(*[F.lit(x) for pair in probes.items() for x in pair])
+        above = v.where(F.col("v") > F.try_element_at(at, F.col("_by"))).groupBy("_by").agg(F.count("v").alias("n"), F.sum("v").alias("sum"))
         got = {r._by: r for r in above.collect()}
         for key in list(probes):
             s, r = total[key], got.get(key)
@@ -160,6 +160,7 @@ def optimal_thresholds(df: DataFrame, by: str, value: str, tol: float = 0.01) ->
             except StopIteration as end:
                 found[key] = end.value
                 del probes[key]
+    v.unpersist()
     return found
 
 

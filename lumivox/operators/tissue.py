@@ -20,7 +20,8 @@ NAN = float("nan")
 
 def decay_metric(groups: list[tuple[float, list[int]]]) -> Column:
     """Mean over weighted volumes of ln(S0 / Sb) by shell means of samples raised to 0; NaN where a mean or the metric isn't positive."""
-    mean = lambda vols: sum((F.greatest(F.get("signal", F.lit(v)).cast("double"), F.lit(0.0)) for v in vols), F.lit(0.0)) / float(len(vols))
+    positive = lambda v: F.greatest(F.get("signal", v).cast("double"), F.lit(0.0))
+    mean = lambda vols: F.aggregate(F.array(*[F.lit(v) for v in vols]), F.lit(0.0), lambda a, v: a + positive(v)) / float(len(vols))
     s0 = next(mean(v) for b, v in groups if b == 0)
     weighted = [(mean(v), len(v)) for b, v in groups if b > 0]
     total = sum((n * (F.ln(s0) - F.ln(m)) for m, n in weighted), F.lit(0.0)) / float(sum(n for _, n in weighted))
@@ -86,7 +87,7 @@ def select_staged(voxels: DataFrame, dti: DataFrame, groups: list[tuple[float, l
     crude_csf, crude_gm = (left(name, rest.where(w).select(*plain)) for name, w in (("crude_csf", F.col("off") >= F.col("cut")), ("crude_gm", F.col("off") < F.col("cut"))))
     off_wm = checkpointed(beside(crude_wm, crude_wm).withColumn("off", F.abs(F.col("sdm") - F.col("centre"))))
     limit = F.col("centre") + 2 * 1.4826 * F.col("spread")
-    off_wm = beside(off_wm, off_wm, "off", "spread")
+    off_wm = checkpointed(beside(off_wm, off_wm, "off", "spread"))
     wm, outliers = left("wm", off_wm.where(F.col("sdm") <= limit).select(*plain)), off_wm.where(F.col("sdm") > limit).select(*plain)
     # of each side of the median the half next to it; the lower side is turned about
     sided, halves = checkpointed(beside(crude_gm, crude_gm)), []
@@ -96,8 +97,8 @@ def select_staged(voxels: DataFrame, dti: DataFrame, groups: list[tuple[float, l
     gm = left("gm", checkpointed(halves[0].union(halves[1])))
     least = crude_csf.groupBy("scan_id").agg(F.min("sdm").alias("least"))
     wet = crude_csf.join(least, one).union(outliers.join(least, one).where(F.col("sdm") > F.col("least")))
-    csf = left("csf", O.threshold_select(checkpointed(wet.withColumn("off", F.col("sdm") - F.col("least"))), "off", by="scan_id").select(*plain))
-    near = beside(gm, gm).withColumn("off", F.abs(F.col("sdm") - F.col("centre")) + 1.0)  # never 0, which a selection leaves out
+    csf = left("csf", checkpointed(O.threshold_select(wet.withColumn("off", F.col("sdm") - F.col("least")), "off", by="scan_id").select(*plain)))
+    near = checkpointed(beside(gm, gm)).withColumn("off", F.abs(F.col("sdm") - F.col("centre")) + 1.0)  # never 0, which a selection leaves out
     for name, percent in (("wm", o.wm_percent), ("gm", o.gm_percent), ("csf", o.csf_percent)):
         for scan, n in counts[name].items():
             if not round(n * percent / 100):  # half to even
