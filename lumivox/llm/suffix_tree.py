@@ -1,13 +1,11 @@
 """Text scores from a probabilistic suffix tree over words.
 
-A context is tried if it comes at least `least_root` times the square root of the number of
-training tokens, so a context needs ever more evidence and yet the tree grows with the corpus: a level
-has at most that square root over least_root of them. It stays if its next-symbol distribution diverges from
-its suffix's, which is tested where the counts are. Next-symbol counts of the contexts that stay, and of the root, are
-counted over all training rows and kept as one table by key; documents are dealt
-into buckets, each asks the table once for every key it has and is scored from
-the answers. A symbol's chance is that of the longest suffix in the tree,
-discounted and interpolated with the next shorter one down to the root.
+A context of up to `depth` words is tried if it comes `least` times in the training rows, whatever their number, so the tree grows
+with the corpus. It is looked for only where its parts are frequent, level by level. It stays if its next-symbol
+distribution diverges from its suffix's, tested over classes of symbols, and so do the suffixes of what stays. Next-symbol
+counts of the contexts that stay, and of the root, are counted over all training rows and kept as one table of sorted blocks by range of key. Documents are
+dealt into buckets; each asks each block once for the keys it has there and is scored from the answers. A symbol's
+chance is that of the longest suffix in the tree, discounted and interpolated with the next shorter one down to the root.
 """
 
 from __future__ import annotations
@@ -21,24 +19,30 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumivox.llm.common import conf, held_out, small_batches, written
+from lumivox.llm.common import conf, discard, held_out, small_batches, written
 
 BUFFER = 1 << 22
+BLOCK = "part int, keys binary, counts binary"
 
 
 @dataclass(frozen=True)
 class Options:
-    """least_root: see above; most_classes bounds the words that contexts are made of, by raising the least count; gain: nats a symbol beyond the test's own noise; discount: of each count in a context."""
+    """least: see above; classes: of symbols, by hash, in the divergence test; gain: nats a symbol beyond the test's own noise; discount: of
+    each count in a context; bucket_bytes: texts scored together; filter_bits: the most that a filter of contexts takes, beyond which it passes more of what isn't one.
+    """
 
     depth: int = 3
-    least_root: float = 10.0
-    most_classes: int = 50_000
+    least: int = 50
+    classes: int = 64
     gain: float = 0.01
     discount: float = 0.75
-    bucket_bytes: int = 8 << 20
+    bucket_bytes: int = 16 << 20
+    filter_bits: int = 1 << 27
 
 
 END = xxhash.xxh64_intdigest(b"\n")  # no word holds white space
+#: Under what a context's own numbers are kept, in the place of a next symbol: how many come after it, and how many kinds.
+TOTAL, KINDS = (np.uint64(xxhash.xxh64_intdigest(b"\n", seed=k)) for k in (1, 2))
 
 
 def tokenize(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -71,212 +75,395 @@ def contexts(tokens: np.ndarray, n: np.ndarray, depth: int) -> Iterator[tuple[np
         yield at, h[at]
 
 
-def _find(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Index of each value in the sorted keys, -1 where it isn't there."""
-    at = np.searchsorted(keys, values)
-    at[at == len(keys)] = 0
-    return np.where(keys[at] == values, at, -1) if len(keys) else np.full(len(values), -1)
+# sorted keys and counts as bytes: differences, and those byte by byte, so that what is 0 stands together
+
+
+def packed(values: np.ndarray) -> bytes:
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    return packed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpacked_keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(raw), dtype=np.uint64)
+
 
+def parts_of(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
+    """Parts by the keys' highest bits, and where in the sorted keys those of each stand."""
+    part = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    number, first = np.unique(part, return_index=True)
+    for p, a, b in zip(number.tolist(), first.tolist(), [*first[1:].tolist(), len(keys)]):
+        yield p, slice(a, b)
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.uint64).view(np.int64)
 
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, with the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts[:0]
 
-def _counted(texts: DataFrame, keys_of: Callable, extra: str = "") -> DataFrame:
-    """Sums over all rows of how often keys_of gives each key; partial sums are made before the shuffle.
 
-    keys_of: tokens and lengths to an array of keys or, with `extra`, to two: the second depends on the key alone.
+def found(keys: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The count of each wanted key among the sorted ones, 0 for those that aren't there."""
+    if not len(keys):
+        return np.zeros(len(wanted), counts.dtype)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, counts[at], 0)
+
+
+def counted(texts: DataFrame, keys_of: Callable, bits: int, least: int = 1) -> DataFrame:
+    """Blocks (part, keys, counts) of the keys that keys_of gives for tokens and lengths, with how often it does, where that is `least` times or more.
+
+    Counts are summed in tasks before the shuffle; a part, one of 2^bits, is what a task then holds.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, n_held = [], 0
 
         def flush() -> pd.DataFrame:
-            whole = [np.concatenate(c) for c in zip(*held)]
-            key, *first, c = np.unique(whole[0], return_index=bool(extra), return_counts=True)
-            return pd.DataFrame({"key": key, "c": c} | ({extra: whole[1][first[0]]} if extra else {}))
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            rows = [(p, packed_keys(keys[s]), packed(n[s])) for p, s in parts_of(keys, bits)]
+            return pd.DataFrame(rows, columns=["part", "keys", "counts"])
 
         for b in batches:
-            keys = keys_of(*tokenize(b["text"].tolist()))
-            held.append(keys)
-            n_held += len(keys[0])
+            held.append(keys_of(*tokenize(b["text"].tolist())))
+            n_held += len(held[-1])
             if n_held >= BUFFER:
                 yield flush()
                 held, n_held = [], 0
         if n_held:
             yield flush()
 
-    out = texts.select("text").mapInPandas(run, "key long, c long" + f", {extra} long" * bool(extra))
-    return out.groupBy("key").agg(F.sum("c").alias("c"), *([F.first(extra).alias(extra)] if extra else []))
+    def merged(rows: pd.DataFrame) -> pd.DataFrame:
+        keys, n = summed(np.concatenate([unpacked_keys(k) for k in rows["keys"]]), np.concatenate([unpacked(c) for c in rows["counts"]]))
+        keys, n = keys[n >= least], n[n >= least]
+        return pd.DataFrame({"part": rows["part"].iloc[:1], "keys": [packed_keys(keys)], "counts": [packed(n)]})
+
+    return texts.select("text").mapInPandas(run, BLOCK).groupBy("part").applyInPandas(merged, BLOCK)
+
+
+class Filter:
+    """Which keys may be among some; those are for sure. Its bits are bounded, and so is what the driver and each task hold."""
+
+    def __init__(self, pages: dict[int, bytes], bits: int):
+        self.bits, self.map = bits, np.zeros(bits >> 3, np.uint8)
+        for p, raw in pages.items():
+            self.map[p << 12 : (p << 12) + len(raw)] = np.frombuffer(raw, np.uint8)
+
+    @staticmethod
+    def places(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        mask = np.uint64(bits - 1)
+        return (keys & mask).astype(np.int64), (mix(keys, keys) & mask).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        a, b = self.places(keys, self.bits)
+        out = (self.map[a >> 3] >> (a & 7).astype(np.uint8) & 1).astype(bool)
+        at = np.flatnonzero(out)
+        out[at] = (self.map[b[at] >> 3] >> (b[at] & 7).astype(np.uint8) & 1).astype(bool)
+        return out
+
+
+def filter_of(keys: DataFrame, n: int, o: Options) -> Filter:
+    """keys: rows of `keys`, packed in any order but by differences."""
+    bits = max(1 << 16, min(o.filter_bits, 1 << (16 * max(n, 1)).bit_length()))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = np.zeros(bits >> 3, np.uint8)
+        for b in batches:
+            for raw in b["keys"]:
+                for at in Filter.places(unpacked_keys(raw), bits):
+                    np.bitwise_or.at(own, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+        pages = own.reshape(-1, min(4096, len(own)))
+        some = np.flatnonzero(pages.any(axis=1))
+        yield pd.DataFrame({"page": some, "map": [pages[p].tobytes() for p in some]})
+
+    def merged(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"page": rows["page"].iloc[:1], "map": [np.bitwise_or.reduce([np.frombuffer(m, np.uint8) for m in rows["map"]]).tobytes()]})
+
+    pages = keys.select("keys").mapInPandas(run, "page long, map binary").groupBy("page").applyInPandas(merged, "page long, map binary")
+    return Filter({r.page: r.map for r in pages.toLocalIterator()}, bits)
+
+
+def numbers(blocks: DataFrame) -> tuple[int, int, int]:
+    """Sum of the counts, keys, and keys with a count of 1."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for raw in b["counts"]:
+                c = unpacked(raw)
+                yield pd.DataFrame({"s": [int(c.sum())], "k": [len(c)], "one": [int((c == 1).sum())]})
+
+    r = blocks.mapInPandas(run, "s long, k long, one long").agg(F.sum("s"), F.sum("k"), F.sum("one")).first()
+    return tuple(int(x or 0) for x in r)
+
+
+def word_contexts(roots: DataFrame, least: int) -> DataFrame:
+    """`keys` of the contexts of one word, by the words' counts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for k, c in zip(b["keys"], b["counts"]):
+                keys, n = unpacked_keys(k), unpacked(c)
+                keys = keys[(n >= least) & (keys != np.uint64(END))]
+                yield pd.DataFrame({"keys": [packed_keys(mix(np.zeros(len(keys), np.uint64), keys))], "n": [len(keys)]})
+
+    return roots.mapInPandas(run, "keys binary, n long")
+
+
+def context_classes(train: DataFrame, may: Filter, bits: int, o: Options) -> DataFrame:
+    """context, suffix, n and classes: how often symbols of each class follow each context that comes `least` times, among those that `may` passes."""
+    schema = "part int, context binary, suffix binary, classes binary"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+
+        def flush() -> pd.DataFrame:
+            h, suffix, cls = (np.concatenate(x) for x in zip(*held))
+            keys, first, at = np.unique(h, return_index=True, return_inverse=True)
+            n = np.bincount(at * o.classes + cls, minlength=len(keys) * o.classes).reshape(-1, o.classes).astype("<i4")
+            rows = [(p, keys[s].tobytes(), suffix[first[s]].tobytes(), n[s].tobytes()) for p, s in parts_of(keys, bits)]
+            return pd.DataFrame(rows, columns=["part", "context", "suffix", "classes"])
+
+        for b in batches:
+            t, n = tokenize(b["text"].tolist())
+            cls, before = (t % np.uint64(o.classes)).astype(np.int64), np.zeros(len(t), np.uint64)
+            for at, h in contexts(t, n, o.depth):
+                some = may(h)
+                held.append((h[some], before[at[some]], cls[at[some]]))
+                before[at] = h
+            if sum(len(x[0]) for x in held) >= BUFFER // 4:
+                yield flush()
+                held = []
+        if held:
+            yield flush()
+
+    def merged(rows: pd.DataFrame) -> pd.DataFrame:
+        h, suffix = (np.concatenate([np.frombuffer(x, np.uint64) for x in rows[c]]) for c in ("context", "suffix"))
+        keys, first, at = np.unique(h, return_index=True, return_inverse=True)
+        n = np.zeros((len(keys), o.classes), np.int64)
+        start = 0
+        for raw in rows["classes"]:
+            own = np.frombuffer(raw, "<i4").reshape(-1, o.classes)
+            n[at[start : start + len(own)]] += own  # a row of the input has a context once
+            start += len(own)
+        often = n.sum(1) >= o.least
+        return pd.DataFrame({"context": keys[often].view(np.int64), "suffix": suffix[first][often].view(np.int64), "n": n[often].sum(1), "classes": list(n[often])})
+
+    return train.select("text").mapInPandas(run, schema).groupBy("part").applyInPandas(merged, "context long, suffix long, n long, classes array<long>")
+
+
+def divergent(of: DataFrame, root: np.ndarray, o: Options) -> DataFrame:
+    """context and n of those whose next-symbol classes differ from their suffix's, a likelihood-ratio test with four deviations and the gain beyond it, and of their suffixes.
+
+    of: context_classes(); root: the same of the empty context, 0. All that follows a context follows its suffix, which so is in the table as well.
+    """
+    empty = F.array(*[F.lit(int(x)) for x in root])
+    parent = of.select(F.col("context").alias("p"), F.col("classes").alias("parent"))
+    each = of.join(parent, of.suffix == parent.p, "left").withColumn("parent", F.when(F.col("suffix") == 0, empty).otherwise(F.col("parent"))).where("parent is not null")
+    each = each.withColumn("parent_n", F.aggregate("parent", F.lit(0).cast("long"), lambda a, x: a + x))
+    q = lambda x: (x + 0.5) / (F.col("parent_n") + 0.5 * o.classes)
+    g = F.aggregate(F.zip_with("classes", "parent", lambda c, p: F.when(c > 0, c * F.ln(c / F.col("n") / q(p))).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
+    df = F.greatest(F.size(F.filter("parent", lambda x: x > 0)) - 1, F.lit(1))
+    kept = [each.where(2 * g >= df + 4 * F.sqrt(2 * df) + 2 * o.gain * F.col("n")).select("context")]
+    for _ in range(o.depth - 1):
+        kept.append(kept[-1].join(of, "context").where("suffix <> 0").select(F.col("suffix").alias("context")).distinct())
+    every = kept[0]
+    for k in kept[1:]:
+        every = every.union(k)
+    return every.distinct().join(of.select("context", "n"), "context")
+
+
+def _contexts_in(tree: Filter, t: np.ndarray, n: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """As contexts(), those that may be in the tree."""
+    for at, h in contexts(t, n, depth):
+        some = tree(h)
+        yield at[some], h[some]
 
 
 @dataclass
 class Tree:
-    """keys: contexts by hash, sorted; total and kinds: of each, its next symbols in all and how many differ."""
+    """contexts: (context, n); may: passes those at least; model: blocks of counts by key, of symbols at the root, after contexts, and of contexts' own numbers, 2^bits parts."""
 
     tokens: int
     symbols: int
     singles: int
-    keys: np.ndarray
-    total: np.ndarray
-    kinds: np.ndarray
-    model: DataFrame  # key, c: counts of symbols at the root and after each context
+    contexts: DataFrame
+    may: Filter
+    model: DataFrame
+    bits: int
 
+    @property
+    def keys(self) -> np.ndarray:
+        """The contexts' hashes, sorted: for a look at small trees."""
+        return np.sort(np.array([r.context for r in self.contexts.select("context").collect()], np.int64).view(np.uint64))
 
-def _divergent(counts: DataFrame, often: DataFrame, root: DataFrame, base: int, o: Options) -> DataFrame:
-    """context: those of `often` (context, n) whose next-symbol classes differ from their suffix's: a likelihood-ratio test, four deviations and the gain beyond it.
 
-    counts: context, class, c; root: the same of the empty context, 0. A context's code without its oldest word, the highest
-    digit, is its suffix's. All that follows a context follows its suffix, so the join loses nothing.
-    """
-    suffix = F.lit(0).cast("long")
-    for d in range(1, o.depth):
-        suffix = F.when(F.col("context") >= base**d, F.col("context") % base**d).otherwise(suffix)
-    own = counts.join(often, "context").select("context", "class", "c", "n", suffix.alias("suffix"))
-    every = own.select("context", "class", "c").union(root.select(F.lit(0).cast("long").alias("context"), "class", "c"))
-    total = every.groupBy(F.col("context").alias("suffix")).agg(F.sum("c").alias("parent_n"), F.count(F.lit(1)).alias("kinds"))
-    parent = every.select(F.col("context").alias("suffix"), "class", F.col("c").alias("parent_c")).join(total, "suffix")
-    q = (F.col("parent_c") + 0.5) / (F.col("parent_n") + 0.5 * base)
-    met = own.join(parent, ["suffix", "class"]).groupBy("context").agg(F.sum(F.col("c") * F.ln(F.col("c") / F.col("n") / q)).alias("g"), F.first("n").alias("n"), F.first("kinds").alias("kinds"))
-    df = F.greatest(F.col("kinds") - 1, F.lit(1))
-    return met.where(2 * F.col("g") >= df + 4 * F.sqrt(2 * df) + 2 * o.gain * F.col("n")).select("context")
-
-
-def _suffix(context: int, base: int) -> int:
-    """The context's code without its oldest word, the highest digit."""
-    place = 1
-    while context >= place * base:
-        place *= base
-    return context % place
+def learn(train: DataFrame, o: Options = Options()) -> Tree:
+    """The tree of the texts in `train`. Only sums and bounded filters come to the driver."""
+    spark = train.sparkSession
+    size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(int(conf(spark, "spark.sql.shuffle.partitions") or 1) - 1, size >> 24).bit_length()  # 16 MB of text to a part at most
+    roots = written(counted(train, lambda t, n: t, bits), "suffix-tree-symbols")
+    tokens, symbols, singles = numbers(roots)
+
+    def classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for k, c in zip(b["keys"], b["counts"]):
+                n = np.bincount((unpacked_keys(k) % np.uint64(o.classes)).astype(np.int64), unpacked(c).astype(float), o.classes)
+                yield pd.DataFrame({"k": np.arange(o.classes), "n": n.astype(np.int64)})
+
+    root = np.zeros(o.classes, np.int64)
+    for r in roots.mapInPandas(classes, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
+        root[r.k] = r.n
+    levels = [written(word_contexts(roots, o.least), "suffix-tree-contexts")]
+    total = levels[0].agg(F.sum("n")).first()[0] or 0
+    last = filter_of(levels[0], total, o)
+    for depth in range(2, o.depth + 1):
+
+        def longer(t: np.ndarray, n: np.ndarray, depth: int = depth, last: Filter = last) -> np.ndarray:
+            """Contexts of the depth whose suffix and whose first words may be frequent."""
+            here = list(contexts(t, n, depth))
+            fine, (at, h), (at_d, h_d) = np.zeros(len(t), bool), here[depth - 2], here[depth - 1]
+            fine[at] = last(h)
+            return h_d[fine[at_d] & fine[at_d - 1]]
+
+        level = written(counted(train, longer, bits, o.least), "suffix-tree-contexts")
+        own = numbers(level)[1]
+        levels.append(level)
+        last, total = filter_of(level, own, o), total + own
+    every = levels[0].select("keys")
+    for level in levels[1:]:
+        every = every.union(level.select("keys"))
+    of = written(context_classes(train, filter_of(every, total, o), bits, o), "suffix-tree-classes")
+    kept = written(divergent(of, root, o), "suffix-tree-kept")
+    discard(of, *levels)
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"keys": [packed_keys(b["context"].to_numpy(np.int64).view(np.uint64))]})
 
+    may = filter_of(kept.select("context").mapInPandas(keyed, "keys binary"), kept.count(), o)
+    after = written(following(train, may, bits, o), "suffix-tree-following")
+    kinds = after.select(F.explode(F.arrays_zip("contexts", "kinds")).alias("x")).groupBy(F.col("x.contexts").alias("context")).agg(F.sum("x.kinds").alias("kinds"))
 
-def learn(train: DataFrame, o: Options = Options()) -> Tree:
-    """The tree of the texts in `train`; only its frequent words and its contexts' codes come to the driver, which grow as the square root of the tokens.
+    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            h = b["context"].to_numpy(np.int64).view(np.uint64)
+            keys, n = summed(np.concatenate([mix(h, TOTAL), mix(h, KINDS)]), np.concatenate([b["n"].to_numpy(np.int64), b["kinds"].to_numpy(np.int64)]))
+            rows = [(p, packed_keys(keys[s]), packed(n[s])) for p, s in parts_of(keys, bits)]
+            yield pd.DataFrame(rows, columns=["part", "keys", "counts"])
 
-    Divergence is taken over the symbols that are frequent, each
-    a class, and all other symbols as one class. A frequent context has frequent
-    words, so one pass counts the next-symbol classes after all of those.
-    """
-    roots = written(_counted(train, lambda t, n: [_signed(t)]), "suffix-tree-symbols")
-    s = roots.agg(F.sum("c"), F.count(F.lit(1)), F.count(F.when(F.col("c") == 1, 1))).first()
-    tokens, symbols, singles = (int(x or 0) for x in s)
-    least = max(2, int(np.ceil(o.least_root * tokens**0.5)))
-    while roots.where(F.col("c") >= least).count() > o.most_classes:
-        least *= 2
-    rows = roots.where(F.col("c") >= least).collect()
-    of = {int(np.int64(r.key).view(np.uint64)): r.c for r in rows}
-    frequent = np.array(sorted(of), dtype=np.uint64)
-    base = len(frequent) + 1  # a class for all other symbols comes last, as digit base - 1
-
-    def classes_after(t: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
-        digit = _find(frequent, t)
-        symbol = np.where(digit < 0, base - 1, digit)
-        before = np.arange(len(t)) - np.repeat(np.cumsum(n) - n, n)
-        out, at, code, place = [], np.arange(len(t)), symbol.copy(), base
-        for d in range(1, o.depth + 1):
-            at = at[before[at] >= d]
-            at = at[digit[at - d] >= 0]
-            code[at] += (digit[at - d] + 1) * place  # digits from 1, so that a code tells its depth
-            place *= base
-            out.append(code[at].copy())
-        return [np.concatenate(out)]
-
-    counts = _counted(train, classes_after).select(F.expr(f"key div {base}").alias("context"), (F.col("key") % base).alias("class"), "c")
-    counts = written(counts, "suffix-tree-classes")
-    often = written(counts.groupBy("context").agg(F.sum("c").alias("n")).where(F.col("n") >= least), "suffix-tree-often")
-    known = [(k, of[int(w)]) for k, w in enumerate(frequent)] + [(base - 1, tokens - sum(of.values()))]
-    root = train.sparkSession.createDataFrame([(k, int(c)) for k, c in known if c], "class long, c long")
-    kept: set[int] = set()
-    for r in _divergent(counts, often, root, base, o).toLocalIterator():
-        context = r.context
-        while context and context not in kept:  # a tree has all suffixes of what it has
-            kept.add(context)
-            context = _suffix(context, base)
-    hashes = []
-    for context in kept:
-        h = np.zeros(1, dtype=np.uint64)
-        while context:
-            h, context = mix(h, frequent[[context % base - 1]]), context // base
-        hashes.append(int(h[0]))
-    kept = hashes
-    keys = np.array(sorted(kept), dtype=np.uint64)
-
-    def following(t: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
-        context, key = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for at, h in contexts(t, n, o.depth):
-            k = _find(keys, h)
-            context.append(k[k >= 0]), key.append(_signed(mix(h[k >= 0], t[at[k >= 0]])))
-        return [np.concatenate(key), np.concatenate(context)]
-
-    total, kinds, model = np.ones(len(keys)), np.zeros(len(keys)), roots.select("key", "c")
-    if len(keys):
-        after = written(_counted(train, following, "context"), "suffix-tree-contexts")
-        for r in after.groupBy("context").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("kinds")).collect():
-            total[r.context], kinds[r.context] = r.n, r.kinds
-        model = model.union(after.select("key", "c"))
-    return Tree(tokens, symbols, singles, keys, total, kinds, model)
+    model = roots.union(after.select("part", "keys", "counts")).union(kept.join(kinds, "context").mapInPandas(own, BLOCK))
+    return Tree(tokens, symbols, singles, kept, may, model, bits)
+
+
+def following(train: DataFrame, may: Filter, bits: int, o: Options) -> DataFrame:
+    """Blocks of what follows the contexts that `may` passes, and how many kinds of symbols of each context are in a block."""
+    schema = "part int, keys binary, of binary, counts binary"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+
+        def flush() -> pd.DataFrame:
+            keys, of = (np.concatenate(x) for x in zip(*held))
+            keys, first, n = np.unique(keys, return_index=True, return_counts=True)
+            rows = [(p, packed_keys(keys[s]), packed(of[first[s]]), packed(n[s])) for p, s in parts_of(keys, bits)]
+            return pd.DataFrame(rows, columns=["part", "keys", "of", "counts"])
+
+        for b in batches:
+            t, n = tokenize(b["text"].tolist())
+            for at, h in _contexts_in(may, t, n, o.depth):
+                held.append((mix(h, t[at]), h))
+            if sum(len(x[0]) for x in held) >= BUFFER:
+                yield flush()
+                held = []
+        if held:
+            yield flush()
+
+    def merged(rows: pd.DataFrame) -> pd.DataFrame:
+        keys, of, n = (np.concatenate([f(x) for x in rows[c]]) for f, c in ((unpacked_keys, "keys"), (unpacked, "of"), (unpacked, "counts")))
+        order = np.argsort(keys, kind="stable")
+        first = order[np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1])[: len(keys)])]
+        context, kinds = np.unique(of[first], return_counts=True)
+        keys, n = summed(keys, n)
+        return pd.DataFrame({"part": rows["part"].iloc[:1], "keys": [packed_keys(keys)], "counts": [packed(n)], "contexts": [context.view(np.int64)], "kinds": [kinds]})
+
+    return train.select("text").mapInPandas(run, schema).groupBy("part").applyInPandas(merged, BLOCK + ", contexts array<long>, kinds array<long>")
+
+
+def _asked(texts: list[str | None], tree: Filter, depth: int) -> tuple:
+    """The texts' tokens and lengths, by depth their contexts that may be in the tree, and all keys to ask for."""
+    t, n = tokenize(texts)
+    met = list(_contexts_in(tree, t, n, depth))
+    keys = [t] + [mix(h, x) for at, h in met for x in (t[at], TOTAL, KINDS)]
+    return t, n, met, np.unique(np.concatenate(keys))
 
 
 def score(docs: DataFrame, tree: Tree, o: Options = Options()) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score of each row of docs (doc_id, text)."""
     spark = docs.sparkSession
-    keys, total, kinds = tree.keys, tree.total, tree.kinds
-    n, v, discount, depth = tree.tokens, tree.symbols, o.discount, o.depth
+    may, bits, n, v, discount, depth = tree.may, tree.bits, tree.tokens, tree.symbols, o.discount, o.depth
     unseen = (tree.singles + 0.5) / (n + 1)  # the chance of a symbol that the training rows don't have
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, int(conf(spark, "spark.sql.shuffle.partitions") or 1), -(-size // o.bucket_bytes))
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int")).repartition(buckets, "bucket")
+    shared = spark.sparkContext.broadcast(may)
 
     def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = {}
+        held: dict[int, list[np.ndarray]] = {}
         for b in batches:
             for bucket, rows in b.groupby("bucket"):
-                t, lengths = tokenize(rows["text"].tolist())
-                own = [t]
-                for at, h in contexts(t, lengths, depth) if len(keys) else ():
-                    k = _find(keys, h)
-                    own.append(mix(h[k >= 0], t[at[k >= 0]]))
-                held.setdefault(bucket, []).append(np.unique(np.concatenate(own)))
+                held.setdefault(bucket, []).append(_asked(rows["text"].tolist(), shared.value, depth)[3])
         for bucket, parts in held.items():
-            yield pd.DataFrame({"bucket": np.int32(bucket), "key": _signed(np.unique(np.concatenate(parts)))})
+            keys = np.unique(np.concatenate(parts))
+            rows = [(p, bucket, packed_keys(keys[s])) for p, s in parts_of(keys, bits)]
+            yield pd.DataFrame(rows, columns=["part", "bucket", "keys"])
+
+    def answered(questions: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+        """Counts in the order of the keys asked for, which the bucket knows itself."""
+        own = [np.concatenate([f(x) for x in blocks[c]]) if len(blocks) else np.zeros(0, np.uint64) for f, c in ((unpacked_keys, "keys"), (unpacked, "counts"))]
+        keys, n = summed(*own)
+        counts = [packed(found(keys, n, unpacked_keys(q))) for q in questions["keys"]]
+        return pd.DataFrame({"bucket": questions["bucket"], "part": questions["part"], "counts": counts})
 
-    answers = dealt.mapInPandas(asked, "bucket int, key long").join(tree.model, "key").select("bucket", "key", "c")
+    answers = dealt.mapInPandas(asked, "part int, bucket int, keys binary").groupBy("part").cogroup(tree.model.withColumnRenamed("part", "of").groupBy("of")).applyInPandas(answered, "bucket int, part int, counts binary")
 
     def scored(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
             return pd.DataFrame({"doc_id": [], "n_tokens": [], "n_known": [], "base_score": [], "score": []})
-        order = np.argsort(answers["key"].to_numpy(np.int64).view(np.uint64))
-        have, counts = answers["key"].to_numpy(np.int64).view(np.uint64)[order], answers["c"].to_numpy(np.float64)[order]
-
-        def count(k: np.ndarray) -> np.ndarray:
-            at = _find(have, k)
-            return np.where(at >= 0, counts[at], 0.0) if len(have) else np.zeros(len(k))
-
+        pieces = [rows.iloc[k : k + 256]["text"].tolist() for k in range(0, len(rows), 256)]
+        have = np.unique(np.concatenate([_asked(p, shared.value, depth)[3] for p in pieces]))
+        counts = np.concatenate([unpacked(c) for c in answers.sort_values("part")["counts"]]).astype(np.float64)
         out = []
-        for first in range(0, len(rows), 256):
-            part = rows.iloc[first : first + 256]
-            t, lengths = tokenize(part["text"].tolist())
+        for k, piece in enumerate(pieces):
+            t, lengths, met, _ = _asked(piece, shared.value, depth)
+            count = lambda keys: counts[np.searchsorted(have, keys)]
             c = count(t)
             p = np.where(c > 0, (1 - unseen) * c / max(n, 1), unseen)
             alive = np.ones(len(t), dtype=bool)
-            for at, h in contexts(t, lengths, depth) if len(keys) else ():
-                k = _find(keys, h)
-                now = np.zeros(len(t), dtype=bool)
-                at, h, k = at[k >= 0], h[k >= 0], k[k >= 0]
-                use = alive[at]
-                at, h, k = at[use], h[use], k[use]
-                own = count(mix(h, t[at]))
-                p[at] = (np.maximum(own - discount, 0) + discount * kinds[k] * p[at]) / total[k]
-                now[at] = True
-                alive = now
-            text = np.repeat(np.arange(len(part)), lengths)
-            total_of = lambda x: np.bincount(text, weights=x, minlength=len(part))  # noqa: B023, E731
-            out.append(pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n_tokens": lengths, "n_known": total_of(c > 0).astype(np.int64), "base_score": total_of(np.log10((c + 1) / (n + v + 1))), "score": total_of(np.log10(p))}))
+            for at, h in met:
+                total = count(mix(h, TOTAL))
+                use = (total > 0) & alive[at]
+                at, h, total = at[use], h[use], total[use]
+                p[at] = (np.maximum(count(mix(h, t[at])) - discount, 0) + discount * count(mix(h, KINDS)) * p[at]) / total
+                alive = np.zeros(len(t), dtype=bool)
+                alive[at] = True
+            text = np.repeat(np.arange(len(piece)), lengths)
+            total_of = lambda x: np.bincount(text, weights=x, minlength=len(piece))  # noqa: B023, E731
+            ids = rows["doc_id"].iloc[256 * k : 256 * k + 256].to_numpy()
+            out.append(pd.DataFrame({"doc_id": ids, "n_tokens": lengths, "n_known": total_of(c > 0).astype(np.int64), "base_score": total_of(np.log10((c + 1) / (n + v + 1))), "score": total_of(np.log10(p))}))
         return pd.concat(out)
 
     schema = "doc_id long, n_tokens long, n_known long, base_score double, score double"
-    return dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInPandas(lambda rows, a: scored(rows, a).astype({"doc_id": "Int64"}), schema)
+    return dealt.groupBy("bucket").cogroup(answers.withColumnRenamed("bucket", "to").groupBy("to")).applyInPandas(lambda rows, a: scored(rows, a).astype({"doc_id": "Int64"}), schema)
 
 
 def score_documents(docs: DataFrame, o: Options = Options(), modulus: int = 7, remainder: int = 2) -> DataFrame:

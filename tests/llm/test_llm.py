@@ -342,6 +342,30 @@ def test_suffix_tree_learns_contexts_and_sums_to_one(spark):
         assert sum(chance(before, y) for y in [*root, "zzz"]) == pytest.approx(1)
 
 
+def test_suffix_tree_of_real_texts_beats_its_root(spark):
+    from dataclasses import replace
+
+    from lumivox.llm.common import held_out, table
+
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    train = docs.where(~held_out(F.col("doc_id"), 7, 2))
+    tree = suffix_tree.learn(train)
+    assert tree.contexts.where("n < 50").isEmpty() and tree.contexts.count() > 300
+    mean = lambda o: suffix_tree.score_documents(docs, o).where("held_out").agg(F.sum("score") / F.sum("n_tokens")).first()[0]
+    assert mean(suffix_tree.Options()) > mean(replace(suffix_tree.Options(), least=1 << 40)) + 0.05
+
+
+def test_suffix_tree_filter_is_bounded_and_never_misses(spark):
+    from dataclasses import replace
+
+    keys = np.random.default_rng(2).integers(0, 1 << 63, 20_000, dtype=np.uint64)
+    df = spark.createDataFrame([(bytearray(suffix_tree.packed_keys(k)),) for k in np.array_split(keys, 5)], "keys binary")
+    for bits in (1 << 27, 1 << 16):  # with room, and with none
+        f = suffix_tree.filter_of(df, len(keys), replace(suffix_tree.Options(), filter_bits=bits))
+        assert f.bits <= bits and f(keys).all()
+    assert suffix_tree.filter_of(df, len(keys), suffix_tree.Options())(keys + np.uint64(1)).mean() < 0.05
+
+
 # 6
 
 
