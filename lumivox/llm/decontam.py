@@ -25,6 +25,7 @@ from lumivox.llm.common import filesystem, scratch, small_batches, written
 
 WORD = re.compile(r"\w+")
 K1, B = 1.2, 0.75
+EXPANDED = 1 << 20  # marked postings looked at together
 FOUND = "doc_id long, item_id long, passage long, bm25 double, question_overlap double, answer_overlap double"
 
 
@@ -150,9 +151,12 @@ class Index:
         first = np.flatnonzero(np.diff(item[order], prepend=-1))
         so_far = np.cumsum(impact[order])
         so_far -= np.repeat(so_far[first] - impact[order][first], np.diff([*first, len(order)]))
-        self.flat_item, self.flat_impact, self.pivot = item, impact, np.ones(len(item), bool)
-        self.pivot[order] = so_far > common
-        self.need = 1 - np.bincount(item[~self.pivot], impact[~self.pivot], minlength=len(self.ids))
+        pivot = np.ones(len(item), bool)
+        pivot[order] = so_far > common
+        # the marked postings alone, by term
+        self.marked_item, self.marked_impact = item[pivot], impact[pivot]
+        self.marked_start = np.concatenate([[0], np.cumsum(np.bincount(term[pivot], minlength=len(self.post)))]).astype(np.int64)
+        self.need = 1 - np.bincount(item[~pivot], impact[~pivot], minlength=len(self.ids))
 
     def _least(self, k: int, weight: dict[str, float]) -> float:
         """What a passage scores at least that passes the check: all terms but the dearest that the missing shingles can hide."""
@@ -219,20 +223,31 @@ class Index:
         chunk = first[text] + (np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)) // step
         pairs = np.unique(chunk[ids >= 0] * len(self.post) + ids[ids >= 0])
         chunk, term = pairs // len(self.post), pairs % len(self.post)
-        count = self.start[term + 1] - self.start[term]
+        count = self.marked_start[term + 1] - self.marked_start[term]
+        chunk, term, count = chunk[count > 0], term[count > 0], count[count > 0]
+        owner, total = np.repeat(np.arange(len(texts)), chunks), int(chunks.sum())
+        begin = np.searchsorted(chunk, np.arange(total + 1))
+        before = np.concatenate([[0], np.cumsum(count)])[begin]  # postings of the chunks before each
+        out, low = defaultdict(list), 0
+        while low < total:
+            # passages from `low` on, and the chunk after the last of them, whose postings come to EXPANDED at most where more than one passage is left
+            high = min(total, max(low + 1, int(np.searchsorted(before, before[low] + EXPANDED, "right")) - 2))
+            some = slice(begin[low], begin[min(total, high + 1)])
+            for p in self._reached(chunk[some], term[some], count[some], first, owner, low, high):
+                out[int(owner[p])].append(int(p - first[owner[p]]))
+            low = high
+        return out
+
+    def _reached(self, chunk: np.ndarray, term: np.ndarray, count: np.ndarray, first: np.ndarray, owner: np.ndarray, low: int, high: int) -> np.ndarray:
+        """Passages low to high whose marked postings of an item reach what it needs; one has its own chunk's and the next one's."""
         row = np.repeat(np.arange(len(term)), count)
-        at = self.start[term][row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        row, at = row[self.pivot[at]], at[self.pivot[at]]
-        item, impact, chunk = self.flat_item[at], self.flat_impact[at], chunk[row]
-        owner = np.repeat(np.arange(len(texts)), chunks)
-        starts = chunk == first[owner[chunk]]  # a text's first chunk is in no passage before it
-        key = np.concatenate([chunk, chunk[~starts] - 1]) * len(self.ids) + np.concatenate([item, item[~starts]])
+        at = self.marked_start[term][row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        item, impact, chunk = self.marked_item[at], self.marked_impact[at], chunk[row]
+        here, ahead = chunk < high, (chunk > low) & (chunk != first[owner[chunk]])  # a text's first chunk is in no passage before it
+        key = np.concatenate([chunk[here], chunk[ahead] - 1]) * len(self.ids) + np.concatenate([item[here], item[ahead]])
         key, inverse = np.unique(key, return_inverse=True)
-        total = np.bincount(inverse, weights=np.concatenate([impact, impact[~starts]]), minlength=len(key))
-        out = defaultdict(list)
-        for p in np.unique(key[total >= self.need[key % len(self.ids)] - 1e-6] // len(self.ids)):
-            out[int(owner[p])].append(int(p - first[owner[p]]))
-        return out
+        total = np.bincount(inverse, weights=np.concatenate([impact[here], impact[ahead]]), minlength=len(key))
+        return np.unique(key[total >= self.need[key % len(self.ids)] - 1e-6] // len(self.ids))
 
     def contaminated(self, split: list[list[str]]) -> list[tuple[int, int, int, float, float, float]]:
         """(text, item, passage's first word, BM25, overlap of question and of answer): the best passage for each item found.
@@ -294,14 +309,19 @@ def indexes(items: DataFrame, share: float, n: int, per_block: int) -> list[list
     return [[path for *_, path in block] for _, block in groupby(found, lambda x: x[0])]
 
 
-@lru_cache(maxsize=16)
 def loaded(path: str) -> Index:
-    """An index from its file, read once in each Python worker."""
+    """An index from its file."""
     fs, at = filesystem(path)
     with fs.open_input_stream(at) as f:
         return pickle.loads(f.read())
 
 
+@lru_cache(maxsize=1)
+def loaded_block(paths: tuple[str, ...]) -> list[Index]:
+    """The indexes of a block, read once in each Python worker, which holds one block at a time."""
+    return list(map(loaded, paths))
+
+
 def find(docs: DataFrame, items: DataFrame, share: float = 0.8, shingle: int = 5, per_block: int = 20_000) -> DataFrame:
     """Documents that hold a test item: doc_id, item_id, passage, bm25, question_overlap, answer_overlap.
 
@@ -326,7 +346,7 @@ def find(docs: DataFrame, items: DataFrame, share: float = 0.8, shingle: int = 5
             names = [x.split()[0] for x in FOUND.split(", ")]
             for b in batches:
                 ids, split = b["doc_id"].tolist(), [words(t) for t in b["text"].tolist()]
-                rows = [(ids[k], index.ids[i], *rest) for index in map(loaded, block) for k, i, *rest in index.contaminated(split)]
+                rows = [(ids[k], index.ids[i], *rest) for index in loaded_block(tuple(block)) for k, i, *rest in index.contaminated(split)]
                 if rows:
                     yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64", "answer_overlap": "float64"})
 

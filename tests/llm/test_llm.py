@@ -244,6 +244,26 @@ def test_decontamination_of_long_and_repeated_texts(spark):
     assert [r[:2] for r in got] == [(1, 1), (1, 2), (2, 1), (2, 1)] and got[0][2] <= 60_000 <= got[0][2] + 64 and all(r[3] == 1 for r in got)
 
 
+def test_pivot_step_looks_at_bounded_runs_of_marked_postings(monkeypatch):
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    common = ["the", "of", "and", "to"]
+    item = lambda: " ".join(rng.choice(common if rng.random() < 0.5 else vocabulary) for _ in range(40))
+    items = [(k, item()) for k in range(2000)]
+    df = Counter(t for _, x in items for t in set(x.split()))
+    index = decontam.Index(items, df, len(items), 40.0, 0.8, 5)
+    texts = [(" ".join(rng.choice(common + vocabulary[:50], 300)) + " " + items[k][1] + " " + item()).split() for k in range(25)]
+    asked, real = [], decontam.Index._reached
+    monkeypatch.setattr(decontam.Index, "_reached", lambda self, chunk, term, count, *rest: asked.append((int(count.sum()), rest[-1] - rest[-2])) or real(self, chunk, term, count, *rest))
+    whole = index.pivot_step(texts, 80)
+    every = sum(len(index.post[index.term[t]]) for w in texts for c in range(0, len(w), 80) for t in set(w[c : c + 80]) if t in index.term)
+    assert sum(n for n, _ in asked) < 0.2 * every  # the common words' postings aren't expanded at all
+    asked.clear()
+    monkeypatch.setattr(decontam, "EXPANDED", 500)
+    assert index.pivot_step(texts, 80) == whole and len(asked) > 5 and all(n <= 500 or passages == 1 for n, passages in asked)
+    assert all(any(k in {i for i, _ in index.search(sorted({index.term[x] for x in texts[k][p * 80 : p * 80 + 160] if x in index.term}))} for p in whole[k]) for k in range(25))
+
+
 def test_pivot_step_loses_no_passage_that_reaches_the_threshold(spark):
     index = decontam.loaded(decontam.indexes(spark.createDataFrame(items(spark), "item_id long, text string"), 0.8, 5, 1000)[0][0])
     rng, step = np.random.default_rng(18), 40
