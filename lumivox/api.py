@@ -16,6 +16,7 @@ from lumivox.operators import voxel as V
 from lumivox.plans import pipelines
 from lumivox.sinks import fits
 from lumivox.sources import nifti, text
+from lumivox.sources.series import files, layout, read_series
 
 
 @dataclass
@@ -31,15 +32,15 @@ class Scan:
     @classmethod
     def from_files(cls, spark: SparkSession, series: str, bvals: str, bvecs: str | None = None, mask: str | None = None) -> Scan:
         """From a series with b-value and direction files or, without bvecs, a four-column table."""
-        meta = nifti.read_scans(spark, series).first()
+        meta = layout(next(iter(files(series).values())))
         if bvecs is None:
             b, g = text.parse_table(text.read_text(spark, bvals))
-            g = N.rotate_directions(g, np.linalg.inv(N.affine_rotation(np.array(meta.affine))))
+            g = N.rotate_directions(g, np.linalg.inv(N.affine_rotation(meta.affine)))
         else:
             b, g = text.parse_bvals(text.read_text(spark, bvals)), text.parse_bvecs(text.read_text(spark, bvecs))
-        if len(b) != meta.n_vol or len(g) != meta.n_vol:
-            raise ValueError(f"{meta.n_vol} volumes, {len(b)} b-values, {len(g)} directions")
-        scan = cls(nifti.read_voxels(spark, series, mask), b, g, (meta.nx, meta.ny, meta.nz), np.array(meta.affine))
+        if len(b) != meta.shape[3] or len(g) != meta.shape[3]:
+            raise ValueError(f"{meta.shape[3]} volumes, {len(b)} b-values, {len(g)} directions")
+        scan = cls(read_series(spark, series, mask), b, g, meta.shape[:3], meta.affine)
         return scan if mask else scan.masked_by_b0()
 
     @classmethod
@@ -96,7 +97,7 @@ class Scan:
         return models.fit_shore(self.voxels, self.bvals, self.directions, o=models.ShoreOptions(**options))
 
     def tissue(self, o: tissue.StagedOptions = tissue.StagedOptions()) -> tissue.Selection:
-        return tissue.select_staged(self.voxels, self.tensor, N.merge_small_shells(N.shells(self.bvals.tolist())), o)
+        return tissue.select_staged(self.voxels, self.tensor, N.merge_small_shells(N.shells(self.bvals.tolist(), 100.0)), o)
 
     def single_shell(self, **kw) -> pipelines.Run:
         return pipelines.single_shell(self.voxels, self.bvals, self.directions, self.shape, **kw)

@@ -27,3 +27,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     path = f"{scratch_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def filesystem(path: str):
+    """pyarrow's file system for a path or address, and the path in it."""
+    import os
+
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))

@@ -213,14 +213,14 @@ def graddev_table(voxels: DataFrame, bvals: np.ndarray, directions: np.ndarray,
     return each.select(*KEY, "t.vol", F.col("t.b").alias("b_eff"), F.col("t.g").alias("direction"))
 
 
-def reference_b0(voxels: DataFrame, bvals: np.ndarray, masks: list[DataFrame]) -> float | None:
-    """Upper median of the positive mean unweighted signals over the first of the masks that has any."""
+def reference_b0(voxels: DataFrame, bvals: np.ndarray, masks: dict[str, DataFrame | None]) -> tuple[float, str] | None:
+    """Upper median of the positive mean unweighted signals over the first of the named masks that has any, and that mask's name."""
     at = [int(v) for v in np.flatnonzero(bvals <= 50)]
     b0 = voxels.select(*KEY, (sum((F.get("signal", F.lit(v)).cast("double") for v in at), F.lit(0.0)) / float(len(at))).alias("b0")).where("b0 > 0")
-    for m in masks:
-        r = O.upper_median(b0.join(m.select(*KEY), KEY).withColumn("all", F.lit(1)), ["all"], "b0").first()
+    for name, m in masks.items():
+        r = None if m is None else O.upper_median(b0.join(m.select(*KEY), KEY).withColumn("all", F.lit(1)), ["all"], "b0").first()
         if r is not None:
-            return r.median
+            return r.median, name
     return None
 
 

@@ -119,7 +119,7 @@ def fiber_dominance(evals: Column) -> Column:
 
 @dataclass(frozen=True)
 class ShoreOptions:
-    """regularisation: l1, l2 or nonneg; strategy, for l1: fixed, ratio, bic or l2-anchored."""
+    """regularisation: l1, l2 or nonneg; strategy, for l1: fixed, ratio, bic or l2-anchored. eps: the path's end over its start, None for 1e-3 by bic, else 1e-4."""
 
     order: int = 6
     zeta: float = 700.0
@@ -128,7 +128,7 @@ class ShoreOptions:
     alpha: float = 1.0
     ratio: float = 1e-3
     n: int = 20
-    eps: float = 1e-4
+    eps: float | None = None
     slack: float = 0.05
     lambda_n: float = 1e-8
     lambda_l: float = 1e-8
@@ -137,10 +137,14 @@ class ShoreOptions:
     positive: bool = False
     allow_single_shell: bool = False
 
+    @property
+    def path_end(self) -> float:
+        return self.eps if self.eps is not None else 1e-3 if self.strategy == "bic" else 1e-4
+
     def checked(self) -> ShoreOptions:
         if self.regularisation not in REGULARISATION or self.strategy not in ("fixed", "ratio", "bic", "l2-anchored"):
             raise ValueError("unknown regularisation or strategy")
-        if self.n < 2 or not 0 < self.eps < 1 or not 0 < self.ratio < 1 or self.slack < 0 or self.order < 0:
+        if self.n < 2 or not 0 < self.path_end < 1 or not 0 < self.ratio < 1 or self.slack < 0 or self.order < 0:
             raise ValueError("n is 2 at least, eps and ratio lie between 0 and 1, slack and order aren't negative")
         return self
 
@@ -186,7 +190,7 @@ def fit_shore(voxels: DataFrame, bvals: np.ndarray, directions: np.ndarray, big_
             (c, used), rss_l2 = plan.fit(s, alpha), missing
             criterion = solvers.bic(np.sum((s - c @ m.T) ** 2, axis=1), n, np.count_nonzero(c, axis=1))
         else:
-            r = solvers.lasso_path(plan, s, o.n, o.eps, "bic" if o.strategy == "bic" else "l2", o.slack, rss_l2)
+            r = solvers.lasso_path(plan, s, o.n, o.path_end, "bic" if o.strategy == "bic" else "l2", o.slack, rss_l2)
             c, used, alpha, criterion = r["coef"], r["iterations"], r["alpha"], r["bic"]
         rss, total = np.sum((s - c @ m.T) ** 2, axis=1), np.sum((s - s.mean(axis=1, keepdims=True)) ** 2, axis=1)
         r2 = np.where(total > 0, 1 - rss / np.where(total > 0, total, 1), 0)

@@ -42,14 +42,16 @@ def shell_responses(selected: tissue.Selection, voxels: DataFrame, dti: DataFram
     return out
 
 
-def single_shell(voxels: DataFrame, bvals: np.ndarray, directions: np.ndarray, shape: tuple[int, int, int], selection: tissue.Selection | None = None, o: decon.ShellOptions = decon.ShellOptions(), n: decon.NormaliseOptions = decon.NormaliseOptions()) -> Run:
-    """Responses from the scan, deconvolution, normalisation."""
+def single_shell(voxels: DataFrame, bvals: np.ndarray, directions: np.ndarray, shape: tuple[int, int, int], selection: tissue.Selection | None = None, o: decon.ShellOptions = decon.ShellOptions(), n: decon.NormaliseOptions = decon.NormaliseOptions(), responses: dict[str, np.ndarray] | None = None) -> Run:
+    """Responses from the scan, where none are given, deconvolution, normalisation."""
     groups = N.shells(list(bvals))
-    dti = models.fit_tensor(voxels, bvals, directions).persist()
-    selection = selection or tissue.select_staged(voxels, dti, N.merge_small_shells(N.shells(list(bvals), 100.0)))
-    responses = shell_responses(selection, voxels, dti, groups, directions)
+    dti, counts = models.fit_tensor(voxels, bvals, directions), {}
+    if responses is None:
+        dti = dti.persist()
+        selection = selection or tissue.select_staged(voxels, dti, N.merge_small_shells(N.shells(list(bvals), 100.0)))
+        responses, counts = shell_responses(selection, voxels, dti, groups, directions), selection.counts
     fits = decon.fit_single_shell(voxels, bvals, directions, responses, o).withColumn("wm0", F.get("wm", F.lit(0))).withColumn("in_mask", F.lit(True))
-    return Run(decon.normalise(fits, ["wm0", "gm", "csf"], shape, n), responses, dti, selection.counts)
+    return Run(decon.normalise(fits, ["wm0", "gm", "csf"], shape, n), responses, dti, counts)
 
 
 def dense_responses(selected: tissue.Selection, voxels: DataFrame, dti: DataFrame, bvals: np.ndarray, directions: np.ndarray, estimator: str = "kernel", lmax: int = 8, step: float = 50.0, b_max: float | None = None) -> dict[str, np.ndarray]:
@@ -62,19 +64,26 @@ def dense_responses(selected: tissue.Selection, voxels: DataFrame, dti: DataFram
     return out
 
 
-def dense(voxels: DataFrame, bvals: np.ndarray, directions: np.ndarray, shape: tuple[int, int, int], selection: tissue.Selection | None = None, estimator: str | None = None, o: decon.DenseOptions = decon.DenseOptions(), n: decon.NormaliseOptions = decon.NormaliseOptions()) -> Run:
-    """The same along a dense b axis, with the reference unweighted signal and the floor corrected."""
-    groups = N.shells(list(bvals))
-    dti = models.fit_tensor(voxels, bvals, directions).persist()
-    selection = selection or tissue.select_staged(voxels, dti, N.merge_small_shells(N.shells(list(bvals), 100.0)))
-    moved = dense_rows.b_shift(voxels, bvals, directions).first() if "graddev" in voxels.columns else None
-    estimator = estimator or tissue.choose_estimator(moved.shift if moved else None, interpolate=o.interpolate)
-    responses = dense_responses(selection, voxels, dti, bvals, directions, estimator, o.lmax, o.step, moved.largest if moved else None)
+def dense(voxels: DataFrame, bvals: np.ndarray, directions: np.ndarray, shape: tuple[int, int, int], selection: tissue.Selection | None = None, estimator: str | None = None, o: decon.DenseOptions = decon.DenseOptions(), n: decon.NormaliseOptions = decon.NormaliseOptions(), responses: dict[str, np.ndarray] | None = None, reference: DataFrame | None = None) -> Run:
+    """The same along a dense b axis, with the reference unweighted signal and the floor corrected.
+
+    reference: voxels (key) over which the reference is taken; else it is taken over the white matter that responses came from or, where they
+    are given, over voxels of mostly white matter.
+    """
+    dti, counts = models.fit_tensor(voxels, bvals, directions), {}
+    if responses is None:
+        dti = dti.persist()
+        selection = selection or tissue.select_staged(voxels, dti, N.merge_small_shells(N.shells(list(bvals), 100.0)))
+        moved = dense_rows.b_shift(voxels, bvals, directions).first() if "graddev" in voxels.columns else None
+        estimator = estimator or tissue.choose_estimator(moved.shift if moved else None, interpolate=o.interpolate)
+        responses = dense_responses(selection, voxels, dti, bvals, directions, estimator, o.lmax, o.step, moved.largest if moved else None)
+        counts = selection.counts | {"estimator": estimator}
     fits = decon.fit_dense(voxels, bvals, directions, responses, o).withColumn("wm0", F.get("wm", F.lit(0))).withColumn("in_mask", F.lit(True))
     level = decon.normalise(fits, ["wm0", "gm", "csf"], shape, n)
     total = F.col("wm0") + F.col("gm") + F.col("csf")
-    ref = decon.reference_b0(voxels, bvals, [selection.wm, fits.where((total > 1e-9) & (F.col("wm0") / total >= 0.7))])
-    return Run(decon.floor_corrected(level), responses, dti, selection.counts | {"reference_b0": ref})
+    masks = {"user mask": reference, "single-fibre white matter": selection.wm if selection else None, "white matter fraction": fits.where((total > 1e-9) & (F.col("wm0") / total >= 0.7))}
+    found = decon.reference_b0(voxels, bvals, masks)
+    return Run(decon.floor_corrected(level), responses, dti, counts | ({"reference_b0": found[0], "reference_b0_source": found[1]} if found else {"reference_b0": None}))
 
 
 def group_responses(responses: DataFrame, statistic: str = "mean") -> tuple[DataFrame, DataFrame]:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lumivox import sinks
 from lumivox.functions import numeric as N
-from lumivox.operators import models
+from lumivox.operators import models, tissue
 from lumivox.operators.voxel import KEY
 from lumivox.sources import nifti, text
 
@@ -83,13 +83,44 @@ def load_fit(spark: SparkSession, path: str) -> tuple[DataFrame, dict, np.ndarra
     header = sinks.read_header(spark, path)
     if header.get("basis") != "shore":
         raise ValueError(f"{path} holds no fit of this basis")
-    rows = spark.read.parquet(f"{path}/coefficients")
-    g = spark.read.parquet(f"{path}/gradient").orderBy("vol").collect()  # a row for each volume
+    rows = sinks.read_table(spark, path, "coefficients")
+    g = sinks.read_table(spark, path, "gradient").orderBy("vol").collect()  # a row for each volume
     order = header["radial_order"]
     kind = dict(rows.dtypes)["coef"]
     return rows.withColumn("coef", from_exchange(F.col("coef"), order).cast(kind)), header, np.array([r.bval for r in g]), np.array([[r.gx, r.gy, r.gz] for r in g])
 
 
+def response_rows(spark: SparkSession, responses: dict[str, np.ndarray], step: float | None = None, bs: list[float] | None = None) -> DataFrame:
+    """tissue, row, b, coeffs of a response set, on the grid k * step or at the shells' b-values."""
+    at = lambda k: float(k * step) if step else float(bs[k])
+    rows = [(t, k, at(k), [float(c) for c in np.atleast_1d(r)]) for t, m in responses.items() for k, r in enumerate(m)]
+    return spark.createDataFrame(rows, "tissue string, row int, b double, coeffs array<double>")
+
+
+def load_responses(spark: SparkSession, path: str, lmax: int | None = None) -> dict[str, np.ndarray]:
+    """The response set of a bundle of responses, own or pooled, or of a deconvolution: by tissue its rows, white matter's to lmax at most.
+
+    A set without one of the tissues, with tissues of unlike numbers of rows, with rows that are missing, or with anisotropic rows where there can't be any is an error.
+    """
+    kind = sinks.read_header(spark, path).get("kind")
+    rows = sinks.read_table(spark, path, "pooled" if kind == "pooled" else "responses")
+    if tissue.response_faults(rows).limit(1).count():
+        raise ValueError(f"{path}: grey matter, fluid and unweighted rows must be isotropic")
+    by: dict[str, dict[int, list[float]]] = {}
+    for r in rows.collect():  # a row for each b-value of each tissue
+        by.setdefault(r.tissue, {})[r.row] = r.coeffs
+    if set(by) != {"wm", "gm", "csf"} or len({len(v) for v in by.values()}) > 1 or any(set(v) != set(range(len(v))) for v in by.values()):
+        raise ValueError(f"{path} holds no whole response set of white matter, grey matter and fluid")
+    width = {t: max(map(len, v.values())) for t, v in by.items()}
+    if lmax is not None:
+        width["wm"] = min(width["wm"], lmax // 2 + 1)
+    out = {t: np.zeros((len(v), width[t] if t == "wm" else 1)) for t, v in by.items()}
+    for t, v in by.items():
+        for k, c in v.items():
+            out[t][k, : len(c)] = c[: out[t].shape[1]]
+    return out
+
+
 def write_pair(first: str, content: bytes, second: str, other: bytes, overwrite: bool = False) -> None:
     """Two local files, both whole or neither: both are written aside before either is moved."""
     for p in (first, second):

@@ -501,3 +501,111 @@ def test_gradient_deviation_from_files_and_jobs(spark, tmp_path):
     assert json.loads(next((tmp_path / "qc" / "report").glob("*.json")).read_text().splitlines()[0])["metrics"]["max_b"] == 3000
     jobs.run(spark, jobs.arguments(["tensor", *common, "--graddev", at("g"), "--out", str(tmp_path / "dti")]))
     assert spark.read.parquet(str(tmp_path / "dti")).count() == 27
+
+
+def test_series_read_by_byte_ranges_equals_whole_files(spark, tmp_path):
+    import gzip
+    import struct
+
+    from lumivox.sources import series
+
+    rng = np.random.default_rng(4)
+    a = np.diag([2.0, 2.0, 3.0, 1.0])
+    data = rng.normal(size=(5, 4, 3, 6)).astype(np.float32)
+    inside = (rng.random((5, 4, 3)) > 0.4).astype(np.float32)
+    for folder in ("s", "m"):
+        (tmp_path / folder).mkdir()
+    packed = nifti.encode(data, a)
+    raw = bytearray(gzip.decompress(nifti.encode(np.zeros((5, 4, 3, 6), np.float32), a))[:352])
+    struct.pack_into("<2h", raw, 70, 4, 16)  # whole numbers with a scale
+    struct.pack_into("<2f", raw, 112, 0.5, 3.0)
+    (tmp_path / "s" / "packed.nii.gz").write_bytes(packed)
+    (tmp_path / "s" / "plain.nii").write_bytes(gzip.decompress(packed))
+    (tmp_path / "s" / "scaled.nii").write_bytes(bytes(raw) + rng.integers(-99, 99, data.size).astype("<i2").tobytes())
+    (tmp_path / "m" / "packed.nii.gz").write_bytes(nifti.encode(inside, a))
+    (tmp_path / "m" / "plain.nii").write_bytes(gzip.decompress(nifti.encode(inside, a)))
+    key = lambda r: (r.scan_id, r.x, r.y, r.z)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    at = str(tmp_path / "s")
+    for block_bytes in (1, 700, 1 << 20):  # a row, some rows, everything
+        got = series.read_series(spark, at, block_bytes=block_bytes)
+        assert rows(got) == rows(nifti.read_voxels(spark, at)) and got.schema == nifti.read_voxels(spark, at).schema
+    names = {r.scan_id: r.n for r in series.read_series(spark, at, str(tmp_path / "m"), 700).where("in_mask").groupBy("scan_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert names == {"packed": int(inside.sum()), "plain": int(inside.sum()), "scaled": inside.size}
+    got = {key(r): r.in_mask for r in series.read_series(spark, at, str(tmp_path / "m"), 700).collect()}
+    assert all(got[s, x, y, z] == (inside[x, y, z] > 0) for s in ("packed", "plain") for x, y, z in np.ndindex(5, 4, 3))
+    # a task holds its range alone
+    of = series.layout(f"{at}/plain.nii")
+    part = series.Rows(of, 2, 4, None, 2)
+    (batch,) = series.voxels(part)
+    assert batch.num_rows == 10 and {tuple(r) for r in zip(batch["y"].to_pylist(), batch["z"].to_pylist())} == {(2, 0), (3, 0)}
+    assert len(series.SeriesReader({"path": at, "blockbytes": "700"}, False).partitions()) == sum(-(-12 // series.layout(f"{at}/{n}.nii").rows_of(700)) for n in ("plain", "scaled"))
+    (tmp_path / "s" / "plain.nii").write_bytes(gzip.decompress(packed)[:-10])
+    with pytest.raises(Exception, match="too early"):
+        series.read_series(spark, at, block_bytes=700).collect()
+    with pytest.raises(FileNotFoundError):
+        series.read_series(spark, str(tmp_path / "none"))
+
+
+def test_jobs_from_files_to_bundles(spark, tmp_path):
+    scan = fibre_scan(spark, 6)
+    data = np.zeros((6, 6, 6, len(scan.bvals)), np.float32)
+    for r in scan.voxels.collect():
+        data[r.x, r.y, r.z] = r.signal
+    one = np.flatnonzero(np.isin(scan.bvals, (0, 3000)))
+
+    def files_of(name, volumes):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.nii.gz").write_bytes(nifti.encode(data[..., volumes], np.eye(4)))
+        (tmp_path / name / "b").write_text(" ".join(map(str, scan.bvals[volumes])))
+        (tmp_path / name / "v").write_text("\n".join(" ".join(map(str, r)) for r in scan.directions[volumes].T))
+        return ["--series", str(tmp_path / name / "a.nii.gz"), "--bvals", str(tmp_path / name / "b"), "--bvecs", str(tmp_path / name / "v")]
+
+    every, single = files_of("every", np.arange(len(scan.bvals))), files_of("single", one)
+    out = lambda name: str(tmp_path / "out" / name)
+    job = lambda *argv: jobs.run(spark, jobs.arguments(list(argv)))
+    few = ["--erosions", "1", "--wm-percent", "20", "--gm-percent", "20", "--csf-percent", "20", "--lmax", "4"]
+    job("response", *every, *few, "--out", out("dense-rows"))
+    got = fits.load_responses(spark, out("dense-rows"))
+    first = {t: r[0, 0] / decon.SQRT4PI for t, r in got.items()}
+    assert first == pytest.approx({"wm": 1.0, "gm": 1.3, "csf": 2.6}, rel=0.01) and got["wm"].shape == (63, 3)
+    assert fits.load_responses(spark, out("dense-rows"), 2)["wm"].shape == (63, 2)
+    shells = {t: r[[0, 60]] for t, r in got.items()}  # rows of b 0 and 3000
+    sinks.write_bundle({"responses": fits.response_rows(spark, shells, bs=[0.0, 3000.0])}, out("shell-rows"), {"kind": "responses"})
+    job("responses", "--bundles", out("dense-rows"), out("dense-rows"), "--out", out("pooled"))
+    assert fits.load_responses(spark, out("pooled"))["csf"] == pytest.approx(got["csf"])
+    (tmp_path / "ref").mkdir()
+    (tmp_path / "ref" / "a.nii.gz").write_bytes(nifti.encode((np.indices((6, 6, 6))[2] >= 4).astype(np.float32), np.eye(4)))
+    job("dense", *every, "--responses", out("pooled"), "--lmax", "4", "--reference-mask", str(tmp_path / "ref" / "a.nii.gz"), "--out", out("dense"))
+    header = sinks.read_header(spark, out("dense"))
+    assert header["details"]["reference_b0_source"] == "user mask" and header["details"]["reference_b0"] == pytest.approx(2600, rel=0.05)
+    assert header["kind"] == "dense" and header["provenance"]["tool"] == "dense"
+    job("single-shell", *single, "--responses", out("shell-rows"), "--lmax", "4", "--out", out("shell"))
+    rows = sinks.read_table(spark, out("shell"), "tissue")
+    assert rows.count() == 216
+    job("normalise", "--bundle", out("shell"), "--order", "1", "--target", "1.0", "--out", out("level"))
+    level = sinks.read_table(spark, out("level"), "tissue")
+    assert level.count() == 216 and sinks.read_header(spark, out("level"))["levels"]["a"]["target"] == 1.0
+    job("shore", *every, "--order", "4", "--regularisation", "l2", "--out", out("fit"))
+    job("odf", "--fit", out("fit"), "--out", out("odf"))
+    assert sinks.read_table(spark, out("odf"), "scalars").columns[-1] and sinks.read_table(spark, out("odf"), "odf").count() == 216
+    job("synth", "--fit", out("fit"), "--bvals", str(tmp_path / "single" / "b"), "--bvecs", str(tmp_path / "single" / "v"), "--out", out("signal"))
+    back = {(r.x, r.y, r.z): r.signal for r in sinks.read_table(spark, out("signal"), "voxels").collect()}
+    assert np.array(back[2, 2, 2]) == pytest.approx(data[2, 2, 2, one] / 1300, abs=0.08) or np.array(back[2, 2, 2]) == pytest.approx(data[2, 2, 2, one], rel=0.2)
+    with pytest.raises(FileExistsError):
+        job("odf", "--fit", out("fit"), "--out", out("odf"))
+    job("odf", "--fit", out("fit"), "--out", out("odf"), "--overwrite")
+    assert len([p for p in (tmp_path / "out" / "odf").iterdir() if p.name.startswith("version-")]) == 1
+
+
+def test_a_broken_overwrite_leaves_the_old_bundle(spark, tmp_path):
+    path = str(tmp_path / "bundle")
+    sinks.write_bundle({"t": spark.range(3)}, path, {"n": 3})
+    bad = spark.range(5).select(F.raise_error(F.lit("broken")).alias("id"))
+    with pytest.raises(Exception, match="broken"):
+        sinks.write_bundle({"t": spark.range(9), "u": bad}, path, {"n": 9}, overwrite=True)
+    assert sinks.read_header(spark, path) == {"n": 3} and sinks.read_table(spark, path, "t").count() == 3
+    sinks.write_bundle({"t": spark.range(4)}, path, {"n": 4}, overwrite=True)
+    assert sinks.read_header(spark, path) == {"n": 4} and sinks.read_table(spark, path, "t").count() == 4
+    (tmp_path / "bundle" / "header.json").rename(next((tmp_path / "bundle").glob("version-*")) / "header-before")  # broken between the two renames
+    assert sinks.read_table(spark, path, "t").count() == 4
