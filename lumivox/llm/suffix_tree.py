@@ -219,7 +219,7 @@ def word_contexts(roots: DataFrame, least: int) -> DataFrame:
 
 def context_classes(train: DataFrame, may: Filter, bits: int, o: Options) -> DataFrame:
     """context, suffix, n and classes: how often symbols of each class follow each context that comes `least` times, among those that `may` passes."""
-    schema = "part int, context binary, suffix binary, classes binary"
+    schema = "part int, context binary, suffix binary, code binary, times binary"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
@@ -227,9 +227,12 @@ def context_classes(train: DataFrame, may: Filter, bits: int, o: Options) -> Dat
         def flush() -> pd.DataFrame:
             h, suffix, cls = (np.concatenate(x) for x in zip(*held))
             keys, first, at = np.unique(h, return_index=True, return_inverse=True)
-            n = np.bincount(at * o.classes + cls, minlength=len(keys) * o.classes).reshape(-1, o.classes).astype("<i4")
-            rows = [(p, keys[s].tobytes(), suffix[first[s]].tobytes(), n[s].tobytes()) for p, s in parts_of(keys, bits)]
-            return pd.DataFrame(rows, columns=["part", "context", "suffix", "classes"])
+            code, n = np.unique(at * o.classes + cls, return_counts=True)  # a context's place and the class
+            rows = []
+            for p, s in parts_of(keys, bits):
+                own = slice(*np.searchsorted(code, [s.start * o.classes, s.stop * o.classes]))
+                rows.append((p, keys[s].tobytes(), suffix[first[s]].tobytes(), (code[own] - s.start * o.classes).astype("<i4").tobytes(), n[own].astype("<i4").tobytes()))
+            return pd.DataFrame(rows, columns=["part", "context", "suffix", "code", "times"])
 
         for b in batches:
             t, n = tokenize(b["text"].tolist())
@@ -249,10 +252,10 @@ def context_classes(train: DataFrame, may: Filter, bits: int, o: Options) -> Dat
         keys, first, at = np.unique(h, return_index=True, return_inverse=True)
         n = np.zeros((len(keys), o.classes), np.int64)
         start = 0
-        for raw in rows["classes"]:
-            own = np.frombuffer(raw, "<i4").reshape(-1, o.classes)
-            n[at[start : start + len(own)]] += own  # a row of the input has a context once
-            start += len(own)
+        for size, code, times in zip(rows["context"].map(len), rows["code"], rows["times"]):
+            place, cls = np.divmod(np.frombuffer(code, "<i4"), o.classes)
+            n[at[start + place], cls] += np.frombuffer(times, "<i4")  # a row of the input has a context and class once
+            start += size // 8
         often = n.sum(1) >= o.least
         return pd.DataFrame({"context": keys[often].view(np.int64), "suffix": suffix[first][often].view(np.int64), "n": n[often].sum(1), "classes": list(n[often])})
 
