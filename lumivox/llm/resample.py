@@ -71,7 +71,7 @@ def counted(texts: DataFrame, o: Options) -> DataFrame:
                 if len(places) > len(total):
                     total = np.concatenate([total, np.zeros(2 * len(places) - len(total), np.int64)])
                 total[at] += c
-                n_words.append(words), n.append(len(found)), ids.append(at.tobytes()), times.append(c.astype(np.int32).tobytes())
+                n_words.append(words), n.append(len(found)), ids.append(batches.planes(np.diff(at, prepend=0))), times.append(batches.planes(c))
             rows = b.num_rows
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([next(numbers)] * rows, pa.int64()), pa.array(n_words, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(times, pa.binary()),
@@ -115,7 +115,7 @@ def weigh(docs: DataFrame, target: DataFrame, o: Options = Options()) -> DataFra
     def run(part: pa.Table, answers: pa.Table) -> pa.Table:
         gain = np.zeros(answers.num_rows, np.int64)
         gain[answers["at"].to_numpy()] = answers["gain"].to_numpy()
-        sums = [int(gain[np.frombuffer(i, np.int32)] @ np.frombuffer(n, np.int32)) for i, n in zip(part["ids"].to_pylist(), part["times"].to_pylist())]
+        sums = [int(gain[np.cumsum(batches.from_planes(i))] @ batches.from_planes(n)) for i, n in zip(part["ids"].to_pylist(), part["times"].to_pylist())]
         weight = [s // n if n else 0 for s, n in zip(sums, part["n_features"].to_pylist())]
         out = part.select(["doc_id", "n_words", "n_features"]).append_column("weight", pa.array(weight, pa.int64()))
         return out.append_column("row", pc.add(part["batch"], pa.array(range(part.num_rows), pa.int64())))
