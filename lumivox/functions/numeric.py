@@ -120,6 +120,104 @@ def hemisphere(frequency: int = 8) -> np.ndarray:
     return p[np.sort(keep)]
 
 
+def hemisphere_edges(frequency: int = 8) -> np.ndarray:
+    """Pairs of neighbours among hemisphere(frequency)'s directions: the edges of the whole triangulated sphere, antipodes being one.
+
+    So a lobe that crosses the rim isn't cut in two.
+    """
+    dirs = hemisphere(frequency)
+    step = 1.3 * math.acos(min(1.0, float(np.sort(np.abs(dirs @ dirs.T) - 2 * np.eye(len(dirs)), axis=1)[:, -1].min())))
+    cos = np.abs(dirs @ dirs.T)
+    np.fill_diagonal(cos, -1)
+    six = np.argsort(-cos, axis=1)[:, :6]
+    # a corner of the icosahedron has five neighbours, its sixth nearest direction is farther off
+    pairs = {(min(i, int(j)), max(i, int(j))) for i in range(len(dirs)) for j in six[i] if i in six[j] and cos[i, j] > math.cos(step)}
+    return np.array(sorted(pairs))
+
+
+def quadrature(directions: np.ndarray) -> np.ndarray:
+    """Weights under which sums over half a sphere's directions are integrals over the whole sphere, exact for even series up to the largest order that the directions determine."""
+    lmax = 0
+    while n_sh(lmax + 2) <= len(directions):
+        lmax += 2
+    want = np.zeros(n_sh(lmax))
+    want[0] = math.sqrt(4 * math.pi)
+    return np.linalg.lstsq(sh_matrix(directions, lmax).T, want, rcond=None)[0]
+
+
+class SpherePolynomial:
+    """An even harmonic series as a homogeneous polynomial of degree lmax in x, y and z, which has as many terms: its derivatives know no poles."""
+
+    def __init__(self, lmax: int):
+        self.lmax = lmax
+        self.powers = np.array([(i, j, lmax - i - j) for i in range(lmax + 1) for j in range(lmax + 1 - i)])
+        d = hemisphere(max(4, lmax))
+        self.of = np.linalg.lstsq(self._terms(d, (0, 0, 0)), sh_matrix(d, lmax), rcond=None)[0]
+
+    def _terms(self, d: np.ndarray, by: tuple[int, int, int]) -> np.ndarray:
+        """Each term's derivative of that order by x, y and z."""
+        out = np.ones((len(d), len(self.powers)))
+        for axis in range(3):
+            e, factor = self.powers[:, axis].copy(), np.ones(len(self.powers))
+            for _ in range(by[axis]):
+                factor, e = factor * e, np.maximum(e - 1, 0)
+            out *= factor * np.stack([d[:, axis] ** k for k in range(self.lmax + 1)], 1)[:, e]
+        return out
+
+    def derivatives(self, sh: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Value, gradient and Hessian of series sh (rows) at unit directions d, one each."""
+        p, one = sh @ self.of.T, np.eye(3, dtype=int)
+        along = lambda by: (self._terms(d, tuple(by)) * p).sum(1)
+        gradient = np.stack([along(one[i]) for i in range(3)], 1)
+        hessian = np.empty((len(d), 3, 3))
+        for i in range(3):
+            for j in range(i, 3):
+                hessian[:, i, j] = hessian[:, j, i] = along(one[i] + one[j])
+        return along((0, 0, 0)), gradient, hessian
+
+    def tops(self, sh: np.ndarray, d: np.ndarray, rounds: int = 20) -> tuple[np.ndarray, np.ndarray]:
+        """Directions and values of the maxima next to d, by Newton's steps on the sphere; a step that doesn't rise is halved, and where the surface isn't domed it goes uphill."""
+        d = d / np.linalg.norm(d, axis=1)[:, None]
+        value, gradient, hessian = self.derivatives(sh, d)
+        reach = np.full(len(d), 0.1)
+        for _ in range(rounds):
+            flat = np.eye(3) - d[:, :, None] * d[:, None, :]
+            slope = np.einsum("nij,nj->ni", flat, gradient)
+            bend = flat @ hessian @ flat - (self.lmax * value)[:, None, None] * flat  # the value's part by Euler's rule
+            w, v = np.linalg.eigh(bend)
+            along = np.einsum("nij,ni->nj", v, slope)
+            step = np.einsum("nij,nj->ni", v, np.where(np.abs(w) > 1e-9, along / np.maximum(np.abs(w), 1e-9), 0))
+            step = np.einsum("nij,nj->ni", flat, step)
+            size = np.linalg.norm(step, axis=1)
+            step *= np.minimum(1, reach / np.maximum(size, 1e-300))[:, None]
+            new = d + step
+            new /= np.linalg.norm(new, axis=1)[:, None]
+            v2, g2, h2 = self.derivatives(sh, new)
+            up = v2 >= value
+            d, value = np.where(up[:, None], new, d), np.where(up, v2, value)
+            gradient, hessian = np.where(up[:, None], g2, gradient), np.where(up[:, None, None], h2, hessian)
+            reach = np.where(up, reach, np.minimum(reach, size) / 2)
+            if (np.minimum(size, reach) < 1e-9).all():
+                break
+        return d, value
+
+
+def basins(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """For rows of values at a sphere's directions the top to which each direction leads by its highest neighbours."""
+    n = values.shape[1]
+    near = [[i] for i in range(n)]
+    for a, b in edges:
+        near[a].append(b), near[b].append(a)
+    most = max(map(len, near))
+    table = np.array([k + [k[0]] * (most - len(k)) for k in near])
+    up = table[np.arange(n), values[:, table].argmax(axis=2)]
+    while True:
+        higher = np.take_along_axis(up, up, axis=1)
+        if (higher == up).all():
+            return up
+        up = higher
+
+
 # q-space
 
 

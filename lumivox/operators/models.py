@@ -288,65 +288,48 @@ class PeakOptions:
 def peaks(odfs: DataFrame, lmax: int, o: PeakOptions = PeakOptions(), frequency: int = 8) -> DataFrame:
     """gfa, qa_scale (largest less smallest amplitude) and `fixels`, strongest first: dir, amplitude, qa, dispersion.
 
-    A peak is a direction above its neighbours on the sphere, moved to the top
-    of a parabola over them; dispersion is the lobe's integral over its peak, a
-    lobe being the directions nearest to one peak with positive amplitude.
+    A peak is a direction of a triangulated sphere above its neighbours, moved to the series' own maximum by Newton's steps. Dispersion is the
+    integral over its lobe, both ends of it, over its amplitude; a lobe are the directions that lead up to the peak's own.
     """
     dirs = N.hemisphere(frequency)
-    y = N.sh_matrix(dirs, lmax)
-    cos = np.abs(dirs @ dirs.T)
-    np.fill_diagonal(cos, -1)
-    near = np.argsort(-cos, axis=1)[:, :6]
-    shared = odfs.sparkSession.sparkContext.broadcast((dirs, y, near))
+    edges = N.hemisphere_edges(frequency)
+    shared = odfs.sparkSession.sparkContext.broadcast((dirs, N.sh_matrix(dirs, lmax), edges, N.quadrature(dirs), N.SpherePolynomial(lmax)))
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        dirs, y, near = shared.value
+        dirs, y, edges, area, series = shared.value
         limit = np.cos(np.radians(o.separation))
         for b in batches:
             if not len(b):
                 continue
-            a = np.stack(b["sh"].to_numpy()).astype(float) @ y.T
+            sh = np.stack(b["sh"].to_numpy()).astype(float)
+            a = sh @ y.T
             low, high = a.min(axis=1), a.max(axis=1)
             rms = np.sqrt((a**2).mean(axis=1))
             gfa = np.where(rms > 0, a.std(axis=1, ddof=1) / np.where(rms > 0, rms, 1), 0)
-            tops = (a[:, :, None] > a[:, near]).all(axis=2) & (a > 0)
-            out = []
-            for k in range(len(a)):
-                kept: list[int] = []
-                for i in sorted(np.flatnonzero(tops[k] & (a[k] >= o.relative * high[k])), key=lambda i: -a[k, i]):
-                    if len(kept) < o.count and all(abs(dirs[i] @ dirs[j]) < limit for j in kept):
-                        kept.append(int(i))
-                lobe = np.argmax(np.abs(dirs @ dirs[kept].T), axis=1) if kept else []
-                row = []
-                for p, i in enumerate(kept):
-                    d = _refined(dirs, near[i], i, a[k])
-                    area = float(np.maximum(a[k][lobe == p], 0).sum() * 2 * np.pi / len(dirs))
-                    row.append({"dir": d.tolist(), "amplitude": float(a[k, i]), "qa": float(a[k, i] - low[k]), "dispersion": area / float(a[k, i])})
-                out.append(row)
+            lobe = N.basins(a, edges)
+            level = (a[:, edges[:, 0]] == a[:, edges[:, 1]])
+            tops = (lobe == np.arange(len(dirs))) & (a > 0) & (a >= o.relative * high[:, None])
+            for k in range(2):  # a top stands above all its neighbours
+                row, e = np.nonzero(level)
+                tops[row, edges[e, k]] = False
+            voxel, top = np.nonzero(tops)
+            keep = []
+            for k, i in sorted(zip(voxel.tolist(), top.tolist()), key=lambda x: (x[0], -a[x])):
+                own = [j for v, j in reversed(keep[-o.count :]) if v == k]
+                if len(own) < o.count and all(abs(dirs[i] @ dirs[j]) < limit for j in own):
+                    keep.append((k, i))
+            out: list[list[dict]] = [[] for _ in range(len(a))]
+            if keep:
+                k, i = np.array(keep).T
+                d, amplitude = series.tops(sh[k], dirs[i])
+                whole = (np.maximum(a[k], 0) * area * (lobe[k] == i[:, None])).sum(axis=1)
+                for n in range(len(k)):
+                    out[k[n]].append({"dir": d[n].tolist(), "amplitude": float(amplitude[n]), "qa": float(amplitude[n] - low[k[n]]), "dispersion": float(whole[n] / amplitude[n])})
             yield pd.DataFrame({c: b[c] for c in KEY} | {"gfa": gfa, "qa_scale": high - low, "fixels": out})
 
     return odfs.select(*KEY, "sh").mapInPandas(find, f"{KEY_SCHEMA}, gfa double, qa_scale double, fixels array<struct<dir array<double>, amplitude double, qa double, dispersion double>>")
 
 
-def _refined(dirs: np.ndarray, near: np.ndarray, i: int, a: np.ndarray) -> np.ndarray:
-    """The top of a quadratic through a direction and its neighbours, in the tangent plane."""
-    p = dirs[i]
-    u = np.cross(p, [1.0, 0, 0] if abs(p[0]) < 0.9 else [0, 1.0, 0])
-    u /= np.linalg.norm(u)
-    v = np.cross(p, u)
-    q = dirs[near] * np.sign(dirs[near] @ p)[:, None]
-    s, t = q @ u, q @ v
-    c = np.linalg.lstsq(np.stack([s, t, s * s, s * t, t * t], axis=1), a[near] - a[i], rcond=None)[0]
-    h = np.array([[2 * c[2], c[3]], [c[3], 2 * c[4]]])
-    if np.linalg.eigvalsh(h)[1] >= 0:
-        return p
-    step = -np.linalg.solve(h, c[:2])
-    reach = np.hypot(s, t).max()
-    step *= min(1.0, reach / max(np.linalg.norm(step), 1e-12))
-    d = p + step[0] * u + step[1] * v
-    return d / np.linalg.norm(d)
-
-
 def normalised_qa(fixels: DataFrame) -> DataFrame:
     """qa of each fixel over the scan's largest."""
     each = fixels.select(*KEY, F.posexplode("fixels").alias("idx", "f")).select(*KEY, "idx", "f.*")

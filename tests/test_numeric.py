@@ -140,3 +140,53 @@ def test_quaternion_round_trip():
         data = RNG.normal(size=(3, 4, 5, 2)).astype(np.float32)
         image = nifti.decode(nifti.encode(data, a))
         assert np.array_equal(image.data, data) and np.allclose(image.affine, a) and image.warnings == []
+
+
+def test_lobes_and_quadrature_at_every_axis():
+    d, edges = N.hemisphere(8), N.hemisphere_edges(8)
+    near = np.bincount(edges.ravel())
+    assert len(edges) == 960 and sorted(set(near.tolist())) == [5, 6] and (near == 5).sum() == 6
+    area = N.quadrature(d)
+    assert area.sum() == pytest.approx(4 * np.pi) and area.min() > 0
+    for p in (4, 16):
+        values = np.abs(d @ d.T) ** p  # a row for each axis
+        lobe = N.basins(values, edges)
+        assert (lobe == np.arange(len(d))[:, None]).all()  # none is cut at the rim
+        assert (values * area).sum(1) == pytest.approx(np.full(len(d), 4 * np.pi / (p + 1)), rel=0.02)
+    a, b = 0, int(np.argmin(np.abs(d @ d[0])))
+    lobe = N.basins((np.abs(d @ d[a]) ** 16 + np.abs(d @ d[b]) ** 4)[None], edges)[0]
+    assert set(lobe.tolist()) == {a, b} and (lobe == b).sum() > (lobe == a).sum()
+
+
+def test_series_as_polynomials_and_their_tops():
+    rng = np.random.default_rng(5)
+    for lmax in (2, 4, 8):
+        s = N.SpherePolynomial(lmax)
+        sh, d = rng.normal(size=(7, N.n_sh(lmax))), rng.normal(size=(7, 3))
+        d /= np.linalg.norm(d, axis=1)[:, None]
+        value, gradient, hessian = s.derivatives(sh, d)
+        assert value == pytest.approx((N.sh_matrix(d, lmax) * sh).sum(1))
+        for k in range(3):
+            e = 1e-6 * np.eye(3)[k]
+            up, down = (s.derivatives(sh, d + sign * e) for sign in (1, -1))
+            assert gradient[:, k] == pytest.approx((up[0] - down[0]) / 2e-6, rel=1e-4, abs=1e-4)
+            assert hessian[:, k] == pytest.approx((up[1] - down[1]) / 2e-6, rel=1e-4, abs=1e-3)
+        top, high = s.tops(sh, d, rounds=80)  # from anywhere
+        _, g, _ = s.derivatives(sh, top)
+        assert (high >= value - 1e-12).all() and np.abs(g - (g * top).sum(1)[:, None] * top).max() < 1e-5
+
+
+def test_planted_directions_within_a_tenth_of_a_degree():
+    rng = np.random.default_rng(6)
+    y, d = N.sh_matrix(N.hemisphere(), 8), N.hemisphere()
+    s, fit = N.SpherePolynomial(8), np.linalg.pinv(y)
+    for _ in range(30):
+        u = rng.normal(size=3)
+        v = np.cross(u, rng.normal(size=3))  # across each other, so neither moves the other's top
+        u, v = u / np.linalg.norm(u), v / np.linalg.norm(v)
+        sh = fit @ ((d @ u) ** 8 + 0.8 * (d @ v) ** 8)  # a series of that order, exactly
+        start = np.stack([d[np.argmax(np.abs(d @ x))] for x in (u, v)])
+        top, high = s.tops(np.stack([sh, sh]), start)
+        for t, x in zip(top, (u, v)):
+            assert np.degrees(np.arccos(min(1.0, abs(t @ x)))) < 0.1
+        assert high == pytest.approx([1.0, 0.8], rel=1e-6)
