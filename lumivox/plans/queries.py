@@ -55,9 +55,19 @@ def masked_voxels(spark, d):
     return V.masked(S.voxels(spark, d)).select("x", "y", "z", "label")
 
 
-@query("SELECT vol, bval <= 50 AS b0 FROM g")
+#: The pairs of each scan's own table.
+SCAN_PAIRS_SQL = S.TABLES_SQL + """, q AS (SELECT scan_id, vol, sqrt(bval) * gx AS qx, sqrt(bval) * gy AS qy, sqrt(bval) * gz AS qz FROM tg WHERE bval > 50),
+p AS (SELECT a.scan_id, a.vol AS i, b.vol AS j, a.qx AS ax, a.qy AS ay, a.qz AS az, b.qx AS bx, b.qy AS by_, b.qz AS bz, a.qx * a.qx + a.qy * a.qy + a.qz * a.qz AS aa, a.qx * b.qx + a.qy * b.qy + a.qz * b.qz AS ab FROM q a JOIN q b ON a.scan_id = b.scan_id AND a.vol <> b.vol),
+nbr AS (SELECT scan_id, i, arg_min(j, (least(sqrt((ax - bx) ** 2 + (ay - by_) ** 2 + (az - bz) ** 2), sqrt((ax + bx) ** 2 + (ay + by_) ** 2 + (az + bz) ** 2)), j)) AS j FROM p GROUP BY ALL),
+p2 AS (SELECT *, bx - ab / aa * ax AS px, by_ - ab / aa * ay AS py, bz - ab / aa * az AS pz FROM p),
+p3 AS (SELECT *, sqrt(px * px + py * py + pz * pz) AS pn, sqrt(aa) AS an FROM p2),
+con AS (SELECT scan_id, i, arg_min(j, (sqrt((bx - px / pn * an) ** 2 + (by_ - py / pn * an) ** 2 + (bz - pz / pn * an) ** 2), j)) AS j FROM p3 WHERE pn > 1e-8 * greatest(an, 1) GROUP BY ALL)
+"""
+
+
+@query(S.TABLES_SQL + "SELECT scan_id, vol, bval <= 50 AS b0 FROM tg")
 def b0_predicate(spark, d):
-    return S.gradient(spark).select("vol", V.is_b0(F.col("bval")).alias("b0"))
+    return S.table_gradients(spark, d).select("scan_id", "vol", V.is_b0(F.col("bval")).alias("b0"))
 
 
 @query(", m AS (SELECT x, y, z, avg(s) AS b0 FROM long WHERE vol % 8 = 0 GROUP BY ALL) SELECT x, y, z, round(b0, 1) AS b0, b0 > 0.01 * (SELECT max(b0) FROM m) AS in_mask FROM m")
@@ -112,14 +122,14 @@ def coefficient_shares(spark, d):
     return v.select("x", "y", "z", F.round(V.sparsity(F.col("c")), 6).alias("share"), V.any_nonzero(F.transform("signal", lambda s: F.when(s > 500, s).otherwise(0.0))).alias("any_large"))
 
 
-@query(PAIRS_SQL + "SELECT i, j FROM nbr")
+@query(SCAN_PAIRS_SQL + "SELECT scan_id, i, j FROM nbr")
 def neighbour_pairs(spark, d):
-    return qc.neighbour_pairs(S.gradient(spark)).select("i", "j")
+    return qc.neighbour_pairs(S.table_gradients(spark, d)).select("scan_id", "i", "j")
 
 
-@query(PAIRS_SQL + "SELECT nbr.i, nbr.j AS near, con.j AS contrast FROM nbr JOIN con ON nbr.i = con.i")
+@query(SCAN_PAIRS_SQL + "SELECT nbr.scan_id, nbr.i, nbr.j AS near, con.j AS contrast FROM nbr JOIN con ON nbr.scan_id = con.scan_id AND nbr.i = con.i")
 def contrast_triples(spark, d):
-    return qc.contrast_triples(S.gradient(spark)).select("i", "near", "contrast")
+    return qc.contrast_triples(S.table_gradients(spark, d)).select("scan_id", "i", "near", "contrast")
 
 
 @query(CORR_SQL.format(mask="true") + "SELECT i, j, round(r, 6) AS r, round(mi, 4) AS mean_i, round(mj, 4) AS mean_j FROM c WHERE kind = 'near'")

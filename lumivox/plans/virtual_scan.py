@@ -27,6 +27,21 @@ def gradient(spark: SparkSession) -> DataFrame:
     )
 
 
+def table_gradients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scan_id, vol, bval, gx, gy, gz: each run of 64 vectors is a scan's table, with directions from their first three numbers and shells by label."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", *[F.get("embedding", F.lit(k)).cast("double").alias(f"e{k}") for k in range(3)])
+    size = F.sqrt(F.col("e0") * F.col("e0") + F.col("e1") * F.col("e1") + F.col("e2") * F.col("e2"))
+    g = e.withColumn("size", size).where("size > 0")
+    return g.select(F.floor(F.col("vec_id") / N_VOL).cast("string").alias("scan_id"), (F.col("vec_id") % N_VOL).cast("int").alias("vol"), (1000.0 * (F.col("label") % 4)).alias("bval"), *[(F.col(f"e{k}") / F.col("size")).alias(f"g{a}") for k, a in enumerate("xyz")])
+
+
+#: The same for DuckDB, after SQL: tg.
+TABLES_SQL = f""", te AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS e0, CAST(embedding[2] AS DOUBLE) AS e1, CAST(embedding[3] AS DOUBLE) AS e2 FROM embeddings),
+ts AS (SELECT *, sqrt(e0 * e0 + e1 * e1 + e2 * e2) AS size FROM te),
+tg AS (SELECT CAST(vec_id // {N_VOL} AS VARCHAR) AS scan_id, CAST(vec_id % {N_VOL} AS INTEGER) AS vol, 1000.0::DOUBLE * (label % 4) AS bval, e0 / size AS gx, e1 / size AS gy, e2 / size AS gz FROM ts WHERE size > 0)
+"""
+
+
 def gradient_arrays() -> tuple[np.ndarray, np.ndarray]:
     """bvals and unit directions, as gradient() has them."""
     v = np.arange(N_VOL)
