@@ -72,9 +72,15 @@ def fit_round_trip(spark, d):
     return rows.select(*XYZ, F.lit(header["radial_order"]).alias("radial_order"), total.cast("decimal(18,4)").cast("double").alias("check_sum"))
 
 
-@query()
+_AXIS = [0.0, 0.6, 0.8]
+_ALONG = N.sh_matrix(np.array([_AXIS]), 4)[0][[N.sh_index(l, m) for _, l, m in N.shore_indices(5)]]
+
+
+@query(f""", k AS (SELECT CAST(vec_id % 10 AS INTEGER) AS x, CAST(vec_id // 10 % 10 AS INTEGER) AS y, CAST(vec_id // 100 AS INTEGER) AS z, list_concat([1.0::DOUBLE], list_transform(embedding[2:44], lambda e: CAST(e AS DOUBLE) * 0.1::DOUBLE)) AS c FROM embeddings),
+m AS (SELECT x, y, z, {_dot(_W['e0'])} AS e0, {_dot(_W['q2'])} AS q2, {_dot(_ALONG * N.axis_weights(5, 700.0, False))} AS a, {_dot(_ALONG * N.axis_weights(5, 700.0, True))} AS p FROM k)
+SELECT x, y, z, round(CASE WHEN q2 / e0 > 0 THEN e0 / q2 * {models.MICRO['qiv']!r}::DOUBLE ELSE 'nan'::DOUBLE END, 6) AS qiv, round(greatest(a / e0, 0) * {models.MICRO['rtap']!r}::DOUBLE, 6) AS rtap, round(greatest(p / e0, 0) * {models.MICRO['rtpp']!r}::DOUBLE, 6) AS rtpp FROM m""")
 def axis_probabilities(spark, d):
-    c = _coefs(spark, d).withColumn("axis", F.array(F.lit(0.0), F.lit(0.6), F.lit(0.8)))
+    c = _coefs(spark, d).withColumn("axis", F.array(*map(F.lit, _AXIS)))
     return models.propagator_scalars(c, models.ShoreOptions(order=5), axis="axis").select(*XYZ, *r6("qiv", "rtap", "rtpp"))
 
 
