@@ -28,13 +28,14 @@ from lumivox.llm.common import components, small_batches, written
 @dataclass(frozen=True)
 class Options:
     """cell: vectors of a cell, on average, from which the number of codes follows; sample_per_code vectors fit a codebook, most_sampled
-    at most; queries meet all rows for the calibration; data_block, query_block: vectors of a cell that one task compares.
+    at most; queries meet all rows for the calibration, and where fewer than few_linked of them have a neighbour, partners made for them count too; data_block, query_block: vectors of a cell that one task compares.
     """
 
     cell: int = 512
     sample_per_code: int = 40
     most_sampled: int = 60_000
     queries: int = 1000
+    few_linked: int = 50
     recall: float = 0.995
     spare: int = 4
     rounds: int = 15
@@ -152,6 +153,17 @@ def needed_ranks(each: DataFrame, shared, queries, threshold: float, recall: flo
     return met.groupBy("query").agg(F.min("rank").alias("rank")).collect()
 
 
+def made_ranks(index: MultiIndex, q: np.ndarray, threshold: float, o: Options = Options()) -> list:
+    """(query, rank) as needed_ranks() gives, of partners made for the queries: just at the threshold, each in a direction of its own."""
+    if q.shape[1] < 2 or not len(q):
+        return []
+    aside = np.random.default_rng(o.seed).normal(size=q.shape)
+    aside -= (aside * q).sum(1)[:, None] * q
+    aside /= np.maximum(np.linalg.norm(aside, axis=1), 1e-300)[:, None]
+    partner = threshold * q + np.sqrt(max(0.0, 1 - threshold**2)) * aside
+    return list(enumerate(index.ranks(q, index.own(partner)).tolist()))
+
+
 def visits_for(ranks: list, q: np.ndarray, cells: int, threshold: float, o: Options = Options()) -> int:
     """Cells to visit for the target recall of the groups that the queries stand for; all where no query has a neighbour.
 
@@ -258,6 +270,8 @@ def _found(each: DataFrame, n: int, threshold: float, o: Options) -> DataFrame:
     queries = spark.sparkContext.broadcast((names[-o.queries :], q))
     if index.visits > 1:
         ranks = needed_ranks(each, spark.sparkContext.broadcast(index), queries, threshold, o.recall)
+        if len(ranks) < o.few_linked:  # few neighbours or none tell little of where others' are
+            ranks = [tuple(r) for r in ranks] + made_ranks(index, q, threshold, o)
         index.visits = visits_for(ranks, q, index.visits, threshold, o)
     shared = spark.sparkContext.broadcast(index)
     del sample, x, names

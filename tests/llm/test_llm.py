@@ -616,6 +616,23 @@ def test_visits_follow_the_groups_that_need_most():
     assert embed_dedup.visits_for([], q, 256, 0.9) == 256
 
 
+def test_vectors_without_neighbours_dont_visit_all_cells():
+    rng = np.random.default_rng(12)
+    work = []
+    for n in (6000, 24_000):
+        x = rng.normal(size=(n, 32))
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        o = embed_dedup.Options(cell=64)
+        index = embed_dedup.fit(x[:4000], o.codes(n), o)
+        q, cells = x[-1000:], index.visits
+        index.visits = embed_dedup.visits_for(embed_dedup.made_ranks(index, q, 0.9, o), q, cells, 0.9, o)
+        partner = 0.9 * q + np.sqrt(0.19) * (lambda z: z / np.linalg.norm(z, axis=1)[:, None])((lambda z: z - (z * q).sum(1)[:, None] * q)(rng.normal(size=q.shape)))
+        found = (index.visited(q) == index.own(partner)[:, None]).any(1).mean()
+        assert index.visits < cells and found > 0.98
+        work.append(index.visits / cells)
+    assert work[1] < 0.8 * work[0]  # a smaller share of more cells
+
+
 # 9
 
 
