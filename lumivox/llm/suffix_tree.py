@@ -19,9 +19,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumivox.llm.batches import from_planes, planes
 from lumivox.llm.common import conf, discard, held_out, small_batches, written
 
-BUFFER = 1 << 22
+BUFFER = 1 << 21
 BLOCK = "part int, keys binary, counts binary"
 
 
@@ -171,14 +172,14 @@ class Filter:
 
 
 def filter_of(keys: DataFrame, n: int, o: Options) -> Filter:
-    """keys: rows of `keys`, packed in any order but by differences."""
+    """keys: rows of `keys`, packed in any order but by differences, or of `context`, one a row."""
     bits = max(1 << 16, min(o.filter_bits, 1 << (16 * max(n, 1)).bit_length()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = np.zeros(bits >> 3, np.uint8)
         for b in batches:
-            for raw in b["keys"]:
-                for at in Filter.places(unpacked_keys(raw), bits):
+            for some in [b["context"].to_numpy(np.int64).view(np.uint64)] if "context" in b else map(unpacked_keys, b["keys"]):
+                for at in Filter.places(some, bits):
                     np.bitwise_or.at(own, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
         pages = own.reshape(-1, min(4096, len(own)))
         some = np.flatnonzero(pages.any(axis=1))
@@ -187,7 +188,7 @@ def filter_of(keys: DataFrame, n: int, o: Options) -> Filter:
     def merged(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"page": rows["page"].iloc[:1], "map": [np.bitwise_or.reduce([np.frombuffer(m, np.uint8) for m in rows["map"]]).tobytes()]})
 
-    pages = keys.select("keys").mapInPandas(run, "page long, map binary").groupBy("page").applyInPandas(merged, "page long, map binary")
+    pages = keys.mapInPandas(run, "page long, map binary").groupBy("page").applyInPandas(merged, "page long, map binary")
     return Filter({r.page: r.map for r in pages.toLocalIterator()}, bits)
 
 
@@ -231,7 +232,7 @@ def context_classes(train: DataFrame, may: Filter, bits: int, o: Options) -> Dat
             rows = []
             for p, s in parts_of(keys, bits):
                 own = slice(*np.searchsorted(code, [s.start * o.classes, s.stop * o.classes]))
-                rows.append((p, keys[s].tobytes(), suffix[first[s]].tobytes(), (code[own] - s.start * o.classes).astype("<i4").tobytes(), n[own].astype("<i4").tobytes()))
+                rows.append((p, keys[s].tobytes(), suffix[first[s]].tobytes(), planes(np.diff(code[own], prepend=s.start * o.classes)), planes(n[own])))
             return pd.DataFrame(rows, columns=["part", "context", "suffix", "code", "times"])
 
         for b in batches:
@@ -241,7 +242,7 @@ def context_classes(train: DataFrame, may: Filter, bits: int, o: Options) -> Dat
                 some = may(h)
                 held.append((h[some], before[at[some]], cls[at[some]]))
                 before[at] = h
-            if sum(len(x[0]) for x in held) >= BUFFER // 4:
+            if sum(len(x[0]) for x in held) >= BUFFER // 2:
                 yield flush()
                 held = []
         if held:
@@ -253,8 +254,8 @@ def context_classes(train: DataFrame, may: Filter, bits: int, o: Options) -> Dat
         n = np.zeros((len(keys), o.classes), np.int64)
         start = 0
         for size, code, times in zip(rows["context"].map(len), rows["code"], rows["times"]):
-            place, cls = np.divmod(np.frombuffer(code, "<i4"), o.classes)
-            n[at[start + place], cls] += np.frombuffer(times, "<i4")  # a row of the input has a context and class once
+            place, cls = np.divmod(np.cumsum(from_planes(code)), o.classes)
+            n[at[start + place], cls] += from_planes(times)  # a row of the input has a context and class once
             start += size // 8
         often = n.sum(1) >= o.least
         return pd.DataFrame({"context": keys[often].view(np.int64), "suffix": suffix[first][often].view(np.int64), "n": n[often].sum(1), "classes": list(n[often])})
@@ -327,7 +328,7 @@ def learn(train: DataFrame, o: Options = Options()) -> Tree:
         root[r.k] = r.n
     levels = [written(word_contexts(roots, o.least), "suffix-tree-contexts")]
     total = levels[0].agg(F.sum("n")).first()[0] or 0
-    last = filter_of(levels[0], total, o)
+    last = filter_of(levels[0].select("keys"), total, o)
     for depth in range(2, o.depth + 1):
 
         def longer(t: np.ndarray, n: np.ndarray, depth: int = depth, last: Filter = last) -> np.ndarray:
@@ -340,7 +341,7 @@ def learn(train: DataFrame, o: Options = Options()) -> Tree:
         level = written(counted(train, longer, bits, o.least), "suffix-tree-contexts")
         own = numbers(level)[1]
         levels.append(level)
-        last, total = filter_of(level, own, o), total + own
+        last, total = filter_of(level.select("keys"), own, o), total + own
     every = levels[0].select("keys")
     for level in levels[1:]:
         every = every.union(level.select("keys"))
@@ -348,11 +349,7 @@ def learn(train: DataFrame, o: Options = Options()) -> Tree:
     kept = written(divergent(of, root, o), "suffix-tree-kept")
     discard(of, *levels)
 
-    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"keys": [packed_keys(b["context"].to_numpy(np.int64).view(np.uint64))]})
-
-    may = filter_of(kept.select("context").mapInPandas(keyed, "keys binary"), kept.count(), o)
+    may = filter_of(kept.select("context"), kept.count(), o)  # from rows: a second Python stage in the same task would be a second worker
     after = written(following(train, may, bits, o), "suffix-tree-following")
     kinds = after.select(F.explode(F.arrays_zip("contexts", "kinds")).alias("x")).groupBy(F.col("x.contexts").alias("context")).agg(F.sum("x.kinds").alias("kinds"))
 
