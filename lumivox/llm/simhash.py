@@ -323,7 +323,7 @@ def _crowd_links(at: DataFrame, classes: DataFrame, roots: DataFrame, texts: Dat
     return written(named.groupBy("cluster", "bx", "by").applyInPandas(linked, "a long, b long"), "similar-crowd-links")
 
 
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, apart: int = 45, recall: float = 0.99) -> DataFrame:
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, apart: int = 45, recall: float = 0.9995) -> DataFrame:
     """(doc_id, component_id): documents linked by a Jaccard similarity of `similarity` or more of their distinct shingles.
 
     Texts with one 256-bit fingerprint are one class. In each table, all classes
@@ -332,7 +332,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     them, and those not yet linked are then compared in blocks.
     Pairs of `apart` of 256 bits or fewer are checked on their whole
     texts: more differ with a chance of 3e-5 in a pair just at the similarity, which shares an anchor in one of the tables
-    with a chance of `recall`, one above it with a larger. component_id is the smallest doc_id reachable; rows with a
+    with a chance of `recall` if it differs in as many bits as is to be expected, with a smaller one if in more. component_id is the smallest doc_id reachable; rows with a
     null doc_id are left out; of texts with one doc_id the least counts.
     """
     spark = docs.sparkSession
