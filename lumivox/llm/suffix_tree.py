@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from lumivox.llm.batches import from_planes, planes
 from lumivox.llm.common import conf, discard, held_out, small_batches, written
 
-BUFFER = 1 << 21
+BUFFER = 1 << 20
 BLOCK = "part int, keys binary, counts binary"
 
 
@@ -37,7 +37,7 @@ class Options:
     classes: int = 64
     gain: float = 0.01
     discount: float = 0.75
-    bucket_bytes: int = 16 << 20
+    bucket_bytes: int = 8 << 20
     filter_bits: int = 1 << 27
 
 
