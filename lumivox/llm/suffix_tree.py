@@ -2,9 +2,11 @@
 
 A context of up to `depth` words is tried if it comes `least` times in the training rows, whatever their number, so the tree grows
 with the corpus. It is looked for only where its parts are frequent, level by level. It stays if its next-symbol
-distribution diverges from its suffix's, tested over classes of symbols, and so do the suffixes of what stays. Next-symbol
-counts of the contexts that stay, and of the root, are counted over all training rows and kept as one table of sorted blocks by range of key. Documents are
-dealt into buckets; each asks each block once for the keys it has there and is scored from the answers. A symbol's
+distribution diverges from its suffix's, tested over classes of symbols, and so do the suffixes of what stays.
+
+Texts are tokenized once, into batches of places in a dictionary. Each batch asks once for its words' numbers, small ones for frequent
+words, and how often training rows hold them; all else reads those batches. What follows the contexts that stay is one table of
+blocks, sorted by context and symbol. Each batch asks each block once for what it has there and is scored from the answers. A symbol's
 chance is that of the longest suffix in the tree, discounted and interpolated with the next shorter one down to the root.
 """
 
@@ -15,21 +17,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumivox.llm.batches import from_planes, planes
+from lumivox.llm.batches import numbers as batch_numbers
 from lumivox.llm.common import conf, discard, held_out, small_batches, written
 
 BUFFER = 1 << 20
 BLOCK = "part int, keys binary, counts binary"
+BATCH = "batch long, size long, ids binary, flags binary, lengths binary, ranks binary, words binary, seen binary"
+PAIRS = "contexts binary, runs binary, symbols binary"
 
 
 @dataclass(frozen=True)
 class Options:
     """least: see above; classes: of symbols, by hash, in the divergence test; gain: nats a symbol beyond the test's own noise; discount: of
-    each count in a context; bucket_bytes: texts scored together; filter_bits: the most that a filter of contexts takes, beyond which it passes more of what isn't one.
+    each count in a context; batch_tokens: texts of so many are coded and scored together; filter_bits: the most that a filter of contexts takes, beyond which it passes more of what isn't one.
     """
 
     depth: int = 3
@@ -37,25 +42,44 @@ class Options:
     classes: int = 64
     gain: float = 0.01
     discount: float = 0.75
-    bucket_bytes: int = 8 << 20
+    batch_tokens: int = 1 << 20
     filter_bits: int = 1 << 27
 
 
 END = xxhash.xxh64_intdigest(b"\n")  # no word holds white space
-#: Under what a context's own numbers are kept, in the place of a next symbol: how many come after it, and how many kinds.
-TOTAL, KINDS = (np.uint64(xxhash.xxh64_intdigest(b"\n", seed=k)) for k in (1, 2))
+#: Under what a context's own numbers are kept, in the place of a next symbol: how many come after it, and how many kinds. Words have numbers from FIRST on, 0 where training rows don't hold them.
+TOTAL, KINDS, FIRST = 0, 1, 2
+#: Bits of a symbol's number beside a context's place, and how often a context may come before its pairs are dealt into shares by symbol.
+SYMBOL_BITS, SHARE = 40, 1 << 18
+
+
+class Dictionary(dict):
+    """Gives each word that it is asked for a place."""
 
+    def __missing__(self, word: bytes) -> int:
+        self[word] = place = len(self)
+        return place
 
-def tokenize(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens, and each text's number of tokens: its words and one end."""
-    out, n = [], []
+
+def tokenize(texts: list[str | None], words: Dictionary) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all tokens, and each text's number of tokens: its words and one end."""
+    out, n, end = [], [], words[b"\n"]
     for t in texts:
         w = (t or "").encode().lower().split()  # on bytes both act on ASCII alone
-        a = np.empty(len(w) + 1, dtype=np.uint64)
-        a[:-1] = np.fromiter(map(xxhash.xxh64_intdigest, w), dtype=np.uint64, count=len(w))
-        a[-1] = END
+        a = np.empty(len(w) + 1, dtype=np.int32)
+        a[:-1] = np.fromiter(map(words.__getitem__, w), dtype=np.int32, count=len(w))
+        a[-1] = end
         out.append(a), n.append(len(a))
-    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), np.array(n, dtype=np.int64)
+    return (np.concatenate(out) if out else np.zeros(0, np.int32)), np.array(n, dtype=np.int64)
+
+
+def ranked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, sorted, and each one's place among them."""
+    code, distinct = pd.factorize(values)
+    order = np.argsort(distinct)
+    place = np.empty(len(distinct), np.int64)
+    place[order] = np.arange(len(distinct))
+    return distinct[order], place[code]
 
 
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -65,26 +89,37 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
-def contexts(tokens: np.ndarray, n: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For depth 1, 2, ...: places that have so many tokens of the same text before them, and the hash of those."""
-    first = np.repeat(np.cumsum(n) - n, n)
-    before = np.arange(len(tokens)) - first
-    h = np.zeros(len(tokens), dtype=np.uint64)
-    for d in range(1, depth + 1):
-        at = np.flatnonzero(before >= d)
-        h[at] = mix(h[at], tokens[at - d])
-        yield at, h[at]
+def contexts(tokens: np.ndarray, n: np.ndarray, counts: np.ndarray, least: int, passes: list[Callable | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For depth 1, 2, ...: places that have so many frequent words of the same text before them, the hash of those, and the least of their counts, where that and its suffixes' pass."""
+    at, h, times = np.arange(len(tokens)), np.zeros(len(tokens), np.uint64), np.full(len(tokens), np.iinfo(np.int64).max)
+    before = at - np.repeat(np.cumsum(n) - n, n)
+    for d, may in enumerate(passes, 1):
+        some = np.flatnonzero(before[at] >= d)
+        some = some[counts[at[some] - d] >= least]
+        at = at[some]
+        h, times = mix(h[some], tokens[at - d]), np.minimum(times[some], counts[at - d])
+        if may is not None:
+            some = may(h)
+            at, h, times = at[some], h[some], times[some]
+        yield at, h, times
 
 
-# sorted keys and counts as bytes: differences, and those byte by byte, so that what is 0 stands together
+# whole numbers as bytes: first all lowest ones, then all second ones, up to the last that isn't 0 everywhere, compressed; sorted keys by differences
 
 
 def packed(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    values = values.astype("<u8")
+    k = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :k].T)
+    return bytes([k]) + len(values).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
 
 
 def unpacked(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+    k, n = raw[0], int.from_bytes(raw[1:9], "little")
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        out[:, :k] = np.frombuffer(pa.decompress(memoryview(raw)[9:], k * n, "zstd"), np.uint8).reshape(k, n).T
+    return out.view("<u8").ravel()
 
 
 def packed_keys(keys: np.ndarray) -> bytes:
@@ -119,8 +154,135 @@ def found(keys: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndarra
     return np.where(keys[at] == wanted, counts[at], 0)
 
 
-def counted(texts: DataFrame, keys_of: Callable, bits: int, least: int = 1) -> DataFrame:
-    """Blocks (part, keys, counts) of the keys that keys_of gives for tokens and lengths, with how often it does, where that is `least` times or more.
+@dataclass
+class Batch:
+    """Texts' ids and flags (LEARNED, UNNAMED), lengths, tokens as places among the words; these words' hashes, where training rows hold them `least` times, else 0, classes, numbers, and counts in training rows."""
+
+    ids: np.ndarray
+    flags: np.ndarray
+    lengths: np.ndarray
+    places: np.ndarray
+    words: np.ndarray
+    classes: np.ndarray
+    symbols: np.ndarray
+    counts: np.ndarray
+
+    def learned(self) -> Batch:
+        """Of training rows alone."""
+        own = (self.flags & LEARNED) > 0
+        return self if own.all() else Batch(self.ids[own], self.flags[own], self.lengths[own], self.places[np.repeat(own, self.lengths)], self.words, self.classes, self.symbols, self.counts)
+
+    def contexts(self, least: int, passes: list[Callable | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        return contexts(self.words[self.places], self.lengths, self.counts[self.places], least, passes)
+
+
+LEARNED, UNNAMED = 1, 2
+
+
+def places_of(row) -> np.ndarray:
+    """Tokens' places among the words, from their ranks by how often the batch has them."""
+    return np.argsort(-unpacked(row.seen).astype(np.int64), kind="stable")[unpacked(row.ranks).astype(np.int64)]
+
+
+def opened(batches: Iterator[pd.DataFrame], least: int, learned: bool = False) -> Iterator[Batch]:
+    for b in batches:
+        for r in b.itertuples():
+            small = [unpacked(x).astype(np.int64) for x in (r.ids, r.flags, r.lengths)]
+            classes, symbols, counts = (unpacked(x).astype(np.int64) for x in (r.classes, r.symbols, r.counts))
+            words = np.zeros(len(counts), np.uint64)
+            words[counts >= least] = unpacked_keys(r.words)
+            whole = Batch(*small, places_of(r), words, classes, symbols, counts)
+            yield whole.learned() if learned else whole
+
+
+def batches_of(docs: DataFrame, learned, o: Options) -> DataFrame:
+    """The texts of docs (doc_id, text) in batches of tokens; learned: a column, whether a row is for training."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number, held, size, words = batch_numbers(), [], 0, Dictionary()
+
+        def flush() -> pd.DataFrame:
+            ids, flags, t, n = (np.concatenate(x) for x in zip(*held))
+            keys = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+            order = np.argsort(keys)
+            seen = np.bincount(t, minlength=len(words))[order]
+            rank = np.empty(len(words), np.int64)
+            rank[order[np.argsort(-seen, kind="stable")]] = np.arange(len(words))
+            row = (next(number), len(t), packed(ids), packed(flags), packed(n), packed(rank[t]), packed_keys(keys[order]), packed(seen))
+            return pd.DataFrame([row], columns=["batch", "size", "ids", "flags", "lengths", "ranks", "words", "seen"])
+
+        for b in batches:
+            if len(b):
+                held.append((b["doc_id"].to_numpy(np.int64), b["flags"].to_numpy(np.int64), *tokenize(b["text"].tolist(), words)))
+                size += len(held[-1][2])
+            if size >= o.batch_tokens:
+                yield flush()
+                held, size, words = [], 0, Dictionary()
+        if held:
+            yield flush()
+
+    own = F.col("doc_id").cast("long")
+    flags = F.when(learned, LEARNED).otherwise(0) + F.when(own.isNull(), UNNAMED).otherwise(0)
+    rows = docs.select(F.coalesce(own, F.lit(0)).cast("long").alias("doc_id"), flags.cast("int").alias("flags"), F.col("text").cast("string").alias("text"))
+    return written(rows.mapInPandas(run, BATCH), "suffix-tree-batches")
+
+
+def bits_of(batches: DataFrame) -> int:
+    """Two million tokens to a part at most, of 2^bits."""
+    size = batches.agg(F.sum("size")).first()[0] or 0
+    return max(int(conf(batches.sparkSession, "spark.sql.shuffle.partitions") or 1) - 1, size >> 21).bit_length()
+
+
+def questions(batches: DataFrame, bits: int) -> DataFrame:
+    """part, batch, keys, times: each batch's words by part, and how often its training rows hold them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples():
+                words, own = unpacked_keys(r.words), np.repeat((unpacked(r.flags) & np.uint64(LEARNED)) > 0, unpacked(r.lengths).astype(np.int64))
+                times = np.bincount(places_of(r)[own], minlength=len(words))
+                rows = [(p, r.batch, packed_keys(words[s]), packed(times[s])) for p, s in parts_of(words, bits)]
+                yield pd.DataFrame(rows, columns=["part", "batch", "keys", "times"])
+
+    return batches.select("batch", "flags", "lengths", "ranks", "words", "seen").mapInPandas(run, "part int, batch long, keys binary, times binary")
+
+
+def roots_of(asked: DataFrame) -> DataFrame:
+    """Blocks (part, keys, counts) of the training rows' symbols."""
+
+    def merged(rows: pd.DataFrame) -> pd.DataFrame:
+        keys, n = summed(np.concatenate([unpacked_keys(k) for k in rows["keys"]]), np.concatenate([unpacked(c) for c in rows["times"]]))
+        keys, n = keys[n > 0], n[n > 0]
+        return pd.DataFrame({"part": rows["part"].iloc[:1], "keys": [packed_keys(keys)], "counts": [packed(n)]})
+
+    return asked.groupBy("part").applyInPandas(merged, BLOCK)
+
+
+def coded(batches: DataFrame, asked: DataFrame, roots: DataFrame, bits: int, o: Options) -> DataFrame:
+    """The batches with `classes`, `symbols` and `counts` of their words, and hashes of the frequent ones alone. A word's number is its rank in its part, so frequent ones have few digits, and the part."""
+
+    def answered(asked: pd.DataFrame, root: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked):
+            return pd.DataFrame({"batch": [], "part": [], "symbols": [], "counts": []})
+        keys, n = (unpacked_keys(root["keys"].iloc[0]), unpacked(root["counts"].iloc[0]).astype(np.int64)) if len(root) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        symbols = np.empty(len(keys), np.int64)
+        symbols[np.argsort(-n, kind="stable")] = FIRST + int(asked["part"].iloc[0]) + (np.arange(len(keys)) << bits)
+        wanted = [unpacked_keys(k) for k in asked["keys"]]
+        return pd.DataFrame({"batch": asked["batch"], "part": asked["part"], "symbols": [packed(found(keys, symbols, w)) for w in wanted], "counts": [packed(found(keys, n, w)) for w in wanted]})
+
+    def joined(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        answers = answers.sort_values("part")  # the order of the words' hashes
+        symbols, counts = (np.concatenate([unpacked(x) for x in answers[c]]) for c in ("symbols", "counts"))
+        words = unpacked_keys(rows["words"].iloc[0])
+        often = packed_keys(words[counts >= o.least])
+        return rows.assign(words=[often], classes=[packed(words % np.uint64(o.classes))], symbols=[packed(symbols)], counts=[packed(counts)])
+
+    answers = asked.groupBy("part").cogroup(roots.withColumnRenamed("part", "of").groupBy("of")).applyInPandas(answered, "batch long, part int, symbols binary, counts binary")
+    return written(batches.groupBy("batch").cogroup(answers.withColumnRenamed("batch", "to").groupBy("to")).applyInPandas(joined, BATCH + ", classes binary, symbols binary, counts binary"), "suffix-tree-coded")
+
+
+def counted(texts: DataFrame, keys_of: Callable[[Batch], np.ndarray], bits: int, least: int) -> DataFrame:
+    """Blocks (part, keys, counts) of the keys that keys_of gives for training rows, with how often it does, where that is `least` times or more.
 
     Counts are summed in tasks before the shuffle; a part, one of 2^bits, is what a task then holds.
     """
@@ -133,8 +295,8 @@ def counted(texts: DataFrame, keys_of: Callable, bits: int, least: int = 1) -> D
             rows = [(p, packed_keys(keys[s]), packed(n[s])) for p, s in parts_of(keys, bits)]
             return pd.DataFrame(rows, columns=["part", "keys", "counts"])
 
-        for b in batches:
-            held.append(keys_of(*tokenize(b["text"].tolist())))
+        for b in opened(batches, least, learned=True):
+            held.append(keys_of(b))
             n_held += len(held[-1])
             if n_held >= BUFFER:
                 yield flush()
@@ -147,7 +309,7 @@ def counted(texts: DataFrame, keys_of: Callable, bits: int, least: int = 1) -> D
         keys, n = keys[n >= least], n[n >= least]
         return pd.DataFrame({"part": rows["part"].iloc[:1], "keys": [packed_keys(keys)], "counts": [packed(n)]})
 
-    return texts.select("text").mapInPandas(run, BLOCK).groupBy("part").applyInPandas(merged, BLOCK)
+    return texts.mapInPandas(run, BLOCK).groupBy("part").applyInPandas(merged, BLOCK)
 
 
 class Filter:
@@ -205,21 +367,8 @@ def numbers(blocks: DataFrame) -> tuple[int, int, int]:
     return tuple(int(x or 0) for x in r)
 
 
-def word_contexts(roots: DataFrame, least: int) -> DataFrame:
-    """`keys` of the contexts of one word, by the words' counts."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for k, c in zip(b["keys"], b["counts"]):
-                keys, n = unpacked_keys(k), unpacked(c)
-                keys = keys[(n >= least) & (keys != np.uint64(END))]
-                yield pd.DataFrame({"keys": [packed_keys(mix(np.zeros(len(keys), np.uint64), keys))], "n": [len(keys)]})
-
-    return roots.mapInPandas(run, "keys binary, n long")
-
-
 def context_classes(train: DataFrame, may: Filter, bits: int, o: Options) -> DataFrame:
-    """context, suffix, n and classes: how often symbols of each class follow each context that comes `least` times, among those that `may` passes."""
+    """context, suffix, n and classes: how often symbols of each class follow each context that comes `least` times, frequent words and longer ones among those that `may` passes."""
     schema = "part int, context binary, suffix binary, code binary, times binary"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -227,20 +376,20 @@ def context_classes(train: DataFrame, may: Filter, bits: int, o: Options) -> Dat
 
         def flush() -> pd.DataFrame:
             h, suffix, cls = (np.concatenate(x) for x in zip(*held))
-            keys, first, at = np.unique(h, return_index=True, return_inverse=True)
+            keys, at = ranked(h)
+            of = np.empty(len(keys), np.uint64)
+            of[at] = suffix
             code, n = np.unique(at * o.classes + cls, return_counts=True)  # a context's place and the class
             rows = []
             for p, s in parts_of(keys, bits):
                 own = slice(*np.searchsorted(code, [s.start * o.classes, s.stop * o.classes]))
-                rows.append((p, keys[s].tobytes(), suffix[first[s]].tobytes(), planes(np.diff(code[own], prepend=s.start * o.classes)), planes(n[own])))
+                rows.append((p, packed_keys(keys[s]), packed(of[s]), packed(np.diff(code[own], prepend=s.start * o.classes)), packed(n[own])))
             return pd.DataFrame(rows, columns=["part", "context", "suffix", "code", "times"])
 
-        for b in batches:
-            t, n = tokenize(b["text"].tolist())
-            cls, before = (t % np.uint64(o.classes)).astype(np.int64), np.zeros(len(t), np.uint64)
-            for at, h in contexts(t, n, o.depth):
-                some = may(h)
-                held.append((h[some], before[at[some]], cls[at[some]]))
+        for b in opened(batches, o.least, learned=True):
+            cls, before = b.classes[b.places], np.zeros(len(b.places), np.uint64)
+            for at, h, _ in b.contexts(o.least, [None] + [may] * (o.depth - 1)):
+                held.append((h, before[at], cls[at]))
                 before[at] = h
             if sum(len(x[0]) for x in held) >= BUFFER // 2:
                 yield flush()
@@ -249,18 +398,19 @@ def context_classes(train: DataFrame, may: Filter, bits: int, o: Options) -> Dat
             yield flush()
 
     def merged(rows: pd.DataFrame) -> pd.DataFrame:
-        h, suffix = (np.concatenate([np.frombuffer(x, np.uint64) for x in rows[c]]) for c in ("context", "suffix"))
+        own = [unpacked_keys(x) for x in rows["context"]]
+        h, suffix = np.concatenate(own), np.concatenate([unpacked(x) for x in rows["suffix"]])
         keys, first, at = np.unique(h, return_index=True, return_inverse=True)
         n = np.zeros((len(keys), o.classes), np.int64)
         start = 0
-        for size, code, times in zip(rows["context"].map(len), rows["code"], rows["times"]):
-            place, cls = np.divmod(np.cumsum(from_planes(code)), o.classes)
-            n[at[start + place], cls] += from_planes(times)  # a row of the input has a context and class once
-            start += size // 8
+        for size, code, times in zip(map(len, own), rows["code"], rows["times"]):
+            place, cls = np.divmod(np.cumsum(unpacked(code).astype(np.int64)), o.classes)
+            n[at[start + place], cls] += unpacked(times).astype(np.int64)  # a row of the input has a context and class once
+            start += size
         often = n.sum(1) >= o.least
         return pd.DataFrame({"context": keys[often].view(np.int64), "suffix": suffix[first][often].view(np.int64), "n": n[often].sum(1), "classes": list(n[often])})
 
-    return train.select("text").mapInPandas(run, schema).groupBy("part").applyInPandas(merged, "context long, suffix long, n long, classes array<long>")
+    return train.mapInPandas(run, schema).groupBy("part").applyInPandas(merged, "context long, suffix long, n long, classes array<long>")
 
 
 def divergent(of: DataFrame, root: np.ndarray, o: Options) -> DataFrame:
@@ -271,11 +421,17 @@ def divergent(of: DataFrame, root: np.ndarray, o: Options) -> DataFrame:
     empty = F.array(*[F.lit(int(x)) for x in root])
     parent = of.select(F.col("context").alias("p"), F.col("classes").alias("parent"))
     each = of.join(parent, of.suffix == parent.p, "left").withColumn("parent", F.when(F.col("suffix") == 0, empty).otherwise(F.col("parent"))).where("parent is not null")
-    each = each.withColumn("parent_n", F.aggregate("parent", F.lit(0).cast("long"), lambda a, x: a + x))
-    q = lambda x: (x + 0.5) / (F.col("parent_n") + 0.5 * o.classes)
-    g = F.aggregate(F.zip_with("classes", "parent", lambda c, p: F.when(c > 0, c * F.ln(c / F.col("n") / q(p))).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
-    df = F.greatest(F.size(F.filter("parent", lambda x: x > 0)) - 1, F.lit(1))
-    kept = [each.where(2 * g >= df + 4 * F.sqrt(2 * df) + 2 * o.gain * F.col("n")).select("context")]
+
+    def tested(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                c, p, n = np.stack(b["classes"]).astype(float), np.stack(b["parent"]).astype(float), b["n"].to_numpy(float)
+                q = (p + 0.5) / (p.sum(1) + 0.5 * o.classes)[:, None]
+                g = np.where(c > 0, c * np.log(np.where(c > 0, c, 1) / n[:, None] / q), 0).sum(1)
+                df = np.maximum((p > 0).sum(1) - 1, 1)
+                yield b.loc[2 * g >= df + 4 * np.sqrt(2 * df) + 2 * o.gain * n, ["context"]]
+
+    kept = [written(each.select("context", "n", "classes", "parent").mapInPandas(tested, "context long"), "suffix-tree-divergent")]
     for _ in range(o.depth - 1):
         kept.append(kept[-1].join(of, "context").where("suffix <> 0").select(F.col("suffix").alias("context")).distinct())
     every = kept[0]
@@ -284,22 +440,68 @@ def divergent(of: DataFrame, root: np.ndarray, o: Options) -> DataFrame:
     return every.distinct().join(of.select("context", "n"), "context")
 
 
-def _contexts_in(tree: Filter, t: np.ndarray, n: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """As contexts(), those that may be in the tree."""
-    for at, h in contexts(t, n, depth):
-        some = tree(h)
-        yield at[some], h[some]
+# pairs of a context and a symbol, each as one number: the context's place among sorted ones, and the symbol
+
+
+def pairs(h: np.ndarray, symbols: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct contexts, into how many shares the pairs of each are dealt, and a number for each pair; times: how often the context comes, at most."""
+    distinct, at = ranked(h)
+    shares = np.ones(len(distinct), np.int64)
+    shares[at] = 1 + times // SHARE
+    return distinct, shares, at << SYMBOL_BITS | symbols
+
+
+def pair_parts(distinct: np.ndarray, shares: np.ndarray, code: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The part of each pair, by context and the share of its symbols, so that no part has all of a frequent one's; its own numbers are in the first. Then how to sort by part, pairs in their order."""
+    context, symbol = code >> SYMBOL_BITS, code & ((1 << SYMBOL_BITS) - 1)
+    key = mix(distinct[context], np.where(symbol < FIRST, 0, symbol % shares[context]).astype(np.uint64))
+    part = (key >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(code), np.int64)
+    return part, np.argsort(part.astype(np.uint16) if bits <= 16 else part, kind="stable")
+
+
+def packed_pairs(distinct: np.ndarray, code: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Sorted distinct pairs: their contexts, how many pairs each has, and the symbols by differences in a context."""
+    context, symbol = code >> SYMBOL_BITS, code & ((1 << SYMBOL_BITS) - 1)
+    first = np.flatnonzero(np.diff(context, prepend=-1))
+    step = np.diff(symbol, prepend=0)
+    step[first] = symbol[first]
+    return packed_keys(distinct[context[first]]), packed(np.diff(first, append=len(code))), packed(step)
+
+
+def unpacked_pairs(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts, numbers of their pairs, and symbols, of all rows."""
+    out = []
+    for r in rows.itertuples():
+        runs, step = unpacked(r.runs).astype(np.int64), unpacked(r.symbols).astype(np.int64)
+        first, symbol = np.cumsum(runs) - runs, np.cumsum(step)
+        out.append((unpacked_keys(r.contexts), runs, symbol - np.repeat(symbol[first] - step[first], runs)))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def pair_blocks(distinct: np.ndarray, shares: np.ndarray, code: np.ndarray, n: np.ndarray, bits: int) -> pd.DataFrame:
+    """Sorted distinct pairs with their counts, as rows by part."""
+    part, order = pair_parts(distinct, shares, code, bits)
+    rows = []
+    for p, at in zip(*_groups(part, order)):
+        rows.append((p, *packed_pairs(distinct, code[at]), packed(n[at])))
+    return pd.DataFrame(rows, columns=["part", "contexts", "runs", "symbols", "counts"])
+
+
+def _groups(part: np.ndarray, order: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    number, first = np.unique(part[order], return_index=True)
+    return number.tolist(), np.split(order, first[1:])
 
 
 @dataclass
 class Tree:
-    """contexts: (context, n); may: passes those at least; model: blocks of counts by key, of symbols at the root, after contexts, and of contexts' own numbers, 2^bits parts."""
+    """contexts: (context, n); may: passes those at least; roots: blocks of the symbols' counts; model: blocks of what follows contexts, and of contexts' own numbers; 2^bits parts of each."""
 
     tokens: int
     symbols: int
     singles: int
     contexts: DataFrame
     may: Filter
+    roots: DataFrame
     model: DataFrame
     bits: int
 
@@ -311,11 +513,17 @@ class Tree:
 
 def learn(train: DataFrame, o: Options = Options()) -> Tree:
     """The tree of the texts in `train`. Only sums and bounded filters come to the driver."""
-    spark = train.sparkSession
-    size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(int(conf(spark, "spark.sql.shuffle.partitions") or 1) - 1, size >> 24).bit_length()  # 16 MB of text to a part at most
-    roots = written(counted(train, lambda t, n: t, bits), "suffix-tree-symbols")
+    return _learned(batches_of(train, F.lit(True), o), o)[0]
+
+
+def _learned(batches: DataFrame, o: Options) -> tuple[Tree, DataFrame]:
+    """The tree of the training rows in batches_of(), and all of these coded by it."""
+    bits = bits_of(batches)
+    asked = questions(batches, bits)
+    roots = written(roots_of(asked), "suffix-tree-symbols")
     tokens, symbols, singles = numbers(roots)
+    texts = coded(batches, asked, roots, bits, o)
+    discard(batches)
 
     def classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -326,61 +534,59 @@ def learn(train: DataFrame, o: Options = Options()) -> Tree:
     root = np.zeros(o.classes, np.int64)
     for r in roots.mapInPandas(classes, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
         root[r.k] = r.n
-    levels = [written(word_contexts(roots, o.least), "suffix-tree-contexts")]
-    total = levels[0].agg(F.sum("n")).first()[0] or 0
-    last = filter_of(levels[0].select("keys"), total, o)
+    levels, last, total = [], None, 0
     for depth in range(2, o.depth + 1):
 
-        def longer(t: np.ndarray, n: np.ndarray, depth: int = depth, last: Filter = last) -> np.ndarray:
+        def longer(b: Batch, depth: int = depth, last: Filter | None = last) -> np.ndarray:
             """Contexts of the depth whose suffix and whose first words may be frequent."""
-            here = list(contexts(t, n, depth))
-            fine, (at, h), (at_d, h_d) = np.zeros(len(t), bool), here[depth - 2], here[depth - 1]
-            fine[at] = last(h)
-            return h_d[fine[at_d] & fine[at_d - 1]]
+            *_, (at, _, _), (at_d, h_d, _) = b.contexts(o.least, [None] * (depth - 2) + [last, None])
+            fine = np.zeros(len(b.places), bool)
+            fine[at] = True
+            return h_d[fine[at_d - 1]]
 
-        level = written(counted(train, longer, bits, o.least), "suffix-tree-contexts")
+        level = written(counted(texts, longer, bits, o.least), "suffix-tree-contexts")
         own = numbers(level)[1]
         levels.append(level)
         last, total = filter_of(level.select("keys"), own, o), total + own
-    every = levels[0].select("keys")
-    for level in levels[1:]:
-        every = every.union(level.select("keys"))
-    of = written(context_classes(train, filter_of(every, total, o), bits, o), "suffix-tree-classes")
+    if len(levels) > 1:
+        every = levels[0].select("keys")
+        for level in levels[1:]:
+            every = every.union(level.select("keys"))
+        last = filter_of(every, total, o)
+    of = written(context_classes(texts, last, bits, o), "suffix-tree-classes")
     kept = written(divergent(of, root, o), "suffix-tree-kept")
     discard(of, *levels)
 
     may = filter_of(kept.select("context"), kept.count(), o)  # from rows: a second Python stage in the same task would be a second worker
-    after = written(following(train, may, bits, o), "suffix-tree-following")
-    kinds = after.select(F.explode(F.arrays_zip("contexts", "kinds")).alias("x")).groupBy(F.col("x.contexts").alias("context")).agg(F.sum("x.kinds").alias("kinds"))
+    after = written(following(texts, may, bits, o), "suffix-tree-following")
+    kinds = after.select(F.explode(F.arrays_zip("distinct", "kinds")).alias("x")).groupBy(F.col("x.distinct").alias("context")).agg(F.sum("x.kinds").alias("kinds"))
 
     def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            h = b["context"].to_numpy(np.int64).view(np.uint64)
-            keys, n = summed(np.concatenate([mix(h, TOTAL), mix(h, KINDS)]), np.concatenate([b["n"].to_numpy(np.int64), b["kinds"].to_numpy(np.int64)]))
-            rows = [(p, packed_keys(keys[s]), packed(n[s])) for p, s in parts_of(keys, bits)]
-            yield pd.DataFrame(rows, columns=["part", "keys", "counts"])
+            h, n = b["context"].to_numpy(np.int64).view(np.uint64), b[["n", "kinds"]].to_numpy(np.int64)
+            distinct, shares, code = pairs(np.repeat(h, 2), np.tile([TOTAL, KINDS], len(h)), np.zeros(2 * len(h), np.int64))
+            order = np.argsort(code)
+            yield pair_blocks(distinct, shares, code[order], n.ravel()[order], bits)
 
-    model = roots.union(after.select("part", "keys", "counts")).union(kept.join(kinds, "context").mapInPandas(own, BLOCK))
-    return Tree(tokens, symbols, singles, kept, may, model, bits)
+    block = f"part int, {PAIRS}, counts binary"
+    numbered = written(kept.join(kinds, "context").mapInPandas(own, block), "suffix-tree-numbers")
+    return Tree(tokens, symbols, singles, kept, may, roots, after.select("part", "contexts", "runs", "symbols", "counts").union(numbered), bits), texts
 
 
-def following(train: DataFrame, may: Filter, bits: int, o: Options) -> DataFrame:
-    """Blocks of what follows the contexts that `may` passes, and how many kinds of symbols of each context are in a block."""
-    schema = "part int, keys binary, of binary, counts binary"
+def following(texts: DataFrame, may: Filter, bits: int, o: Options) -> DataFrame:
+    """Blocks of what follows the contexts that `may` passes in training rows, with the contexts and how many kinds of symbols each has in the block."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
 
         def flush() -> pd.DataFrame:
-            keys, of = (np.concatenate(x) for x in zip(*held))
-            keys, first, n = np.unique(keys, return_index=True, return_counts=True)
-            rows = [(p, packed_keys(keys[s]), packed(of[first[s]]), packed(n[s])) for p, s in parts_of(keys, bits)]
-            return pd.DataFrame(rows, columns=["part", "keys", "of", "counts"])
+            distinct, shares, code = pairs(*(np.concatenate(x) for x in zip(*held)))
+            return pair_blocks(distinct, shares, *np.unique(code, return_counts=True), bits)
 
-        for b in batches:
-            t, n = tokenize(b["text"].tolist())
-            for at, h in _contexts_in(may, t, n, o.depth):
-                held.append((mix(h, t[at]), h))
+        for b in opened(batches, o.least, learned=True):
+            symbols = b.symbols[b.places]
+            for at, h, times in b.contexts(o.least, [may] * o.depth):
+                held.append((h, symbols[at], times))
             if sum(len(x[0]) for x in held) >= BUFFER:
                 yield flush()
                 held = []
@@ -388,82 +594,88 @@ def following(train: DataFrame, may: Filter, bits: int, o: Options) -> DataFrame
             yield flush()
 
     def merged(rows: pd.DataFrame) -> pd.DataFrame:
-        keys, of, n = (np.concatenate([f(x) for x in rows[c]]) for f, c in ((unpacked_keys, "keys"), (unpacked, "of"), (unpacked, "counts")))
-        order = np.argsort(keys, kind="stable")
-        first = order[np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1])[: len(keys)])]
-        context, kinds = np.unique(of[first], return_counts=True)
-        keys, n = summed(keys, n)
-        return pd.DataFrame({"part": rows["part"].iloc[:1], "keys": [packed_keys(keys)], "counts": [packed(n)], "contexts": [context.view(np.int64)], "kinds": [kinds]})
-
-    return train.select("text").mapInPandas(run, schema).groupBy("part").applyInPandas(merged, BLOCK + ", contexts array<long>, kinds array<long>")
-
-
-def _asked(texts: list[str | None], tree: Filter, depth: int) -> tuple:
-    """The texts' tokens and lengths, by depth their contexts that may be in the tree, and all keys to ask for."""
-    t, n = tokenize(texts)
-    met = list(_contexts_in(tree, t, n, depth))
-    keys = [t] + [mix(h, x) for at, h in met for x in (t[at], TOTAL, KINDS)]
-    return t, n, met, np.unique(np.concatenate(keys))
+        contexts, runs, symbols = unpacked_pairs(rows)
+        distinct, at = ranked(contexts)
+        code, n = summed(np.repeat(at, runs) << SYMBOL_BITS | symbols, np.concatenate([unpacked(c) for c in rows["counts"]]))
+        out = dict(zip(("contexts", "runs", "symbols"), ([x] for x in packed_pairs(distinct, code))))
+        return pd.DataFrame({"part": rows["part"].iloc[:1], **out, "counts": [packed(n)], "distinct": [distinct.view(np.int64)], "kinds": [np.bincount(code >> SYMBOL_BITS)]})
+
+    block = f"part int, {PAIRS}, counts binary"
+    return texts.mapInPandas(run, block).groupBy("part").applyInPandas(merged, block + ", distinct array<long>, kinds array<long>")
+
+
+def _met(b: Batch, tree: Filter, o: Options) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+    """A batch's contexts that may be in the tree, by depth: places, where among the pairs asked for the contexts' own numbers and the pair stand (the end, where a symbol has no number). Then all distinct contexts, their shares, and the pairs to ask for."""
+    met = list(b.contexts(o.least, [tree] * o.depth))
+    symbols = b.symbols[b.places]
+    distinct, shares, code = pairs(np.concatenate([h for _, h, _ in met]), np.concatenate([symbols[at] for at, _, _ in met]), np.concatenate([t for _, _, t in met]))
+    context, own = code >> SYMBOL_BITS, np.arange(len(distinct)) << SYMBOL_BITS
+    known = np.flatnonzero(code & ((1 << SYMBOL_BITS) - 1))
+    wanted, place = ranked(np.concatenate([own | TOTAL, own | KINDS, code[known]]))
+    total, kinds, of = place[: len(own)], place[len(own) : 2 * len(own)], np.full(len(code), len(wanted))
+    of[known] = place[2 * len(own) :]
+    end = np.cumsum([len(at) for at, _, _ in met])
+    return [(at, total[context[e - len(at) : e]], kinds[context[e - len(at) : e]], of[e - len(at) : e]) for (at, _, _), e in zip(met, end)], distinct, shares, wanted
 
 
 def score(docs: DataFrame, tree: Tree, o: Options = Options()) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score of each row of docs (doc_id, text)."""
-    spark = docs.sparkSession
-    may, bits, n, v, discount, depth = tree.may, tree.bits, tree.tokens, tree.symbols, o.discount, o.depth
+    batches = batches_of(docs, F.lit(False), o)
+    return _scored(coded(batches, questions(batches, tree.bits), tree.roots, tree.bits, o), tree, o)
+
+
+def _scored(texts: DataFrame, tree: Tree, o: Options) -> DataFrame:
+    may, bits, n, v, discount = texts.sparkSession.sparkContext.broadcast(tree.may), tree.bits, tree.tokens, tree.symbols, o.discount
     unseen = (tree.singles + 0.5) / (n + 1)  # the chance of a symbol that the training rows don't have
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, int(conf(spark, "spark.sql.shuffle.partitions") or 1), -(-size // o.bucket_bytes))
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int")).repartition(buckets, "bucket")
-    shared = spark.sparkContext.broadcast(may)
 
     def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list[np.ndarray]] = {}
-        for b in batches:
-            for bucket, rows in b.groupby("bucket"):
-                held.setdefault(bucket, []).append(_asked(rows["text"].tolist(), shared.value, depth)[3])
-        for bucket, parts in held.items():
-            keys = np.unique(np.concatenate(parts))
-            rows = [(p, bucket, packed_keys(keys[s])) for p, s in parts_of(keys, bits)]
-            yield pd.DataFrame(rows, columns=["part", "bucket", "keys"])
-
-    def answered(questions: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
-        """Counts in the order of the keys asked for, which the bucket knows itself."""
-        own = [np.concatenate([f(x) for x in blocks[c]]) if len(blocks) else np.zeros(0, np.uint64) for f, c in ((unpacked_keys, "keys"), (unpacked, "counts"))]
-        keys, n = summed(*own)
-        counts = [packed(found(keys, n, unpacked_keys(q))) for q in questions["keys"]]
-        return pd.DataFrame({"bucket": questions["bucket"], "part": questions["part"], "counts": counts})
-
-    answers = dealt.mapInPandas(asked, "part int, bucket int, keys binary").groupBy("part").cogroup(tree.model.withColumnRenamed("part", "of").groupBy("of")).applyInPandas(answered, "bucket int, part int, counts binary")
+        for frame in batches:
+            for number, b in zip(frame["batch"], opened(iter([frame]), o.least)):
+                _, distinct, shares, wanted = _met(b, may.value, o)
+                rows = [(p, number, *packed_pairs(distinct, wanted[at])) for p, at in zip(*_groups(*pair_parts(distinct, shares, wanted, bits)))] if len(wanted) else []
+                yield pd.DataFrame(rows, columns=["part", "batch", "contexts", "runs", "symbols"])
+
+    def answered(asked: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+        """Counts in the order of the pairs asked for, which the batch knows itself."""
+        contexts, runs, symbols = unpacked_pairs(blocks)
+        distinct, at = ranked(contexts)
+        n = np.concatenate([unpacked(c) for c in blocks["counts"]]) if len(blocks) else np.zeros(0, np.uint64)
+        code, n = summed(np.repeat(at, runs) << SYMBOL_BITS | symbols, n)
+        counts = []
+        for k in range(len(asked)):
+            contexts, runs, symbols = unpacked_pairs(asked.iloc[k : k + 1])
+            place = found(distinct, np.arange(1, len(distinct) + 1), contexts) - 1
+            counts.append(packed(found(code, n, np.repeat(place, runs) << SYMBOL_BITS | symbols)))
+        return pd.DataFrame({"batch": asked["batch"], "part": asked["part"], "counts": counts})
+
+    question = f"part int, batch long, {PAIRS}"
+    answers = texts.mapInPandas(asked, question).groupBy("part").cogroup(tree.model.withColumnRenamed("part", "of").groupBy("of")).applyInPandas(answered, "batch long, part int, counts binary")
 
     def scored(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows):
-            return pd.DataFrame({"doc_id": [], "n_tokens": [], "n_known": [], "base_score": [], "score": []})
-        pieces = [rows.iloc[k : k + 256]["text"].tolist() for k in range(0, len(rows), 256)]
-        have = np.unique(np.concatenate([_asked(p, shared.value, depth)[3] for p in pieces]))
-        counts = np.concatenate([unpacked(c) for c in answers.sort_values("part")["counts"]]).astype(np.float64)
         out = []
-        for k, piece in enumerate(pieces):
-            t, lengths, met, _ = _asked(piece, shared.value, depth)
-            count = lambda keys: counts[np.searchsorted(have, keys)]
-            c = count(t)
+        for b in opened(iter([rows]), o.least):
+            met, distinct, shares, wanted = _met(b, may.value, o)
+            counts = np.zeros(len(wanted) + 1)
+            if len(wanted):
+                counts[pair_parts(distinct, shares, wanted, bits)[1]] = np.concatenate([unpacked(c) for c in answers.sort_values("part")["counts"]])
+            c = b.counts[b.places]
             p = np.where(c > 0, (1 - unseen) * c / max(n, 1), unseen)
-            alive = np.ones(len(t), dtype=bool)
-            for at, h in met:
-                total = count(mix(h, TOTAL))
-                use = (total > 0) & alive[at]
-                at, h, total = at[use], h[use], total[use]
-                p[at] = (np.maximum(count(mix(h, t[at])) - discount, 0) + discount * count(mix(h, KINDS)) * p[at]) / total
-                alive = np.zeros(len(t), dtype=bool)
+            alive = np.ones(len(c), dtype=bool)
+            for at, total, kinds, of in met:
+                some = (counts[total] > 0) & alive[at]
+                at, total, kinds, of = at[some], counts[total[some]], counts[kinds[some]], counts[of[some]]
+                p[at] = (np.maximum(of - discount, 0) + discount * kinds * p[at]) / total
+                alive = np.zeros(len(c), dtype=bool)
                 alive[at] = True
-            text = np.repeat(np.arange(len(piece)), lengths)
-            total_of = lambda x: np.bincount(text, weights=x, minlength=len(piece))  # noqa: B023, E731
-            ids = rows["doc_id"].iloc[256 * k : 256 * k + 256].to_numpy()
-            out.append(pd.DataFrame({"doc_id": ids, "n_tokens": lengths, "n_known": total_of(c > 0).astype(np.int64), "base_score": total_of(np.log10((c + 1) / (n + v + 1))), "score": total_of(np.log10(p))}))
+            text = np.repeat(np.arange(len(b.ids)), b.lengths)
+            total_of = lambda x: np.bincount(text, weights=x, minlength=len(b.ids))  # noqa: B023, E731
+            ids = pd.array(b.ids, dtype="Int64")
+            ids[(b.flags & UNNAMED) > 0] = pd.NA
+            out.append(pd.DataFrame({"doc_id": ids, "n_tokens": b.lengths, "n_known": total_of(c > 0).astype(np.int64), "base_score": total_of(np.log10((c + 1) / (n + v + 1))), "score": total_of(np.log10(p))}))
         return pd.concat(out)
 
     schema = "doc_id long, n_tokens long, n_known long, base_score double, score double"
-    return dealt.groupBy("bucket").cogroup(answers.withColumnRenamed("bucket", "to").groupBy("to")).applyInPandas(lambda rows, a: scored(rows, a).astype({"doc_id": "Int64"}), schema)
+    return texts.groupBy("batch").cogroup(answers.withColumnRenamed("batch", "to").groupBy("to")).applyInPandas(scored, schema)
 
 
 def score_documents(docs: DataFrame, o: Options = Options(), modulus: int = 7, remainder: int = 2) -> DataFrame:
@@ -476,8 +688,7 @@ def score_documents(docs: DataFrame, o: Options = Options(), modulus: int = 7, r
     are those of an empty model.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tree = learn(rows.where(~held_out(F.col("doc_id"), modulus, remainder)), o)
-    out = score(rows, tree, o)
+    tree, texts = _learned(batches_of(docs, ~held_out(F.col("doc_id").cast("long"), modulus, remainder), o), o)
+    out = _scored(texts, tree, o)
     fold = held_out(F.col("doc_id"), modulus, remainder).alias("held_out")
     return out.select("doc_id", fold, "n_tokens", "n_known", F.lit(tree.tokens).cast("long").alias("train_tokens"), "base_score", "score")

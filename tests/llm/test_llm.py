@@ -386,6 +386,21 @@ def test_suffix_tree_filter_is_bounded_and_never_misses(spark):
     assert suffix_tree.filter_of(df, len(keys), suffix_tree.Options())(keys + np.uint64(1)).mean() < 0.05
 
 
+def test_suffix_tree_pairs_take_few_bytes_and_come_back(spark):
+    rng = np.random.default_rng(4)
+    h, symbols = rng.integers(0, 1 << 63, 2000, dtype=np.uint64)[rng.zipf(1.3, 200_000) % 2000], rng.zipf(1.2, 200_000) % 100_000 + suffix_tree.FIRST
+    for times in (10, 5 << 18):  # whole contexts, and in shares
+        distinct, shares, code = suffix_tree.pairs(h, symbols, np.full(len(h), times))
+        blocks = suffix_tree.pair_blocks(distinct, shares, *np.unique(code, return_counts=True), 4)
+        contexts, runs, back = suffix_tree.unpacked_pairs(blocks)
+        n = np.concatenate([suffix_tree.unpacked(c) for c in blocks["counts"]])
+        assert Counter(dict(zip(zip(np.repeat(contexts, runs).tolist(), back.tolist()), n.tolist()))) == Counter(zip(h.tolist(), symbols.tolist()))
+        assert blocks[["contexts", "runs", "symbols", "counts"]].map(len).to_numpy().sum() < 5 * len(n)  # two hashes took 14 or more
+    ids = [None if k % 3 == 0 else (1 << 60) + k for k in range(600)]
+    df = spark.createDataFrame([(d, "a b") for d in ids], "doc_id long, text string")
+    assert Counter(r.doc_id for r in suffix_tree.score_documents(df).select("doc_id").collect()) == Counter(ids)
+
+
 # 6
 
 
