@@ -226,9 +226,12 @@ def responses(selected: DataFrame, bvals: np.ndarray, directions: np.ndarray, es
     return (smooth_rows if estimator == "smooth" else kurtosis_rows)(shapes(samples), top, lmax, step, anisotropic=reference)
 
 
-def b_shift(voxels: DataFrame, bvals: np.ndarray, directions: np.ndarray, q: float = 0.95) -> DataFrame:
-    """scan_id, largest, shift: the largest effective b-value of the voxels in the mask, at least the table's, and the q quantile of how far deviations move weighted ones."""
-    t = F.explode(effective_table_column(F.col("graddev"), bvals, directions)).alias("t")
+def b_shift(voxels: DataFrame, bvals: np.ndarray, directions: np.ndarray, q: float = 0.95, rotation: np.ndarray | None = None) -> DataFrame:
+    """scan_id, largest, shift: the largest effective b-value of the voxels in the mask, at least the table's, and the q quantile of how far deviations move weighted ones.
+
+    rotation: as in pooled_samples().
+    """
+    t = F.explode(effective_table_column(F.col("graddev"), bvals, directions, rotation)).alias("t")
     at = F.array(*[F.lit(float(b)) for b in bvals])
     each = voxels.where("in_mask").select("scan_id", t).where(F.col("t.weighted")).select("scan_id", F.col("t.b").alias("b"), F.abs(F.col("t.b") - F.get(at, F.col("t.vol"))).alias("off"))
     largest = each.groupBy("scan_id").agg(F.greatest(F.max("b"), F.lit(float(bvals.max()))).alias("largest"))

@@ -242,6 +242,18 @@ def test_dense_samples_stand_where_each_voxel_saw_them(spark):
     assert moved.largest == pytest.approx(want.max(), rel=1e-6) and 0 < moved["shift"] < 0.21 * 3000
 
 
+def test_b_shift_sees_deviations_in_the_frame_of_the_table(spark):
+    scan = fibre_scan(spark, 2)
+    stretch, turn = np.diag([1.1, 1.0, 0.9]), np.array([[0, -1, 0], [1, 0, 0], [0, 0, 1.0]])
+    own = scan.voxels.withColumn("graddev", F.array(*[F.lit(float(x)) for x in stretch.ravel()])).withColumn("in_mask", F.lit(True))
+    largest = []
+    for r in (None, turn):
+        want = models.effective_table(scan.bvals, scan.directions, stretch, rotation=r)[0]
+        got = dense.b_shift(own, scan.bvals, scan.directions, rotation=r).first()
+        assert got.largest == pytest.approx(want.max(), rel=1e-9)
+        largest.append(got.largest)
+    assert abs(largest[0] - largest[1]) > 0.01
+
 def test_peaks_of_two_crossing_fibres(spark):
     d = np.array([[1, 0, 0], [0, 1, 0.0]])
     y = N.sh_matrix(N.hemisphere(), 8)
