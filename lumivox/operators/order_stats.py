@@ -25,11 +25,12 @@ def at_ranks(df: DataFrame, by: list[str], value: str, ranks: dict[str, Callable
     on. Values fall into buckets between approximate quantiles, buckets are counted
     exactly, and only those that hold a wanted rank are ordered, by cumulated
     counts: no task sees a whole group's rows or orders more than a bucket's values.
+    Values and edges are written: approximate quantiles come out otherwise each time they are made, and buckets are read twice.
     """
     v = F.col("_v")
-    seen = df.select(*by, F.col(value).alias("_v")).groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_own"))
+    seen = checkpointed(df.select(*by, F.col(value).alias("_v")).groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_own")))
     edges = F.percentile_approx(F.when(~F.isnan(v), v), [k / 64 for k in range(1, 64)], 1000)
-    group = seen.groupBy(*by).agg(F.sum("_own").alias("_n"), edges.alias("_edges"))
+    group = checkpointed(seen.groupBy(*by).agg(F.sum("_own").alias("_n"), edges.alias("_edges")))
     bucket = F.when(F.isnan(v), -1).otherwise(F.size(F.filter(F.coalesce("_edges", F.array().cast("array<double>")), lambda e: e < v)))
     dealt = seen.join(group, by).select(*by, "_v", "_own", "_n", bucket.alias("_bucket"))
     counts = dealt.groupBy(*by, "_bucket").agg(F.sum("_own").alias("_rows"), F.first("_n").alias("_n"))

@@ -68,6 +68,19 @@ def plain_threshold(v, tol=0.01):
     return min((y, x), key=cost)  # the latter one where they are equal
 
 
+def test_ranks_are_exact_where_quantiles_are_approximate(spark):
+    df = spark.range(150_000).select((F.pmod(F.xxhash64("id"), F.lit(10**9)) / 7).alias("v"), F.concat(F.lit("group "), F.col("id") % 3).alias("g"))
+    found = O.nearest_rank(df, ["g"], "v", {f"q{k}": k / 20 for k in range(21)})
+    # approximate quantiles come out otherwise each time that they are made: a plan that both counts and orders by them may make them once
+    assert "percentile_approx" not in found._jdf.queryExecution().toString()
+    got, top = {r.g: r for r in found.collect()}, {r.v for r in O.top_n(df, ["g"], "v", 700).collect()}
+    for g, some in df.toPandas().groupby("g")["v"]:
+        v = np.sort(some.to_numpy())
+        assert [got[g][f"q{k}"] for k in range(21)] == [v[int((len(v) - 1) * k / 20 + 0.5)] for k in range(21)]
+        assert top >= set(v[-700:])
+    assert len(top) == 2100
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_optimal_threshold_follows_the_rule(spark, seed):
     rng = np.random.default_rng(seed)
