@@ -87,7 +87,8 @@ def _with_least(edges: DataFrame, key: str, other: str, salts: int) -> DataFrame
     """Adds m, the least node among key and its neighbours; hub rows are spread by a salt of the other end."""
     least = edges.groupBy(key).agg(F.least(F.min(other), F.col(key)).alias("m"))
     least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return edges.withColumn("salt", F.pmod(F.hash(other), F.lit(salts))).join(least, [key, "salt"]).drop("salt")
+    # hinted, as Spark's size of `least` leaves out its salts
+    return edges.withColumn("salt", F.pmod(F.hash(other), F.lit(salts))).join(least.hint("merge"), [key, "salt"]).drop("salt")
 
 
 def components(edges: DataFrame, name: str, salts: int = 8, rounds: int = 60) -> DataFrame:

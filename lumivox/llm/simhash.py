@@ -121,7 +121,8 @@ def links(fps: DataFrame, bits: int = 2, crowd: int = 64) -> DataFrame:
     fingerprints at such anchors are linked through shared points one bit
     away instead, which connects the same ones exactly at 2 bits.
     """
-    spread = _at_anchors(fps, bits)
+    # hinted: Spark takes these rows for no more than the fingerprints, and would send all of them to the driver where those are few
+    spread = _at_anchors(fps, bits).hint("merge")
     homes = spread.where("home").select("anchor", "fp")
     crowded = written(homes.groupBy("anchor").count().where(F.col("count") > crowd).select("anchor"), "simhash-crowded") if bits == 2 else None
     extra = None

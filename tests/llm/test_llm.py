@@ -840,3 +840,14 @@ def test_pipeline_stages_keep_columns_and_clean_documents(spark):
         assert not ids & {"line_dedup": {100, 101}, "near_dedup": {100, 101}, "decontamination": {200}}[name]
     whole = P.run(spark, sf)
     assert 0 < whole.count() < docs.count() and whole.columns == ["doc_id", "ids", "n_tokens"]
+
+
+def test_anchors_and_salted_nodes_are_not_broadcast(spark):
+    from lumivox.llm.common import _with_least
+
+    fps = spark.range(300).select(F.xxhash64("id").alias("fp"))
+    edges = spark.range(300).select((F.col("id") + 1).alias("a"), F.col("id").alias("b"))
+    # sixty rows a fingerprint and eight a node, which Spark takes for one
+    for df in (simhash.links(fps), _with_least(edges, "a", "b", 8)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
