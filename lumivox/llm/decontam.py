@@ -289,7 +289,8 @@ def indexes(items: DataFrame, share: float, n: int, per_block: int) -> list[list
     n_items, mean = own.agg(F.count(F.lit(1)), F.avg(F.size("w"))).first()
     blocks = max(1, -(-n_items // per_block))
     terms = own.select("item_id", "text", "range", F.explode(F.array_distinct("w")).alias("t"))
-    told = terms.join(terms.groupBy("t").agg(F.count(F.lit(1)).alias("df")), "t").groupBy("item_id", "text", "range").agg(F.collect_list("t").alias("t"), F.collect_list("df").alias("df"))
+    # hinted, as Spark takes an item's terms for one row
+    told = terms.hint("merge").join(terms.groupBy("t").agg(F.count(F.lit(1)).alias("df")), "t").groupBy("item_id", "text", "range").agg(F.collect_list("t").alias("t"), F.collect_list("df").alias("df"))
     out = scratch(spark, "decontam-indexes")
     fs, root = filesystem(out)
     fs.create_dir(root, recursive=True)

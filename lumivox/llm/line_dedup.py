@@ -138,7 +138,8 @@ def _survivors(docs: DataFrame, passing: DataFrame, o: Options) -> DataFrame:
     lines = _lines(docs, test)
     same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("line") == F.col("no"))
     # rows that share a doc_id may repeat a line's place
-    return written(lines.join(first, same).select("doc_id", "line", "n", "words", "hits").dropDuplicates(["doc_id", "line", "words"]), "lines-survivors")
+    # hinted, as `first` is written in a small part of its size in memory
+    return written(lines.join(first.hint("merge"), same).select("doc_id", "line", "n", "words", "hits").dropDuplicates(["doc_id", "line", "words"]), "lines-survivors")
 
 
 def _without(a: Column, i: Column) -> Column:

@@ -278,11 +278,11 @@ def _crowd_links(at: DataFrame, classes: DataFrame, roots: DataFrame, texts: Dat
     name = F.when(F.col("own"), F.col("root").cast("string")).otherwise("mixed")
     blocks = of_root.select("key", "own", name.alias("name"), "salts").distinct().select("key", "own", "name", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     side = lambda p: blocks.select("key", F.col("own").alias(f"o{p}"), F.col("name").alias(f"n{p}"), F.concat_ws(":", "name", "salt").alias(f"b{p}"))
-    met = written(side("x").join(side("y"), "key").where("bx <= by and not (ox and nx = ny)").select("key", "bx", "by"), "similar-block-pairs")
+    met = written(side("x").hint("merge").join(side("y"), "key").where("bx <= by and not (ox and nx = ny)").select("key", "bx", "by"), "similar-block-pairs")
     member = at.join(of_root, ["key", "root"]).join(classes, "rep")
     block = F.concat_ws(":", name, F.pmod(F.xxhash64("rep", F.lit(3)), F.col("salts")).cast("int"))
     member = written(member.select("key", "rep", "root", *LANES, block.alias("block")), "similar-members")
-    sides = [met.where("true" if k == 0 else "bx < by").withColumnRenamed(b, "block").withColumn(b, F.col("block")).join(member, ["key", "block"]).select("key", "bx", "by", F.lit(k).alias("side"), "rep", "root", *LANES) for k, b in enumerate(("bx", "by"))]
+    sides = [met.where("true" if k == 0 else "bx < by").withColumnRenamed(b, "block").withColumn(b, F.col("block")).hint("merge").join(member, ["key", "block"]).select("key", "bx", "by", F.lit(k).alias("side"), "rep", "root", *LANES) for k, b in enumerate(("bx", "by"))]
     def near(rows: pd.DataFrame) -> pd.DataFrame:
         i, j = _candidates(rows, apart)
         rep = rows["rep"].to_numpy(np.int64)
@@ -302,7 +302,7 @@ def _crowd_links(at: DataFrame, classes: DataFrame, roots: DataFrame, texts: Dat
     whole = texts.join(cluster.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     whole = whole.mapInPandas(shingled, "rep long, shingles array<long>")
     size = cluster.groupBy(F.col("root").alias("cluster")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("salts"))
-    named = cluster.select(F.col("node").alias("rep"), F.col("root").alias("cluster")).join(size, "cluster").join(classes, "rep").join(whole, "rep").join(roots, F.col("rep") == roots.node, "left")
+    named = cluster.select(F.col("node").alias("rep"), F.col("root").alias("cluster")).join(size, "cluster").join(classes, "rep").join(whole.hint("merge"), "rep").join(roots, F.col("rep") == roots.node, "left")
     salt = F.pmod(F.xxhash64("rep", F.lit(3)), F.col("salts")).cast("int")
     named = named.select("cluster", "rep", F.coalesce("root", "rep").alias("root"), *LANES, "shingles", salt.alias("salt"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("with"))
     named = named.select("cluster", F.least("salt", "with").alias("bx"), F.greatest("salt", "with").alias("by"), (F.col("salt") > F.col("with")).cast("int").alias("side"), "rep", "root", *LANES, "shingles")
@@ -324,6 +324,15 @@ def _crowd_links(at: DataFrame, classes: DataFrame, roots: DataFrame, texts: Dat
     return written(named.groupBy("cluster", "bx", "by").applyInPandas(linked, "a long, b long"), "similar-crowd-links")
 
 
+def _shared_keys(rows: DataFrame) -> DataFrame:
+    """The rows (key, rep) whose key more than one rep has, with n, low and high of the key.
+
+    Hinted, like other joins of rows that came out of a few or of texts that are written tightly: Spark's size of them is far too low to send them to the driver.
+    """
+    ends = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")
+    return rows.hint("merge").join(ends, "key")
+
+
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, apart: int = 45, recall: float = 0.9995) -> DataFrame:
     """(doc_id, component_id): documents linked by a Jaccard similarity of `similarity` or more of their distinct shingles.
 
@@ -358,14 +367,13 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
             yield pd.DataFrame({"key": keys.ravel(), "rep": np.repeat(b["rep"].to_numpy(np.int64), tables)})
 
     rows = classes.repartition(spread, "rep").mapInPandas(keyed, "key long, rep long")
-    ends = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")
-    at = written(rows.join(ends, "key"), "similar-at")
+    at = written(_shared_keys(rows), "similar-at")
     few = at.where(F.col("n") <= FEW).groupBy("key").agg(F.collect_list("rep").alias("all"))
     few = few.select("all", F.explode("all").alias("x")).select("x", F.explode("all").alias("y"))
     pairs = few.union(at.where(F.col("n") > FEW).select(F.col("rep").alias("x"), F.explode(F.array("low", "high")).alias("y"))).where("x <> y")
     pairs = pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
     side = lambda n: classes.select(F.col("rep").alias(n), *[F.col(c).alias(f"{n}{c}") for c in LANES])
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b")
+    pairs = pairs.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b")
     pairs = written(pairs.where(sum(F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in LANES) <= apart).select("a", "b"), "similar-pairs")
     def checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -380,7 +388,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
         """Those of the pairs whose whole texts are similar."""
         some = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
         whole = written(texts.join(some, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "similar-texts")
-        met = pairs.join(whole.select(F.col("doc_id").alias("a"), F.col("text").alias("at")), "a").join(whole.select(F.col("doc_id").alias("b"), F.col("text").alias("bt")), "b")
+        met = pairs.join(whole.select(F.col("doc_id").alias("a"), F.col("text").alias("at")).hint("merge"), "a").join(whole.select(F.col("doc_id").alias("b"), F.col("text").alias("bt")).hint("merge"), "b")
         out = written(met.select("a", "b", "at", "bt").mapInPandas(checked, "a long, b long"), "similar-checked")
         discard(whole)
         return out

@@ -851,3 +851,12 @@ def test_anchors_and_salted_nodes_are_not_broadcast(spark):
     for df in (simhash.links(fps), _with_least(edges, "a", "b", 8)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_keys_of_all_tables_are_not_broadcast(spark):
+    classes = spark.range(300).select(F.xxhash64("id").alias("f0"), F.col("id").alias("rep"))
+    rows = classes.mapInPandas(lambda batches: (b[["rep"]].assign(key=b["rep"] % k) for b in batches for k in range(1, 90)), "key long, rep long")
+    found = simhash._shared_keys(rows)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert {r.n for r in found.where("key = 88").collect()} >= {3} and found.where("low = high").isEmpty()
