@@ -140,26 +140,30 @@ def _reflected(n: int, r: int) -> np.ndarray:
 
 
 def smooth_in_plane(voxels: DataFrame, sigma: float, axis: int = 2) -> DataFrame:
-    """scan_id, x, y, z, signal, of voxels dense over the grid, each volume smoothed along the two axes but `axis`, the lower axis first.
+    """scan_id, x, y, z, signal of each plane with a voxel, each volume smoothed along the two axes but `axis`, the lower axis first.
 
-    Planes are independent of each other: each is one group. Results of either pass are stored in single precision; sigma 0 changes nothing.
+    Planes are independent of each other: each is one group, and has its scan's whole grid, where a place without a row counts as 0 and gets one.
+    Results of either pass are stored in single precision; sigma 0 changes nothing.
     """
     if sigma == 0:
         return voxels.select(*KEY, "signal")
     kernel, names = np.array(gaussian_kernel(sigma)), [c for k, c in enumerate("xyz") if k != axis]
 
     def smooth(rows: pd.DataFrame) -> pd.DataFrame:
-        at = [rows[c].to_numpy() for c in names]
-        plane = np.zeros((at[0].max() + 1, at[1].max() + 1, len(rows["signal"].iloc[0])), np.float32)
+        at, first = [rows[c].to_numpy() for c in names], rows.iloc[0]
+        plane = np.zeros((first["n0"], first["n1"], len(first["signal"])), np.float32)
         plane[at[0], at[1]] = np.stack(rows["signal"].to_numpy())
         for _ in range(2):  # one axis, then the other, which the transposition brings to the front and back
             out = np.zeros(plane.shape)
             for w, i in zip(kernel, _reflected(len(plane), len(kernel) // 2).T):
                 out += w * plane[i]
             plane = out.astype(np.float32).transpose(1, 0, 2)
-        return rows[KEY].assign(signal=list(plane[at[0], at[1]]))
+        places = dict(zip(names, np.indices(plane.shape[:2]).reshape(2, -1)))
+        return pd.DataFrame({"scan_id": first["scan_id"]} | {c: places.get(c, first[c]) for c in "xyz"} | {"signal": list(plane.reshape(-1, plane.shape[2]))})
 
-    return voxels.select(*KEY, "signal").groupBy("scan_id", "xyz"[axis]).applyInPandas(smooth, "scan_id string, x int, y int, z int, signal array<float>")
+    grid = voxels.groupBy("scan_id").agg(*[(F.max(c) + 1).alias(f"n{k}") for k, c in enumerate(names)])
+    whole = voxels.select(*KEY, "signal").join(F.broadcast(grid), "scan_id")
+    return whole.groupBy("scan_id", "xyz"[axis]).applyInPandas(smooth, "scan_id string, x int, y int, z int, signal array<float>")
 
 
 def outlier_slices(voxels: DataFrame, o: SliceOptions = SliceOptions()) -> DataFrame:

@@ -117,6 +117,27 @@ def test_corrupted_slices_are_found_and_no_others(spark):
     assert (1, 6) in bad and all(v == 1 and 5 <= k <= 7 for v, k in bad)
 
 
+def test_planes_are_smoothed_over_the_whole_grid(spark):
+    rng, kernel = np.random.default_rng(3), np.array(qc.gaussian_kernel(1.0))
+    data = np.zeros((4, 5, 3, 2), np.float32)
+    there = [k for k in np.ndindex(4, 5, 3) if k[2] < 2 or k[1] < 3 and k != (3, 2, 2)]  # the last plane isn't full
+    for k in there:
+        data[k] = rng.uniform(1, 2, 2)
+    v = spark.createDataFrame([("s", *map(int, k), True, data[k].astype(float).tolist()) for k in there], VOXEL)
+    for axis in range(3):
+        want = data
+        for a in (a for a in range(3) if a != axis):
+            n = want.shape[a]
+            at = [[min(i % (2 * n), 2 * n - 1 - i % (2 * n)) for i in range(p - 4, p + 5)] for p in range(n)]
+            want = np.stack([sum(w * want.take(i, a).astype(float) for w, i in zip(kernel, row)) for row in at], axis=a).astype(np.float32)
+        got = {(r.x, r.y, r.z): r.signal for r in qc.smooth_in_plane(v, 1.0, axis).collect()}
+        assert got.keys() == set(np.ndindex(4, 5, 3)) and all(np.allclose(got[k], want[k], rtol=1e-6) for k in got)
+    # the slice before the last is compared at all its voxels
+    sent = {(r.vol, r.slice): r.ratio for r in qc.outlier_slices(v, qc.SliceOptions(min_voxels=1, sigma=1.0)).collect()}
+    off, spread = (np.abs(x).sum(axis=(0, 1)) for x in (want[:, :, 1] - (want[:, :, 0] + want[:, :, 2]) / 2, (want[:, :, 2] - want[:, :, 0]) / 2))
+    assert sent == {(k, 1): pytest.approx(off[k] / spread[k], rel=1e-4) for k in range(2)}
+
+
 def field(spark, shape, direction, fa=lambda k: 0.6):
     """One unit direction for each place of a grid."""
     rows = []
