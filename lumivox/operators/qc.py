@@ -231,8 +231,8 @@ def fixel_coherence(dti: DataFrame, angle: float = 15.0, quantile: float = 0.1,
     return out.join(cuts, "scan_id").select("scan_id", "coherence", slope.alias("elasticity"), "n_evaluated", "n_connected", F.col("cut").alias("fa_threshold"))
 
 
-def _links(some: DataFrame, by: list[str], angle: float, voxel_mm: tuple[float, float, float]) -> DataFrame:
-    """by, a, b, len: mutual best links; each voxel's best-aligned neighbour on either end of its direction, kept where both choose each other."""
+def _ends(some: DataFrame, by: list[str], angle: float, voxel_mm: tuple[float, float, float]) -> DataFrame:
+    """by, x, y, z, end, best: each voxel's best-aligned neighbour on either end of its direction."""
     offsets = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) != (0, 0, 0)]
     mm = lambda t: [c * m for c, m in zip(t, voxel_mm)]
     o = F.array(*[F.struct(*[F.lit(c).alias(n) for n, c in zip(("dx", "dy", "dz"), t)], *[F.lit(c).alias(n) for n, c in zip(("mx", "my", "mz"), mm(t))], F.lit(math.sqrt(sum(c * c for c in mm(t)))).alias("len")) for t in offsets])
@@ -241,13 +241,18 @@ def _links(some: DataFrame, by: list[str], angle: float, voxel_mm: tuple[float,
     near = near.withColumn("ahead", ahead).where(F.abs("ahead") >= math.cos(math.radians(60)))
     near = near.select(*by, "x", "y", "z", F.col("principal_dir").alias("own_dir"), "ahead", "o.len", *[(F.col(n) + F.col(f"o.d{n}")).cast("int").alias(f"to_{n}") for n in "xyz"])
     other = some.select(*by, *[F.col(n).alias(f"to_{n}") for n in "xyz"], F.col("principal_dir").alias("to_dir"))
-    met = near.join(other, [*by, "to_x", "to_y", "to_z"])
+    met = near.hint("merge").join(other, [*by, "to_x", "to_y", "to_z"])
     cos = F.abs(sum(_dir(k, "own_dir") * _dir(k, "to_dir") for k in range(3)))
     met = met.withColumn("cos", cos).where(F.col("cos") >= math.cos(math.radians(angle)))
-    ends = met.groupBy(*by, "x", "y", "z", (F.col("ahead") > 0).alias("end")).agg(F.max(F.struct(F.col("cos") * F.abs("ahead"), F.struct("to_x", "to_y", "to_z").alias("to"), "len")).alias("best"))
+    return met.groupBy(*by, "x", "y", "z", (F.col("ahead") > 0).alias("end")).agg(F.max(F.struct(F.col("cos") * F.abs("ahead"), F.struct("to_x", "to_y", "to_z").alias("to"), "len")).alias("best"))
+
+
+def _links(some: DataFrame, by: list[str], angle: float, voxel_mm: tuple[float, float, float]) -> DataFrame:
+    """by, a, b, len: mutual best links, kept where both ends choose each other."""
+    ends = _ends(some, by, angle, voxel_mm)
     chosen = checkpointed(ends.select(*by, F.struct("x", "y", "z").alias("a"), F.struct(*[F.col(f"best.to.to_{n}").alias(n) for n in "xyz"]).alias("b"), "best.len"))
     back = chosen.select(*by, F.col("b").alias("a"), F.col("a").alias("b"))
-    return chosen.join(back, [*by, "a", "b"]).where("a < b").distinct()
+    return chosen.hint("merge").join(back, [*by, "a", "b"]).where("a < b").distinct()
 
 
 def _chains(some: DataFrame, by: list[str], angle: float, voxel_mm: tuple[float, float, float], long_mm: float, rounds: int = 60) -> DataFrame:
@@ -256,24 +261,25 @@ def _chains(some: DataFrame, by: list[str], angle: float, voxel_mm: tuple[float,
     A voxel's label is one of its chain's voxels. Each round gives every label's own voxel the least label
     that stands beside it, and every voxel its label's label, so chains of any length settle in a number
     of rounds that follows the logarithm of their length. Rounds are written; labels that don't settle are an error.
+    Joins are hinted: places and tables' names are written in a small part of their size in memory, so Spark would send them all to the driver.
     """
     links = checkpointed(_links(some, by, angle, voxel_mm))
     both = links.select(*by, "a", "b").union(links.select(*by, F.col("b").alias("a"), F.col("a").alias("b")))
     label = some.select(*by, F.struct("x", "y", "z").alias("a"), "fa").withColumn("root", F.col("a"))
     for _ in range(rounds):
         own, other = label.select(*by, "a", F.col("root").alias("ra")), label.select(*by, F.col("a").alias("b"), F.col("root").alias("rb"))
-        met = both.join(own, [*by, "a"]).join(other, [*by, "b"]).where("rb < ra")
+        met = both.hint("merge").join(own, [*by, "a"]).hint("merge").join(other, [*by, "b"]).where("rb < ra")
         lower = checkpointed(met.groupBy(*by, F.col("ra").alias("root")).agg(F.min("rb").alias("low")))
         if lower.isEmpty():
             break
-        label = label.join(lower, [*by, "root"], "left").select(*by, "a", "fa", F.coalesce("low", "root").alias("root"))
+        label = label.hint("merge").join(lower, [*by, "root"], "left").select(*by, "a", "fa", F.coalesce("low", "root").alias("root"))
         hop = label.select(*by, F.col("a").alias("root"), F.col("root").alias("further"))
-        label = label.join(hop, [*by, "root"], "left").select(*by, "a", "fa", F.least("root", F.coalesce("further", "root")).alias("root"))
+        label = label.hint("merge").join(hop, [*by, "root"], "left").select(*by, "a", "fa", F.least("root", F.coalesce("further", "root")).alias("root"))
         label = checkpointed(label)
     else:
         raise RuntimeError(f"chains did not settle in {rounds} rounds")
-    length = links.join(label, [*by, "a"]).groupBy(*by, "root").agg(F.sum("len").alias("mm"))
-    each = label.join(length, [*by, "root"], "left").withColumn("mm", F.coalesce("mm", F.lit(0.0)))
+    length = links.hint("merge").join(label, [*by, "a"]).groupBy(*by, "root").agg(F.sum("len").alias("mm"))
+    each = label.hint("merge").join(length, [*by, "root"], "left").withColumn("mm", F.coalesce("mm", F.lit(0.0)))
     return each.groupBy(*by).agg((F.sum(F.col("fa") * F.col("mm")) / F.sum("fa")).alias("chain_length"), (F.sum(F.when(F.col("mm") >= long_mm, F.col("fa")).otherwise(0.0)) / F.sum("fa")).alias("share_long"))
 
 

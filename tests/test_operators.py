@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lumivox import jobs, sinks
 from lumivox.api import Scan
 from lumivox.functions import numeric as N
+from lumivox.functions.storage import checkpointed
 from lumivox.operators import decon, dense, models, qc, tissue
 from lumivox.operators import order_stats as O
 from lumivox.operators import voxel as V
@@ -169,6 +170,14 @@ def test_long_rings_settle_and_a_flipped_table_is_named(spark):
     assert bad.best in ("012fx", "012fy") and not bad.current_is_best and bad.gradient_table_ratio > 1.2
 
 
+def test_neighbours_of_all_voxels_are_not_broadcast(spark):
+    some = checkpointed(field(spark, (6, 6, 4), lambda x, y, z: (1, 0, 0)))
+    for df in (qc._ends(some, ["scan_id"], 15.0, (1.0, 1.0, 1.0)), qc._links(some, ["scan_id"], 15.0, (1.0, 1.0, 1.0))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert df.count() == 5 * 24
+
+
 def fibre_scan(spark, n=5):
     """All voxels with one fibre direction along x."""
     v = np.arange(32)
