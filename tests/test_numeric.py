@@ -190,3 +190,20 @@ def test_planted_directions_within_a_tenth_of_a_degree():
         for t, x in zip(top, (u, v)):
             assert np.degrees(np.arccos(min(1.0, abs(t @ x)))) < 0.1
         assert high == pytest.approx([1.0, 0.8], rel=1e-6)
+
+
+def test_active_sets_of_many_rows_go_side_by_side(monkeypatch):
+    rng = np.random.default_rng(4)
+    h, c, b = rng.normal(size=(30, 8)), np.vstack([rng.normal(size=(6, 8)), np.eye(8)]), rng.normal(size=(2 * S.SIDE_BY_SIDE + 9, 30))
+    qp, calls, plain = S.Inequality(h, c), [], np.linalg.solve
+    monkeypatch.setattr(np.linalg, "solve", lambda *a: calls.append(1) or plain(*a))
+    x, used, ok = qp.solve(b)
+    assert ok.all() and len(calls) < len(b) / 4  # before, one or more a row and step
+    for k in range(0, len(b), 37):
+        alone = qp.solve(b[[k]])
+        assert np.allclose(alone[0][0], x[k], atol=1e-12) and alone[1][0] == used[k]
+    # no feasible point lies downhill, the other rows' results among them
+    downhill = (x @ (h.T @ h) - b @ h) @ x.T
+    assert (x @ c.T).min() > -1e-8 and downhill.min() > -1e-5 and np.abs(np.diag(downhill)).max() < 1e-5 < np.abs(x).max()
+    few = S.Inequality(h, c, max_iter=2).solve(b)
+    assert few[1].max() == 2 and not few[2].all() and (few[1][few[2]] < 2).all()
