@@ -121,8 +121,7 @@ def links(fps: DataFrame, bits: int = 2, crowd: int = 64) -> DataFrame:
     fingerprints at such anchors are linked through shared points one bit
     away instead, which connects the same ones exactly at 2 bits.
     """
-    # hinted: Spark takes these rows for no more than the fingerprints, and would send all of them to the driver where those are few
-    spread = _at_anchors(fps, bits).hint("merge")
+    spread = _at_anchors(fps, bits)
     homes = spread.where("home").select("anchor", "fp")
     crowded = written(homes.groupBy("anchor").count().where(F.col("count") > crowd).select("anchor"), "simhash-crowded") if bits == 2 else None
     extra = None
@@ -130,7 +129,8 @@ def links(fps: DataFrame, bits: int = 2, crowd: int = 64) -> DataFrame:
         extra = _by_shared_points(spread.join(crowded, "anchor", "left_semi").select("fp").distinct())
         homes = homes.join(crowded, "anchor", "left_anti")
     h, r = homes.select("anchor", F.col("fp").alias("a")), spread.select("anchor", F.col("fp").alias("b"))
-    met = h.join(r, (h.anchor == r.anchor) & (F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)).select("a", "b")
+    # hinted: Spark takes these rows for no more than the fingerprints, and would send all of them to the driver where those are few
+    met = h.hint("merge").join(r, (h.anchor == r.anchor) & (F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)).select("a", "b")
     return met.union(extra) if extra is not None else met
 
 
